@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from graysift.llm.exact_dedup import exact_dedup
 from graysift.llm.mixing import mix
+from graysift.llm.packing import pack_documents
+from graysift.llm.token_files import token_file_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,14 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_index(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -64,6 +74,8 @@ SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(k.taken, 0)::BIGINT A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_files": op3_token_files,
     "op9_mix_sources": op9_mix_sources,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op9_mix_sources": OP9_SQL}
