@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graysift.llm.exact_dedup import exact_dedup
 from graysift.llm.mixing import mix
 from graysift.llm.packing import pack_documents
+from graysift.llm.token_counts import token_counts
 from graysift.llm.token_files import token_file_index
 
 
@@ -72,10 +73,15 @@ k AS (
 SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(k.taken, 0)::BIGINT AS taken FROM c LEFT JOIN k USING (doc_id)
 """
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_files": op3_token_files,
     "op9_mix_sources": op9_mix_sources,
+    "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op9_mix_sources": OP9_SQL}
