@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graysift.llm import quality
 from graysift.llm.exact_dedup import exact_dedup
 from graysift.llm.mixing import mix
 from graysift.llm.packing import pack_documents
 from graysift.llm.token_counts import token_counts
 from graysift.llm.token_files import token_file_index
+from graysift.llm.url_filter import url_verdicts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_index(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, quality.ratings_from_labels(table(spark, sf_dir, "labels")), grades=3)
+    return quality.grade(docs, model).drop("text")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -81,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_files": op3_token_files,
+    "op7_quality_grades": op7_quality_grades,
+    "op8_url_filter": op8_url_filter,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
 }
