@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graysift.llm import quality
 from graysift.llm.exact_dedup import exact_dedup
 from graysift.llm.mixing import mix
+from graysift.llm.ngram_join import near_duplicates
 from graysift.llm.packing import pack_documents
 from graysift.llm.token_counts import token_counts
 from graysift.llm.token_files import token_file_index
@@ -42,6 +43,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_index(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op7_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, quality.ratings_from_labels(table(spark, sf_dir, "labels")), grades=3)
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_files": op3_token_files,
+    "op5_ngram_join": op5_ngram_join,
     "op7_quality_grades": op7_quality_grades,
     "op8_url_filter": op8_url_filter,
     "op9_mix_sources": op9_mix_sources,
