@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graysift.llm import quality
+from graysift.llm.embedding_dedup import embedding_dedup
 from graysift.llm.exact_dedup import exact_dedup
 from graysift.llm.mixing import mix
 from graysift.llm.ngram_join import near_duplicates
@@ -43,6 +44,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_index(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -91,6 +96,7 @@ k AS (
 SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(k.taken, 0)::BIGINT AS taken FROM c LEFT JOIN k USING (doc_id)
 """
 
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_files": op3_token_files,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op7_quality_grades": op7_quality_grades,
     "op8_url_filter": op8_url_filter,
