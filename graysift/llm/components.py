@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graysift.llm.common import materialize
 
 
+def join_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Joins the classes of u and v in place; a class is named by its least member."""
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            further = label[label]
+            if np.array_equal(further, label):
+                break
+            label[:] = further
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

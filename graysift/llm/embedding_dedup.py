@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graysift.llm.common import materialize
-from graysift.llm.components import connected_components
+from graysift.llm.components import connected_components, join_labels
 
 #: Vectors of a block (about), rows and columns of a tile, the least number of blocks and the most slabs.
 BLOCK, TILE, LEAST_BLOCKS, MOST_SLABS = 4096, 1024, 16, 1024
@@ -77,22 +77,6 @@ def linked(x: Vectors, rows: slice, columns: slice, threshold: float) -> tuple[n
     return i[keep], j[keep]
 
 
-def join_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Joins the classes of u and v in place; a class is named by its least member."""
-    while len(u):
-        a, b = label[u], label[v]
-        apart = a != b
-        if not apart.any():
-            return
-        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            further = label[label]
-            if np.array_equal(further, label):
-                break
-            label[:] = further
-
-
 def _compare(axes: np.ndarray, threshold: float):
     """All pairs of two blocks (or within one) -> (node, links, with): how many vectors a node links to here, and
     the least node that it is joined with here. No pair leaves the task."""

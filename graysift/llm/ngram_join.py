@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graysift.llm.common import materialize
-from graysift.llm.components import connected_components
+from graysift.llm.components import connected_components, join_labels
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Signature rows that a task combines at a time before it hands them on.
 BLOCK = 1_000_000
+#: Nodes and (about) shingles of a block of a cluster, and shared shingles that are multiplied at a time.
+BLOCK_NODES, BLOCK_SIZE, COLUMNS = 512, 1_000_000, 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,18 +54,22 @@ def _words() -> _Words:
     return _Words()
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles. Words are runs without ASCII white space, A-Z
-    lower-cased; fewer words than width make one shingle; no words make none."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the text's words: runs without ASCII white space, A-Z lower-cased."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
+    return np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles; fewer words than width make one shingle, no words none."""
+    hashes = word_hashes(text)
+    if not len(hashes):
+        return hashes
+    n = max(1, len(hashes) - width + 1)
     found = hashes[:n]
-    for k in range(1, min(width, len(words))):
+    for k in range(1, min(width, len(hashes))):
         found = mix(found) + hashes[k : k + n]
-    return np.unique(mix(found + np.uint64(min(width, len(words)))))
+    return np.unique(mix(found + np.uint64(min(width, len(hashes)))))
 
 
 class PartEnum:
@@ -199,104 +205,113 @@ def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(MEMBER, key[member], node[member], first[member], key[member])
 
 
-def _compare(width: int):
-    """Texts of pairs, sorted by group with the group's leader first -> (a, b, both, either)."""
+def intersections(sets: list[np.ndarray], rows: slice, columns: slice) -> np.ndarray:
+    """Sizes of the intersections of two runs of sets, as products of their incidence over COLUMNS shared elements
+    at a time. Elements that only one set holds are left out."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    owner, at = owner[shared], (np.cumsum(times > 1) - 1)[at[shared]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    total = np.zeros((len(sets[rows]), len(sets[columns])), np.float32)
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        low, high = np.searchsorted(at, (start, start + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[low:high], at[low:high] - start] = 1
+        total += held[rows] @ held[columns].T
+    return total.astype(np.int64)
+
+
+def _compare(width: int, num: int, den: int):
+    """Rows (cluster, left, right, block, node, copies, text), sorted by the first four -> (node, links, with): how
+    many documents a node links to in this pair of blocks, and the least node that it is joined with here."""
+
+    def one(blocks: list[int], left: int, right: int, nodes: list[int], copies: list[int], texts: list[str]) -> pa.RecordBatch:
+        first = dict.fromkeys(nodes)
+        if len(first) < len(nodes):  # rows that repeat an id
+            keep = list({n: k for k, n in reversed(list(enumerate(nodes)))}.values())[::-1]
+            blocks, nodes, copies, texts = ([x[k] for k in sorted(keep)] for x in (blocks, nodes, copies, texts))
+        node, n_docs = np.array(nodes, np.int64), np.array(copies, np.int64)
+        sets = [shingle_set(t, width) for t in texts]
+        cut = len(sets) if left == right else int(np.searchsorted(blocks, right))
+        rows, columns = slice(0, cut), slice(0 if left == right else cut, len(sets))
+        sizes = np.array([len(x) for x in sets], np.int64)
+        both = intersections(sets, rows, columns)
+        i, j = np.nonzero(both * den >= (sizes[rows, None] + sizes[None, columns] - both) * num)
+        j = j + columns.start
+        i, j = i[i < j], j[i < j]
+        links, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+        np.add.at(links, i, n_docs[j])
+        np.add.at(links, j, n_docs[i])
+        join_labels(label, i, j)
+        some = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[some], links[some], node[label[some]])], ["node", "links", "with"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leader = None, None
+        key, held = None, []
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for b, salt, lead, a, text in zip(*(batch[c].to_pylist() for c in ("b", "salt", "lead", "a", "text")), strict=True):
-                elements = shingle_set(text, width)
-                if lead:
-                    group, leader = (b, salt), elements
-                elif group == (b, salt):
-                    both = len(np.intersect1d(leader, elements, assume_unique=True))
-                    out.append((a, b, both, len(leader) + len(elements) - both))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "both", "either"])
+            for *new, block, node, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if new != key:
+                    if len(held) > 1:
+                        yield one([h[0] for h in held], *key[1:], *([h[k] for h in held] for k in (1, 2, 3)))
+                    key, held = new, []
+                held.append((block, node, copies, text))
+        if len(held) > 1:
+            yield one([h[0] for h in held], *key[1:], *([h[k] for h in held] for k in (1, 2, 3)))
 
     return found
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """pairs (a, b) of nodes with the sizes of their sets' intersection and union, by their whole texts.
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, nodes, links): each row's doc_id, n_shingles and node; the nodes (different sets) with a doc_id
+    and the number of their documents; and links summed up (node, links, with), see _compare.
 
-    A pair's texts meet in groups of a leader b and a salt of about 64 of its members, so a leader of very
-    many members is spread; each text is shuffled to the pairs that need it and to no others.
-    """
-    many = materialize(pairs.groupBy("b").agg((F.count(F.lit(1)) / 64 + 1).cast("long").alias("salts")), "leaders")
-    salted = materialize(pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt")), "pairs")
-    needed = salted.select(F.col("a").alias("node"), "b", "salt", F.lit(False).alias("lead"))
-    needed = needed.union(salted.select("b", "b", "salt", F.lit(True)).distinct())
-    needed = needed.join(nodes, "node").select("doc_id", F.col("node").alias("a"), "b", "salt", "lead")
-    needed = materialize(needed, "needed")
-    rows = texts.join(needed, "doc_id").select("b", "salt", "lead", "a", "text")
-    rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("lead"), "a")
-    return materialize(rows.mapInArrow(_compare(width), "a long, b long, both long, either long").distinct(), "verified")
-
-
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): each row's doc_id, n_shingles and node, and verified links (a, b, both, either)
-    between nodes that connect all nodes which links of similarity >= num / den connect.
-
-    Of a signature's nodes each is compared with the first. Where that leaves a signature's nodes in different
-    components, all its pairs across components are compared too, except those whose distances to a common
-    first node differ by more than 1 - num / den (Jaccard distance is a metric). Pairs within a component
-    are not, so a large group of copies costs about one comparison for each member.
+    Nodes that share a signature are joined into clusters, by one edge from each node to the first of a signature.
+    All links lie within clusters. A cluster is compared in pairs of blocks of at most BLOCK_NODES nodes and about
+    BLOCK_SIZE shingles, each pair in one task that counts links and joins classes, so a large cluster is spread
+    and its pairs are never rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(_signature_rows(width, num, den), _SCHEMA)
     rows = rows.repartition("key").sortWithinPartitions("key", "a")
     found = materialize(rows.mapInArrow(_memberships, _SCHEMA), "signatures")
     documents = found.filter(F.col("kind") == DOC).select(F.col("b").alias("doc_id"), F.col("sig").alias("n_shingles"), F.col("a").alias("node"))
-    members = found.filter(F.col("kind") == MEMBER).select("a", "b", "sig")
-    nodes = materialize(documents.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-
-    pairs = materialize(members.select("a", "b").distinct(), "pairs")
-    first = _verified(pairs, nodes, texts, width)
-    close = F.col("both") * den >= F.col("either") * num
-    links = first.filter(close)
-    component = materialize(connected_components(links), "components")
-
-    def labelled(rows: DataFrame, of: str) -> DataFrame:
-        label = component.select(F.col("id").alias(of), F.col("component").alias(f"{of}_in"))
-        return rows.join(label, of, "left").withColumn(f"{of}_in", F.coalesce(f"{of}_in", of))
-
-    apart = materialize(labelled(labelled(first.filter(~close), "a"), "b").filter("a_in != b_in").select("a", "b"), "apart")
-    if apart.isEmpty():
-        return documents, links
-    mixed = materialize(members.join(apart, ["a", "b"]).select("sig").distinct(), "mixed")
-    held = materialize(members.join(mixed, "sig"), "mixed-members")
-    distance = first.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
-    inside = held.join(distance, ["a", "b"]).select("sig", F.col("a").alias("x"), "b", "far")
-    inside = inside.union(held.select("sig", F.col("b").alias("x"), "b", F.lit(0.0))).distinct()
-    inside = materialize(labelled(inside, "x").withColumnRenamed("x_in", "in"), "mixed-nodes")
-    left, right = (inside.select("sig", *[F.col(c).alias(f"{c}{i}") for c in ("x", "b", "far", "in")]) for i in "12")
-    slack = 1 - num / den + 1e-9
-    across = left.join(right, "sig").filter(f"x1 < x2 and in1 != in2 and (b1 != b2 or abs(far1 - far2) <= {slack})")
-    across = across.select(F.col("x2").alias("a"), F.col("x1").alias("b")).distinct()
-    across = materialize(across.join(first.select("a", "b").union(first.select("b", "a")), ["a", "b"], "left_anti"), "across")
-    more = _verified(across, nodes, texts, width).filter(close)
-    return documents, materialize(links.union(more), "links")
+    nodes = documents.filter("n_shingles > 0 and doc_id is not null").groupBy("node")
+    nodes = materialize(nodes.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size")), "nodes")
+    cluster = connected_components(found.filter(F.col("kind") == MEMBER).select("a", "b"))
+    members = materialize(cluster.select(F.col("id").alias("node"), F.col("component").alias("cluster")).join(nodes, "node"), "clusters")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_SIZE)).cast("long")
+    sizes = materialize(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster-sizes")
+    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    pairs = members.select("doc_id", "node", "copies", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left, right = F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
+    needed = materialize(pairs.select("doc_id", "node", "copies", "cluster", "block", left, right), "needed")
+    rows = texts.join(needed, "doc_id").select("cluster", "left", "right", "block", "node", "copies", "text")
+    rows = rows.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right", "block", "node")
+    links = materialize(rows.mapInArrow(_compare(width, num, den), "node long, links long, with long"), "links")
+    return documents, nodes, links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of
-    Jaccard similarity >= num / den, itself included).
+    Jaccard similarity >= num / den, itself included) and n_links (other documents linked directly, copies too).
 
     Null and empty texts and texts of white space have no shingles, link with nothing and are their own
     component. Rows that repeat an id come back each. Rows with a null id link with nothing (component_id
     null). Ids are taken to be unique up to repeated rows. An empty table gives an empty table. Shingles and
     sets are told apart by 64-bit hashes.
     """
-    documents, links = jaccard_links(docs, id_col, text_col, width, num, den)
-    component = materialize(connected_components(links), "components")
-    nodes = documents.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    documents, nodes, links = jaccard_links(docs, id_col, text_col, width, num, den)
+    component = connected_components(links, "node", "with").withColumnRenamed("id", "node")
+    sums = links.groupBy("node").agg(F.sum("links").alias("links"))
+    nodes = nodes.join(sums, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = materialize(nodes, "node-components")
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(nodes.join(materialize(least, "least"), "component").select("node", "component_id"), "named")
+    least = materialize(nodes.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    named = materialize(nodes.join(least, "component").select("node", "component_id", n_links), "named")
+    own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     rows = documents.join(named, "node", "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"))
+    return rows.select(
+        "doc_id", "n_shingles", F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(own, F.col("n_links")).otherwise(0).cast("long").alias("n_links")
+    )
