@@ -13,6 +13,7 @@ from graysift.llm.exact_dedup import exact_dedup
 from graysift.llm.mixing import mix
 from graysift.llm.ngram_join import near_duplicates
 from graysift.llm.packing import pack_documents
+from graysift.llm.repeats import repeated_passages
 from graysift.llm.token_counts import token_counts
 from graysift.llm.token_files import token_file_index
 from graysift.llm.url_filter import url_verdicts
@@ -52,6 +53,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+
+
 def op7_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, quality.ratings_from_labels(table(spark, sf_dir, "labels")), grades=3)
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_ngram_join": op5_ngram_join,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_quality_grades": op7_quality_grades,
     "op8_url_filter": op8_url_filter,
     "op9_mix_sources": op9_mix_sources,
