@@ -37,3 +37,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def likely_rows(rows: DataFrame, id_col: str, needed: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
+    """The rows whose id is in needed, and a few others: a filter before a join whose other side is a small part.
+
+    One hash function into 8 bits for each needed id, most_bits at most (2^20 rows of 64 bits to broadcast); beyond
+    that the filter lets more through, and the join that follows stays right.
+    """
+    bits = min(max(8 * needed.count(), 1 << 16), most_bits)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    held = needed.select(place(F.col(id_col)).alias("__place")).select(F.expr("__place div 64").alias("__word"), F.expr("shiftleft(1L, cast(__place % 64 as int))").alias("__bit"))
+    held = held.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    found = rows.withColumn("__place", place(F.col(id_col))).withColumn("__word", F.expr("__place div 64")).join(F.broadcast(held), "__word")
+    return found.filter(F.expr("getbit(__bits, cast(__place % 64 as int)) = 1")).select(rows.columns)

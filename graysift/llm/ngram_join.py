@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graysift.llm.common import materialize
+from graysift.llm.common import likely_rows, materialize
 from graysift.llm.components import connected_components, join_labels
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -287,7 +287,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = members.select("doc_id", "node", "copies", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     left, right = F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
     needed = materialize(pairs.select("doc_id", "node", "copies", "cluster", "block", left, right), "needed")
-    rows = texts.join(needed, "doc_id").select("cluster", "left", "right", "block", "node", "copies", "text")
+    rows = likely_rows(texts, "doc_id", needed).join(needed, "doc_id").select("cluster", "left", "right", "block", "node", "copies", "text")
     rows = rows.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right", "block", "node")
     links = materialize(rows.mapInArrow(_compare(width, num, den), "node long, links long, with long"), "links")
     return documents, nodes, links

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graysift.llm.common import materialize
+from graysift.llm.common import likely_rows, materialize
 from graysift.llm.ngram_join import mix, word_hashes
 
 #: Words of the group that a minimiser is chosen by; every suffix that can match begins with the same group.
@@ -282,7 +282,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         ).alias("wanted"),
     )
     wanted = materialize(wanted.groupBy("doc").agg(F.collect_list("wanted").alias("wanted")), "wanted")
-    beside = texts.join(wanted, "doc").select("text", "wanted")
+    beside = likely_rows(texts, "doc", wanted).join(wanted, "doc").select("text", "wanted")
     beside = beside.mapInArrow(_beside(min_words), "key long, salt int, right binary, left binary, context long, windows int, least long, most long, spread boolean")
     beside = beside.repartition("key", "salt").sortWithinPartitions("key", "salt", "right", "context")
     matched = materialize(beside.mapInArrow(_match(min_words), _MATCHED), "matched")
