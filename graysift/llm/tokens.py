@@ -1,14 +1,18 @@
 """Token ids of whole texts from a byte-level BPE file of the tokenizers library.
 
 The file's pre-tokenizer always starts a piece at a space that stands between two characters which are not
-white space, so a text falls into units " word" whose ids do not depend on each other. Units repeat, so each
-worker keeps the ids of those it met lately and asks the library only for the others, all of a batch at once.
+white space, so a text falls into units " word" whose ids do not depend on each other. Units repeat: a worker
+keeps the ids of those it met lately. A new unit falls into a word and the marks after it, or by the public pattern
+of the vocabulary into pieces; only words and pieces that are new too go to the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -21,107 +25,101 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Whole(Exception):
-    """The text must go to the library as a whole."""
+_CUT, _RUN, _OTHER = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|^\s|\s$"), re.compile(r"[^\x00-\u024F]|<\|")
 
 
-class _Recent(dict):
-    """Ids by unit; two generations, so that memory stays bounded while frequent units stay."""
+#: Marks that stand after a word; with no letter after them they are one piece.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Byte-level vocabularies write a byte as a letter: printable ones as themselves, the others from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
-    def __init__(self, limit: int):
-        self.old, self.limit, self.wanted = {}, limit, set()
 
-    def __missing__(self, unit: str) -> bytes:
-        found = self.old.get(unit)
-        if found is not None:
-            self[unit] = found
-            return found
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            raise _Whole
-        self.wanted.add(unit)
-        return b""
+def _latin(text: str) -> bool:
+    try:
+        return bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 class Encoder:
     """encode(texts): for each text its ids, add_special_tokens=False, as little-endian unsigned 32-bit bytes.
 
-    Null counts as empty. ``keep`` units are remembered in each of two generations.
+    Null counts as empty. Up to about ``keep`` units, words and pieces are remembered; when there are more, those
+    not met since the last such time are forgotten.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        vocabulary = self.library.get_vocab()
-        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.starts[[i for piece, i in vocabulary.items() if piece.startswith("Ġ")]] = True
-        self.units = _Recent(keep)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self) -> None:
-        units = self.units
-        wanted, units.wanted = list(units.wanted), set()
-        if len(units) + len(wanted) > units.limit:
-            units.old = dict(units)
-            units.clear()
-        special = [u for u in wanted if "<|" in u]
-        plain = [u for u in wanted if "<|" not in u]
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self.library.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) != len(part):
-                special += part
-                continue
-            data, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            units.update((u, data[a:b]) for u, a, b in zip(part, cuts, cuts[1:], strict=False))
-        units.update((u, self.whole(" " + u)) for u in special)
+        self.library, self.keep = Tokenizer.from_file(path), keep
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        #: Ids of units with the space before them, of texts' first units, of words with a space, and of other pieces.
+        self.units: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _ask(self, parts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(parts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _ask_words(self, words: list[str]) -> None:
+        """Words of letters with a space before them: each is one piece, so the model takes it as it is."""
+        tokenize = self.library.model.tokenize
+        for word in words:
+            raw = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            self.words[word] = array("I", [t.id for t in tokenize("Ġ" + raw)]).tobytes()
+
+    def _ask_pieces(self, pieces: list[str]) -> None:
+        self.pieces.update(zip(pieces, self._ask(pieces), strict=True))
+
+    def _learn(self, known: dict[str, bytes], units: set[str], space: str) -> dict[str, bytes]:
+        """known with the units."""
+        words, pieces, simple, mixed, other = self.words, self.pieces, [], [], []
+        for u in units.difference(known):
+            word = u.rstrip(MARKS)
+            if space and word.isalpha() and (word.isascii() or _latin(word)):
+                simple.append((u, word, u[len(word) :]))
+            elif _OTHER.search(u):
+                other.append(u)
+            else:
+                mixed.append(u)
+        parts = [self.cut(space + u) for u in mixed]
+        self._ask_words(list({w for _, w, _ in simple}.difference(words)))
+        self._ask_pieces(list({t for _, _, t in simple}.union(*parts).difference(pieces)))
+        known.update((u, words[w] + pieces[t]) for u, w, t in simple)
+        known.update((u, b"".join(map(pieces.__getitem__, p))) for u, p in zip(mixed, parts, strict=True))
+        known.update(zip(other, self._ask([space + u for u in other]), strict=True))
+        if len(words) > self.keep:
+            self.words = {w: words[w] for _, w, _ in simple}
+        if len(pieces) > self.keep:
+            self.pieces = {}
+        return known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        units, out, again = self.units, [], []
-        for k, text in enumerate(texts):
-            if not text:
-                out.append(b"")
-                continue
-            first, *rest = text.split(" ")
-            try:
-                if not first or first[-1].isspace():
-                    raise _Whole
-                ids = b"".join(map(units.__getitem__, rest))
-                if units.wanted:
-                    again.append((k, first, rest))
-                    if len(units.wanted) >= 50_000:
-                        self._finish(again, out)
-                        again = []
-                        continue
-                    out.append(b"")
-                else:
-                    out.append(self.whole(first) + ids)
-            except _Whole:
-                out.append(self.whole(text))
-        self._finish(again, out)
+        out: list[bytes] = []
+        for begin in range(0, len(texts), 256):
+            split = [(_CUT.split(t) if _RUN.search(t) else t.split(" ")) if t else [] for t in texts[begin : begin + 256]]
+            if len(self.firsts) > self.keep:
+                self.firsts = {}
+            self._learn(self.firsts, {u[0] for u in split if u}, "")
+            found = [list(map(self.units.get, u[1:])) for u in split]
+            open_ = [[k for k, ids in enumerate(f, 1) if ids is None] for f in found]
+            new = {u[k] for u, at in zip(split, open_, strict=True) for k in at}
+            ids_of = self._learn(self.units, new, " ")
+            for u, f, at in zip(split, found, open_, strict=True):
+                for k in at:
+                    f[k - 1] = ids_of[u[k]]
+            if len(ids_of) > self.keep:
+                ids_of = dict(chain.from_iterable(zip(u[1:], f, strict=True) for u, f in zip(split, found, strict=True)))
+            self.units = ids_of
+            out += [self.firsts[u[0]] + b"".join(f) if u else b"" for u, f in zip(split, found, strict=True)]
         return out
 
-    def _finish(self, again: list, out: list[bytes]) -> None:
-        while again:
-            if self.units.wanted:
-                self._learn()
-            left = []
-            for k, first, rest in again:
-                ids = b"".join(map(self.units.__getitem__, rest))
-                if self.units.wanted:  # a unit left the older generation meanwhile
-                    left.append((k, first, rest))
-                    continue
-                ids = self.whole(first) + ids
-                if k == len(out):
-                    out.append(ids)
-                else:
-                    out[k] = ids
-            again = left
-
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
