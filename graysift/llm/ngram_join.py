@@ -102,12 +102,15 @@ class PartEnum:
             slack += 1
         return k, base + slack, slack
 
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
-        """All signatures of a set; none for bands where only equal sets can be similar."""
+    def signatures(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures of a set, those of its empty subsets where more partitions than the slack have one); none for
+        bands where only equal sets can be similar. Two similar sets share one of the first kind unless both have
+        some of the second, and then may share only one of these."""
+        none = np.zeros(0, np.uint64)
         if not len(elements):
-            return elements
+            return none, none
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ _C))])
-        high, out, band = elements >> np.uint64(32), [], self.band(len(elements))
+        high, out, extra, band = elements >> np.uint64(32), [], [], self.band(len(elements))
         for tag in (band, band + 1):
             k, n1, slack = self.shape(tag)
             if not k:
@@ -120,8 +123,10 @@ class PartEnum:
             names = np.arange(n1 * len(self.subsets), dtype=np.uint64).reshape(n1, -1) + np.uint64(tag << 40)
             found = mix(held ^ mix(names))
             empty = (sizes @ self.subsets.T) == 0
-            out.append(found[~empty] if np.count_nonzero(empty.any(axis=1)) <= slack else found.ravel())
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            out.append(found[~empty])
+            if np.count_nonzero(empty.any(axis=1)) > slack:
+                extra.append(found[empty])
+        return np.concatenate(out) if out else none, np.concatenate(extra) if extra else none
 
 
 def _first(keys: np.ndarray) -> np.ndarray:
@@ -136,12 +141,12 @@ def _rows(kind: int, key, a, b, sig) -> pa.RecordBatch:
 
 
 _SCHEMA = "kind byte, key long, a long, b long, sig long"
-DOC, SEED, MEMBER = 0, 1, 2
+DOC, SEED, MEMBER, EXTRA = 0, 1, 2, 3
 
 
 def _signature_rows(width: int, num: int, den: int):
     """Rows of one kind each: DOC (a node, b doc_id, sig set size), SEED (key = sig, a node: the first node of a
-    signature in this block) and MEMBER (a node, b the first node, sig)."""
+    signature in this block), MEMBER (a node, b the first node, sig) and EXTRA (key = sig of an empty subset, a node)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum, sigs, nodes, held, seen = PartEnum(num, den), [], [], 0, set()
@@ -160,7 +165,7 @@ def _signature_rows(width: int, num: int, den: int):
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 piece = batch.slice(begin, 512)
-                ids, sizes = [], []
+                ids, sizes, extra = [], [], []
                 for text in piece["text"].to_pylist():
                     elements = shingle_set(text, width)
                     node = np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes()))
@@ -169,13 +174,17 @@ def _signature_rows(width: int, num: int, den: int):
                     if node in seen or not len(elements):
                         continue
                     seen.add(node)
-                    got = enum.signatures(elements)
+                    got, empty = enum.signatures(elements)
+                    extra += [(x, node) for x in empty]
                     sigs.append(got)
                     nodes.append(np.full(len(got), node, np.uint64))
                     held += len(got)
                     if held >= BLOCK:
                         yield from combined()
                         sigs, nodes, held, seen = [], [], 0, set()
+                if extra:
+                    keys, owners = (np.array(c, np.uint64) for c in zip(*extra, strict=True))
+                    yield _rows(EXTRA, keys, owners, pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()))
                 node = np.array(ids, np.uint64)
                 yield _rows(DOC, mix(node ^ mix(np.arange(len(node), dtype=np.uint64))), node, piece["doc_id"], np.array(sizes))
         if held:
@@ -224,14 +233,16 @@ def intersections(sets: list[np.ndarray], rows: slice, columns: slice) -> np.nda
 
 
 def _compare(width: int, num: int, den: int):
-    """Rows (cluster, left, right, block, node, copies, text), sorted by the first four -> (node, links, with): how
-    many documents a node links to in this pair of blocks, and the least node that it is joined with here."""
+    """Rows (cluster, left, right, block, node, copies, home, text), sorted by the first four -> (node, links, with,
+    pair). In a cluster: how many documents a node links to in this pair of blocks, and the least node that it is
+    joined with here. Of an empty subset: each link between nodes of different homes, both ways, as a pair, since
+    other subsets may find it too."""
 
-    def one(blocks: list[int], left: int, right: int, nodes: list[int], copies: list[int], texts: list[str]) -> pa.RecordBatch:
+    def one(blocks: list, left: int, right: int, nodes: list, copies: list, homes: list, texts: list) -> pa.RecordBatch:
         first = dict.fromkeys(nodes)
         if len(first) < len(nodes):  # rows that repeat an id
             keep = list({n: k for k, n in reversed(list(enumerate(nodes)))}.values())[::-1]
-            blocks, nodes, copies, texts = ([x[k] for k in sorted(keep)] for x in (blocks, nodes, copies, texts))
+            blocks, nodes, copies, homes, texts = ([x[k] for k in sorted(keep)] for x in (blocks, nodes, copies, homes, texts))
         node, n_docs = np.array(nodes, np.int64), np.array(copies, np.int64)
         sets = [shingle_set(t, width) for t in texts]
         cut = len(sets) if left == right else int(np.searchsorted(blocks, right))
@@ -241,24 +252,30 @@ def _compare(width: int, num: int, den: int):
         i, j = np.nonzero(both * den >= (sizes[rows, None] + sizes[None, columns] - both) * num)
         j = j + columns.start
         i, j = i[i < j], j[i < j]
+        names = ["node", "links", "with", "pair"]
+        if homes[0] is not None:
+            home = np.array(homes, np.int64)
+            i, j = i[home[i] != home[j]], j[home[i] != home[j]]
+            a, b = np.concatenate([i, j]), np.concatenate([j, i])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], n_docs[b], node[b], np.ones(len(a), bool))], names)
         links, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
         np.add.at(links, i, n_docs[j])
         np.add.at(links, j, n_docs[i])
         join_labels(label, i, j)
         some = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[some], links[some], node[label[some]])], ["node", "links", "with"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[some], links[some], node[label[some]], np.zeros(int(some.sum()), bool))], names)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for *new, block, node, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *new, block, node, copies, home, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if new != key:
                     if len(held) > 1:
-                        yield one([h[0] for h in held], *key[1:], *([h[k] for h in held] for k in (1, 2, 3)))
+                        yield one([h[0] for h in held], *key[1:], *([h[k] for h in held] for k in (1, 2, 3, 4)))
                     key, held = new, []
-                held.append((block, node, copies, text))
+                held.append((block, node, copies, home, text))
         if len(held) > 1:
-            yield one([h[0] for h in held], *key[1:], *([h[k] for h in held] for k in (1, 2, 3)))
+            yield one([h[0] for h in held], *key[1:], *([h[k] for h in held] for k in (1, 2, 3, 4)))
 
     return found
 
@@ -280,16 +297,24 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = documents.filter("n_shingles > 0 and doc_id is not null").groupBy("node")
     nodes = materialize(nodes.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size")), "nodes")
     cluster = connected_components(found.filter(F.col("kind") == MEMBER).select("a", "b"))
-    members = materialize(cluster.select(F.col("id").alias("node"), F.col("component").alias("cluster")).join(nodes, "node"), "clusters")
+    cluster = materialize(cluster.withColumnsRenamed({"id": "node", "component": "cluster"}), "homes")
+    # Nodes that share an empty subset are compared by themselves: as edges they would join unrelated clusters.
+    extra = found.filter(F.col("kind") == EXTRA).select(F.col("key").alias("cluster"), F.col("a").alias("node")).distinct()
+    several = extra.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cluster")
+    extra = extra.join(several, "cluster").join(cluster.withColumnRenamed("cluster", "home"), "node", "left")
+    extra = extra.select("node", "cluster", F.coalesce("home", "node").alias("home"))
+    members = cluster.select("node", "cluster", F.lit(None).cast("long").alias("home")).union(extra)
+    members = materialize(members.join(nodes, "node"), "clusters")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_SIZE)).cast("long")
     sizes = materialize(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster-sizes")
     members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    pairs = members.select("doc_id", "node", "copies", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = members.select("doc_id", "node", "copies", "home", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     left, right = F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
-    needed = materialize(pairs.select("doc_id", "node", "copies", "cluster", "block", left, right), "needed")
-    rows = likely_rows(texts, "doc_id", needed).join(needed, "doc_id").select("cluster", "left", "right", "block", "node", "copies", "text")
+    needed = materialize(pairs.select("doc_id", "node", "copies", "home", "cluster", "block", left, right), "needed")
+    rows = likely_rows(texts, "doc_id", needed).join(needed, "doc_id").select("cluster", "left", "right", "block", "node", "copies", "home", "text")
     rows = rows.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right", "block", "node")
-    links = materialize(rows.mapInArrow(_compare(width, num, den), "node long, links long, with long"), "links")
+    links = materialize(rows.mapInArrow(_compare(width, num, den), "node long, links long, with long, pair boolean"), "links")
+    links = links.filter("not pair").union(links.filter("pair").distinct())
     return documents, nodes, links
 
 
