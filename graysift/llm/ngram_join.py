@@ -25,7 +25,7 @@ from graysift.llm.components import connected_components, join_labels
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Signature rows that a task combines at a time before it hands them on.
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Nodes and (about) shingles of a block of a cluster, and shared shingles that are multiplied at a time.
 BLOCK_NODES, BLOCK_SIZE, COLUMNS = 512, 1_000_000, 4096
 
@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 100_000):
         self.keep = keep
 
     def __missing__(self, word: bytes) -> int:

@@ -118,7 +118,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
 class _Weights(dict):
     """Weights of a word and of its shape, remembered for the words met lately."""
 
-    def __init__(self, weights: np.ndarray, keep: int = 500_000):
+    def __init__(self, weights: np.ndarray, keep: int = 100_000):
         self.weights, self.keep = weights, keep
 
     def __missing__(self, word: str) -> tuple[float, float]:

@@ -49,7 +49,7 @@ class Encoder:
     not met since the last such time are forgotten.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
