@@ -49,14 +49,50 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x),
+m AS (SELECT x, min(y) AS component_id FROM c GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON vec_id = m.x LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON vec_id = k.x
+"""
+WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+OP5_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+d AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 2) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM w),
+s AS (SELECT doc_id, unnest(g) AS g FROM d),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+k AS (SELECT a, b FROM p JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b WHERE 100 * n >= 90 * (len(x.g) + len(y.g) - n)),
+l AS (SELECT a AS x, b AS y FROM k UNION ALL SELECT b, a FROM k),
+c AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x),
+m AS (SELECT x, min(y) AS component_id FROM c GROUP BY x)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, coalesce(n, 0)::BIGINT AS n_links
+FROM d JOIN m ON doc_id = m.x LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) q ON doc_id = q.x
+"""
+
+
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
 
 
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM v WHERE h IN (SELECT h FROM v GROUP BY h HAVING count(DISTINCT doc_id) > 1)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM r))
+SELECT doc_id, (min(i) - 1)::BIGINT AS start_word, (max(i) - min(i) + 50)::BIGINT AS n_words FROM n GROUP BY doc_id, part
+"""
+
+
 def op7_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, quality.ratings_from_labels(table(spark, sf_dir, "labels")), grades=3)
@@ -118,4 +154,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
 }
-SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op9_mix_sources": OP9_SQL}
+SQL: dict[str, str] = {
+    "op1_exact_dedup": OP1_SQL,
+    "op4_embedding_dedup": OP4_SQL,
+    "op5_ngram_join": OP5_SQL,
+    "op6_repeated_passages": OP6_SQL,
+    "op9_mix_sources": OP9_SQL,
+}
