@@ -10,6 +10,7 @@ from __future__ import annotations
 from graysift.functions.rules import ADVICE, GENERIC, IDENTIFYING, MAX_NAMES, MAX_PER_TYPE, MAX_TERMS, NAME, RANK, RULES, SPECIAL, TOPIC_SUFFIX
 from graysift.operators.provenance import TAGS
 from graysift.plans import samples
+from graysift.sources.files import ARCHIVES, IMAGES, MEDIA, TEXT
 
 
 def quoted(x) -> str:
@@ -144,6 +145,18 @@ def queries() -> dict[str, str]:
         f"CASE WHEN {reached} = 0 THEN 'Alle bestanden blijven onder de drempel — uploaden kan.' ELSE {reached} || ' van ' || count(*) || ' bestand(en) haalt de drempel \"middel\" of hoger. Schoon die eerst op.' END AS advice FROM verdicts"
     )
     found["verdict_by_source"] = f"{full} SELECT source, verdict, count(*) AS files, sum(n_findings)::BIGINT AS findings FROM verdicts GROUP BY ALL"
+    found["redacted_documents"] = f"""{full}, pairs AS (SELECT doc_id, list({{v: value, k: type, n: 0::BIGINT}} ORDER BY length(value) DESC, value, type) AS p FROM found WHERE category <> 'bijzonder' AND length(value) >= 3 GROUP BY doc_id)
+SELECT doc_id, sha256(r.v) AS text_sha256, r.n AS replaced FROM (
+  SELECT doc_id, list_reduce(list_prepend({{v: text, k: '', n: 0::BIGINT}}, coalesce(p, [])), lambda a, b: {{v: replace(a.v, b.v, '[GEREDIGEERD:' || b.k || ']'), k: '', n: a.n + ((length(a.v) - length(replace(a.v, b.v, ''))) // length(b.v))::BIGINT}}) AS r
+  FROM texts LEFT JOIN pairs USING (doc_id))"""
+    kinds = " ".join(f"WHEN list_contains([{', '.join(map(quoted, e))}], e) THEN '{k}'" for e, k in ((TEXT, "tekst"), (ARCHIVES, "document"), (["pdf"], "pdf"), (["rtf"], "rtf"), (IMAGES, "afbeelding"), (MEDIA, "media")))
+    unit = "CASE WHEN bytes < 1000 THEN bytes || ' B' " + " ".join(
+        f"WHEN {f'bytes < {top}' if top else 'TRUE'} THEN CASE WHEN bytes / {by} >= 100 THEN round_even(bytes / {by}, 0)::BIGINT::VARCHAR ELSE printf('%.1f', bytes / {by}) END || ' {u}'"
+        for by, top, u in ((1e3, "1e6", "kB"), (1e6, "1e9", "MB"), (1e9, "1e12", "GB"), (1e12, "", "TB"))
+    ) + " END"
+    names = f"SELECT doc_id::BIGINT AS doc_id, translate(name, '_-.', '   ') AS text, lower(regexp_extract(name, '[^/]\\.([^./]+)$', 1)) AS e, bytes FROM {values(samples.FILES)} f(doc_id, name, bytes)"
+    shown = "(floor(bytes / 1e6 + 0.5)::BIGINT // 60) || ':' || lpad((floor(bytes / 1e6 + 0.5)::BIGINT % 60)::VARCHAR, 2, '0')"
+    found["file_facts"] = f"{scanned(names)} SELECT doc_id, CASE {kinds} ELSE 'onbekend' END AS kind, {unit} AS size, verdict, {shown} AS shown FROM verdicts"
     turns = "SELECT conv_id * 100000 + turn AS doc_id, coalesce(text, '') AS text, conv_id FROM conversations"
     top = "['geen', 'laag', 'middel', 'hoog'][coalesce(max(list_position(['laag', 'middel', 'hoog'], verdict)), 0) + 1]"
     found["conversation_verdicts"] = f"{scanned(turns)} SELECT conv_id, count(*) AS turns, {top} AS verdict, sum(n_findings)::BIGINT AS findings FROM verdicts GROUP BY conv_id"
