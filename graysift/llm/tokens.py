@@ -25,7 +25,17 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_CUT, _RUN, _OTHER = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|^\s|\s$"), re.compile(r"[^\x00-\u024F]|<\|")
+_CUT, _OTHER = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"[^\x00-\u024F]|<\|")
+#: White space other than the space.
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+
+
+def _even(text: str) -> bool:
+    """Each space stands between two characters that are not white space."""
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return False
+    return not any(c in text and (" " + c in text or c + " " in text) for c in _SPACES)
+
 
 
 #: Marks that stand after a word; with no letter after them they are one piece.
@@ -67,43 +77,43 @@ class Encoder:
         found = self.library.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _ask_words(self, words: list[str]) -> None:
-        """Words of letters with a space before them: each is one piece, so the model takes it as it is."""
-        tokenize = self.library.model.tokenize
-        for word in words:
-            raw = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-            self.words[word] = array("I", [t.id for t in tokenize("Ġ" + raw)]).tobytes()
-
-    def _ask_pieces(self, pieces: list[str]) -> None:
-        self.pieces.update(zip(pieces, self._ask(pieces), strict=True))
-
     def _learn(self, known: dict[str, bytes], units: set[str], space: str) -> dict[str, bytes]:
-        """known with the units."""
-        words, pieces, simple, mixed, other = self.words, self.pieces, [], [], []
-        for u in units.difference(known):
+        """known with the units. A word of letters with a space before it is one piece, so the model takes it as it is."""
+        words, pieces, tokenize, mixed, other = self.words, self.pieces, self.library.model.tokenize, [], []
+        for u in units.difference(known) if known else units:
             word = u.rstrip(MARKS)
             if space and word.isalpha() and (word.isascii() or _latin(word)):
-                simple.append((u, word, u[len(word) :]))
+                ids = words.get(word)
+                if ids is None:
+                    raw = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                    ids = words[word] = array("I", [t.id for t in tokenize("Ġ" + raw)]).tobytes()
+                if len(word) < len(u):
+                    tail = u[len(word) :]
+                    if tail not in pieces:
+                        self._ask_pieces([tail])
+                    ids += pieces[tail]
+                known[u] = ids
             elif _OTHER.search(u):
                 other.append(u)
             else:
                 mixed.append(u)
         parts = [self.cut(space + u) for u in mixed]
-        self._ask_words(list({w for _, w, _ in simple}.difference(words)))
-        self._ask_pieces(list({t for _, _, t in simple}.union(*parts).difference(pieces)))
-        known.update((u, words[w] + pieces[t]) for u, w, t in simple)
+        self._ask_pieces(list(set(chain.from_iterable(parts)).difference(pieces)))
         known.update((u, b"".join(map(pieces.__getitem__, p))) for u, p in zip(mixed, parts, strict=True))
         known.update(zip(other, self._ask([space + u for u in other]), strict=True))
         if len(words) > self.keep:
-            self.words = {w: words[w] for _, w, _ in simple}
+            self.words = {}
         if len(pieces) > self.keep:
             self.pieces = {}
         return known
 
+    def _ask_pieces(self, pieces: list[str]) -> None:
+        self.pieces.update(zip(pieces, self._ask(pieces), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for begin in range(0, len(texts), 256):
-            split = [(_CUT.split(t) if _RUN.search(t) else t.split(" ")) if t else [] for t in texts[begin : begin + 256]]
+            split = [(t.split(" ") if _even(t) else _CUT.split(t)) if t else [] for t in texts[begin : begin + 256]]
             if len(self.firsts) > self.keep:
                 self.firsts = {}
             self._learn(self.firsts, {u[0] for u in split if u}, "")
