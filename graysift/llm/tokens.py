@@ -59,13 +59,14 @@ class Encoder:
     not met since the last such time are forgotten.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.library, self.keep = Tokenizer.from_file(path), keep
+        self.tokenize = self.library.model.tokenize
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         #: Ids of units with the space before them, of texts' first units, of words with a space, and of other pieces.
         self.units: dict[str, bytes] = {}
@@ -79,14 +80,13 @@ class Encoder:
 
     def _learn(self, known: dict[str, bytes], units: set[str], space: str) -> dict[str, bytes]:
         """known with the units. A word of letters with a space before it is one piece, so the model takes it as it is."""
-        words, pieces, tokenize, mixed, other = self.words, self.pieces, self.library.model.tokenize, [], []
+        words, pieces, mixed, other = self.words, self.pieces, [], []
         for u in units.difference(known) if known else units:
             word = u.rstrip(MARKS)
             if space and word.isalpha() and (word.isascii() or _latin(word)):
                 ids = words.get(word)
                 if ids is None:
-                    raw = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-                    ids = words[word] = array("I", [t.id for t in tokenize("Ġ" + raw)]).tobytes()
+                    ids = words[word] = self._word("Ġ", word)
                 if len(word) < len(u):
                     tail = u[len(word) :]
                     if tail not in pieces:
@@ -107,8 +107,20 @@ class Encoder:
             self.pieces = {}
         return known
 
+    def _word(self, space: str, word: str) -> bytes:
+        """The ids of a word of Latin letters, which is one piece."""
+        raw = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenize(space + raw)]).tobytes()
+
     def _ask_pieces(self, pieces: list[str]) -> None:
-        self.pieces.update(zip(pieces, self._ask(pieces), strict=True))
+        rest = []
+        for p in pieces:
+            space, word = ("Ġ", p[1:]) if p[0] == " " else ("", p)
+            if word.isalpha() and (word.isascii() or _latin(word)):
+                self.pieces[p] = self._word(space, word)
+            else:
+                rest.append(p)
+        self.pieces.update(zip(rest, self._ask(rest), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
