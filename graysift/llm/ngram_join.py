@@ -5,6 +5,9 @@ digest. Sets are put into size bands so that similar sets lie in one band or two
 signatures for their band and the next. In a band two similar sets differ in at most k elements. The hash range
 is cut into n1 partitions of n2 parts: at least one partition holds at most k2 of the differences, so one of its
 subsets of n2 - k2 parts is equal in both. A signature is the sum of hashes in such a subset.
+
+Long passages that many texts share chain unlike sets by common signatures. Sketches of the sets part these again
+before texts are compared; they only ever part sets that cannot be similar.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 BLOCK = 500_000
 #: Nodes and (about) shingles of a block of a cluster, and shared shingles that are multiplied at a time.
 BLOCK_NODES, BLOCK_SIZE, COLUMNS = 512, 1_000_000, 4096
+#: 64-bit words of a sketch and those that are looked at first; sketches of a block of a cluster.
+SKETCH, FIRST, BLOCK_SKETCHES = 16, 4, 4096
+#: Bits of a signature that are kept: two that agree by chance only make candidates.
+KEPT = np.uint64((1 << 48) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,6 +79,32 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(mix(found + np.uint64(min(width, len(hashes)))))
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """The parity of the number of elements in each of 64 * SKETCH parts of the hash range. Two sets differ in at
+    least as many elements as their sketches differ in bits."""
+    n = 64 * SKETCH
+    odd = np.bincount((mix(elements) % np.uint64(n)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def maybe_similar(bits: np.ndarray, sizes: np.ndarray, rows: slice, columns: slice, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the pairs whose sketches allow a similarity of num / den, none lost."""
+    found = []
+    for start in range(rows.start, rows.stop, 256):
+        part = slice(start, min(start + 256, rows.stop))
+        limit = (sizes[part, None] + sizes[None, columns]) * (den - num) // (den + num)
+        apart = np.abs(sizes[part, None] - sizes[None, columns])
+        differ = np.zeros(limit.shape, np.uint16)
+        for w in range(FIRST):
+            differ += np.bitwise_count(bits[part, w, None] ^ bits[None, columns, w])
+        i, j = np.nonzero((differ <= limit) & (apart <= limit))
+        most, i, j = limit[i, j], i + start, j + columns.start
+        all_bits = np.concatenate([np.bitwise_count(bits[i[k : k + 50_000]] ^ bits[j[k : k + 50_000]]).sum(axis=1) for k in range(0, len(i), 50_000)] or [np.zeros(0, int)])
+        close = (all_bits <= most) & (i < j)
+        found.append((i[close], j[close]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 class PartEnum:
     """Signatures for Jaccard similarity of at least num / den."""
 
@@ -135,42 +168,46 @@ def _first(keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
 
-def _rows(kind: int, key, a, b, sig) -> pa.RecordBatch:
+def _rows(kind: int, key, a, b, sig, bits=None) -> pa.RecordBatch:
     n = len(a)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *(pa.array(np.asarray(x).astype(np.int64)) if not isinstance(x, pa.Array) else x for x in (key, a, b, sig))], ["kind", "key", "a", "b", "sig"])
+    bits = pa.nulls(n, pa.binary()) if bits is None else pa.array(bits, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *(pa.array(np.asarray(x).astype(np.int64)) if not isinstance(x, pa.Array) else x for x in (key, a, b, sig)), bits], ["kind", "key", "a", "b", "sig", "bits"])
 
 
-_SCHEMA = "kind byte, key long, a long, b long, sig long"
+_SCHEMA = "kind byte, key long, a long, b long, sig long, bits binary"
 DOC, SEED, MEMBER, EXTRA = 0, 1, 2, 3
 
 
 def _signature_rows(width: int, num: int, den: int):
-    """Rows of one kind each: DOC (a node, b doc_id, sig set size), SEED (key = sig, a node: the first node of a
+    """Rows of one kind each: DOC (a node, b doc_id, sig set size, bits sketch), SEED (key = sig, a node: the first node of a
     signature in this block), MEMBER (a node, b the first node, sig) and EXTRA (key = sig of an empty subset, a node)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum, sigs, nodes, held, seen = PartEnum(num, den), [], [], 0, set()
 
         def combined() -> Iterator[pa.RecordBatch]:
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
+            sig, node = np.concatenate(sigs) & KEPT, np.concatenate(nodes)
             order = np.lexsort((node.view(np.int64), sig))
             sig, node = sig[order], node[order]
             first = _first(sig)
             seed = first == np.arange(len(sig))
             member = ~seed & (node != node[first])
-            yield _rows(SEED, sig[seed], node[seed], pa.nulls(int(seed.sum()), pa.int64()), pa.nulls(int(seed.sum()), pa.int64()))
+            at = np.flatnonzero(seed)
+            at = at[np.argsort(node[at], kind="stable")]  # rows of one node together are fewer bytes to shuffle
+            yield _rows(SEED, sig[at], node[at], pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()))
             if member.any():
                 yield _rows(MEMBER, mix(node[member]), node[member], node[first][member], sig[member])
 
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 piece = batch.slice(begin, 512)
-                ids, sizes, extra = [], [], []
+                ids, sizes, bits, extra = [], [], [], []
                 for text in piece["text"].to_pylist():
                     elements = shingle_set(text, width)
                     node = np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes()))
                     ids.append(node)
                     sizes.append(len(elements))
+                    bits.append(sketch(elements))
                     if node in seen or not len(elements):
                         continue
                     seen.add(node)
@@ -186,7 +223,7 @@ def _signature_rows(width: int, num: int, den: int):
                     keys, owners = (np.array(c, np.uint64) for c in zip(*extra, strict=True))
                     yield _rows(EXTRA, keys, owners, pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()))
                 node = np.array(ids, np.uint64)
-                yield _rows(DOC, mix(node ^ mix(np.arange(len(node), dtype=np.uint64))), node, piece["doc_id"], np.array(sizes))
+                yield _rows(DOC, mix(node ^ mix(np.arange(len(node), dtype=np.uint64))), node, piece["doc_id"], np.array(sizes), bits)
         if held:
             yield from combined()
 
@@ -194,7 +231,7 @@ def _signature_rows(width: int, num: int, den: int):
 
 
 def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SEED rows, sorted by key and node, as MEMBER rows of the first node of their signature; others as they are."""
+    """SEED rows, sorted by key, as MEMBER rows of the first node of their signature; others as they are."""
     last_key, last_node = None, None
     for batch in batches:
         kind = batch["kind"].to_numpy()
@@ -214,6 +251,66 @@ def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(MEMBER, key[member], node[member], first[member], key[member])
 
 
+def _banded(num: int, den: int):
+    """Rows (cluster, node, size, bits) once for the band of their size and once for the next, as (..., tag)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enum = PartEnum(num, den)
+        for batch in batches:
+            band = np.array([enum.band(n) for n in batch["size"].to_pylist()], np.int64)
+            for tag in (band, band + 1):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tag)], [*batch.schema.names, "tag"])
+
+    return found
+
+
+def _part(num: int, den: int):
+    """Rows (cluster, tag, left, right, block, node, size, bits), sorted by the first five -> (node, with): the least
+    node that a node is joined with here by sketches that allow the similarity."""
+
+    def one(left: int, right: int, rows: list) -> pa.RecordBatch:
+        blocks, nodes, sizes, bits = zip(*rows, strict=True)
+        node, size = np.array(nodes, np.int64), np.array(sizes, np.int64)
+        held = np.frombuffer(b"".join(bits), np.uint64).reshape(len(rows), SKETCH)
+        cut = len(rows) if left == right else int(np.searchsorted(blocks, right))
+        i, j = maybe_similar(held, size, slice(0, cut), slice(0 if left == right else cut, len(rows)), num, den) if cut else ([], [])
+        label = np.arange(len(rows))
+        join_labels(label, np.asarray(i, np.int64), np.asarray(j, np.int64))
+        some = label != np.arange(len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]])], ["node", "with"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for *new, block, node, size, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if new != key:
+                    if len(held) > 1:
+                        yield one(*key[2:], held)
+                    key, held = new, []
+                held.append((block, node, size, bits))
+        if len(held) > 1:
+            yield one(*key[2:], held)
+
+    return found
+
+
+def parted(cluster: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Clusters (node, cluster) parted where sketches rule out every link: nodes that stand alone are left out.
+
+    Similar sets lie in one size band or two neighbouring ones, so a cluster is compared band by band, in pairs of
+    blocks of at most BLOCK_SKETCHES nodes; of each pair come at most as many rows as it has nodes.
+    """
+    rows = cluster.join(nodes, "node").select("cluster", "node", "size", "bits")
+    rows = materialize(rows.mapInArrow(_banded(num, den), "cluster long, node long, size long, bits binary, tag long"), "sketches")
+    sizes = materialize(rows.groupBy("cluster", "tag").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SKETCHES).cast("long").alias("blocks")), "sketch-blocks")
+    rows = rows.join(sizes, ["cluster", "tag"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", "tag", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "size", "bits")
+    rows = rows.repartition("cluster", "tag", "left", "right").sortWithinPartitions("cluster", "tag", "left", "right", "block", "node")
+    joined = materialize(rows.mapInArrow(_part(num, den), "node long, with long"), "parted")
+    return connected_components(joined, "node", "with")
+
+
 def intersections(sets: list[np.ndarray], rows: slice, columns: slice) -> np.ndarray:
     """Sizes of the intersections of two runs of sets, as products of their incidence over COLUMNS shared elements
     at a time. Elements that only one set holds are left out."""
@@ -285,18 +382,21 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and the number of their documents; and links summed up (node, links, with), see _compare.
 
     Nodes that share a signature are joined into clusters, by one edge from each node to the first of a signature.
-    All links lie within clusters. A cluster is compared in pairs of blocks of at most BLOCK_NODES nodes and about
+    All links lie within clusters, also after sketches have parted these. A cluster is compared in pairs of blocks of at most BLOCK_NODES nodes and about
     BLOCK_SIZE shingles, each pair in one task that counts links and joins classes, so a large cluster is spread
     and its pairs are never rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(_signature_rows(width, num, den), _SCHEMA)
-    rows = rows.repartition("key").sortWithinPartitions("key", "a")
+    rows = rows.repartition("key").sortWithinPartitions("key")  # one long: sorted by radix; any node may stand for a signature
     found = materialize(rows.mapInArrow(_memberships, _SCHEMA), "signatures")
-    documents = found.filter(F.col("kind") == DOC).select(F.col("b").alias("doc_id"), F.col("sig").alias("n_shingles"), F.col("a").alias("node"))
+    documents = found.filter(F.col("kind") == DOC).select(F.col("b").alias("doc_id"), F.col("sig").alias("n_shingles"), F.col("a").alias("node"), "bits")
     nodes = documents.filter("n_shingles > 0 and doc_id is not null").groupBy("node")
-    nodes = materialize(nodes.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size")), "nodes")
+    nodes = materialize(nodes.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"), F.max("bits").alias("bits")), "nodes")
     cluster = connected_components(found.filter(F.col("kind") == MEMBER).select("a", "b"))
+    cluster = materialize(cluster.withColumnsRenamed({"id": "node", "component": "cluster"}), "chained")
+    cluster = parted(cluster, nodes, num, den)
+    nodes, documents = nodes.drop("bits"), documents.drop("bits")
     cluster = materialize(cluster.withColumnsRenamed({"id": "node", "component": "cluster"}), "homes")
     # Nodes that share an empty subset are compared by themselves: as edges they would join unrelated clusters.
     extra = found.filter(F.col("kind") == EXTRA).select(F.col("key").alias("cluster"), F.col("a").alias("node")).distinct()

@@ -7,6 +7,7 @@ import corpus_pipeline
 from graysift.llm.common import likely_rows
 from graysift.llm.components import connected_components
 from graysift.llm.embedding_dedup import embedding_dedup
+from graysift.llm.ngram_join import maybe_similar, sketch
 from graysift.llm.url_filter import url_verdicts
 from tests.llm import brute
 
@@ -86,3 +87,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(times) <= set(left) and max(times.values()) <= 3 and mixed.columns == docs.columns
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(times) and len(packed) == sum(times.values())
+
+
+def test_near_stage_links_at_four_fifths(spark):
+    """Pairs with a similarity of 0.80 to 0.85, one of just 0.8, are linked; one below is not."""
+    words = lambda k, n: [f"{k}x{i}" for i in range(n)]
+    changed = lambda w, at: [f"new{i}" if i in at else x for i, x in enumerate(w)]
+    a, b, c = words("a", 204), words("b", 94), words("c", 204)
+    rows = [(1, a), (2, changed(a, {20, 60, 100, 140})), (3, b), (4, changed(b, {20, 60})), (5, c), (6, changed(c, {20, 60, 100, 140, 180})), (7, words("d", 94)), (8, words("d", 94)[:-10] + words("e", 10))]
+    texts = [(i, " ".join(w)) for i, w in rows]
+    want = brute.jaccard(texts, 5, 80, 100)
+    assert [r[2] for r in want] != [r[2] for r in brute.jaccard(texts, 5, 85, 100)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in want if r[0] == r[2])
+
+
+def test_sketches_lose_no_similar_pair():
+    rng = np.random.default_rng(3)
+    sets, num, den = [], 80, 100
+    for n in (3, 9, 40, 250, 3000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0, 0.03, 0.1, 0.11, 0.12, 0.2, 0.5):
+            cut = int(n * share)
+            sets += [np.unique(np.concatenate([base[cut:], rng.integers(0, 2**63, cut, dtype=np.uint64)])), np.unique(base[cut:])]
+    sets = [s for s in sets if len(s)]
+    bits = np.frombuffer(b"".join(sketch(s) for s in sets), np.uint64).reshape(len(sets), -1)
+    every = slice(0, len(sets))
+    got = set(zip(*(x.tolist() for x in maybe_similar(bits, np.array([len(s) for s in sets]), every, every, num, den)), strict=True))
+    both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    similar = {(i, j) for (i, j), n in both.items() if n * den >= (len(sets[i]) + len(sets[j]) - n) * num}
+    assert similar <= got and len(got) < len(both) / 2
