@@ -20,11 +20,12 @@ from graysift.operators.detect import FINDINGS, let
 MAX_REPLY_FINDINGS, MAX_CHUNKS = 40, 40
 
 
-def text_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 6000, overlap: int = 200, most: int = MAX_CHUNKS) -> DataFrame:
-    """(id, chunk_no from 1, n_chunks, start, chunk): the first ``most`` chunks of each text that is not empty."""
+def text_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 6000, overlap: int = 200, most: int | None = MAX_CHUNKS) -> DataFrame:
+    """(id, chunk_no from 1, n_chunks, start, chunk): the first ``most`` chunks of each text that is not empty; None: all."""
     pieces = tx.chunks(F.col(text_col), size, overlap)
     rows = docs.filter(F.length(text_col) > 0).select(id_col, pieces.alias("p"))
-    rows = rows.select(id_col, F.size("p").alias("n_chunks"), F.posexplode(F.slice("p", 1, most)).alias("i", "c"))
+    taken = F.col("p") if most is None else F.slice("p", 1, most)
+    rows = rows.select(id_col, F.size("p").alias("n_chunks"), F.posexplode(taken).alias("i", "c"))
     return rows.select(id_col, (F.col("i") + 1).alias("chunk_no"), "n_chunks", F.col("c.start").alias("start"), F.col("c.text").alias("chunk"))
 
 
@@ -86,7 +87,8 @@ def ai_results(said: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, ai_findings, ai_summary, ai_warnings, ai_used) from replies (id, chunk_no, n_chunks, chunk, content, error).
 
     A document's replies count up to its first chunk that failed or gave no JSON; what came before is kept. The
-    first summary that is not empty counts. A document has MAX_CHUNKS replies at most, so its group is small.
+    first summary that is not empty counts. A document's group has a reply for each chunk asked about, MAX_CHUNKS unless
+    text_chunks was told otherwise, so it is about as long as the text.
     """
     json = reply_json(F.coalesce("content", F.lit("")))
     rows = said.withColumn("__json", json).withColumn("__bad", F.col("error").isNotNull() | F.col("__json").isNull())

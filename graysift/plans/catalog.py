@@ -105,10 +105,10 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ai_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is kept of a model's replies to the first chunk of each document (it says what stands there) and to samples."""
-    docs = ai.text_chunks(table(spark, sf_dir, "documents"), most=1)
+    """What is kept of a model's replies to all chunks of each document (each says what stands there) and to samples."""
+    docs = ai.text_chunks(table(spark, sf_dir, "documents"), most=None)
     told = F.to_json(F.struct(F.array(F.struct(F.lit("naam").alias("type"), F.substring("chunk", 1, 20).alias("fragment"), F.lit("hoog").alias("ernst")), F.struct(F.lit("naam").alias("type"), F.lit("nergens te vinden").alias("fragment"), F.lit("hoog").alias("ernst"))).alias("bevindingen"), F.lit("kort").alias("samenvatting")))
-    docs = docs.select("doc_id", "chunk_no", F.lit(1).alias("n_chunks"), "chunk", told.alias("content"), F.lit(None).cast("string").alias("error"))
+    docs = docs.select("doc_id", "chunk_no", "n_chunks", "chunk", told.alias("content"), F.lit(None).cast("string").alias("error"))
     said = spark.createDataFrame(samples.REPLIES, "doc_id long, chunk_no int, n_chunks int, chunk string, content string, error string").withColumn("doc_id", F.col("doc_id") + 90_000_000)
     rows = ai.ai_results(docs.unionByName(said))
     return rows.select("doc_id", F.size("ai_findings").cast("long").alias("n_findings"), F.array_join(F.transform("ai_findings", lambda f: f["value"]), "|").alias("fragments"), "ai_summary", F.size("ai_warnings").cast("long").alias("n_warnings"), "ai_used")

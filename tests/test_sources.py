@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from graysift.operators import ai, provenance as pv
-from graysift.plans import samples
+from graysift.plans import catalog, samples
 from graysift.plans.scan import scan
 from graysift.sources.files import extract_text, listed, read_files
 from graysift.sources.markup import html_text
@@ -77,6 +77,15 @@ def test_asking(spark):
     assert ai.pick_model(["a", "test-model-7b"], "7b") == "test-model-7b" and ai.pick_model([]) is None
 
 
+def test_query_asks_about_all_chunks(spark, tmp_path):
+    texts = [(1, "kort stuk"), (2, "".join(f"woord{i:06d} " for i in range(2000))), (3, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in catalog.ai_findings(spark, str(tmp_path)).collect() if r["doc_id"] < 90_000_000}
+    assert {k: (r["n_findings"], r["n_warnings"]) for k, r in got.items()} == {1: (1, 0), 2: (5, 0)}
+    starts = [0, 5800, 11600, 17400, 23200]
+    assert got[2]["fragments"].split("|") == [texts[1][1][s : s + 20].strip() for s in starts] and got[2]["ai_summary"] == "kort"
+
+
 def test_probe(spark):
     video = '{"format":{"tags":{"AILABEL_id":"x","Comment":"f"},"duration":"8.0"},"streams":[{"index":0,"codec_type":"video","width":64,"height":64,"disposition":{"attached_pic":1}},{"index":1,"codec_type":"video","width":1920,"height":1080,"side_data_list":[{"rotation":-90}],"tags":{"comment":"s"}},{"codec_type":"audio","codec_name":"aac"}]}'
     r = spark.createDataFrame([(video,), ("no json",)], "p string").select(pv.probe_tags(F.col("p")).alias("t"), pv.probe_video(F.col("p")).alias("v")).collect()
