@@ -100,7 +100,7 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ai.text_chunks(table(spark, sf_dir, "documents"), size=6000, overlap=200)
+    rows = ai.text_chunks(table(spark, sf_dir, "documents"), size=6000, overlap=200, most=None)
     return rows.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.col("n_chunks").cast("long").alias("n_chunks"), F.col("start").cast("long").alias("start"), F.length("chunk").cast("long").alias("length"))
 
 

@@ -86,6 +86,13 @@ def test_query_asks_about_all_chunks(spark, tmp_path):
     assert got[2]["fragments"].split("|") == [texts[1][1][s : s + 20].strip() for s in starts] and got[2]["ai_summary"] == "kort"
 
 
+def test_query_has_all_chunks(spark, tmp_path):
+    """45 chunks of 6000 characters, each 5800 after the one before."""
+    spark.createDataFrame([(1, "a" * (44 * 5800 + 6000))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(catalog.text_chunks(spark, str(tmp_path)).collect())
+    assert [(r["chunk_no"], r["n_chunks"], r["start"], r["length"]) for r in got] == [(k + 1, 45, 5800 * k, 6000) for k in range(45)]
+
+
 def test_probe(spark):
     video = '{"format":{"tags":{"AILABEL_id":"x","Comment":"f"},"duration":"8.0"},"streams":[{"index":0,"codec_type":"video","width":64,"height":64,"disposition":{"attached_pic":1}},{"index":1,"codec_type":"video","width":1920,"height":1080,"side_data_list":[{"rotation":-90}],"tags":{"comment":"s"}},{"codec_type":"audio","codec_name":"aac"}]}'
     r = spark.createDataFrame([(video,), ("no json",)], "p string").select(pv.probe_tags(F.col("p")).alias("t"), pv.probe_video(F.col("p")).alias("v")).collect()
