@@ -84,13 +84,15 @@ def suffix_statistics(rows: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame, max_labelled: int = MAX_LABELLED, trees: int = 12, depth: int = 4, seed: int = 11) -> GBTClassificationModel | None:
-    """Trees on at most ``max_labelled`` rows with a rule's verdict, the first by hash of the url; None if
-    the rows have fewer than two verdicts."""
-    sample = rows.filter("rule_verdict is not null").select("url", F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0).alias("label"), "features")
+    """Trees on at most ``max_labelled`` different urls with a rule's verdict, the first by hash of the url, weighed
+    by their rows; None if the urls have fewer than two verdicts."""
+    label = F.max(F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0)).alias("label")
+    sample = rows.filter("rule_verdict is not null").groupBy("url").agg(label, F.count(F.lit(1)).cast("double").alias("weight"), *[F.max(f).alias(f) for f in FEATURES])
+    sample = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).select("url", "label", "weight", "features")
     sample = materialize(sample.orderBy(F.xxhash64("url"), "url").limit(max_labelled), "url-sample")
     if sample.select("label").distinct().count() < 2:
         return None
-    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed).fit(sample)
+    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, weightCol="weight").fit(sample)
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, max_labelled: int = MAX_LABELLED, block_at: float = 0.5) -> DataFrame:

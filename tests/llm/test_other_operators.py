@@ -55,6 +55,14 @@ def test_urls(spark):
     assert url_verdicts(df.filter("page_id < 0")).collect() == []
 
 
+def test_a_hot_url_does_not_fill_the_sample(spark):
+    urls = [f"http://h{k}.{end}" for k in range(8) for end in ("org/x", "com/de/x")]
+    order = [r["u"] for r in spark.createDataFrame([(u,) for u in urls], "u string").orderBy(F.xxhash64("u"), "u").collect()]
+    rows = [*enumerate([*[order[0]] * 40, *urls, "http://h1.net/de/x"])]
+    got = url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), max_labelled=16).collect()
+    assert len(got) == len(rows) and len({r["block_score"] for r in got}) > 1
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage keeps what its brute-force version keeps."""
     words = [f"w{k}" for k in range(60)]
