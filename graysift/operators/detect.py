@@ -42,32 +42,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rule_matches(text: Column, rule: Rule) -> Column:
-    """The matches of a rule that pass its check and have its context words near."""
+def rule_matches(text: Column, rule: Rule, every: bool = False) -> Column:
+    """The matches of a rule that pass its check and have its context words near; of names the first MAX_NAMES unless every."""
     found = matches(text, rule.pattern)
     if rule.type in CHECKS:
         found = F.filter(found, lambda m: CHECKS[rule.type](m["value"]))
     if rule.context:
         before, after = (100, 40) if rule is NAME else (120, 120)
         found = F.filter(found, lambda m: tx.around(text, m["start"], F.length(m["value"]), before, after).rlike(rule.context))
-    return F.slice(found, 1, MAX_NAMES) if rule is NAME else found
+    return F.slice(found, 1, MAX_NAMES) if rule is NAME and not every else found
 
 
-def rule_hits(text: Column, rule: Rule, no: int) -> Column:
+def rule_hits(text: Column, rule: Rule, no: int, every: bool = False) -> Column:
     """struct<found, over>: the first match of each value (letter case aside), MAX_PER_TYPE at most, and how many
-    different values there are beyond these."""
+    different values there are beyond these; every: all values, none beyond."""
 
     def capped(found: Column, keys: Column, different: Column) -> Column:
         hit = lambda m: F.struct(F.lit(no).alias("no"), m["start"].alias("start"), m["value"].alias("value"), F.lit(None).cast("array<string>").alias("terms"))
-        firsts = F.transform(F.slice(different, 1, MAX_PER_TYPE), lambda k: hit(F.get(found, F.array_position(keys, k).cast("int") - 1)))
-        return F.struct(firsts.alias("found"), F.greatest(F.size(different) - MAX_PER_TYPE, F.lit(0)).alias("over"))
+        firsts = F.transform(different if every else F.slice(different, 1, MAX_PER_TYPE), lambda k: hit(F.get(found, F.array_position(keys, k).cast("int") - 1)))
+        return F.struct(firsts.alias("found"), (F.lit(0) if every else F.greatest(F.size(different) - MAX_PER_TYPE, F.lit(0))).alias("over"))
 
     found = lambda m: let(F.transform(m, lambda x: F.lower(x["value"])), lambda keys: let(F.array_distinct(keys), lambda d: capped(m, keys, d)))
     none = F.struct(F.array().cast(HITS).alias("found"), F.lit(0).alias("over"))
     near = text.rlike(rule.guard)
     if rule.context:  # a slice of the text can begin or end within a word, so boundaries do not count here
         near = near & text.rlike(rule.context.replace(r"\b", ""))
-    return F.when(near, let(rule_matches(text, rule), found)).otherwise(none)
+    return F.when(near, let(rule_matches(text, rule, every), found)).otherwise(none)
 
 
 def special_hits(text: Column, pattern: str, no: int) -> Column:
@@ -107,16 +107,16 @@ def without_generic(findings: Column) -> Column:
     return let(specific, lambda known: F.filter(findings, lambda f: ~(f["type"].isin(*GENERIC) & covered(f, known))))
 
 
-def with_findings(docs: DataFrame, text: Column, into: str, warnings: str, in_filename: bool = False, context: Column | None = None) -> DataFrame:
+def with_findings(docs: DataFrame, text: Column, into: str, warnings: str, in_filename: bool = False, context: Column | None = None, every: bool = False) -> DataFrame:
     """docs with the findings of a text and the warnings about it as array columns. Null counts as empty; an empty
     text has none of either. context: what to show instead of what stands around a finding.
 
-    Up to MAX_PER_TYPE different values of a type are listed and the others counted in a warning. The columns are
+    Up to MAX_PER_TYPE different values of a type are listed and the others counted in a warning; every: all are listed. The columns are
     made step by step, so that each pattern is run once; no rows are shuffled or exploded.
     """
     docs = docs.withColumn("__text", F.coalesce(text, F.lit("")))
     rules = [*enumerate(RULES), (len(RULES) + len(SPECIAL), NAME)]
-    docs = docs.withColumns({f"__{no}": rule_hits(F.col("__text"), r, no) for no, r in rules})
+    docs = docs.withColumns({f"__{no}": rule_hits(F.col("__text"), r, no, every) for no, r in rules})
     special = [special_hits(F.col("__text"), s[2], len(RULES) + k) for k, s in enumerate(SPECIAL)]
     hits = F.concat(*[F.col(f"__{no}.found") for no, _ in rules[:-1]], *special, F.col(f"__{rules[-1][0]}.found"))
     over = [F.struct(F.lit(r.label).alias("label"), F.col(f"__{no}.over").alias("n")) for no, r in rules]

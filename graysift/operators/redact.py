@@ -11,6 +11,9 @@ def redact(text: Column, findings: Column) -> Column:
 
     Words of special categories stay, as do values of under three characters. Longer values are replaced first,
     equally long ones in order of value and type. A value that also stands in the name is replaced in the text.
+
+    Only listed findings are replaced: for all values of a text give those of scan(docs, every=True). Otherwise values
+    beyond the report's caps (25 a type, 15 matches of names) stay, as in the reference.
     """
     usable = F.filter(findings, lambda f: (f["category"] != "bijzonder") & (F.length(f["value"]) >= 3))
     pairs = F.array_sort(F.array_distinct(F.transform(usable, lambda f: F.struct((-F.length(f["value"])).alias("o"), f["value"].alias("v"), f["type"].alias("t")))))

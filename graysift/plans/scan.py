@@ -12,12 +12,12 @@ from graysift.operators.score import advice, merge_findings, verdict, weigh_topi
 RESULT = ["name", "bytes", "kind", "readable", "ai_used", "verdict", "advice", "ai_summary", "findings", "warnings"]
 
 
-def scan(docs: DataFrame, ai: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, ai: DataFrame | None = None, id_col: str = "doc_id", every: bool = False) -> DataFrame:
     """docs (id, text, and optionally name, bytes, kind, readable, truncated, note) with the columns of RESULT.
 
     ai: (id, ai_findings, ai_summary, ai_warnings, ai_used), one row for each document, as operators.ai makes it.
     Without ai the scan needs no shuffle: each document is judged in the row it is read in. Null texts and names
-    count as empty. Other columns pass through; those of RESULT are replaced.
+    count as empty. Other columns pass through; those of RESULT are replaced. every: list all values, for redaction.
     """
     has = set(docs.columns)
     optional = {"name": "string", "bytes": "long", "kind": "string", "note": "string"}
@@ -38,10 +38,10 @@ def scan(docs: DataFrame, ai: DataFrame | None = None, id_col: str = "doc_id") -
             }
         )
     if "name" in has:
-        docs = with_findings(docs, tx.name_as_text(F.coalesce("name", F.lit(""))), "__by_name", "__ignored", in_filename=True, context=F.col("name"))
+        docs = with_findings(docs, tx.name_as_text(F.coalesce("name", F.lit(""))), "__by_name", "__ignored", in_filename=True, context=F.col("name"), every=every)
     else:
         docs = docs.withColumn("__by_name", F.array().cast(FINDINGS))
-    docs = with_findings(docs, F.col("text"), "__by_text", "__warnings")
+    docs = with_findings(docs, F.col("text"), "__by_text", "__warnings", every=every)
     docs = docs.withColumn("__found", F.concat("__by_name", "__by_text", "__ai"))
     limit = F.when(F.col("__cut"), "Bestand is groter dan de leeslimiet; alleen het eerste deel is gescand.")
     docs = docs.withColumn("warnings", F.concat(F.array_compact(F.array(F.col("note"), limit)), "__warnings", "__said"))

@@ -129,3 +129,9 @@ def test_text_functions(spark):
     assert all(r["got"] == r["want"] for r in spark.createDataFrame(urls, "u string, want boolean").withColumn("got", checks.local_endpoint(F.col("u"))).collect())
     sizes = [(0, "0 B"), (999, "999 B"), (1000, "1.0 kB"), (12_345_678, "12.3 MB"), (123_456_789, "123 MB")]
     assert all(r["got"] == r["want"] for r in spark.createDataFrame(sizes, "n long, want string").withColumn("got", tx.human_size(F.col("n"))).collect())
+
+
+def test_redacts_values_beyond_the_caps(spark):
+    docs = spark.createDataFrame([(1, "\n".join(f"mail piet{i}@school.nl" for i in range(40)))], "doc_id long, text string")
+    row = scan(docs, every=True).select(redact(F.col("text"), F.col("findings")).alias("r"), "warnings").first()
+    assert row["r"]["n"] == 40 and "@" not in row["r"]["text"] and row["warnings"] == []
