@@ -248,3 +248,14 @@ def test_quality(spark):
     assert sum(held_out) >= 95 and all(got[i]["selected"] == (i % 3 > 0) for i in range(300, 400))
     assert all(r["tail_1"] >= r["tail_2"] for r in got.values())
     assert grade(docs.filter("doc_id < 0"), model).collect() == [] and len(fit([], 3).thresholds) == 2
+
+
+def test_exact_with_colliding_digests_and_a_hot_text(spark):
+    """A digest that many texts share still tells them apart; half of the rows are one text."""
+    rows = [(i, f"Text {i % 40}" if i % 2 else "the same") for i in range(4000)] + [(7, None), (None, "THE SAME"), (None, "alone"), (8, "")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    want = brute.exact(rows)
+    assert rows_of(exact_dedup(docs).select(columns)) == want
+    assert rows_of(exact_dedup(docs, digest=lambda t: F.substring(t, 1, 6)).select(columns)) == want
+    assert rows_of(exact_dedup(docs, digest=lambda t: F.lit("x")).select(columns)) == want
