@@ -85,7 +85,7 @@ def _beside(min_words: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
-                words = (mix(word_hashes(text)) >> np.uint64(32)).astype(">u4")
+                words = word_hashes(text).astype(">u8")
                 rows = []
                 for x in wanted:
                     p, low = x["position"], x["position"] - x["left"]
@@ -99,9 +99,9 @@ def _beside(min_words: int):
 
 def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     values = column.to_pylist()
-    sizes = np.array([len(v) // 4 for v in values])
-    out = np.zeros((len(values), int(sizes.max(initial=0)) + 1), np.uint32)
-    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(values), ">u4")
+    sizes = np.array([len(v) // 8 for v in values])
+    out = np.zeros((len(values), int(sizes.max(initial=0)) + 1), np.uint64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(values), ">u8")
     return out, sizes
 
 
@@ -116,7 +116,7 @@ def _prefix_hashes(matrix: np.ndarray) -> np.ndarray:
     """Column x: hash of the first x words of each row."""
     out = np.zeros((matrix.shape[0], matrix.shape[1] + 1), np.uint64)
     for x in range(matrix.shape[1]):
-        out[:, x + 1] = mix(out[:, x] ^ matrix[:, x].astype(np.uint64))
+        out[:, x + 1] = mix(out[:, x] ^ matrix[:, x])
     return out
 
 
@@ -253,8 +253,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row for each repeated passage: doc_id, start_word (from 0), n_words (min_words at least).
 
     Words are runs without ASCII white space, A-Z lower-cased. A word is in a passage if and only if it lies in
-    a window of min_words words that another document holds too (windows are told apart by 64-bit hashes). min_words
-    is from 10 to 60.
+    a window of min_words words that another document holds too (words are told apart by 64-bit hashes, and windows by
+    their words or 64-bit hashes of these). min_words is from 10 to 60.
 
     Null and empty texts and texts of fewer words have no passages. Rows with a null id are left out. Rows that repeat
     an id count as one document, so they do not make each other's passages repeated. An empty table gives an empty

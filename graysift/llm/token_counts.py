@@ -15,8 +15,9 @@ from graysift.llm.common import materialize
 from graysift.llm.tokens import vocabulary_path
 
 PIECE_BPE = "piece_bpe_32k.model"
-#: Bounds of the table of frequent pre-tokens that goes to every executor: entries, and characters of one.
-HEAD, HEAD_CHARS = 200_000, 64
+#: Bounds of the table of frequent pre-tokens that goes to every executor: entries of at most SHORT characters, and
+#: longer ones with the characters of one (rulers, banners, blobs that many documents hold).
+HEAD, SHORT, LONG_HEAD, LONG_CHARS = 240_000, 64, 1000, 16_384
 #: Documents in the sample that proposes the frequent pre-tokens (it decides where they are counted, not how).
 SAMPLE_DOCS = 20_000
 
@@ -61,22 +62,34 @@ def pretoken_counts(parts: DataFrame, path: str) -> DataFrame:
     return parts.select("part").mapInArrow(count, "part string, tokens long")
 
 
+def frequent_pretokens(texts: DataFrame, head: int, long_head: int = LONG_HEAD) -> DataFrame:
+    """part: the most frequent pre-tokens of a sample, ``head`` short and ``long_head`` long ones at most."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Counter(p for text in batch["text"].to_pylist() if text for p in set(pretokens(text)) if p and len(p) <= LONG_CHARS)
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["part", "n"])
+
+    share = min(1.0, SAMPLE_DOCS / max(1, texts.count()))
+    counts = texts.select("text").sample(share, seed=7).mapInArrow(parts, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    short = counts.filter(F.length("part") <= SHORT).orderBy(F.desc("n"), "part").limit(head)
+    return short.union(counts.filter((F.length("part") > SHORT) & (F.col("n") > 1)).orderBy(F.desc("n"), "part").limit(long_head)).select("part")
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, limit: int = 4096, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row, as the sentencepiece model counts the whole text.
 
-    One pass over the texts counts each document's pre-tokens. Frequent ones (at most ``head``, proposed by a
-    bounded sample, counted once and broadcast) are summed at once; the rest become rows (row, part, times),
-    are counted once for each distinct part, and joined back. No ids are kept.
+    One pass over the texts counts each document's pre-tokens. Frequent ones (proposed by a bounded sample, counted
+    once and broadcast) are summed at once; the rest become rows (row, part, times), are counted once for each distinct
+    part, and joined back. No ids are kept. Both sides of the join are scans of written tables, so adaptive execution
+    may split a part that the sample missed though many documents hold it.
 
-    Null counts as empty: 0 tokens. Null ids and repeated ids keep a row each. Empty table: empty result.
+    Null counts as empty: 0 tokens. Null ids and repeated ids keep a row each. Empty table: empty result. Other columns
+    are not read.
     """
     spark, model = docs.sparkSession, model or vocabulary_path(PIECE_BPE)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts_of = F.udf(lambda text: [p for p in set(pretokens(text or "")) if p and len(p) <= HEAD_CHARS], "array<string>")
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    sample = texts.select("text").sample(share, seed=7).select(F.explode(parts_of("text")).alias("part"))
-    frequent = sample.groupBy("part").count().orderBy(F.desc("count"), "part").limit(head)
-    known = spark.sparkContext.broadcast(dict(pretoken_counts(frequent, model).toPandas().itertuples(index=False, name=None)) | {"": 1})
+    known = spark.sparkContext.broadcast(dict(pretoken_counts(frequent_pretokens(texts, head), model).toPandas().itertuples(index=False, name=None)) | {"": 1})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -115,7 +128,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = f"row long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_bytes long, part string, n long"
     found = materialize(texts.mapInArrow(rows, schema), "pretokens")
     rest = found.filter(F.col("part").isNotNull()).select("row", "part", "n")
-    counted = pretoken_counts(rest.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), model)
+    counted = materialize(pretoken_counts(rest.select("part").distinct(), model), "pretoken-counts")
     sums = rest.join(counted, "part").groupBy("row").agg(F.sum(F.col("n") * F.col("tokens")).alias("rest"))
     base = found.filter(F.col("part").isNull()).select("row", "doc_id", "n_bytes", F.col("n").alias("head"))
     tokens = F.col("head") + F.coalesce(F.col("rest"), F.lit(0))

@@ -14,7 +14,7 @@ from graysift.llm.mixing import mix
 from graysift.llm.ngram_join import near_duplicates
 from graysift.llm.packing import best_fit, dominance_reduction, pack_documents, plan, sequences, token_pieces, pack
 from graysift.llm.quality import fit, grade, train
-from graysift.llm.token_counts import token_counts
+from graysift.llm.token_counts import frequent_pretokens, token_counts
 from graysift.llm.token_files import WaveletMatrix, build, token_file_index
 from graysift.llm.tokens import BYTE_BPE, Encoder, vocabulary_path
 from tests.llm import brute
@@ -259,3 +259,14 @@ def test_exact_with_colliding_digests_and_a_hot_text(spark):
     assert rows_of(exact_dedup(docs).select(columns)) == want
     assert rows_of(exact_dedup(docs, digest=lambda t: F.substring(t, 1, 6)).select(columns)) == want
     assert rows_of(exact_dedup(docs, digest=lambda t: F.lit("x")).select(columns)) == want
+
+
+def test_token_counts_with_a_long_banner(spark):
+    """A long pre-token that every document holds is counted with the frequent ones, one over the bound by the join."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
+    rows = [(i, f"word{i} {'=-' * 60} tail {'ab' * 9000 if i % 3 else ''}") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"row": F.lit(1), "part": F.lit("x"), "n_tokens": F.lit(2)})
+    assert rows_of(token_counts(docs, head=5).select("doc_id", "n_tokens")) == sorted(((i, len(model.encode(t))) for i, t in rows), key=repr)
+    assert "=-" * 60 in {r["part"] for r in frequent_pretokens(docs, 5).collect()}
