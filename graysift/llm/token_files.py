@@ -45,7 +45,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
     }
     zeros = []
     for p in range(planes):
-        bits = ((level >> np.array(planes - 1 - p, level.dtype)) & np.array(1, level.dtype)).astype(bool)
+        bits = (level & np.array(1 << (planes - 1 - p), level.dtype)) != 0
         packed = np.packbits(bits)
         blocks = [press.compress(packed[i : i + BLOCK // 8].tobytes()) for i in range(0, len(packed), BLOCK // 8)]
         ones = [int(np.count_nonzero(bits[i : i + BLOCK])) for i in range(0, len(bits), BLOCK)]
@@ -53,7 +53,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
         sections[f"ones{p}"] = np.cumsum([0, *ones]).astype("<u4").tobytes()
         sections[f"bits{p}"] = b"".join(blocks)
         zeros.append(int(len(bits) - sum(ones)))
-        level = np.concatenate([level[~bits], level[bits]])
+        level = level[np.concatenate([np.flatnonzero(~bits), np.flatnonzero(bits)])]
     body = b"".join(sections.values())
     head = json.dumps({"n": len(ids), "planes": planes, "zeros": zeros, "docs": len(doc_ids), "crc": zlib.crc32(body), "sections": [[k, len(v)] for k, v in sections.items()]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + body
@@ -144,10 +144,10 @@ class WaveletMatrix:
         """All ids, by undoing the planes' partitions from the last to the first."""
         symbols = np.zeros(self.n, np.uint32 if self.planes > 16 else np.uint16)
         for p in reversed(range(self.planes)):
-            bits = np.concatenate([self._bits(p, b) for b in range(-(-self.n // BLOCK))]).astype(bool) if self.n else np.zeros(0, bool)
+            bits = np.concatenate([self._bits(p, b) for b in range(-(-self.n // BLOCK))]).view(bool) if self.n else np.zeros(0, bool)
+            symbols[self.zeros[p] :] |= np.array(1 << (self.planes - 1 - p), symbols.dtype)
             up = np.empty_like(symbols)
-            up[~bits] = symbols[: self.zeros[p]]
-            up[bits] = symbols[self.zeros[p] :] | np.array(1 << (self.planes - 1 - p), symbols.dtype)
+            up[np.concatenate([np.flatnonzero(~bits), np.flatnonzero(bits)])] = symbols
             symbols = up
         return self.alphabet[symbols] if self.n else np.zeros(0, "<u4")
 

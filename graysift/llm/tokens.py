@@ -2,17 +2,17 @@
 
 The file's pre-tokenizer always starts a piece at a space that stands between two characters which are not
 white space, so a text falls into units " word" whose ids do not depend on each other. Units repeat: a worker
-keeps the ids of those it met lately. A new unit falls into a word and the marks after it, or by the public pattern
-of the vocabulary into pieces; only words and pieces that are new too go to the library.
+keeps the ids of those it met lately, and gives the new ones of a batch to the library as one text, whose ids fall
+apart again at the tokens that begin with a space. A file with other rules is used text by text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 
@@ -25,7 +25,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_CUT, _OTHER = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"[^\x00-\u024F]|<\|")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than the space.
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
@@ -37,108 +37,71 @@ def _even(text: str) -> bool:
     return not any(c in text and (" " + c in text or c + " " in text) for c in _SPACES)
 
 
-
-#: Marks that stand after a word; with no letter after them they are one piece.
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Byte-level vocabularies write a byte as a letter: printable ones as themselves, the others from U+0100 on.
-_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-
-
-def _latin(text: str) -> bool:
-    try:
-        return bool(text.encode("latin-1"))
-    except UnicodeEncodeError:
-        return False
+def _cuts_at_spaces(path: str) -> bool:
+    """The file's rules are those that units rely on: no normalizer, bytes as letters with the usual pattern and no
+    space put before a text, added tokens that hold no white space and take none, no dropout."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    before, model = rules.get("pre_tokenizer") or {}, rules["model"]
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in rules.get("added_tokens") or ())
+    return bool(usual and added and not rules.get("normalizer") and not rules.get("truncation") and not rules.get("padding") and model["type"] == "BPE" and not model.get("dropout"))
 
 
 class Encoder:
     """encode(texts): for each text its ids, add_special_tokens=False, as little-endian unsigned 32-bit bytes.
 
-    Null counts as empty. Up to about ``keep`` units, words and pieces are remembered; when there are more, those
-    not met since the last such time are forgotten.
+    Null counts as empty. Up to about ``keep`` units are remembered; when there are more, those not met since the last
+    such time are forgotten.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
-        self.library, self.keep = Tokenizer.from_file(path), keep
-        self.tokenize = self.library.model.tokenize
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        #: Ids of units with the space before them, of texts' first units, of words with a space, and of other pieces.
+        self.library, self.keep, self.plain = Tokenizer.from_file(path), keep, not _cuts_at_spaces(path)
+        #: Tokens that begin with a space, which a byte-level vocabulary writes as this letter.
+        self.starts = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(self.library.get_vocab_size())])
+        #: Ids of units with the space before them, and of texts' first units.
         self.units: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _ask(self, parts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, known: dict[str, bytes], units: set[str], space: str) -> dict[str, bytes]:
-        """known with the units. A word of letters with a space before it is one piece, so the model takes it as it is."""
-        words, pieces, mixed, other = self.words, self.pieces, [], []
-        for u in units.difference(known) if known else units:
-            word = u.rstrip(MARKS)
-            if space and word.isalpha() and (word.isascii() or _latin(word)):
-                ids = words.get(word)
-                if ids is None:
-                    ids = words[word] = self._word("Ġ", word)
-                if len(word) < len(u):
-                    tail = u[len(word) :]
-                    if tail not in pieces:
-                        self._ask_pieces([tail])
-                    ids += pieces[tail]
-                known[u] = ids
-            elif _OTHER.search(u):
-                other.append(u)
-            else:
-                mixed.append(u)
-        parts = [self.cut(space + u) for u in mixed]
-        self._ask_pieces(list(set(chain.from_iterable(parts)).difference(pieces)))
-        known.update((u, b"".join(map(pieces.__getitem__, p))) for u, p in zip(mixed, parts, strict=True))
-        known.update(zip(other, self._ask([space + u for u in other]), strict=True))
-        if len(words) > self.keep:
-            self.words = {}
-        if len(pieces) > self.keep:
-            self.pieces = {}
-        return known
-
-    def _word(self, space: str, word: str) -> bytes:
-        """The ids of a word of Latin letters, which is one piece."""
-        raw = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array("I", [t.id for t in self.tokenize(space + raw)]).tobytes()
-
-    def _ask_pieces(self, pieces: list[str]) -> None:
-        rest = []
-        for p in pieces:
-            space, word = ("Ġ", p[1:]) if p[0] == " " else ("", p)
-            if word.isalpha() and (word.isascii() or _latin(word)):
-                self.pieces[p] = self._word(space, word)
+    def _learn(self, new: list[str]) -> None:
+        """Units, each with a space before it: one text of 500 at a time. A unit that holds a space of its own makes
+        more starts than there are units; such units are asked for one by one."""
+        for begin in range(0, len(new), 500):
+            units = new[begin : begin + 500]
+            (e,) = self.library.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) == len(units):
+                raw = ids.tobytes()
+                self.units.update(zip(units, (raw[a:b] for a, b in pairwise([*(4 * at).tolist(), len(raw)])), strict=True))
             else:
-                rest.append(p)
-        self.pieces.update(zip(rest, self._ask(rest), strict=True))
+                self.units.update(zip(units, self._ask([" " + u for u in units]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if self.plain:
+            return self._ask([t or "" for t in texts])
         out: list[bytes] = []
         for begin in range(0, len(texts), 256):
             split = [(t.split(" ") if _even(t) else _CUT.split(t)) if t else [] for t in texts[begin : begin + 256]]
             if len(self.firsts) > self.keep:
                 self.firsts = {}
-            self._learn(self.firsts, {u[0] for u in split if u}, "")
+            firsts = list({u[0] for u in split if u}.difference(self.firsts))
+            self.firsts.update(zip(firsts, self._ask(firsts), strict=True))
             found = [list(map(self.units.get, u[1:])) for u in split]
-            open_ = [[k for k, ids in enumerate(f, 1) if ids is None] for f in found]
-            new = {u[k] for u, at in zip(split, open_, strict=True) for k in at}
-            ids_of = self._learn(self.units, new, " ")
+            open_ = [[k for k, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+            self._learn(list({u[k + 1] for u, at in zip(split, open_, strict=True) for k in at}))
             for u, f, at in zip(split, found, open_, strict=True):
                 for k in at:
-                    f[k - 1] = ids_of[u[k]]
-            if len(ids_of) > self.keep:
-                ids_of = dict(chain.from_iterable(zip(u[1:], f, strict=True) for u, f in zip(split, found, strict=True)))
-            self.units = ids_of
+                    f[k] = self.units[u[k + 1]]
+            if len(self.units) > self.keep:
+                self.units = dict(chain.from_iterable(zip(u[1:], f, strict=True) for u, f in zip(split, found, strict=True)))
             out += [self.firsts[u[0]] + b"".join(f) if u else b"" for u, f in zip(split, found, strict=True)]
         return out
 

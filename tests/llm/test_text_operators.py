@@ -110,6 +110,20 @@ def test_encoder_is_the_library():
     library = Tokenizer.from_file(vocabulary_path(BYTE_BPE))
     want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert Encoder(vocabulary_path(BYTE_BPE), keep=50).encode(texts) == want
+    assert Encoder(vocabulary_path(BYTE_BPE)).encode(texts) == want
+
+
+def test_encoder_with_other_rules(tmp_path):
+    """A file that puts a space before each text is used text by text."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    rules = json.loads(open(vocabulary_path(BYTE_BPE), encoding="utf-8").read())
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "v.json").write_text(json.dumps(rules), encoding="utf-8")
+    library, texts = Tokenizer.from_file(str(tmp_path / "v.json")), ["a b<|endoftext|>c d", "", None, "x  y"]
+    assert Encoder(str(tmp_path / "v.json")).encode(texts) == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def ids_of(text, end):
