@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graysift.llm.common import materialize
-from graysift.llm.tokens import BYTE_BPE, encoder, vocabulary_path
+from graysift.llm.tokens import BYTE_BPE, MEMORY, encoder, vocabulary_path
 
 CAPACITY = 2048
 
@@ -222,7 +222,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def token_pieces(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False, memory: int = MEMORY
 ) -> DataFrame:
     """The documents as pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32 and,
     with keep_ids, ids (little-endian unsigned 32-bit). Only longer documents are cut; all their pieces but
@@ -236,7 +236,7 @@ def token_pieces(
             for begin in range(0, batch.num_rows, 1024):
                 part = batch.slice(begin, 1024)
                 rows: list[tuple] = []
-                for doc, ids in zip(part["doc_id"].to_pylist(), encoder(vocabulary).encode(part["text"].to_pylist()), strict=True):
+                for doc, ids in zip(part["doc_id"].to_pylist(), encoder(vocabulary, memory).encode(part["text"].to_pylist()), strict=True):
                     ids += end
                     n, start, piece = len(ids) // 4, 0, 0
                     length = n % capacity or capacity

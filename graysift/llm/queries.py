@@ -38,11 +38,11 @@ FROM d WINDOW g AS (PARTITION BY t)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), memory=1_000_000)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file_index(table(spark, sf_dir, "documents"))
+    return token_file_index(table(spark, sf_dir, "documents"), memory=1_000_000)
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

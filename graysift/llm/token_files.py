@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graysift.llm.common import shared_dir
-from graysift.llm.tokens import BYTE_BPE, encoder, vocabulary_path
+from graysift.llm.tokens import BYTE_BPE, MEMORY, encoder, vocabulary_path
 
 MAGIC = b"WMX1"
 #: Bits of a plane that are compressed together; a lookup opens one block for each plane.
@@ -45,15 +45,22 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
     }
     zeros = []
     for p in range(planes):
-        bits = (level & np.array(1 << (planes - 1 - p), level.dtype)) != 0
-        packed = np.packbits(bits)
-        blocks = [press.compress(packed[i : i + BLOCK // 8].tobytes()) for i in range(0, len(packed), BLOCK // 8)]
-        ones = [int(np.count_nonzero(bits[i : i + BLOCK])) for i in range(0, len(bits), BLOCK)]
+        mask, following, blocks, ones = np.array(1 << (planes - 1 - p), level.dtype), np.empty_like(level), [], []
+        zero, one = 0, int(np.count_nonzero(level & mask == 0))
+        zeros.append(one)
+        for begin in range(0, len(level), BLOCK):  # a block at a time stays in the processor's cache
+            part = level[begin : begin + BLOCK]
+            bits = part & mask != 0
+            low, high = part[~bits], part[bits]
+            following[zero : zero + len(low)] = low
+            following[one : one + len(high)] = high
+            zero, one = zero + len(low), one + len(high)
+            blocks.append(press.compress(np.packbits(bits).tobytes()))
+            ones.append(len(high))
         sections[f"ends{p}"] = np.cumsum([len(b) for b in blocks]).astype("<u4").tobytes()
         sections[f"ones{p}"] = np.cumsum([0, *ones]).astype("<u4").tobytes()
         sections[f"bits{p}"] = b"".join(blocks)
-        zeros.append(int(len(bits) - sum(ones)))
-        level = level[np.concatenate([np.flatnonzero(~bits), np.flatnonzero(bits)])]
+        level = following
     body = b"".join(sections.values())
     head = json.dumps({"n": len(ids), "planes": planes, "zeros": zeros, "docs": len(doc_ids), "crc": zlib.crc32(body), "sections": [[k, len(v)] for k, v in sections.items()]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + body
@@ -94,7 +101,7 @@ class WaveletMatrix:
         """Ones among the first ``at`` bits of a plane."""
         block, rest = divmod(at, BLOCK)
         found = int(np.frombuffer(self.parts[f"ones{plane}"], "<u4")[block])
-        return found + (int(self._bits(plane, block)[:rest].sum()) if rest else 0)
+        return found + (int(np.count_nonzero(self._bits(plane, block)[:rest])) if rest else 0)
 
     def access(self, at: int) -> int:
         """The id at a position."""
@@ -102,8 +109,9 @@ class WaveletMatrix:
             raise IndexError(at)
         symbol = 0
         for p in range(self.planes):
-            bit = int(self._bits(p, at // BLOCK)[at % BLOCK])
-            ones = self._ones(p, at)
+            block, rest = divmod(at, BLOCK)
+            bits = self._bits(p, block)
+            bit, ones = int(bits[rest]), int(np.frombuffer(self.parts[f"ones{p}"], "<u4")[block]) + int(np.count_nonzero(bits[:rest]))
             at = self.zeros[p] + ones if bit else at - ones
             symbol = symbol * 2 + bit
         return int(self.alphabet[symbol])
@@ -144,16 +152,20 @@ class WaveletMatrix:
         """All ids, by undoing the planes' partitions from the last to the first."""
         symbols = np.zeros(self.n, np.uint32 if self.planes > 16 else np.uint16)
         for p in reversed(range(self.planes)):
-            bits = np.concatenate([self._bits(p, b) for b in range(-(-self.n // BLOCK))]).view(bool) if self.n else np.zeros(0, bool)
-            symbols[self.zeros[p] :] |= np.array(1 << (self.planes - 1 - p), symbols.dtype)
-            up = np.empty_like(symbols)
-            up[np.concatenate([np.flatnonzero(~bits), np.flatnonzero(bits)])] = symbols
+            up, zero, one = np.empty_like(symbols), 0, self.zeros[p]
+            symbols[one:] |= np.array(1 << (self.planes - 1 - p), symbols.dtype)
+            for block, begin in enumerate(range(0, self.n, BLOCK)):
+                bits, part = self._bits(p, block).view(bool), up[begin : begin + BLOCK]
+                n = int(np.count_nonzero(bits))
+                part[bits] = symbols[one : one + n]
+                part[~bits] = symbols[zero : zero + len(part) - n]
+                zero, one = zero + len(part) - n, one + n
             symbols = up
         return self.alphabet[symbols] if self.n else np.zeros(0, "<u4")
 
 
 def write_token_files(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = 2_000_000
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = 2_000_000, memory: int = MEMORY
 ) -> None:
     """Encodes every text, appends end_id to each document, and writes the ids in ascending id order.
 
@@ -163,7 +175,8 @@ def write_token_files(
     lost task leave each shard once, in any store.
 
     Null text counts as empty and yields the end id alone; null ids come first; rows that repeat an id are
-    written each, in order of their text. An empty table leaves an empty folder.
+    written each, in order of their text. An empty table leaves an empty folder. memory: units that a worker remembers,
+    see Encoder.
     """
     vocabulary = vocabulary or vocabulary_path(BYTE_BPE)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -184,7 +197,7 @@ def write_token_files(
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 piece = batch.slice(start, 1024)
-                for doc, got in zip(piece["doc_id"].to_pylist(), encoder(vocabulary).encode(piece["text"].to_pylist()), strict=True):
+                for doc, got in zip(piece["doc_id"].to_pylist(), encoder(vocabulary, memory).encode(piece["text"].to_pylist()), strict=True):
                     ids.append(got + end)
                     doc_ids.append(doc)
                     lengths.append(len(got) // 4 + 1)
@@ -202,11 +215,15 @@ def write_token_files(
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The documents of the shard files: doc_id, start (ids of all documents before), n_tokens, ids_crc32.
 
-    The shards' starts are running sums over one small row for each shard.
+    The shards' starts are running sums within the parts (tasks that wrote), over one small row for each shard, and over
+    the parts, of which there is one for each task.
     """
     files = spark.read.schema("part int, shard int, n long, data binary").parquet(path)
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "shard", "n").withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
+    within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.groupBy("part").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(parts), F.lit(0))).select("part", "base")
+    starts = files.select("part", "shard", "n").withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0))).drop("n")
+    starts = starts.join(bases, "part").select("part", "shard", (F.col("start") + F.col("base")).alias("start"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

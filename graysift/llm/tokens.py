@@ -2,8 +2,9 @@
 
 The file's pre-tokenizer always starts a piece at a space that stands between two characters which are not
 white space, so a text falls into units " word" whose ids do not depend on each other. Units repeat: a worker
-keeps the ids of those it met lately, and gives the new ones of a batch to the library as one text, whose ids fall
-apart again at the tokens that begin with a space. A file with other rules is used text by text.
+keeps the ids of those it met lately. A new unit falls into a word and the marks after it, or by the public pattern
+of the vocabulary into pieces; only words and pieces that are new too go to the library. A file with other rules is
+used text by text.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 
@@ -48,41 +50,81 @@ def _cuts_at_spaces(path: str) -> bool:
     return bool(usual and added and not rules.get("normalizer") and not rules.get("truncation") and not rules.get("padding") and model["type"] == "BPE" and not model.get("dropout"))
 
 
+#: Marks that stand after a word; with no letter after them they are one piece.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_OTHER = re.compile(r"[^\x00-\u024F]|<\|")
+#: Byte-level vocabularies write a byte as a letter: printable ones as themselves, the others from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Units that a worker remembers; about 200 bytes each.
+MEMORY = 400_000
+
+
+def _latin(text: str) -> bool:
+    try:
+        return bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class Encoder:
     """encode(texts): for each text its ids, add_special_tokens=False, as little-endian unsigned 32-bit bytes.
 
-    Null counts as empty. Up to about ``keep`` units are remembered; when there are more, those not met since the last
-    such time are forgotten.
+    Null counts as empty. Up to about ``keep`` units are remembered, in two halves: when the young half is full it
+    becomes the old one, and old units that are met again become young.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.library, self.keep, self.plain = Tokenizer.from_file(path), keep, not _cuts_at_spaces(path)
-        #: Tokens that begin with a space, which a byte-level vocabulary writes as this letter.
-        self.starts = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(self.library.get_vocab_size())])
-        #: Ids of units with the space before them, and of texts' first units.
-        self.units: dict[str, bytes] = {}
+        self.tokenize = self.library.model.tokenize
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        #: Ids of units with the space before them: young and old; of texts' first units, of words with a space, and of
+        #: other pieces.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _ask(self, parts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, new: list[str]) -> None:
-        """Units, each with a space before it: one text of 500 at a time. A unit that holds a space of its own makes
-        more starts than there are units; such units are asked for one by one."""
-        for begin in range(0, len(new), 500):
-            units = new[begin : begin + 500]
-            (e,) = self.library.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) == len(units):
-                raw = ids.tobytes()
-                self.units.update(zip(units, (raw[a:b] for a, b in pairwise([*(4 * at).tolist(), len(raw)])), strict=True))
-            else:
-                self.units.update(zip(units, self._ask([" " + u for u in units]), strict=True))
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """The ids of units. A word of letters with a space before it is one piece, so the model takes it as it is."""
+        words, pieces, mixed, other, out = self.words, self.pieces, [], [], {}
+        for u in units:
+            word = u.rstrip(MARKS)
+            ids = words.get(word)
+            if ids is None:
+                if word.isascii() and word.isalpha():
+                    ids = words[word] = array("I", [t.id for t in self.tokenize("Ġ" + word)]).tobytes()
+                elif word.isalpha() and _latin(word):
+                    ids = words[word] = array("I", [t.id for t in self.tokenize("Ġ" + word.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+                else:
+                    (other if _OTHER.search(u) else mixed).append(u)
+                    continue
+            if len(word) < len(u):
+                tail = u[len(word) :]
+                if tail not in pieces:
+                    (pieces[tail],) = self._ask([tail])
+                ids += pieces[tail]
+            out[u] = ids
+        parts = [self.cut(" " + u) for u in mixed]
+        new = list(set(chain.from_iterable(parts)).difference(pieces))
+        pieces.update(zip(new, self._ask(new), strict=True))
+        out.update((u, b"".join(map(pieces.__getitem__, p))) for u, p in zip(mixed, parts, strict=True))
+        out.update(zip(other, self._ask([" " + u for u in other]), strict=True))
+        if len(words) > self.keep // 4:
+            self.words = {}
+        if len(pieces) > self.keep // 4:
+            self.pieces = {}
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.plain:
@@ -90,23 +132,26 @@ class Encoder:
         out: list[bytes] = []
         for begin in range(0, len(texts), 256):
             split = [(t.split(" ") if _even(t) else _CUT.split(t)) if t else [] for t in texts[begin : begin + 256]]
-            if len(self.firsts) > self.keep:
+            if len(self.firsts) > self.keep // 4:
                 self.firsts = {}
             firsts = list({u[0] for u in split if u}.difference(self.firsts))
             self.firsts.update(zip(firsts, self._ask(firsts), strict=True))
-            found = [list(map(self.units.get, u[1:])) for u in split]
-            open_ = [[k for k, ids in enumerate(f) if ids is None] if None in f else () for f in found]
-            self._learn(list({u[k + 1] for u, at in zip(split, open_, strict=True) for k in at}))
+            young, old = self.young, self.old
+            found = [list(map(young.get, u[1:])) for u in split]
+            open_ = [[k for k, ids in enumerate(f, 1) if ids is None] if None in f else () for f in found]
+            new = {u[k] for u, at in zip(split, open_, strict=True) for k in at}
+            again = {u: old[u] for u in new if u in old}
+            young |= again | self._learn(new.difference(again))
             for u, f, at in zip(split, found, open_, strict=True):
                 for k in at:
-                    f[k] = self.units[u[k + 1]]
-            if len(self.units) > self.keep:
-                self.units = dict(chain.from_iterable(zip(u[1:], f, strict=True) for u, f in zip(split, found, strict=True)))
+                    f[k - 1] = young[u[k]]
+            if len(young) > self.keep // 2:
+                self.young, self.old = {}, young
             out += [self.firsts[u[0]] + b"".join(f) if u else b"" for u, f in zip(split, found, strict=True)]
         return out
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One for each Python worker and vocabulary."""
-    return Encoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, keep: int = MEMORY) -> Encoder:
+    """One for each Python worker."""
+    return Encoder(path, keep)
