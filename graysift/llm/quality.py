@@ -133,8 +133,9 @@ def grade(docs: DataFrame, model: OrdinalModel, text_col: str = "text", select_g
     """docs with expected_grade, tail_1 .. tail_{K-1} (P(grade >= k)) and selected (that tail >= select_at).
 
     Whole texts are scored, one pass, no shuffle. Null counts as empty. An empty text has no words; its score
-    is that of its distinct share alone. Result columns replace columns of the same name. Ties at the bound
-    are selected. An empty table gives an empty table.
+    is that of its distinct share alone. Rows that repeat an id are graded each, and alike if their texts are. Very long
+    texts are held one at a time, as their counts of different words. Result columns replace columns of the same name,
+    other columns pass through. Ties at the bound are selected. An empty table gives an empty table.
     """
     k = len(model.thresholds)
     new = ["expected_grade", *[f"tail_{i + 1}" for i in range(k)], "selected"]

@@ -16,7 +16,7 @@ from graysift.llm.packing import pack_documents
 from graysift.llm.repeats import repeated_passages
 from graysift.llm.token_counts import token_counts
 from graysift.llm.token_files import token_file_index
-from graysift.llm.url_filter import url_verdicts
+from graysift.llm.url_filter import url_rules as rules_of_urls, url_verdicts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,23 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8's rules alone say of each url."""
+    return rules_of_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+URL_RULES_SQL = """
+WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, url, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             coalesce(regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*'), '') AS path FROM u),
+r AS (SELECT * FROM (VALUES ('allow', 'org', '/', 'org/'), ('block', 'example.org', '/es/', 'example.org/es/'), ('block', 'example.org', '/en/1', 'example.org/en/1'),
+                            ('allow', 'com', '/fr/', 'com/fr/'), ('block', 'com', '/de/', 'com/de/')) v(verdict, domain, start, rule)),
+f AS (SELECT page_id, rule, verdict FROM h JOIN r ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start)
+      QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1)
+SELECT page_id, url, host, path, rule, verdict AS rule_verdict FROM h LEFT JOIN f USING (page_id)
+"""
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -151,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repeated_passages": op6_repeated_passages,
     "op7_quality_grades": op7_quality_grades,
     "op8_url_filter": op8_url_filter,
+    "url_rules": url_rules,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
 }
@@ -159,5 +177,6 @@ SQL: dict[str, str] = {
     "op4_embedding_dedup": OP4_SQL,
     "op5_ngram_join": OP5_SQL,
     "op6_repeated_passages": OP6_SQL,
+    "url_rules": URL_RULES_SQL,
     "op9_mix_sources": OP9_SQL,
 }

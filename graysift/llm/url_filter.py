@@ -18,7 +18,7 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 MAX_LABELLED = 20_000
 FEATURES = (
     "url_length", "host_length", "path_length", "host_labels", "depth", "digits", "entropy", "parameters", "hyphens", "fragment", "secure", "longest_part",
-    "suffix_pages", "suffix_labelled", "suffix_blocked",
+    "suffix_pages", "suffix_depth", "suffix_digits", "suffix_parameters",
 )
 
 
@@ -74,18 +74,31 @@ def lexical(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def suffix_statistics(rows: DataFrame) -> DataFrame:
-    """For each host suffix: log of its pages and of its labelled pages, and the smoothed share blocked."""
-    labelled = F.count("rule_verdict")
-    return rows.groupBy("host_suffix").agg(
-        F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_pages"),
-        F.log1p(labelled.cast("double")).alias("suffix_labelled"),
-        ((F.count_if(F.col("rule_verdict") == "block") + 1.0) / (labelled + 2.0)).alias("suffix_blocked"),
-    )
+    """For each host suffix: log of its pages, and the means of depth, digits and parameters of their urls. No verdict goes
+    into them, so a suffix that no rule judges looks like those that the trees learn from."""
+    means = [F.avg(c).alias(f"suffix_{c}") for c in ("depth", "digits", "parameters")]
+    return rows.groupBy("host_suffix").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_pages"), *means)
+
+
+def featured(pages: DataFrame, rules=RULES) -> DataFrame:
+    """lexical(pages) with the suffix statistics and the vector of FEATURES.
+
+    The statistics are written once (one row a suffix). Suffixes with over a thousandth of all rows, a thousand at most,
+    are broadcast; the rows of the others are joined.
+    """
+    rows = lexical(pages, rules)
+    held = materialize(suffix_statistics(rows), "url-suffixes")
+    total = held.agg(F.sum(F.expm1("suffix_pages"))).first()[0] or 0
+    is_large = F.expm1("suffix_pages") * 1000 > total
+    large = F.broadcast(held.filter(is_large))
+    hot = rows.join(large, "host_suffix")
+    rest = rows.join(large.select("host_suffix"), "host_suffix", "left_anti").join(held.filter(~is_large), "host_suffix")
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(hot.unionByName(rest))
 
 
 def train(rows: DataFrame, max_labelled: int = MAX_LABELLED, trees: int = 12, depth: int = 4, seed: int = 11) -> GBTClassificationModel | None:
     """Trees on at most ``max_labelled`` different urls with a rule's verdict, the first by hash of the url, weighed
-    by their rows; None if the urls have fewer than two verdicts."""
+    by their rows; None if the urls have fewer than two verdicts. rows: from featured()."""
     label = F.max(F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0)).alias("label")
     sample = rows.filter("rule_verdict is not null").groupBy("url").agg(label, F.count(F.lit(1)).cast("double").alias("weight"), *[F.max(f).alias(f) for f in FEATURES])
     sample = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).select("url", "label", "weight", "features")
@@ -95,23 +108,39 @@ def train(rows: DataFrame, max_labelled: int = MAX_LABELLED, trees: int = 12, de
     return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, weightCol="weight").fit(sample)
 
 
+def held_out(rows: DataFrame, folds: int = 5, **options) -> DataFrame:
+    """What the trees say of labelled rows whose host suffix they did not learn from: label, block_score. One fit for each
+    fold of suffixes; rows: from featured()."""
+    fold = F.pmod(F.xxhash64("host_suffix"), F.lit(folds))
+    label = F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0).alias("label")
+    judged, found = rows.filter("rule_verdict is not null"), []
+    for k in range(folds):
+        model = train(judged.filter(fold != k), **options)
+        if model is not None:
+            found.append(model.transform(judged.filter(fold == k)).select(label, vector_to_array("probability")[1].alias("block_score")))
+    return reduce(DataFrame.union, found, rows.sparkSession.createDataFrame([], "label double, block_score double"))
+
+
+def url_rules(pages: DataFrame, rules=RULES) -> DataFrame:
+    """pages with host, path, rule and rule_verdict: what the rules alone say."""
+    new = ["host", "path", "rule", "rule_verdict"]
+    names = [c for c in pages.columns if c not in new]
+    return lexical(pages.select(names), rules).select(*names, *new)
+
+
 def url_verdicts(pages: DataFrame, rules=RULES, max_labelled: int = MAX_LABELLED, block_at: float = 0.5) -> DataFrame:
     """pages with host, path, rule, verdict, block_score and verdict_by (rule or model).
 
     Rules label the urls they fit; the trees learn from these and judge the others. Null urls and urls
     without ``://`` have an empty host and path, fit no rule and are judged by the trees like others. Without
     two verdicts to learn from, urls that fit no rule are allowed. Rows that repeat a url get the same
-    verdict. Result columns replace columns of the same name. An empty table gives an empty table.
-
-    The suffix statistics are written once (one row a suffix) and joined back with whatever join Spark's size
-    estimate allows; a frequent suffix may be split by adaptive execution.
+    verdict. Very long urls are judged whole. Result columns replace columns of the same name, other columns pass
+    through. An empty table gives an empty table.
     """
     new = ["host", "path", "rule", "verdict", "block_score", "verdict_by"]
     names = [c for c in pages.columns if c not in new]
-    rows = lexical(pages.select(names), rules)
-    statistics = materialize(suffix_statistics(rows), "url-suffixes")
-    rows = rows.join(statistics, "host_suffix")
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    inner = {c: f"__{k}" for k, c in enumerate(names) if c != "url"}
+    rows = featured(pages.select(names).withColumnsRenamed(inner), rules)
     model = train(rows, max_labelled)
     if model is None:
         scored = rows.withColumn("block_score", F.lit(0.0))
@@ -119,4 +148,4 @@ def url_verdicts(pages: DataFrame, rules=RULES, max_labelled: int = MAX_LABELLED
         scored = model.transform(rows).withColumn("block_score", vector_to_array("probability")[1])
     verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("block_score") >= block_at, "block").otherwise("allow"))
     by = F.when(F.col("rule").isNull(), "model").otherwise("rule")
-    return scored.select(*names, "host", "path", "rule", verdict.alias("verdict"), "block_score", by.alias("verdict_by"))
+    return scored.select(*[F.col(inner.get(c, c)).alias(c) for c in names], "host", "path", "rule", verdict.alias("verdict"), "block_score", by.alias("verdict_by"))

@@ -13,7 +13,7 @@ from graysift.llm.exact_dedup import exact_dedup
 from graysift.llm.mixing import mix
 from graysift.llm.ngram_join import near_duplicates
 from graysift.llm.packing import best_fit, dominance_reduction, pack_documents, plan, sequences, token_pieces, pack
-from graysift.llm.quality import fit, grade, train
+from graysift.llm.quality import features, fit, grade, train
 from graysift.llm.token_counts import frequent_pretokens, token_counts
 from graysift.llm.token_files import WaveletMatrix, build, token_file_index
 from graysift.llm.tokens import BYTE_BPE, Encoder, vocabulary_path
@@ -284,3 +284,33 @@ def test_token_counts_with_a_long_banner(spark):
     docs = spark.createDataFrame(rows, SCHEMA).withColumns({"row": F.lit(1), "part": F.lit("x"), "n_tokens": F.lit(2)})
     assert rows_of(token_counts(docs, head=5).select("doc_id", "n_tokens")) == sorted(((i, len(model.encode(t))) for i, t in rows), key=repr)
     assert "=-" * 60 in {r["part"] for r in frequent_pretokens(docs, 5).collect()}
+
+
+def test_quality_against_plain_loops(spark):
+    """The fit reaches the likelihood of a plain gradient ascent; grades are those of a loop over each document."""
+    rnd, dim = random.Random(9), 6
+    x = np.array([[rnd.random() for _ in range(dim)] for _ in range(200)])
+    y = np.digitize(x @ np.array([3.0, -2, 1, 0, 0, 1]) + np.array([rnd.gauss(0, 0.5) for _ in range(200)]), [0.8, 1.8])
+    rows = [(int(g), np.arange(dim, dtype=np.int32), v.astype(np.float32)) for g, v in zip(y, x)]
+
+    def likelihood(w, theta):
+        tails = np.hstack([np.ones((200, 1)), 1 / (1 + np.exp(theta[None, :] - (x @ w)[:, None])), np.zeros((200, 1))])
+        return np.log(tails[np.arange(200), y] - tails[np.arange(200), y + 1]).sum()
+
+    p = np.array([0.0] * dim + [-0.5, 0.5])
+    for _ in range(3000):  # plain ascent on numerical slopes
+        base = likelihood(p[:dim], p[dim:])
+        slope = np.array([(likelihood(*np.split(p + 1e-5 * e, [dim])) - base) / 1e-5 for e in np.eye(dim + 2)])
+        p = p + 0.02 * slope / (1 + np.abs(slope).max() / 10)
+    model = fit(rows, 3, steps=3000, rate=0.05, ridge=0.0)
+    assert likelihood(model.weights[:dim].astype(float), model.thresholds) >= likelihood(*np.split(p, [dim])) - 0.5
+
+    texts = [(1, "One two two  THREE 44"), (2, ""), (3, None), (4, "a " * 30_000), (4, "a " * 30_000), (5, "\u00e9\u00e9n !!!!! x_y")]
+    model = fit([(g, *features(t)) for g, t in ((0, "one one"), (1, "two two 44"), (2, "three \u00e9\u00e9n"))], 3)
+    got = grade(spark.createDataFrame(texts, SCHEMA), model).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in texts)
+    for r in got:
+        slots, values = features(dict(texts)[r["doc_id"]] or "")
+        score = float(sum(model.weights[s] * v for s, v in zip(slots, values)))
+        tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert [r["tail_1"], r["tail_2"], r["expected_grade"]] == [pytest.approx(v, rel=1e-4) for v in (*tails, sum(tails))] and r["selected"] == (tails[0] >= 0.5)
