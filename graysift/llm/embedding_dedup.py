@@ -2,8 +2,8 @@
 
 Unit vectors are rotated onto their principal axes, so the leading dimensions carry the most of a product. A tile
 of products is built up from the leading dimensions; what is left of a product is at most the product of the two
-suffix norms, and a pair is given up as soon as this bound cannot reach the threshold. Blocks of vectors that lie
-too far apart along the first axis are never brought together.
+suffix norms, and a pair is given up as soon as this bound cannot reach the threshold. Vectors are dealt into cells by
+splits along the leading axes; cells whose boxes lie too far apart are never brought together.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from graysift.llm.common import materialize
 from graysift.llm.components import connected_components, join_labels
 
-#: Vectors of a block (about), rows and columns of a tile, the least number of blocks and the most slabs.
-BLOCK, TILE, LEAST_BLOCKS, MOST_SLABS = 4096, 1024, 16, 1024
+#: Vectors of a block and its components at most (about), rows and columns of a tile, the least and the most cells, the
+#: leading axes that cells are cut along, and the vectors in the sample that proposes the cuts.
+BLOCK, BLOCK_VALUES, TILE, LEAST_CELLS, MOST_CELLS, LEADING, SAMPLE = 4096, 1 << 20, 1024, 16, 1024, 8, 20_000
+#: Lengths of so few different vectors are compared in one group each, on the given axes.
+FEW = 256
 #: A tile with at most this share of pairs in reach is finished pair by pair.
 SPARSE = 1 / 16
 
@@ -77,23 +80,24 @@ def linked(x: Vectors, rows: slice, columns: slice, threshold: float) -> tuple[n
     return i[keep], j[keep]
 
 
-def _compare(axes: np.ndarray, threshold: float):
+def _compare(axes: np.ndarray | None, threshold: float):
     """All pairs of two blocks (or within one) -> (node, links, with): how many vectors a node links to here, and
-    the least node that it is joined with here. No pair leaves the task."""
-    stops = stops_of(axes.shape[0])
+    the least node that it is joined with here. No pair leaves the task. Without axes: one block of (size,), as given."""
 
     def found(key: tuple, rows: pa.Table) -> pa.Table:
-        left, right = (x.as_py() for x in key)
-        block, node, copies = (rows[c].to_numpy() for c in ("block", "node", "copies"))
-        raw = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, axes.shape[0])
+        copies, node = rows["copies"].to_numpy(), rows["node"].to_numpy()
+        size = axes.shape[0] if axes is not None else key[0].as_py()
+        block = rows["block"].to_numpy() if axes is not None else np.zeros(len(node), np.int64)
+        raw = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
         order = np.lexsort((node, block))
         block, node, copies = block[order], node[order], copies[order]
-        vectors = Vectors(raw[order], axes, stops)
+        vectors = Vectors(raw[order], axes if axes is not None else np.eye(size), stops_of(size))
         n = len(node)
-        cut = n if left == right else int(np.searchsorted(block, right))
+        within = axes is None or key[0].as_py() == key[1].as_py()
+        cut = n if within else int(np.searchsorted(block, key[1].as_py()))
         links, label = np.zeros(n, np.int64), np.arange(n)
         for r in range(0, cut, TILE):
-            for c in range(r if left == right else cut, n, TILE):
+            for c in range(r if within else cut, n, TILE):
                 i, j = linked(vectors, slice(r, min(r + TILE, cut)), slice(c, min(c + TILE, n)), threshold)
                 if len(i):
                     links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
@@ -121,52 +125,95 @@ def _with_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, "unit"])
 
 
-def _blocks(rows: DataFrame, n: int, reach: float) -> DataFrame:
-    """rows (node, copies, vector, first) with block and the run of blocks within reach, low .. high.
+def cuts_of(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and value of each cut of a binary tree over the points: a cell is cut at the median of its widest axis. Cut k
+    leads to cuts (or cells) 2k + 1 and 2k + 2."""
+    axis, value = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf)
+    cells = {0: points}
+    for k in range(2**depth - 1):
+        p = cells.pop(k)
+        if len(p):
+            axis[k] = p.var(axis=0).argmax()
+            value[k] = np.median(p[:, axis[k]])
+        right = p[:, axis[k]] > value[k]
+        cells[2 * k + 1], cells[2 * k + 2] = p[~right], p[right]
+    return axis, value
+
+
+def _in_cells(axes: np.ndarray, axis: np.ndarray, value: np.ndarray):
+    """Adds the leading coordinates and the cell to rows with a unit vector, which goes."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = batch["unit"].flatten().to_numpy(zero_copy_only=False).reshape(-1, axes.shape[0])
+            lead, at = unit @ axes[:, :LEADING], np.zeros(batch.num_rows, np.int64)
+            while len(at) and at[0] < len(axis):
+                at = 2 * at + 1 + (lead[np.arange(len(at)), axis[at]] > value[at])
+            column = pa.ListArray.from_arrays(pa.array(np.arange(0, lead.size + 1, lead.shape[1]), pa.int32()), pa.array(lead.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["copies"], batch["vector"], column, pa.array(at - len(axis))], ["node", "copies", "vector", "lead", "cell"])
 
-    Slabs are quantiles along the first axis, MOST_SLABS at most; a slab is dealt into blocks by hash. The
-    driver sees one row for each slab.
+    return found
+
+
+def within_reach(low: np.ndarray, high: np.ndarray, reach: float) -> np.ndarray:
+    """Which pairs of boxes may hold points at most reach apart."""
+    square = np.zeros((len(low), len(low)))
+    for k in range(low.shape[1]):
+        gap = np.maximum(low[:, None, k] - high[None, :, k], low[None, :, k] - high[:, None, k])
+        square += np.maximum(gap, 0) ** 2
+    return square <= reach**2
+
+
+def _blocks(nodes: DataFrame, n: int, axes: np.ndarray, reach: float) -> DataFrame:
+    """nodes (node, copies, vector, unit) as (node, copies, vector, block, other): once for each block within reach.
+
+    A bounded sample proposes the cuts; the boxes of the cells are those of all vectors. A cell that is too large for
+    a block is dealt into several by hash. The driver sees one row for each cell, MOST_CELLS at most.
     """
-    count = min(max(LEAST_BLOCKS, math.ceil(n / BLOCK)), MOST_SLABS)
-    cuts = sorted(set(rows.agg(F.percentile_approx("first", [k / count for k in range(1, count)], 10 * count)).first()[0]))
-    edges = F.array(*map(F.lit, cuts))
-    rows = rows.withColumn("slab", F.size(F.filter(edges, lambda c: F.col("first") > c)))
-    slabs = rows.groupBy("slab").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least"), F.max("first").alias("most"))
-    slabs = slabs.orderBy("slab").toPandas()
-    size = min(BLOCK, math.ceil(1.25 * n / count))
-    parts = -(-slabs["n"].to_numpy() // size)
+    spark, size = nodes.sparkSession, axes.shape[0]
+    block = min(BLOCK, max(TILE // 4, BLOCK_VALUES // size))
+    depth = math.ceil(math.log2(min(max(LEAST_CELLS, n / block), MOST_CELLS)))
+    sample = np.array(nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("unit").toArrow()["unit"].to_pylist()).reshape(-1, size)
+    axis, value = cuts_of(sample @ axes[:, :LEADING], depth)
+    kind = nodes.schema["vector"].dataType.simpleString()
+    rows = materialize(nodes.mapInArrow(_in_cells(axes, axis, value), f"node long, copies long, vector {kind}, lead array<double>, cell long"), "nodes")
+    leading = min(LEADING, size)
+    bounds = [f(F.get("lead", F.lit(k))).alias(f"{name}{k}") for name, f in (("low", F.min), ("high", F.max)) for k in range(leading)]
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *bounds).orderBy("cell").toPandas()
+    near = within_reach(*(cells[[f"{name}{k}" for k in range(leading)]].to_numpy() for name in ("low", "high")), reach)
+    parts = -(-cells["n"].to_numpy() // math.ceil(1.25 * block))
     base = np.cumsum(parts) - parts
-    low = base[np.searchsorted(slabs["most"], slabs["least"].to_numpy() - reach)]
-    high = (base + parts - 1)[np.searchsorted(slabs["least"], slabs["most"].to_numpy() + reach, side="right") - 1]
-    table = [tuple(map(int, x)) for x in zip(slabs["slab"], base, parts, low, high, strict=True)]
-    table = rows.sparkSession.createDataFrame(table, "slab int, base long, parts long, low long, high long")
-    rows = rows.join(F.broadcast(table), "slab")
-    return rows.withColumn("block", F.col("base") + F.pmod(F.xxhash64("node"), F.col("parts")))
+    table = [(int(c), int(b), int(p), [(int(base[k]), int(parts[k])) for k in np.flatnonzero(row)]) for c, b, p, row in zip(cells["cell"], base, parts, near, strict=True)]
+    table = spark.createDataFrame(table, "cell long, base long, parts long, near array<struct<base:long,parts:long>>")
+    rows = rows.drop("lead").join(F.broadcast(table), "cell").withColumn("block", F.col("base") + F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = rows.select("node", "copies", "vector", "block", F.explode("near").alias("near"))
+    return rows.select("node", "copies", "vector", "block", F.explode(F.expr("sequence(near.base, near.base + near.parts - 1)")).alias("other"))
 
 
 def vector_links(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(node, links, with) over nodes (node, copies, vector of ``size``, unit): each pair is compared in one task, which
-    sums links and joins classes before it hands them on."""
-    axes = np.eye(size)
+    """(node, links, with) over nodes (node, copies, vector of ``size``, unit): each pair within reach is compared in one
+    task, which sums links and joins classes before it hands them on."""
     n = nodes.count()
+    axes = np.eye(size)
     if n > 1 and size > 1:
         axes = PCA(k=size, inputCol="unit", outputCol="axes").fit(nodes.select(array_to_vector("unit").alias("unit"))).pc.toArray()
-    leading = F.array(*[F.lit(float(x)) for x in axes[:, 0]])
-    first = F.aggregate(F.zip_with("unit", leading, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = _blocks(materialize(nodes.withColumn("first", first).drop("unit"), "nodes"), n, math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
-    pairs = rows.select("block", "node", "copies", "vector", F.explode(F.sequence("low", "high")).alias("other"))
+    pairs = _blocks(nodes, n, axes, math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
     pairs = pairs.select(F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "copies", "vector")
     return pairs.groupBy("left", "right").applyInArrow(_compare(axes, threshold), "node long, links long, with long")
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, few: int = FEW) -> DataFrame:
     """One row for each vector: id, n_links (other vectors of cosine >= threshold), component_id (smallest id
     reachable by links, itself included) and kept (id = component_id).
 
     Equal vectors are one node with a count, so copies are never compared with each other. Vectors that are null,
     empty or zero or hold null or non-finite components link with nothing, nor do rows with a null id (component_id
     null, kept false). Vectors of different lengths do not link. Rows that repeat an id and vector are vectors of
-    their own that link. Ids are taken to be unique up to repeated rows. An empty table gives an empty table.
+    their own that link. Ids are taken to be unique up to repeated rows. An empty table gives an empty table. Other
+    columns are not read.
+
+    Lengths of more than ``few`` different vectors have axes and a job of their own; the others share one. Vectors with
+    over a thousandth of all copies, a thousand at most, get their result by a broadcast, the others by a join.
     """
     vector = F.col(vector_col)
     rows = vectors.select(F.col(id_col).alias("id"), vector.alias("vector"), _usable(vector).alias("usable"))
@@ -176,21 +223,22 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = nodes.select("digest", "node", "copies", F.size("vector").alias("size"), "vector")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema], "unit array<double>"])
     nodes = materialize(nodes.mapInArrow(_with_unit, schema), "vectors")
-    found = None
-    for size in sorted(r["size"] for r in nodes.select("size").distinct().collect()):
-        some = vector_links(nodes.filter(F.col("size") == size).select("node", "copies", "vector", "unit"), size, threshold)
-        found = some if found is None else found.union(some)
-    if found is None:
-        return vectors.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.col(id_col).isNotNull().alias("kept"))
+    found = nodes.filter(F.lit(False)).select("node", F.col("copies").alias("links"), F.col("node").alias("with"))
+    several = materialize(nodes.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")).filter("n > 1 or copies > 1"), "vector-sizes")
+    small = nodes.select("node", "copies", "vector", "size").join(several.filter(F.col("n").between(2, few)).select("size"), "size", "left_semi")
+    found = found.union(small.groupBy("size").applyInArrow(_compare(None, threshold), "node long, links long, with long"))
+    for (size,) in several.filter(F.col("n") > few).select("size").orderBy("size").collect():  # n / few at most
+        found = found.union(vector_links(nodes.filter(F.col("size") == size).select("node", "copies", "vector", "unit"), size, threshold))
     found = materialize(found, "vector-links")
     component = connected_components(found, "node", "with").withColumnRenamed("id", "node")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("digest", "node", "copies").join(sums, "node", "left").join(component, "node", "left")
-    named = materialize(
-        named.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "vectors-named"
-    )
-    out = rows.select("id", "digest").join(named, "digest", "left")
-    component_id = F.coalesce("component_id", F.col("id").cast("long"))
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(component_id == F.col("id"), F.lit(False)).alias("kept")
-    )
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    named = materialize(named.select("digest", "copies", n_links, F.coalesce("component", "node").alias("component_id")), "vectors-named")
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    is_large = F.col("copies") * 1000 > total
+    large, usable = F.broadcast(named.filter(is_large).drop("copies")), rows.filter("usable").select("id", "digest")
+    rest = usable.join(large.select("digest"), "digest", "left_anti").join(named.filter(~is_large).drop("copies"), "digest")
+    alone = rows.filter(~F.col("usable")).select("digest", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
+    out = alone.unionByName(usable.join(large, "digest")).unionByName(rest)
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(False)).alias("kept"))

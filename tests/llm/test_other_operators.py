@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from graysift.llm.common import likely_rows
 from graysift.llm.components import connected_components
-from graysift.llm.embedding_dedup import embedding_dedup
+from graysift.llm.embedding_dedup import cuts_of, embedding_dedup, within_reach
 from graysift.llm.ngram_join import maybe_similar, sketch
 from graysift.llm import url_filter
 from graysift.llm.url_filter import url_verdicts
@@ -23,9 +23,28 @@ def test_vectors(spark):
     got = embedding_dedup(df.withColumn("kept", F.lit(1))).collect()
     assert sorted(((r[0], r[1], r[2]) for r in got), key=repr) == brute.vectors(rows)
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
+    got = embedding_dedup(df, few=1).collect()
+    assert sorted(((r[0], r[1], r[2]) for r in got), key=repr) == brute.vectors(rows)
     assert embedding_dedup(df.filter("vec_id < 0")).collect() == [] and len(embedding_dedup(df.filter("vec_id = 3")).collect()) == 1
 
 
+def test_vectors_in_clusters(spark):
+    """Links at just the threshold count; cells that lie apart are not brought together; a third of the rows is one vector."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 6))
+    rows = [(i, [float(x) for x in np.float32(centres[i % 30] + 0.15 * rng.normal(size=6))]) for i in range(600)]
+    rows += [(700 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(300)] + [(1100, [3.0, 4.0, 0.0, 0.0, 0.0, 0.0]), (1101, [4.0, 3.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for threshold in (0.9, 0.6):
+        got = embedding_dedup(df, threshold=threshold).collect()
+        assert sorted(((r[0], r[1], r[2]) for r in got), key=repr) == brute.vectors(rows, threshold)
+    assert {r[0]: r[1] for r in embedding_dedup(spark.createDataFrame(rows[-2:], df.schema), threshold=0.96).collect()} == {1100: 1, 1101: 1}
+    low = np.array([[0.0, 0.0], [1.0, 1.0], [0.2, 0.0]])
+    assert within_reach(low, low + 0.1, 0.5).tolist() == [[True, False, True], [False, True, False], [True, False, True]]
+    axis, value = cuts_of(rng.normal(size=(64, 3)) * [1, 5, 1], 3)
+    assert axis[0] == 1 and len(value) == 7 and np.isfinite(value).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 40)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
