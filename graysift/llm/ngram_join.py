@@ -4,10 +4,12 @@ A document is the set of its distinct shingles (64-bit hashes); equal sets are o
 digest. Sets are put into size bands so that similar sets lie in one band or two neighbouring ones, and get
 signatures for their band and the next. In a band two similar sets differ in at most k elements. The hash range
 is cut into n1 partitions of n2 parts: at least one partition holds at most k2 of the differences, so one of its
-subsets of n2 - k2 parts is equal in both. A signature is the sum of hashes in such a subset.
+subsets of n2 - k2 parts is equal in both. A signature is the sum of hashes in such a subset. A small set of a band can
+differ from a similar one in less than k elements, so it needs only the first of the partitions.
 
 Long passages that many texts share chain unlike sets by common signatures. Sketches of the sets part these again
-before texts are compared; they only ever part sets that cannot be similar.
+before texts are compared; they only ever part sets that cannot be similar. A sketch has some bits for each difference
+that similarity allows, so large sets have large ones.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 BLOCK = 500_000
 #: Nodes and (about) shingles of a block of a cluster, and shared shingles that are multiplied at a time.
 BLOCK_NODES, BLOCK_SIZE, COLUMNS = 512, 1_000_000, 4096
-#: 64-bit words of a sketch and those that are looked at first; sketches of a block of a cluster.
-SKETCH, FIRST, BLOCK_SKETCHES = 16, 4, 4096
+#: Bits of a sketch for each element that similar sets may differ in, and 64-bit words that are looked at first.
+SKETCH_BITS, FIRST = 8, 4
+#: Sketches of a block of a cluster, and their bytes.
+BLOCK_SKETCHES, SKETCH_BYTES = 4096, 1 << 20
 #: Bits of a signature that are kept: two that agree by chance only make candidates.
-KEPT = np.uint64((1 << 48) - 1)
+KEPT = np.uint64((1 << 40) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,14 +83,21 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(mix(found + np.uint64(min(width, len(hashes)))))
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """The parity of the number of elements in each of 64 * SKETCH parts of the hash range. Two sets differ in at
+def sketch(elements: np.ndarray, n: int) -> bytes:
+    """The parity of the number of elements in each of n parts (a power of two) of the hash range. Two sets differ in at
     least as many elements as their sketches differ in bits."""
-    n = 64 * SKETCH
-    odd = np.bincount((mix(elements) % np.uint64(n)).astype(np.int64), minlength=n) & 1
+    odd = np.bincount((mix(elements) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(bits: bytes, n: int) -> bytes:
+    """A sketch in fewer parts: each is the sum of the parts that fall together."""
+    held = np.frombuffer(bits, np.uint8)
+    while len(held) * 8 > n:
+        held = held[: len(held) // 2] ^ held[len(held) // 2 :]
+    return held.tobytes()
+
+
 def maybe_similar(bits: np.ndarray, sizes: np.ndarray, rows: slice, columns: slice, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (row, column) of the pairs whose sketches allow a similarity of num / den, none lost."""
     found = []
@@ -95,11 +106,12 @@ def maybe_similar(bits: np.ndarray, sizes: np.ndarray, rows: slice, columns: sli
         limit = (sizes[part, None] + sizes[None, columns]) * (den - num) // (den + num)
         apart = np.abs(sizes[part, None] - sizes[None, columns])
         differ = np.zeros(limit.shape, np.uint16)
-        for w in range(FIRST):
+        for w in range(min(FIRST, bits.shape[1])):
             differ += np.bitwise_count(bits[part, w, None] ^ bits[None, columns, w])
         i, j = np.nonzero((differ <= limit) & (apart <= limit))
         most, i, j = limit[i, j], i + start, j + columns.start
-        all_bits = np.concatenate([np.bitwise_count(bits[i[k : k + 50_000]] ^ bits[j[k : k + 50_000]]).sum(axis=1) for k in range(0, len(i), 50_000)] or [np.zeros(0, int)])
+        step = max(1, (1 << 20) // bits.shape[1])
+        all_bits = np.concatenate([np.bitwise_count(bits[i[k : k + step]] ^ bits[j[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), step)] or [np.zeros(0, int)])
         close = (all_bits <= most) & (i < j)
         found.append((i[close], j[close]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -108,7 +120,7 @@ def maybe_similar(bits: np.ndarray, sizes: np.ndarray, rows: slice, columns: sli
 class PartEnum:
     """Signatures for Jaccard similarity of at least num / den."""
 
-    def __init__(self, num: int, den: int, n2: int = 3, k2: int = 1):
+    def __init__(self, num: int, den: int, n2: int = 2, k2: int = 1):
         self.num, self.den, self.n2, self.k2 = num, den, n2, k2
         self.subsets = np.array([[j in s for j in range(n2)] for s in combinations(range(n2), n2 - k2)], np.uint64)
         self.low, self.high = [1], [den // num]
@@ -135,6 +147,16 @@ class PartEnum:
             slack += 1
         return k, base + slack, slack
 
+    def sketch_bits(self, tag: int) -> int:
+        """Bits of a sketch for comparing sets of a tag."""
+        return 1 << max(6, (SKETCH_BITS * self.shape(tag)[0]).bit_length())
+
+    def enough(self, size: int, tag: int) -> int:
+        """How many of the first partitions serve a set: as the smaller of two similar sets it differs from the larger in
+        at most (den - num) / num of its size, and the larger gives at least as many."""
+        _, n1, slack = self.shape(tag)
+        return min(n1, (self.den - self.num) * size // self.num // (self.k2 + 1) + 1 + slack)
+
     def signatures(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(signatures of a set, those of its empty subsets where more partitions than the slack have one); none for
         bands where only equal sets can be similar. Two similar sets share one of the first kind unless both have
@@ -148,12 +170,13 @@ class PartEnum:
             k, n1, slack = self.shape(tag)
             if not k:
                 continue
+            some = self.enough(len(elements), tag)
             part = (high * np.uint64(n1 * self.n2)) >> np.uint64(32)
-            cuts = np.searchsorted(part, np.arange(n1 * self.n2 + 1, dtype=np.uint64))
-            parts = (sums[cuts[1:]] - sums[cuts[:-1]]).reshape(n1, self.n2)
-            sizes = np.diff(cuts).reshape(n1, self.n2).astype(np.uint64)
+            cuts = np.searchsorted(part, np.arange(some * self.n2 + 1, dtype=np.uint64))
+            parts = (sums[cuts[1:]] - sums[cuts[:-1]]).reshape(some, self.n2)
+            sizes = np.diff(cuts).reshape(some, self.n2).astype(np.uint64)
             held = parts @ self.subsets.T
-            names = np.arange(n1 * len(self.subsets), dtype=np.uint64).reshape(n1, -1) + np.uint64(tag << 40)
+            names = np.arange(some * len(self.subsets), dtype=np.uint64).reshape(some, -1) + np.uint64(tag << 40)
             found = mix(held ^ mix(names))
             empty = (sizes @ self.subsets.T) == 0
             out.append(found[~empty])
@@ -207,7 +230,7 @@ def _signature_rows(width: int, num: int, den: int):
                     node = np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes()))
                     ids.append(node)
                     sizes.append(len(elements))
-                    bits.append(sketch(elements))
+                    bits.append(sketch(elements, enum.sketch_bits(enum.band(len(elements)) + 1)) if len(elements) else b"")
                     if node in seen or not len(elements):
                         continue
                     seen.add(node)
@@ -259,7 +282,8 @@ def _banded(num: int, den: int):
         for batch in batches:
             band = np.array([enum.band(n) for n in batch["size"].to_pylist()], np.int64)
             for tag in (band, band + 1):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tag)], [*batch.schema.names, "tag"])
+                bits = [folded(b, enum.sketch_bits(t)) for b, t in zip(batch["bits"].to_pylist(), tag.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["cluster"], batch["node"], batch["size"], pa.array(bits, pa.binary()), pa.array(tag)], ["cluster", "node", "size", "bits", "tag"])
 
     return found
 
@@ -271,7 +295,7 @@ def _part(num: int, den: int):
     def one(left: int, right: int, rows: list) -> pa.RecordBatch:
         blocks, nodes, sizes, bits = zip(*rows, strict=True)
         node, size = np.array(nodes, np.int64), np.array(sizes, np.int64)
-        held = np.frombuffer(b"".join(bits), np.uint64).reshape(len(rows), SKETCH)
+        held = np.frombuffer(b"".join(bits), np.uint64).reshape(len(rows), -1)
         cut = len(rows) if left == right else int(np.searchsorted(blocks, right))
         i, j = maybe_similar(held, size, slice(0, cut), slice(0 if left == right else cut, len(rows)), num, den) if cut else ([], [])
         label = np.arange(len(rows))
@@ -298,11 +322,12 @@ def parted(cluster: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     """Clusters (node, cluster) parted where sketches rule out every link: nodes that stand alone are left out.
 
     Similar sets lie in one size band or two neighbouring ones, so a cluster is compared band by band, in pairs of
-    blocks of at most BLOCK_SKETCHES nodes; of each pair come at most as many rows as it has nodes.
+    blocks of about BLOCK_SKETCHES nodes and SKETCH_BYTES; of each pair come at most as many rows as it has nodes.
     """
     rows = cluster.join(nodes, "node").select("cluster", "node", "size", "bits")
     rows = materialize(rows.mapInArrow(_banded(num, den), "cluster long, node long, size long, bits binary, tag long"), "sketches")
-    sizes = materialize(rows.groupBy("cluster", "tag").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SKETCHES).cast("long").alias("blocks")), "sketch-blocks")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SKETCHES), F.ceil(F.sum(F.octet_length("bits")) / SKETCH_BYTES)).cast("long")
+    sizes = materialize(rows.groupBy("cluster", "tag").agg(blocks.alias("blocks")), "sketch-blocks")
     rows = rows.join(sizes, ["cluster", "tag"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cluster", "tag", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "size", "bits")

@@ -8,7 +8,7 @@ import corpus_pipeline
 from graysift.llm.common import likely_rows
 from graysift.llm.components import connected_components
 from graysift.llm.embedding_dedup import cuts_of, embedding_dedup, within_reach
-from graysift.llm.ngram_join import maybe_similar, sketch
+from graysift.llm.ngram_join import PartEnum, folded, maybe_similar, sketch
 from graysift.llm import url_filter
 from graysift.llm.url_filter import url_verdicts
 from tests.llm import brute
@@ -178,9 +178,25 @@ def test_sketches_lose_no_similar_pair():
             cut = int(n * share)
             sets += [np.unique(np.concatenate([base[cut:], rng.integers(0, 2**63, cut, dtype=np.uint64)])), np.unique(base[cut:])]
     sets = [s for s in sets if len(s)]
-    bits = np.frombuffer(b"".join(sketch(s) for s in sets), np.uint64).reshape(len(sets), -1)
+    bits = np.frombuffer(b"".join(sketch(s, 1024) for s in sets), np.uint64).reshape(len(sets), -1)
+    assert all(folded(sketch(s, 1024), n) == sketch(s, n) for s in sets for n in (64, 512, 1024))
     every = slice(0, len(sets))
     got = set(zip(*(x.tolist() for x in maybe_similar(bits, np.array([len(s) for s in sets]), every, every, num, den)), strict=True))
     both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets))}
     similar = {(i, j) for (i, j), n in both.items() if n * den >= (len(sets[i]) + len(sets[j]) - n) * num}
     assert similar <= got and len(got) < len(both) / 2
+
+
+def test_similar_sets_share_a_signature():
+    """Pairs that are just similar enough, the difference on either side or on both, of all sizes."""
+    rng = np.random.default_rng(6)
+    for num in (80, 90):
+        enum = PartEnum(num, 100)
+        for size in [*range(2, 60), 97, 250, 777, 3000]:
+            a = rng.integers(0, 2**63, size, dtype=np.uint64)
+            less, both = size * (100 - num) // 100, size * (100 - num) // (100 + num)
+            new = rng.integers(0, 2**63, max(both, 1), dtype=np.uint64)
+            for b in (a[less:], np.concatenate([a[both:], new[:both]])):
+                x, y = (enum.signatures(np.unique(e)) for e in (a, b))
+                one, other = set(x[0].tolist()) & set(y[0].tolist()), set(x[1].tolist()) & set(y[1].tolist())
+                assert one or other or len(np.setxor1d(a, b)) == 0, (num, size)
