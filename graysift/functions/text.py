@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 DOT = "•"
 
 
+def strip(text: Column) -> Column:
+    """Without the white space at both ends, of any kind."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def mask(value: Column) -> Column:
     """Hides the middle: an address keeps two characters and its domain, other values two at each end."""
     at = F.locate("@", value)

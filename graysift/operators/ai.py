@@ -48,9 +48,9 @@ def replies(chunks: DataFrame, ask: Callable[[list[str]], list[str | None]], id_
 
 def reply_json(content: Column) -> Column:
     """The JSON object in a reply, as text: thoughts and a code fence around it are taken away; null if there is none."""
-    plain = F.trim(F.regexp_replace(content, r"(?i)<think>[\s\S]*?</think>", ""))
+    plain = tx.strip(F.regexp_replace(content, r"(?i)<think>[\s\S]*?</think>", ""))
     fenced = F.regexp_extract(plain, r"(?i)```(?:json)?\s*([\s\S]*?)```", 1)
-    inner = F.when(plain.rlike(r"```[\s\S]*```"), F.trim(fenced)).otherwise(plain)
+    inner = F.when(plain.rlike(r"```[\s\S]*```"), tx.strip(fenced)).otherwise(plain)
     found = F.regexp_extract(inner, r"\{[\s\S]*\}", 0)
     return F.when(F.try_parse_json(found).isNotNull() & (found != ""), found)
 
@@ -73,7 +73,7 @@ def reply_findings(chunk: Column, json: Column) -> Column:
             F.lit(None).cast("array<string>").alias("terms"), F.substring(field(v, "toelichting", ""), 1, 300).alias("rationale"), _level(field(v, "zekerheid", "")).alias("confidence"),
         )
 
-    fragment = lambda v: F.substring(F.trim(field(v, "fragment", "")), 1, 200)
+    fragment = lambda v: F.substring(tx.strip(field(v, "fragment", "")), 1, 200)
     made = F.transform(F.slice(F.coalesce(items, F.array().cast("array<variant>")), 1, MAX_REPLY_FINDINGS), lambda v: let(fragment(v), lambda f: finding(v, f)))
     stands = lambda f: F.contains(chunk, f["value"]) | F.contains(squeeze(chunk), squeeze(f["value"]))
     return F.filter(made, lambda f: (f["value"] != "") & stands(f)).cast(FINDINGS)
@@ -121,7 +121,12 @@ def model_names(listing: Column) -> Column:
     return F.filter(named, lambda n: F.coalesce(n, F.lit("")) != "")
 
 
-def pick_model(names: list[str], wanted: str | None = None) -> str | None:
-    """The wanted model, one whose name holds it, else the first."""
-    matching = [n for n in names if wanted and wanted.lower() in n.lower()]
-    return (wanted if wanted in names else matching[0] if matching else names[0]) if names else None
+def pick_model(names: list[str], wanted: str | None = None) -> tuple[str | None, str | None]:
+    """(model, warning): the first if none is wanted, else the wanted one, else the first whose name holds it (letter case
+    counts), else the wanted one all the same with a warning. Without names there is no model."""
+    if not names:
+        return None, "de server draait maar heeft geen model geladen"
+    if not wanted or wanted in names:
+        return wanted or names[0], None
+    matching = next((n for n in names if wanted in n), None)
+    return matching or wanted, None if matching else f'Model "{wanted}" staat niet in de lijst. Beschikbaar: {", ".join(names)}'

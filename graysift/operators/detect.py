@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +23,25 @@ FINDINGS = f"array<{FINDING}>"
 HITS = "array<struct<no:int,start:int,value:string,terms:array<string>>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches, leftmost first, with the characters before each: what matched and what lies
-    between is folded into running positions."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("found"))
+#: Matches whose places are summed up together.
+CHUNK = 256
 
-    def step(held: Column, x: Column) -> Column:
-        start = held["at"] + F.length(x["gap"])
-        row = F.array(F.struct(start.alias("start"), x["value"].alias("value")))
-        return F.struct((start + F.length(x["value"])).alias("at"), F.concat(held["found"], row).alias("found"))
 
-    pairs = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    found = F.aggregate(pairs, first, step, lambda held: held["found"])
-    return found
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches(text: str, pattern: str) -> Column:
+    """All non-overlapping matches in a column, leftmost first, with the characters before each: what matched and what
+    lies between is folded into running positions, CHUNK matches at a time, so that the work is linear in their number.
+    (In SQL, as an expression of many parts is made in one call.)"""
+    step = "(h, x) -> named_struct('at', h.at + x.gap + length(x.value), 'found', concat(h.found, array(named_struct('start', h.at + x.gap, 'value', x.value))))"
+    placed = lambda part, at: f"aggregate({part}, named_struct('at', {at}, 'found', cast(array() as {MATCHES})), {step})"
+    parts = f"transform(sequence(0, cast(floor((size(p) - 1) / {CHUNK}) as int)), k -> slice(p, k * {CHUNK} + 1, {CHUNK}))"
+    more = f"(all, part) -> get(transform(array({placed('part', 'all.at')}), d -> named_struct('at', d.at, 'parts', concat(all.parts, array(d.found)))), 0)"
+    chunked = f"flatten(aggregate({parts}, named_struct('at', 0, 'parts', cast(array() as array<{MATCHES}>)), {more}).parts)"
+    pairs = f"get(transform(array(regexp_extract_all({text}, {quoted(pattern)}, 0)), v -> zip_with(v, slice(split({text}, {quoted(pattern)}, -1), 1, size(v)), (v, g) -> named_struct('gap', length(g), 'value', v))), 0)"
+    return F.expr(f"get(transform(array({pairs}), p -> if(size(p) <= {CHUNK}, {placed('p', '0')}.found, {chunked})), 0)")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,20 +49,93 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rule_matches(text: Column, rule: Rule, every: bool = False) -> Column:
+def rule_matches(text: str, rule: Rule, every: bool = False) -> Column:
     """The matches of a rule that pass its check and have its context words near; of names the first MAX_NAMES unless every."""
     found = matches(text, rule.pattern)
     if rule.type in CHECKS:
         found = F.filter(found, lambda m: CHECKS[rule.type](m["value"]))
     if rule.context:
         before, after = (100, 40) if rule is NAME else (120, 120)
-        found = F.filter(found, lambda m: tx.around(text, m["start"], F.length(m["value"]), before, after).rlike(rule.context))
+        found = F.filter(found, lambda m: tx.around(F.col(text), m["start"], F.length(m["value"]), before, after).rlike(rule.context))
     return F.slice(found, 1, MAX_NAMES) if rule is NAME and not every else found
 
 
-def rule_hits(text: Column, rule: Rule, no: int, every: bool = False) -> Column:
+def spellings(pattern: str) -> list[str]:
+    """All strings that a pattern of letters, choices and optional parts stands for, in lower case."""
+
+    def of(parts) -> list[str]:
+        found = [""]
+        for kind, x in parts:
+            if kind.name == "LITERAL":
+                some = [chr(x)]
+            elif kind.name == "IN":
+                some = [chr(c) for _, c in x]
+            elif kind.name == "BRANCH":
+                some = [w for branch in x[1] for w in of(branch)]
+            elif kind.name == "SUBPATTERN":
+                some = of(x[3])
+            elif kind.name == "MAX_REPEAT" and x[:2] == (0, 1):
+                some = ["", *of(x[2])]
+            else:
+                some = [""]
+            found = [f + w for f in found for w in some]
+        return found
+
+    return [w.lower() for w in of(re._parser.parse(re.sub(r"^\(\?\w+\)", "", pattern)))]
+
+
+def _pieces(pattern: str) -> list[str]:
+    """Strings of which any text that the pattern matches holds one in lower case; none that holds another."""
+    found: list[str] = []
+    for w in sorted(set(spellings(pattern)), key=len):
+        if not any(f in w for f in found):
+            found.append(w)
+    return found
+
+
+def _first_words(pattern: str) -> set[str]:
+    return {re.split(r"\W+", w)[0] for w in spellings(pattern)}
+
+
+SECRET_WORDS = _first_words(r"wachtwoord|password|passwd|pwd|geheim|secret|api[_-]?key|token|bearer")
+#: Words that begin what the rules of keywords look for.
+KEYWORDS = sorted(SECRET_WORDS | {"digid"}.union(*(_first_words(s[2]) for s in SPECIAL)))
+#: Characters that a rule takes for a letter whatever its case, though lower() does not make them that letter.
+ODD_CASE = ("\u017f\u0131\u0130\u212a", "siik")
+
+
+def _prepared(text: Column) -> Column:
+    return F.lower(F.translate(text, *ODD_CASE))
+
+
+def _keywords(low: Column) -> Column:
+    """The KEYWORDS among the words of a lower-cased text."""
+    return F.array_intersect(F.split(low, r"(?U)\W+"), F.array(*map(F.lit, KEYWORDS)))
+
+
+def _near(rule: Rule, text: Column, low: Column, words: Column, digit: Column, six: Column) -> Column:
+    """True for every text with a match of the rule, and for few others. low: _prepared(text); words: its _keywords;
+    digit, six: it holds a digit; six of them with at most a separator between."""
+    held = lambda pieces: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in pieces])
+    if rule.type == "geheim":
+        named = F.arrays_overlap(words, F.array(*map(F.lit, sorted(SECRET_WORDS)))) & text.rlike("[:=]")
+        return named | held(("sk-", "ghp_", "atk_", "akia"))
+    if rule.type == "digid":
+        return F.array_contains(words, "digid")
+    if rule.type == "email":
+        return F.contains(text, F.lit("@"))
+    context = held(_pieces(rule.context)) if rule.context and len(_pieces(rule.context)) <= 24 else None
+    if rule is NAME:
+        return context & text.rlike(rule.guard)
+    near = (six if rule.type in ("bsn", "betaalkaart", "telefoon", "big", "leerlingnummer") else digit) & text.rlike(rule.guard)
+    if rule.context:  # a slice of the text can begin or end within a word, so boundaries do not count here
+        near = near & (text.rlike(rule.context.replace(r"\b", "")) if context is None else context)
+    return near
+
+
+def rule_hits(text: str, rule: Rule, no: int, every: bool = False, near: Column | None = None) -> Column:
     """struct<found, over>: the first match of each value (letter case aside), MAX_PER_TYPE at most, and how many
-    different values there are beyond these; every: all values, none beyond."""
+    different values there are beyond these; every: all values, none beyond. near: false for texts to pass over."""
 
     def capped(found: Column, keys: Column, different: Column) -> Column:
         hit = lambda m: F.struct(F.lit(no).alias("no"), m["start"].alias("start"), m["value"].alias("value"), F.lit(None).cast("array<string>").alias("terms"))
@@ -64,18 +144,20 @@ def rule_hits(text: Column, rule: Rule, no: int, every: bool = False) -> Column:
 
     found = lambda m: let(F.transform(m, lambda x: F.lower(x["value"])), lambda keys: let(F.array_distinct(keys), lambda d: capped(m, keys, d)))
     none = F.struct(F.array().cast(HITS).alias("found"), F.lit(0).alias("over"))
-    near = text.rlike(rule.guard)
-    if rule.context:  # a slice of the text can begin or end within a word, so boundaries do not count here
-        near = near & text.rlike(rule.context.replace(r"\b", ""))
+    if near is None:
+        near = F.col(text).rlike(rule.guard)
+        if rule.context:  # a slice of the text can begin or end within a word, so boundaries do not count here
+            near = near & F.col(text).rlike(rule.context.replace(r"\b", ""))
     return F.when(near, let(rule_matches(text, rule, every), found)).otherwise(none)
 
 
-def special_hits(text: Column, pattern: str, no: int) -> Column:
-    """One hit that lists the first MAX_TERMS different words of a special category, or none."""
+def special_hits(text: str, pattern: str, no: int, near: Column | None = None) -> Column:
+    """One hit that lists the first MAX_TERMS different words of a special category, or none. near: see rule_hits."""
     terms = lambda found: F.slice(F.array_distinct(F.transform(found, lambda m: F.lower(m["value"]))), 1, MAX_TERMS)
     one = lambda found, t: F.struct(F.lit(no).alias("no"), F.get(found, F.lit(0))["start"].alias("start"), F.array_join(t, ", ").alias("value"), t.alias("terms"))
     found = let(matches(text, pattern), lambda found: let(terms(found), lambda t: one(found, t)))
-    return F.when(text.rlike(pattern), F.array(found)).otherwise(F.array().cast(HITS))
+    here = F.col(text).rlike(pattern) if near is None else near & F.col(text).rlike(pattern)
+    return F.when(here, F.array(found)).otherwise(F.array().cast(HITS))
 
 
 def _table() -> Column:
@@ -83,7 +165,7 @@ def _table() -> Column:
     rows = [(r.type, r.label, r.severity, r.category, r.note) for r in RULES] + [(t, label, HIGH, "bijzonder", SPECIAL_NOTE) for t, label, _ in SPECIAL]
     rows.append((NAME.type, NAME.label, NAME.severity, NAME.category, NAME.note))
     names = ("type", "label", "severity", "category", "note")
-    return F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names, strict=True)]) for r in rows])
+    return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{n}', {quoted(x)}" for n, x in zip(names, r, strict=True)) + ")" for r in rows) + ")")
 
 
 def _findings(text: Column, hits: Column, in_filename: bool, context: Column | None) -> Column:
@@ -97,7 +179,7 @@ def _findings(text: Column, hits: Column, in_filename: bool, context: Column | N
             (h["no"] >= len(RULES)).alias("is_signal"), h["terms"].alias("terms"), F.lit(None).cast("string").alias("rationale"), F.lit(None).cast("string").alias("confidence"),
         ).cast(FINDING)
 
-    return F.transform(hits, lambda h: let(F.get(_table(), h["no"]), lambda rule: one(h, rule)))
+    return let(_table(), lambda table: F.transform(hits, lambda h: let(F.get(table, h["no"]), lambda rule: one(h, rule))))
 
 
 def without_generic(findings: Column) -> Column:
@@ -107,21 +189,38 @@ def without_generic(findings: Column) -> Column:
     return let(specific, lambda known: F.filter(findings, lambda f: ~(f["type"].isin(*GENERIC) & covered(f, known))))
 
 
+@lru_cache(maxsize=8)
+def _columns(every: bool, gateway: int) -> tuple[dict[str, Column], Column, Column]:
+    """For with_findings: a column of hits for each rule, all hits, and the warnings. They name columns only, so they are
+    made once for a driver (gateway)."""
+    text, low, words, digit, six = (F.col(f"__{c}") for c in ("text", "low", "words", "digit", "six"))
+    rules = [*enumerate(RULES), (len(RULES) + len(SPECIAL), NAME)]
+    hits = {f"__{no}": rule_hits("__text", r, no, every, _near(r, text, low, words, digit, six)) for no, r in rules}
+    listed = lambda s: F.arrays_overlap(words, F.array(*map(F.lit, sorted(_first_words(s[2])))))
+    special = F.when(F.size(words) > 0, F.concat(*[special_hits("__text", s[2], len(RULES) + k, listed(s)) for k, s in enumerate(SPECIAL)])).otherwise(F.array().cast(HITS))
+    found = F.concat(*[F.col(f"__{no}.found") for no, _ in rules[:-1]], special, F.col(f"__{rules[-1][0]}.found"))
+    over = F.array(*[F.struct(F.lit(r.label).alias("label"), F.col(f"__{no}.over").alias("n")) for no, r in rules])
+    told = lambda x: F.concat(x["label"], F.lit(": nog "), x["n"].cast("string"), F.lit(f" andere unieke treffer(s) gevonden; alleen de eerste {MAX_PER_TYPE} staan in het rapport."))
+    return hits, found, F.transform(F.filter(over, lambda x: x["n"] > 0), told)
+
+
 def with_findings(docs: DataFrame, text: Column, into: str, warnings: str, in_filename: bool = False, context: Column | None = None, every: bool = False) -> DataFrame:
     """docs with the findings of a text and the warnings about it as array columns. Null counts as empty; an empty
     text has none of either. context: what to show instead of what stands around a finding.
 
-    Up to MAX_PER_TYPE different values of a type are listed and the others counted in a warning; every: all are listed. The columns are
-    made step by step, so that each pattern is run once; no rows are shuffled or exploded.
+    Up to MAX_PER_TYPE different values of a type are listed and the others counted in a warning; every: all are listed. The
+    columns are made in layers: the text in lower case and its keywords, whether it has digits, the hits of each rule
+    that these let through, the findings. Each pattern is run once; no rows are shuffled or exploded.
     """
-    docs = docs.withColumn("__text", F.coalesce(text, F.lit("")))
-    rules = [*enumerate(RULES), (len(RULES) + len(SPECIAL), NAME)]
-    docs = docs.withColumns({f"__{no}": rule_hits(F.col("__text"), r, no, every) for no, r in rules})
-    special = [special_hits(F.col("__text"), s[2], len(RULES) + k) for k, s in enumerate(SPECIAL)]
-    hits = F.concat(*[F.col(f"__{no}.found") for no, _ in rules[:-1]], *special, F.col(f"__{rules[-1][0]}.found"))
-    over = [F.struct(F.lit(r.label).alias("label"), F.col(f"__{no}.over").alias("n")) for no, r in rules]
-    told = lambda x: F.concat(x["label"], F.lit(": nog "), x["n"].cast("string"), F.lit(f" andere unieke treffer(s) gevonden; alleen de eerste {MAX_PER_TYPE} staan in het rapport."))
-    docs = docs.withColumns({"__hits": hits, warnings: F.transform(F.filter(F.array(*over), lambda x: x["n"] > 0), told)})
-    docs = docs.withColumn("__all", F.when(F.size("__hits") > 0, _findings(F.col("__text"), F.col("__hits"), in_filename, context)).otherwise(F.array().cast(FINDINGS)))
-    docs = docs.withColumn(into, F.when(F.size("__all") < 2, F.col("__all")).otherwise(without_generic(F.col("__all"))))
-    return docs.drop("__text", "__all", "__hits", *[f"__{no}" for no, _ in rules])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    hits, found, told = _columns(every, id(SparkContext._gateway))
+    docs = docs.select(*names, F.coalesce(text, F.lit("")).alias("__text"))
+    docs = docs.select("*", _prepared(F.col("__text")).alias("__low"), F.col("__text").rlike(r"(?U)\d").alias("__digit"))
+    six = F.col("__digit") & F.col("__text").rlike(r"(?U)\d(?:[ .\-]?\d){5}")
+    docs = docs.select("*", _keywords(F.col("__low")).alias("__words"), six.alias("__six"))
+    docs = docs.select("*", *[c.alias(n) for n, c in hits.items()])
+    docs = docs.select(*names, "__text", found.alias("__hits"), told.alias("__told"))
+    all_ = F.when(F.size("__hits") > 0, _findings(F.col("__text"), F.col("__hits"), in_filename, context)).otherwise(F.array().cast(FINDINGS))
+    docs = docs.select(*names, all_.alias("__all"), "__told")
+    return docs.select(*names, F.when(F.size("__all") < 2, F.col("__all")).otherwise(without_generic(F.col("__all"))).alias(into), F.col("__told").alias(warnings))
+

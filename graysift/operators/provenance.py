@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graysift.operators.detect import let
+
 # Names of the tags, and which audio a container takes unchanged.
 TAGS = {"AILABEL_ID": "id", "AILABEL_DST": "digitalSourceType", "AILABEL_SIG": "sig", "AILABEL_KEYID": "keyId", "AILABEL_SHA256": "sha256Original", "AILABEL_VERIFY": "verifyUrl"}
 AUDIO_KEPT = {"mp4": "^(aac|mp3|ac3|eac3|alac)$", "m4v": "^(aac|mp3|ac3|eac3|alac)$", "mov": r"^(aac|mp3|ac3|eac3|alac|pcm_\w+)$", "webm": "^(opus|vorbis)$"}
@@ -48,12 +50,17 @@ PROBE = (
 
 
 def probe_tags(probe: Column) -> Column:
-    """struct<id, verify, comment> of a media probe's JSON: names in any letter case, a stream's tags before the file's."""
+    """struct<id, verify, comment> of a media probe's JSON, names in any letter case. A stream's tag replaces one of the
+    same spelling, of the file or of a stream before it; of several spellings the one that came first counts."""
     p = F.from_json(probe, PROBE)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    streams = F.reverse(F.flatten(F.transform(p["streams"], lambda s: F.map_entries(F.coalesce(s["tags"], none)))))
-    entries = F.concat(F.coalesce(streams, F.array().cast("array<struct<key:string,value:string>>")), F.coalesce(F.map_entries(p["format"]["tags"]), F.array().cast("array<struct<key:string,value:string>>")))
-    get = lambda name: F.get(F.filter(entries, lambda e: F.lower(e["key"]) == name), F.lit(0))["value"]
+    streams = F.flatten(F.transform(p["streams"], lambda s: F.map_entries(F.coalesce(s["tags"], none))))
+    entries = F.concat(F.coalesce(F.map_entries(p["format"]["tags"]), F.map_entries(none)), F.coalesce(streams, F.map_entries(none)))
+
+    def get(name: str) -> Column:
+        named = F.filter(entries, lambda e: F.lower(e["key"]) == name)
+        return let(named, lambda n: F.try_element_at(F.filter(n, lambda e: e["key"] == F.get(n, F.lit(0))["key"]), F.lit(-1))["value"])
+
     return F.struct(get("ailabel_id").alias("id"), get("ailabel_verify").alias("verify"), get("comment").alias("comment"))
 
 
@@ -83,8 +90,10 @@ def half_up(x: Column) -> Column:
 
 
 def badge(width: Column, height: Column, sar: Column, scale: Column, text_width: Column, position: Column) -> Column:
-    """struct<height, margin, width, x, y>: a badge one sixteenth of the short side high (20 pixels and a quarter of it
-    are the bounds), shrunk to fit the width. text_width: the badge's width for each pixel of its height."""
+    """struct<height, margin, width, x, y, image_width, image_height, scaled_width>: a badge one sixteenth of the short
+    side high (20 pixels and a quarter of it are the bounds), shrunk to fit the width. text_width: the badge's width for
+    each pixel of its height. The image has a rim around the badge; x, y and scaled_width are the image's, in stored pixels.
+    """
     shown = width * sar
     short = F.least(shown, height.cast("double"))
     margin = lambda h: half_up(F.greatest(h * 0.5, short * 0.03))
@@ -94,7 +103,44 @@ def badge(width: Column, height: Column, sar: Column, scale: Column, text_width:
     h = F.when(wide > most, F.greatest(F.lit(12), F.floor(h0 * most / wide))).otherwise(h0)
     w, m = F.ceil(h * text_width), margin(h)
     bx, by = F.when(position.startswith("rechts"), shown - w - m).otherwise(m.cast("double")), F.when(position.endswith("onder"), height - h - m).otherwise(m)
-    return F.struct(h.cast("long").alias("height"), m.cast("long").alias("margin"), w.cast("long").alias("width"), half_up(bx / sar).cast("long").alias("x"), half_up(by).cast("long").alias("y"))
+    pad = F.greatest(F.lit(1), half_up(h * 0.025)) + 1
+    found = {
+        "height": h, "margin": m, "width": w, "x": half_up((bx - pad) / sar), "y": half_up(by - pad), "image_width": w + 2 * pad, "image_height": h + 2 * pad,
+        "scaled_width": F.greatest(F.lit(1), half_up((w + 2 * pad) / sar)),
+    }
+    return F.struct(*[c.cast("long").alias(n) for n, c in found.items()])
+
+
+def text_width(small: Column, widths: Column) -> Column:
+    """The badge's width for each pixel of its height: widths holds the width of each line of text for each pixel of its
+    size, small which lines are small. Without lines the badge is a square."""
+    two = F.size(widths) == 2
+    sizes = F.transform(small, lambda s: F.when(s, F.when(two, 0.21).otherwise(0.28)).otherwise(F.when(two, 0.40).otherwise(0.46)))
+    return F.when(F.size(widths) == 0, 1.0).otherwise(1.28 + F.array_max(F.zip_with(sizes, widths, lambda s, w: s * w)) + 0.40)
+
+
+def overlay_filter(index: Column, badge_: Column, matrix: Column, color_range: Column, seconds: Column) -> Column:
+    """The text of the filter that lays a badge's image over a video, for the first ``seconds`` if there are any."""
+    enable = F.when(seconds > 0, F.concat(F.lit(":enable='lte(t,"), seconds.cast("string"), F.lit(")'"))).otherwise("")
+    scale = F.format_string("[1:v]scale=w=%d:h=%d:out_color_matrix=%s:out_range=%s,format=yuva420p[lg];", badge_["scaled_width"], badge_["image_height"], matrix, F.when(color_range == "pc", "pc").otherwise("tv"))
+    return F.concat(scale, F.format_string("[0:%d][lg]overlay=x=%d:y=%d", index, badge_["x"], badge_["y"]), enable, F.lit("[v]"))
+
+
+def bit_rate(known: Column) -> Column:
+    """For the encoder that takes a rate: half as much again as the video has, 4 Mbit/s at least."""
+    return F.greatest(F.lit(4_000_000).cast("long"), half_up(F.coalesce(known, F.lit(0.0)) * 1.5))
+
+
+def sidecar(path: Column, manifest: Column) -> Column:
+    """struct<path, content> of the file beside a labelled one that holds its manifest."""
+    return F.struct(F.concat(path, F.lit(".manifest.json")).alias("path"), F.to_json(manifest, {"pretty": "true"}).alias("content"))
+
+
+def registration_facts(files: DataFrame, id_col: str = "label_id", sha_col: str = "sha256", marked_col: str = "marked_sha256") -> DataFrame:
+    """The rows for a registry: one of the original fingerprint and, where there is a marked file, one of its own."""
+    first = files.select(F.col(id_col).alias("label_id"), F.col(sha_col).alias("sha256"), F.lit("original").alias("kind"))
+    marked = files.filter(F.col(marked_col).isNotNull()).select(F.col(id_col), F.col(marked_col), F.lit("marked"))
+    return first.union(marked)
 
 
 def position(name: Column) -> Column:

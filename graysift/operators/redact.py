@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,11 @@ def redact(text: Column, findings: Column) -> Column:
         return F.struct(F.replace(held["text"], p["v"], F.concat(F.lit("[GEREDIGEERD:"), p["t"], F.lit("]"))).alias("text"), (held["n"] + times).alias("n"))
 
     return F.aggregate(pairs, first, step)
+
+
+def redacted_copies(results: DataFrame) -> DataFrame:
+    """(path, text, replaced) of the redacted copy of each plain-text file in which something was replaced: results of a scan
+    with path, kind, text and findings. The copy's name has .geschoond before its extension."""
+    rows = results.filter(F.col("kind") == "tekst").select("path", redact(F.col("text"), F.col("findings")).alias("r")).filter("r.n > 0")
+    path = F.when(F.col("path").rlike(r"[^/.][^/]*\.[^./]*$"), F.regexp_replace("path", r"(\.[^./]*)$", ".geschoond$1")).otherwise(F.concat("path", F.lit(".geschoond")))
+    return rows.select(path.alias("path"), F.col("r.text").alias("text"), F.col("r.n").alias("replaced"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graysift.functions import text as tx
 from graysift.functions.rules import ADVICE, HIGH, IDENTIFYING, LOW, MEDIUM, NONE, RANK, TOPIC_NOTE, TOPIC_SUFFIX, UNKNOWN
 from graysift.operators.detect import FINDING, let
 
@@ -19,7 +20,7 @@ def severity_of(rank_: Column) -> Column:
 
 def _key(f: Column) -> Column:
     listed = F.coalesce(F.size(f["terms"]) > 0, F.lit(False))
-    return F.when(listed, F.concat(F.lit("\x01"), f["type"])).otherwise(F.concat(f["type"], F.lit("\x00"), F.trim(F.lower(f["value"]))))
+    return F.when(listed, F.concat(F.lit("\x01"), f["type"])).otherwise(F.concat(f["type"], F.lit("\x00"), tx.strip(F.lower(f["value"]))))
 
 
 def merge_findings(findings: Column) -> Column:
@@ -72,12 +73,12 @@ def advice(verdict_: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair]), verdict_)
 
 
-def summarise(results: DataFrame, threshold: str = MEDIUM, names: bool = True) -> DataFrame:
+def summarise(results: DataFrame, threshold: str = MEDIUM, names: bool = False) -> DataFrame:
     """One row over results (name, verdict): files, a count for each verdict, the highest verdict, how many reach the
     threshold, how many could not be read, the advice; with names also the sorted names of both.
 
-    The name lists are for reports of a run; over a large corpus leave them out and filter results instead. No
-    rows: zero counts and verdict geen.
+    The name lists are one row for reports of a run of few files; over a large corpus blocked() is a table. No rows: zero
+    counts and verdict geen.
     """
     r = rank(F.col("verdict"))
     reached = (F.col("verdict") != UNKNOWN) & (r >= RANK[threshold])
@@ -93,6 +94,11 @@ def summarise(results: DataFrame, threshold: str = MEDIUM, names: bool = True) -
     return out.withColumn("threshold", F.lit(threshold)).withColumn("advice", F.concat(text, unread))
 
 
+def blocked(results: DataFrame, threshold: str = MEDIUM) -> DataFrame:
+    """The results that reach the threshold."""
+    return results.filter((F.col("verdict") != UNKNOWN) & (rank(F.col("verdict")) >= RANK[threshold]))
+
+
 def exit_code(highest: str, threshold: str = MEDIUM) -> int:
     """2 if the highest verdict reaches the threshold, else 0."""
     return 2 if RANK[highest] >= RANK[threshold] else 0

@@ -35,7 +35,7 @@ def _rule_query(rule, no: int) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Different values of the rule in each text, 25 at most, with their places."""
         rows = texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("text").rlike(rule.guard))
-        rows = rows.withColumn("hits", rule_hits(F.col("text"), rule, no)["found"]).select("doc_id", "text", F.explode("hits").alias("h"))
+        rows = rows.withColumn("hits", rule_hits("text", rule, no)["found"]).select("doc_id", "text", F.explode("hits").alias("h"))
         mask = tx.mask_secret if rule.category == "geheim" else tx.mask
         start = F.col("h.start")
         return rows.select(
@@ -48,7 +48,7 @@ def _rule_query(rule, no: int) -> Query:
 
 def special_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hits = F.concat(*[special_hits(F.col("text"), s[2], k) for k, s in enumerate(SPECIAL)])
+    hits = F.concat(*[special_hits("text", s[2], k) for k, s in enumerate(SPECIAL)])
     rows = docs.select("doc_id", F.explode(hits).alias("h"))
     types = F.array(*[F.lit(s[0]) for s in SPECIAL])
     return rows.select("doc_id", F.get(types, F.col("h.no")).alias("type"), F.col("h.value").alias("terms"), F.size("h.terms").cast("long").alias("n"), F.col("h.start").cast("long").alias("start"))
@@ -147,7 +147,7 @@ def _videos(spark: SparkSession) -> DataFrame:
 
 def badge_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = pv.badge(F.col("width"), F.col("height"), F.col("sar"), F.col("scale"), F.col("ratio"), F.col("corner"))
-    return _videos(spark).select("id", b.alias("b")).select("id", *[F.col(f"b.{c}").alias(c) for c in ("height", "margin", "width", "x", "y")])
+    return _videos(spark).select("id", b.alias("b")).select("id", *[F.col(f"b.{c}").alias(c) for c in ("height", "margin", "width", "x", "y", "image_width", "image_height", "scaled_width")])
 
 
 def codec_choices(spark: SparkSession, sf_dir: str) -> DataFrame:

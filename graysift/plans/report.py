@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graysift.functions.rules import ADVICE
 from graysift.functions.text import html_escape
+from graysift.operators.score import summarise
 
 
 def report_json(results: DataFrame, show_values: bool = False) -> Column:
@@ -35,3 +37,12 @@ def report_row(name: Column, verdict: Column, findings: Column) -> Column:
 def write_report(results: DataFrame, path: str, show_values: bool = False) -> None:
     """One JSON line for each document, as a folder of text files."""
     results.select(report_json(results, show_values).alias("value")).write.mode("overwrite").text(path)
+
+
+def report_envelope(results: DataFrame, threshold: str = "middel") -> DataFrame:
+    """What a run's report says besides its files: one row with tool, version, time and summary as JSON. Names are not
+    gathered here: blocked(results) and results with verdict onbekend are tables of any size."""
+    s = summarise(results, threshold)
+    counts = F.struct(*[F.col(f"n_{v}").alias(v) for v in ADVICE])
+    summary = F.struct(F.col("files").alias("bestanden"), counts.alias("telling"), F.col("highest").alias("hoogste_oordeel"), F.col("threshold").alias("drempel"), F.col("n_blocked").alias("geblokkeerd"), F.col("advice").alias("upload_advies"))
+    return s.select(F.to_json(F.struct(F.lit("privacy-scan").alias("tool"), F.lit(1).alias("versie"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("tijdstip"), summary.alias("samenvatting"))).alias("report"))

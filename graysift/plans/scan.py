@@ -50,4 +50,6 @@ def scan(docs: DataFrame, ai: DataFrame | None = None, id_col: str = "doc_id", e
     docs = docs.withColumn("readable", F.col("readable") | (F.size("findings") > 0))
     docs = docs.withColumn("verdict", verdict(F.col("findings"), F.col("readable")))
     docs = docs.withColumn("advice", advice(F.col("verdict")))
-    return docs.drop("__ai", "__said", "__found", "__cut", "__by_name", "__by_text", "__warnings", "__ignored", "note")
+    docs = docs.drop("__ai", "__said", "__found", "__cut", "__by_name", "__by_text", "__warnings", "__ignored", "note")
+    # As rows of a generator, so that a filter on a verdict is not pushed down through all that makes it.
+    return docs.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))

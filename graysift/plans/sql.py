@@ -167,7 +167,7 @@ SELECT doc_id, sha256(r.v) AS text_sha256, r.n AS replaced FROM (
   SELECT doc_id, text, 1 AS chunk_no, 0 AS start, CASE WHEN length(text) > 6000 AND nl(text, 0) > 3600 THEN nl(text, 0) ELSE least(length(text), 6000) END AS stop FROM documents WHERE length(text) > 0
   UNION ALL
   SELECT doc_id, text, chunk_no + 1, stop - 200, CASE WHEN length(text) > stop - 200 + 6000 AND nl(text, stop - 200) > stop - 200 + 3600 THEN nl(text, stop - 200) ELSE least(length(text), stop - 200 + 6000) END FROM c WHERE stop < length(text))
-SELECT doc_id, chunk_no::BIGINT AS chunk_no, n_chunks, start::BIGINT AS start, (stop - start)::BIGINT AS length FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_chunks FROM c) WHERE chunk_no <= 40"""
+SELECT doc_id, chunk_no::BIGINT AS chunk_no, n_chunks, start::BIGINT AS start, (stop - start)::BIGINT AS length FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_chunks FROM c)"""
     newline = lambda s: f"({s} + 6000 - instr(reverse(substr(text, {s} + 1, 6000)), chr(10)) - CASE WHEN instr(reverse(substr(text, {s} + 1, 6000)), chr(10)) = 0 THEN 1000000 ELSE 0 END)"
     found["text_chunks"] = found["text_chunks"].replace("nl(text, stop - 200)", newline("(stop - 200)")).replace("nl(text, 0)", newline("0"))
     made = "SELECT o_orderkey, lpad((o_orderkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS nine, lpad((o_orderkey * 104729987654321 % 10000000000000000)::VARCHAR, 16, '4') AS sixteen FROM orders"
@@ -186,9 +186,10 @@ SELECT p.doc_id, CASE WHEN first IS NULL THEN CASE WHEN p.doc_id % 4 = 0 THEN 'p
 b AS (SELECT *, floor(least(short / 4, greatest(20, short / 16 * scale)) + 0.5) AS h0 FROM a),
 c AS (SELECT *, ceil(h0 * ratio) AS wide, shown - 2 * floor(greatest(h0 * 0.5, short * 0.03) + 0.5) AS most FROM b),
 d AS (SELECT *, CASE WHEN wide > most THEN greatest(12, floor(h0 * most / wide)) ELSE h0 END AS bh FROM c),
-e AS (SELECT *, ceil(bh * ratio) AS bw, floor(greatest(bh * 0.5, short * 0.03) + 0.5) AS m FROM d)
-SELECT id::BIGINT AS id, bh::BIGINT AS height, m::BIGINT AS margin, bw::BIGINT AS width, floor((CASE WHEN starts_with(corner, 'rechts') THEN shown - bw - m ELSE m END) / sar + 0.5)::BIGINT AS x,
-  floor((CASE WHEN ends_with(corner, 'onder') THEN h - bh - m ELSE m END) + 0.5)::BIGINT AS y FROM e"""
+e AS (SELECT *, ceil(bh * ratio) AS bw, floor(greatest(bh * 0.5, short * 0.03) + 0.5) AS m, greatest(1, floor(bh * 0.025 + 0.5)) + 1 AS pad FROM d)
+SELECT id::BIGINT AS id, bh::BIGINT AS height, m::BIGINT AS margin, bw::BIGINT AS width, floor((CASE WHEN starts_with(corner, 'rechts') THEN shown - bw - m ELSE m END - pad) / sar + 0.5)::BIGINT AS x,
+  floor((CASE WHEN ends_with(corner, 'onder') THEN h - bh - m ELSE m END) - pad + 0.5)::BIGINT AS y, (bw + 2 * pad)::BIGINT AS image_width, (bh + 2 * pad)::BIGINT AS image_height,
+  greatest(1, floor((bw + 2 * pad) / sar + 0.5))::BIGINT AS scaled_width FROM e"""
     found["codec_choices"] = f"""SELECT id::BIGINT AS id, CASE WHEN container = 'mkv' OR container IN ('mp4', 'm4v') AND regexp_full_match(codecs, '((aac|mp3|ac3|eac3|alac),?)+') OR container = 'mov' AND regexp_full_match(codecs, '((aac|mp3|ac3|eac3|alac|pcm_\\w+),?)+')
   OR container = 'webm' AND regexp_full_match(codecs, '((opus|vorbis),?)+') THEN 'copy' WHEN container = 'webm' THEN 'libopus 160k' ELSE 'aac 192k' END AS audio,
   CASE WHEN space = 'bt709' THEN 'bt709' WHEN regexp_matches(space, 'bt470bg|smpte170m') THEN 'bt601' WHEN starts_with(space, 'bt2020') THEN 'bt2020' WHEN h >= 720 OR w >= 1280 THEN 'bt709' ELSE 'bt601' END AS matrix,

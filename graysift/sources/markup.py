@@ -21,7 +21,7 @@ def numeric_entities(text: Column) -> Column:
         values, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.split(text, pattern, -1)
         code = (lambda v: v.try_cast("long")) if number is None else (lambda v: F.conv(v, 16, 10).try_cast("long"))
         # A code point as UTF-32 bytes; decode() knows no surrogates or numbers past the last plane.
-        char = lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        char = lambda n: F.when(n.between(0, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
         pairs = F.zip_with(values, F.slice(parts, 2, F.greatest(F.size(values), F.lit(1))), lambda v, p: F.concat(char(code(v)), F.coalesce(p, F.lit(""))))
         return F.when(text.rlike(pattern), F.concat(F.get(parts, F.lit(0)), F.array_join(pairs, ""))).otherwise(text)
 

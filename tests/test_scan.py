@@ -2,13 +2,16 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from graysift.functions import checks, text as tx
+from graysift.functions.rules import RULES, SPECIAL
+from graysift.operators.detect import FINDINGS, matches, rule_hits, special_hits, spellings, with_findings
 from graysift.operators.redact import redact
-from graysift.operators.score import exit_code, summarise
+from graysift.operators.score import exit_code, merge_findings, summarise
 from graysift.plans.report import report_json
 from graysift.plans.scan import scan
 
@@ -94,7 +97,7 @@ def test_report_hides_values(results):
 
 def test_summary(spark):
     rows = spark.createDataFrame([("a.txt", "geen"), ("b.txt", "hoog"), ("scan.pdf", "onbekend")], "name string, verdict string")
-    s = summarise(rows).first()
+    s = summarise(rows, names=True).first()
     assert (s["highest"], s["blocked"], s["unreadable"], s["files"]) == ("hoog", ["b.txt"], ["scan.pdf"], 3) and "niet lezen" in s["advice"]
     assert summarise(rows.filter("name = 'x'")).first()["highest"] == "geen"
     assert exit_code("hoog") == 2 and exit_code("laag") == 0
@@ -135,3 +138,35 @@ def test_redacts_values_beyond_the_caps(spark):
     docs = spark.createDataFrame([(1, "\n".join(f"mail piet{i}@school.nl" for i in range(40)))], "doc_id long, text string")
     row = scan(docs, every=True).select(redact(F.col("text"), F.col("findings")).alias("r"), "warnings").first()
     assert row["r"]["n"] == 40 and "@" not in row["r"]["text"] and row["warnings"] == []
+
+
+def test_prefilter_lets_every_match_through(spark):
+    """Each spelling of each word list, in odd letter case too, is found as a scan without the prefilter finds it."""
+    words = [w for s in SPECIAL for w in spellings(s[2])] + ["K\u0131nker", "KANKER", "\u212aANKER", "ADD\u0130", "ATHE\u00cfST", "kan\u0138er", "d\u0131g\u0131d met wachtwoord", "D\u0130G\u0130D code"]
+    words += [f"{w}: abcd" for w in ("API_KEY", "api-key", "pa\u017fsword", "Bearer", "\u212aey")] + ["sk-" + "a" * 16, "A\u212aIA" + "B" * 16, "BSN 111-222-333", "\u0661\u0661\u0661222333 leerlingnummer 1234567"]
+    docs = spark.createDataFrame([(k, f"x {w} y") for k, w in enumerate(words)], "doc_id int, text string")
+    got = {r["doc_id"]: r["f"] for r in with_findings(docs, F.col("text"), "f", "w").collect()}
+    plain = docs.select("doc_id", *[special_hits("text", s[2], k).alias(s[0]) for k, s in enumerate(SPECIAL)], *[rule_hits("text", r, k)["found"].alias(r.type) for k, r in enumerate(RULES)])
+    for r in plain.collect():
+        want = {t for t, hits in r.asDict().items() if t != "doc_id" and hits}
+        assert {f["type"] for f in got[r["doc_id"]]} >= want - {"leerlingnummer", "big", "betaalkaart"} and {f["type"] for f in got[r["doc_id"]]} <= want, words[r["doc_id"]]
+
+
+def test_many_matches(spark):
+    """Places stay right over several chunks of matches, and the work is linear."""
+    text = " ".join(f"a{k % 700}@b.nl" for k in range(3000))
+    rows = spark.createDataFrame([(text,), ("geen",)], "text string").select(matches("text", r"(?U)\b[a-z0-9]+@b.nl\b").alias("m")).collect()
+    assert len(rows[0]["m"]) == 3000 and all(text[m["start"] : m["start"] + len(m["value"])] == m["value"] for m in rows[0]["m"]) and rows[1]["m"] == []
+    began = time.time()
+    large = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda k: F.concat(k.cast("string"), F.lit("@school.nl"))), " ").alias("text"))
+    assert scan(large.withColumn("doc_id", F.lit(1))).select(F.size("findings").alias("n")).first()["n"] == 25 and time.time() - began < 60
+
+
+def test_merging_duplicates(spark):
+    """The same value by name, text and model: counted, the highest severity, the pattern's own row; topics joined."""
+    row = lambda type_, value, severity, source, name, terms=None: (type_, f"l-{source}", severity, "c", None, value, f"m-{source}", 1, None, source, len(terms or [1]), name, bool(terms), terms, None, None)
+    found = [row("email", "A@b.nl", "laag", "ai", False), row("email", "a@B.nl ", "middel", "patroon", True), row("email", "a@b.nl", "hoog", "ai", False), row("naam", "x", "laag", "ai", False),
+             row("religie", "kerk", "hoog", "patroon", True, ["kerk"]), row("religie", "moskee, kerk", "hoog", "patroon", False, ["moskee", "kerk"]), row("email", "\ta@b.nl", "laag", "patroon", False)]
+    got = spark.createDataFrame([(found,)], f"f {FINDINGS}").select(merge_findings(F.col("f")).alias("f")).first()["f"]
+    shown = [(f["type"], f["value"], f["severity"], f["source"], f["n"], f["in_filename"]) for f in got]
+    assert shown == [("email", "a@B.nl ", "hoog", "patroon", 4, True), ("religie", "kerk, moskee", "hoog", "patroon", 2, False), ("naam", "x", "laag", "ai", 1, False)]

@@ -1,15 +1,19 @@
 """Files of every kind, model replies, provenance and streaming."""
 
 import io
+import json
 import zipfile
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from graysift.operators import ai, provenance as pv
 from graysift.plans import catalog, samples
 from graysift.plans.scan import scan
-from graysift.sources.files import extract_text, listed, read_files
+from graysift.plans.report import report_envelope
+from graysift.plans.run import Options, run, write_run
+from graysift.sources.files import extract_text, listed, read_files, shown_strings
 from graysift.sources.markup import html_text
 from graysift.streaming.verdicts import running_counts, scan_stream
 
@@ -24,18 +28,23 @@ def docx(member: str, xml: str) -> bytes:
 def test_files_of_every_kind(spark, tmp_path):
     pdf = b"%PDF-1.4 stream\n" + zlib.compress(b"BT (BSN 111222333 en meer tekst \\(zie\\)) Tj [(A) 20 (B)] TJ <4142> Tj ET") + b"\nendstream"
     files = {
-        "notitie.md": b"# Titel\nBSN 111222333\n", "test.docx": docx("word/document.xml", "<w:p><w:t>BSN 111222333</w:t></w:p>"), "leeg.docx": docx("other.xml", "x"), "kapot.docx": b"no zip",
+        "notitie.md": b"# Titel\nBSN 111222333\n", "test.docx": docx("word/document.xml", "<w:p><w:t>BSN 111222333</w:t></w:p>"), "leeg.docx": docx("other.xml", "x"), "wit.docx": docx("word/document.xml", "<w:p>\n\t </w:p>\n"), "kapot.docx": b"no zip",
         "foto.png": b"\x89PNG", "film.mp4": b"x", "a.pdf": pdf, "b.rtf": rb"{\rtf1 caf\'e9\par BSN 111222333}", "bin.dat": b"\0\1\2", "tekst.dat": b"gewoon", "p.html": "<p>&#72;&#x69; &amp;#65; &lt;b&gt;</p><script>x</script>".encode(),
-        "bad.txt": b"a\xffb",
+        "bad.txt": b"a\xffb", "_verborgen.csv": b"naam;bsn\nx;111222333\n", ".punt.txt": b"x", "groot.txt": b"z" * 5000,
     }
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
-    rows = {r["name"]: r for r in extract_text(read_files(spark, str(tmp_path))).collect()}
-    assert len(rows) == len(files)
-    assert "BSN 111222333" in rows["test.docx"]["text"] and rows["test.docx"]["text"].startswith("--- word/document.xml ---")
+    (tmp_path / "_map").mkdir()
+    (tmp_path / "_map" / "b.txt").write_bytes(b"BSN 111222333")
+    read = read_files(spark, str(tmp_path), max_bytes=4000)
+    rows = {r["name"]: r for r in extract_text(read, max_bytes=4000).collect()}
+    assert set(rows) == {*files, "b.txt"} - {".punt.txt"}
+    assert len(rows["groot.txt"]["text"]) == 4000 and rows["groot.txt"]["truncated"] and rows["groot.txt"]["bytes"] == 5000
+    assert [r["name"] for r in read_files(spark, str(tmp_path / ".punt.txt")).collect()] == [".punt.txt"]
+    assert rows["test.docx"]["text"] == "--- word/document.xml ---\nBSN 111222333" and rows["wit.docx"]["text"] == ""
     assert not rows["leeg.docx"]["readable"] and not rows["kapot.docx"]["readable"] and rows["kapot.docx"]["note"]
     assert not rows["foto.png"]["readable"] and "zelf" in rows["foto.png"]["note"] and not rows["film.mp4"]["readable"]
-    assert rows["a.pdf"]["text"] == "BSN 111222333 en meer tekst (zie) AB AB" and rows["b.rtf"]["text"].replace("\n", " ").split() == ["café", "BSN", "111222333"]
+    assert rows["a.pdf"]["text"] == "BSN 111222333 en meer tekst (zie) AB AB" and rows["b.rtf"]["text"] == "café\n BSN 111222333"
     assert not rows["bin.dat"]["readable"] and rows["tekst.dat"]["text"] == "gewoon"
     assert rows["p.html"]["text"].strip() == "Hi &#65; <b>" and rows["bad.txt"]["text"] == "a�b"
     verdicts = {r["name"]: r["verdict"] for r in scan(extract_text(read_files(spark, str(tmp_path))), id_col="path").collect()}
@@ -48,7 +57,7 @@ def test_listing(spark):
 
 
 def test_html(spark):
-    cases = [("<style>p{}</style><p>A&nbsp;B</p><!-- weg -->", " A B"), (None, ""), ("&unknown; &#0;x", "&unknown; �x")]
+    cases = [("<style>p{}</style><p>A&nbsp;B</p><!-- weg -->", " A B"), (None, ""), ("&unknown; &#0;x", "&unknown; \x00x")]
     got = spark.createDataFrame(cases, "h string, want string").withColumn("got", html_text(F.col("h"))).collect()
     assert [(r["got"], r["want"]) for r in got if r["got"] != r["want"]] == []
 
@@ -74,7 +83,8 @@ def test_asking(spark):
         raise RuntimeError("weg")
 
     assert [r["error"] for r in ai.replies(chunks, down).collect()] == ["weg"]
-    assert ai.pick_model(["a", "test-model-7b"], "7b") == "test-model-7b" and ai.pick_model([]) is None
+    assert ai.pick_model(["a", "test-model-7b"], "7b") == ("test-model-7b", None) and ai.pick_model([])[0] is None and ai.pick_model(["a"]) == ("a", None)
+    assert ai.pick_model(["Abc"], "abc")[0] == "abc" and "Abc" in ai.pick_model(["Abc"], "abc")[1]
 
 
 def test_query_asks_about_all_chunks(spark, tmp_path):
@@ -96,7 +106,7 @@ def test_query_has_all_chunks(spark, tmp_path):
 def test_probe(spark):
     video = '{"format":{"tags":{"AILABEL_id":"x","Comment":"f"},"duration":"8.0"},"streams":[{"index":0,"codec_type":"video","width":64,"height":64,"disposition":{"attached_pic":1}},{"index":1,"codec_type":"video","width":1920,"height":1080,"side_data_list":[{"rotation":-90}],"tags":{"comment":"s"}},{"codec_type":"audio","codec_name":"aac"}]}'
     r = spark.createDataFrame([(video,), ("no json",)], "p string").select(pv.probe_tags(F.col("p")).alias("t"), pv.probe_video(F.col("p")).alias("v")).collect()
-    assert (r[0]["t"]["id"], r[0]["t"]["comment"], r[0]["t"]["verify"]) == ("x", "s", None)
+    assert (r[0]["t"]["id"], r[0]["t"]["comment"], r[0]["t"]["verify"]) == ("x", "f", None)
     assert (r[0]["v"]["width"], r[0]["v"]["height"], r[0]["v"]["index"], r[0]["v"]["audio_codecs"], r[0]["v"]["duration"]) == (1080, 1920, 1, ["aac"], 8.0)
     assert r[1]["v"] is None and r[1]["t"]["id"] is None
 
@@ -116,3 +126,38 @@ def test_stream(spark, tmp_path):
     q = running_counts(stream).writeStream.format("memory").queryName("verdicts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["verdict"]: r["files"] for r in spark.sql("select * from verdicts").collect()} == {"hoog": 1, "geen": 1}
+
+
+def test_pdf_strings():
+    """Parentheses nest, odd hexadecimal digits get a 0, an escaped line end is none; what is not shown is left out."""
+    assert shown_strings(b"BT (a(b)c\\\n d\\101) Tj (weg) Tw [(x) -20 <414> (y)] TJ (z) ' ET") == ["a(b)c dA", "xA@y", "z"]
+    assert shown_strings(b"(open \\") == [] and shown_strings(b"<41 Tj") == []
+
+
+def test_run(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "_klas.csv").write_text("naam;bsn\nLeerling Piet Bakker;111222333\n")
+    (tmp_path / "in" / "leeg.txt").write_text("")
+    asked = lambda texts: ['{"bevindingen":[{"type":"adres","fragment":"Piet Bakker","ernst":"laag"}],"samenvatting":"klas"}' for _ in texts]
+    results, summary = run(spark, str(tmp_path / "in"), Options(threshold="hoog"), asked)
+    rows = {r["name"]: r for r in results.collect()}
+    assert rows["_klas.csv"]["verdict"] == "hoog" and rows["_klas.csv"]["ai_summary"] == "klas" and rows["leeg.txt"]["verdict"] == "geen"
+    assert write_run(results, summary, str(tmp_path / "out"), Options(threshold="hoog"), redact=True) == 2
+    (copy,) = spark.read.parquet(str(tmp_path / "out" / "redacted")).collect()
+    assert copy["path"].endswith("_klas.geschoond.csv") and "111222333" not in copy["text"]
+    envelope = json.loads(report_envelope(results, "hoog").first()["report"])
+    assert envelope["samenvatting"]["telling"]["hoog"] == 1 and envelope["samenvatting"]["bestanden"] == 2
+    with pytest.raises(ValueError):
+        Options(threshold="veel")
+
+
+def test_badge_places(spark):
+    """Worked by hand from the rules: height 68, rim 2 and pad 3, margin 34; stored pixels twice as wide as shown."""
+    rows = spark.createDataFrame([(1920, 1080, 1.0, "rechtsonder"), (960, 1080, 2.0, "linksboven")], "w int, h int, sar double, p string")
+    b = pv.badge(F.col("w"), F.col("h"), F.col("sar"), F.lit(1.0), F.lit(1.0), F.col("p"))
+    got = [r["b"].asDict() for r in rows.select(b.alias("b")).collect()]
+    assert got[0] == {"height": 68, "margin": 34, "width": 68, "x": 1815, "y": 975, "image_width": 74, "image_height": 74, "scaled_width": 74}
+    assert (got[1]["x"], got[1]["y"], got[1]["scaled_width"]) == (16, 31, 37)
+    text = spark.range(1).select(pv.overlay_filter(F.lit(0), F.struct(F.lit(37).alias("scaled_width"), F.lit(74).alias("image_height"), F.lit(16).alias("x"), F.lit(31).alias("y")), F.lit("bt709"), F.lit("pc"), F.lit(5)).alias("f"),
+                                 pv.text_width(F.array(F.lit(False), F.lit(True)), F.array(F.lit(5.0), F.lit(20.0))).alias("w"), pv.bit_rate(F.lit(None).cast("double")).alias("r")).first()
+    assert text["f"] == "[1:v]scale=w=37:h=74:out_color_matrix=bt709:out_range=pc,format=yuva420p[lg];[0:0][lg]overlay=x=16:y=31:enable='lte(t,5)'[v]" and abs(text["w"] - (1.28 + 4.2 + 0.4)) < 1e-9 and text["r"] == 4_000_000
