@@ -36,7 +36,7 @@ BLOCK_NODES, BLOCK_SIZE, COLUMNS = 512, 1_000_000, 4096
 #: Bits of a sketch for each element that similar sets may differ in, and 64-bit words that are looked at first.
 SKETCH_BITS, FIRST = 8, 4
 #: Sketches of a block of a cluster, and their bytes.
-BLOCK_SKETCHES, SKETCH_BYTES = 4096, 1 << 20
+BLOCK_SKETCHES, SKETCH_BYTES = 16384, 1 << 22
 #: Bits of a signature that are kept: two that agree by chance only make candidates.
 KEPT = np.uint64((1 << 40) - 1)
 
@@ -101,8 +101,9 @@ def folded(bits: bytes, n: int) -> bytes:
 def maybe_similar(bits: np.ndarray, sizes: np.ndarray, rows: slice, columns: slice, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (row, column) of the pairs whose sketches allow a similarity of num / den, none lost."""
     found = []
-    for start in range(rows.start, rows.stop, 256):
-        part = slice(start, min(start + 256, rows.stop))
+    at_once = max(16, (1 << 20) // max(1, columns.stop - columns.start))
+    for start in range(rows.start, rows.stop, at_once):
+        part = slice(start, min(start + at_once, rows.stop))
         limit = (sizes[part, None] + sizes[None, columns]) * (den - num) // (den + num)
         apart = np.abs(sizes[part, None] - sizes[None, columns])
         differ = np.zeros(limit.shape, np.uint16)
