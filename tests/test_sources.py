@@ -26,25 +26,25 @@ def docx(member: str, xml: str) -> bytes:
 
 
 def test_files_of_every_kind(spark, tmp_path):
-    pdf = b"%PDF-1.4 stream\n" + zlib.compress(b"BT (BSN 111222333 en meer tekst \\(zie\\)) Tj [(A) 20 (B)] TJ <4142> Tj ET") + b"\nendstream"
+    pdf = b"%PDF-1.4 stream\n" + zlib.compress(b"BT (BSN 206451374 en meer tekst \\(zie\\)) Tj [(A) 20 (B)] TJ <4142> Tj ET") + b"\nendstream"
     files = {
-        "notitie.md": b"# Titel\nBSN 111222333\n", "test.docx": docx("word/document.xml", "<w:p><w:t>BSN 111222333</w:t></w:p>"), "leeg.docx": docx("other.xml", "x"), "wit.docx": docx("word/document.xml", "<w:p>\n\t </w:p>\n"), "kapot.docx": b"no zip",
-        "foto.png": b"\x89PNG", "film.mp4": b"x", "a.pdf": pdf, "b.rtf": rb"{\rtf1 caf\'e9\par BSN 111222333}", "bin.dat": b"\0\1\2", "tekst.dat": b"gewoon", "p.html": "<p>&#72;&#x69; &amp;#65; &lt;b&gt;</p><script>x</script>".encode(),
-        "bad.txt": b"a\xffb", "_verborgen.csv": b"naam;bsn\nx;111222333\n", ".punt.txt": b"x", "groot.txt": b"z" * 5000,
+        "notitie.md": b"# Titel\nBSN 206451374\n", "test.docx": docx("word/document.xml", "<w:p><w:t>BSN 206451374</w:t></w:p>"), "leeg.docx": docx("other.xml", "x"), "wit.docx": docx("word/document.xml", "<w:p>\n\t </w:p>\n"), "kapot.docx": b"no zip",
+        "foto.png": b"\x89PNG", "film.mp4": b"x", "a.pdf": pdf, "b.rtf": rb"{\rtf1 caf\'e9\par BSN 206451374}", "bin.dat": b"\0\1\2", "tekst.dat": b"gewoon", "p.html": "<p>&#72;&#x69; &amp;#65; &lt;b&gt;</p><script>x</script>".encode(),
+        "bad.txt": b"a\xffb", "_verborgen.csv": b"naam;bsn\nx;206451374\n", ".punt.txt": b"x", "groot.txt": b"z" * 5000,
     }
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
     (tmp_path / "_map").mkdir()
-    (tmp_path / "_map" / "b.txt").write_bytes(b"BSN 111222333")
+    (tmp_path / "_map" / "b.txt").write_bytes(b"BSN 206451374")
     read = read_files(spark, str(tmp_path), max_bytes=4000)
     rows = {r["name"]: r for r in extract_text(read, max_bytes=4000).collect()}
     assert set(rows) == {*files, "b.txt"} - {".punt.txt"}
     assert len(rows["groot.txt"]["text"]) == 4000 and rows["groot.txt"]["truncated"] and rows["groot.txt"]["bytes"] == 5000
     assert [r["name"] for r in read_files(spark, str(tmp_path / ".punt.txt")).collect()] == [".punt.txt"]
-    assert rows["test.docx"]["text"] == "--- word/document.xml ---\nBSN 111222333" and rows["wit.docx"]["text"] == ""
+    assert rows["test.docx"]["text"] == "--- word/document.xml ---\nBSN 206451374" and rows["wit.docx"]["text"] == ""
     assert not rows["leeg.docx"]["readable"] and not rows["kapot.docx"]["readable"] and rows["kapot.docx"]["note"]
     assert not rows["foto.png"]["readable"] and "zelf" in rows["foto.png"]["note"] and not rows["film.mp4"]["readable"]
-    assert rows["a.pdf"]["text"] == "BSN 111222333 en meer tekst (zie) AB AB" and rows["b.rtf"]["text"] == "café\n BSN 111222333"
+    assert rows["a.pdf"]["text"] == "BSN 206451374 en meer tekst (zie) AB AB" and rows["b.rtf"]["text"] == "café\n BSN 206451374"
     assert not rows["bin.dat"]["readable"] and rows["tekst.dat"]["text"] == "gewoon"
     assert rows["p.html"]["text"].strip() == "Hi &#65; <b>" and rows["bad.txt"]["text"] == "a�b"
     verdicts = {r["name"]: r["verdict"] for r in scan(extract_text(read_files(spark, str(tmp_path))), id_col="path").collect()}
@@ -65,11 +65,11 @@ def test_html(spark):
 def test_replies(spark):
     said = spark.createDataFrame(samples.REPLIES, "doc_id long, chunk_no int, n_chunks int, chunk string, content string, error string")
     rows = {r["doc_id"]: r for r in ai.ai_results(said).collect()}
-    assert [f["value"] for f in rows[1]["ai_findings"]] == ["Pieter van Dijk", "veel wit en"] and rows[1]["ai_summary"] == "aanmeldformulier met naam"
+    assert [f["value"] for f in rows[1]["ai_findings"]] == ["Noor Verhoeven", "veel wit en"] and rows[1]["ai_summary"] == "inschrijving van een kind"
     assert [f["severity"] for f in rows[1]["ai_findings"]] == ["middel", "middel"] and rows[1]["ai_findings"][1]["type"] == "naam"
     assert rows[2]["ai_findings"] == [] and rows[2]["ai_used"] and "deel 2/3" in rows[2]["ai_warnings"][0]
     assert not rows[3]["ai_used"] and "geen bruikbare JSON" in rows[3]["ai_warnings"][0]
-    docs = spark.createDataFrame([(1, "Aanmeldformulier van Pieter van Dijk, groep 8. BSN 111222333")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Inschrijving voor Noor Verhoeven, klas 2B. BSN 206451374")], "doc_id long, text string")
     r = scan(docs, ai.ai_results(said)).first()
     assert r["verdict"] == "hoog" and r["ai_used"] and {"bsn", "naam"} <= {f["type"] for f in r["findings"]}
 
@@ -120,7 +120,7 @@ def test_badge_sizes(spark):
 
 
 def test_stream(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "BSN 111222333"), (2, "niets")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "BSN 206451374"), (2, "niets")], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
     stream = scan_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")))
     q = running_counts(stream).writeStream.format("memory").queryName("verdicts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -136,7 +136,7 @@ def test_pdf_strings():
 
 def test_run(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "_klas.csv").write_text("naam;bsn\nLeerling Piet Bakker;111222333\n")
+    (tmp_path / "in" / "_klas.csv").write_text("naam;bsn\nLeerling Piet Bakker;206451374\n")
     (tmp_path / "in" / "leeg.txt").write_text("")
     asked = lambda texts: ['{"bevindingen":[{"type":"adres","fragment":"Piet Bakker","ernst":"laag"}],"samenvatting":"klas"}' for _ in texts]
     results, summary = run(spark, str(tmp_path / "in"), Options(threshold="hoog"), asked)
@@ -144,7 +144,7 @@ def test_run(spark, tmp_path):
     assert rows["_klas.csv"]["verdict"] == "hoog" and rows["_klas.csv"]["ai_summary"] == "klas" and rows["leeg.txt"]["verdict"] == "geen"
     assert write_run(results, summary, str(tmp_path / "out"), Options(threshold="hoog"), redact=True) == 2
     (copy,) = spark.read.parquet(str(tmp_path / "out" / "redacted")).collect()
-    assert copy["path"].endswith("_klas.geschoond.csv") and "111222333" not in copy["text"]
+    assert copy["path"].endswith("_klas.geschoond.csv") and "206451374" not in copy["text"]
     envelope = json.loads(report_envelope(results, "hoog").first()["report"])
     assert envelope["samenvatting"]["telling"]["hoog"] == 1 and envelope["samenvatting"]["bestanden"] == 2
     with pytest.raises(ValueError):
