@@ -36,7 +36,7 @@ BLOCK_NODES, BLOCK_SIZE, COLUMNS = 512, 1_000_000, 4096
 #: Bits of a sketch for each element that similar sets may differ in, and 64-bit words that are looked at first.
 SKETCH_BITS, FIRST = 8, 4
 #: Sketches of a block of a cluster, and their bytes.
-BLOCK_SKETCHES, SKETCH_BYTES = 16384, 1 << 22
+BLOCK_SKETCHES, SKETCH_BYTES = 32768, 1 << 23
 #: Bits of a signature that are kept: two that agree by chance only make candidates.
 KEPT = np.uint64((1 << 40) - 1)
 
@@ -99,22 +99,33 @@ def folded(bits: bytes, n: int) -> bytes:
 
 
 def maybe_similar(bits: np.ndarray, sizes: np.ndarray, rows: slice, columns: slice, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (row, column) of the pairs whose sketches allow a similarity of num / den, none lost."""
-    found = []
-    at_once = max(16, (1 << 20) // max(1, columns.stop - columns.start))
-    for start in range(rows.start, rows.stop, at_once):
-        part = slice(start, min(start + at_once, rows.stop))
-        limit = (sizes[part, None] + sizes[None, columns]) * (den - num) // (den + num)
-        apart = np.abs(sizes[part, None] - sizes[None, columns])
+    """Places (row, column) of the pairs whose sketches allow a similarity of num / den, none lost. The columns are the
+    rows (each pair once, row < column) or follow them. Both are taken in order of size, so that a run of rows meets only
+    columns of a size in reach."""
+    same, found = rows == columns, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    down, across = rows.start + np.argsort(sizes[rows], kind="stable"), columns.start + np.argsort(sizes[columns], kind="stable")
+    a_bits, b_bits, a_size, b_size = bits[down], bits[across], sizes[down], sizes[across]
+    at_once = max(16, (1 << 20) // max(1, len(across)))
+    for start in range(0, len(down), at_once):
+        part = slice(start, min(start + at_once, len(down)))
+        low, high = np.searchsorted(b_size, (a_size[start] * num // den, a_size[part.stop - 1] * den // num + 1))
+        reach = slice(max(int(low), start) if same else int(low), int(high))
+        if reach.start >= reach.stop:
+            continue
+        limit = (a_size[part, None] + b_size[None, reach]) * (den - num) // (den + num)
+        apart = np.abs(a_size[part, None] - b_size[None, reach])
         differ = np.zeros(limit.shape, np.uint16)
         for w in range(min(FIRST, bits.shape[1])):
-            differ += np.bitwise_count(bits[part, w, None] ^ bits[None, columns, w])
+            differ += np.bitwise_count(a_bits[part, w, None] ^ b_bits[None, reach, w])
         i, j = np.nonzero((differ <= limit) & (apart <= limit))
-        most, i, j = limit[i, j], i + start, j + columns.start
+        most, i, j = limit[i, j], i + start, j + reach.start
         step = max(1, (1 << 20) // bits.shape[1])
-        all_bits = np.concatenate([np.bitwise_count(bits[i[k : k + step]] ^ bits[j[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), step)] or [np.zeros(0, int)])
-        close = (all_bits <= most) & (i < j)
-        found.append((i[close], j[close]))
+        all_bits = np.concatenate([np.bitwise_count(a_bits[i[k : k + step]] ^ b_bits[j[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), step)] or [np.zeros(0, int)])
+        close = all_bits <= most
+        if same:
+            close &= i < j
+        i, j = down[i[close]], across[j[close]]
+        found.append((np.minimum(i, j), np.maximum(i, j)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
