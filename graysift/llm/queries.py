@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graysift.llm import quality
+from graysift.llm.byte_bpe import decode_documents, encode_documents
+from graysift.llm.conversations import damaged, repair_conversations
 from graysift.llm.embedding_dedup import embedding_dedup
 from graysift.llm.exact_dedup import exact_dedup
 from graysift.llm.mixing import mix
 from graysift.llm.ngram_join import near_duplicates
 from graysift.llm.packing import pack_documents
 from graysift.llm.repeats import repeated_passages
+from graysift.llm.resampling import resample
 from graysift.llm.token_counts import token_counts
 from graysift.llm.token_files import token_file_index
 from graysift.llm.url_filter import url_rules as rules_of_urls, url_verdicts
@@ -159,6 +162,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decode_documents(encode_documents(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -171,6 +188,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_rules": url_rules,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,

@@ -39,6 +39,12 @@ def _even(text: str) -> bool:
     return not any(c in text and (" " + c in text or c + " " in text) for c in _SPACES)
 
 
+def units(text: str) -> list[str]:
+    """The text cut at each space that stands between two characters which are not white space, without that space. A
+    byte-level pattern that takes a space with the word after it always starts a piece there."""
+    return text.split(" ") if _even(text) else _CUT.split(text)
+
+
 def _cuts_at_spaces(path: str) -> bool:
     """The file's rules are those that units rely on: no normalizer, bytes as letters with the usual pattern and no
     space put before a text, added tokens that hold no white space and take none, no dropout."""
@@ -131,7 +137,7 @@ class Encoder:
             return self._ask([t or "" for t in texts])
         out: list[bytes] = []
         for begin in range(0, len(texts), 256):
-            split = [(t.split(" ") if _even(t) else _CUT.split(t)) if t else [] for t in texts[begin : begin + 256]]
+            split = [units(t) if t else [] for t in texts[begin : begin + 256]]
             if len(self.firsts) > self.keep // 4:
                 self.firsts = {}
             firsts = list({u[0] for u in split if u}.difference(self.firsts))
