@@ -37,8 +37,6 @@ BLOCK_NODES, BLOCK_SIZE, COLUMNS = 512, 1_000_000, 4096
 SKETCH_BITS, FIRST = 8, 4
 #: Sketches of a block of a cluster, and their bytes.
 BLOCK_SKETCHES, SKETCH_BYTES = 32768, 1 << 23
-#: Bits of a signature that are kept: two that agree by chance only make candidates.
-KEPT = np.uint64((1 << 40) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -221,7 +219,7 @@ def _signature_rows(width: int, num: int, den: int):
         enum, sigs, nodes, held, seen = PartEnum(num, den), [], [], 0, set()
 
         def combined() -> Iterator[pa.RecordBatch]:
-            sig, node = np.concatenate(sigs) & KEPT, np.concatenate(nodes)
+            sig, node = np.concatenate(sigs), np.concatenate(nodes)
             order = np.lexsort((node.view(np.int64), sig))
             sig, node = sig[order], node[order]
             first = _first(sig)
@@ -461,8 +459,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts and texts of white space have no shingles, link with nothing and are their own
     component. Rows that repeat an id come back each. Rows with a null id link with nothing (component_id
-    null). Ids are taken to be unique up to repeated rows. An empty table gives an empty table. Shingles and
-    sets are told apart by 64-bit hashes.
+    null). Ids are taken to be unique up to repeated rows. An empty table gives an empty table. Very long texts are
+    read whole. Other columns are not read, so names that clash do no harm. Shingles, sets and signatures are told apart
+    by 64-bit hashes.
     """
     documents, nodes, links = jaccard_links(docs, id_col, text_col, width, num, den)
     component = connected_components(links, "node", "with").withColumnRenamed("id", "node")
@@ -472,8 +471,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = materialize(nodes.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     named = materialize(nodes.join(least, "component").select("node", "component_id", n_links), "named")
+    # Rows without shingles or id all have one node, or one id: they need no join, and would meet in one task of it.
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    rows = documents.join(named, "node", "left")
-    return rows.select(
-        "doc_id", "n_shingles", F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(own, F.col("n_links")).otherwise(0).cast("long").alias("n_links")
-    )
+    rows = documents.filter(own).join(named, "node").select("doc_id", "n_shingles", "component_id", "n_links")
+    return rows.union(documents.filter(~own).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
