@@ -155,6 +155,30 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == set(times) and len(packed) == sum(times.values())
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows, clashing names, very long texts and empty tables, stage by stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, selected string, group_size int, keep_id string"
+    words = [f"w{k}" for k in range(50)]
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(rng.choice(words, n))
+    a, b, c = text(40), text(50), text(60_000)
+    rows = [(1, a), (2, a), (None, a), (None, b), (None, b), (3, c), (3, c), (4, text(30)), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s" if i else None, 0, "k", "s", 7, "q") for i, t in rows], schema)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, none, str(tmp_path)).collect() == []
+    assert corpus_pipeline.packing_stage(spark, none, str(tmp_path)).collect() == []
+    exact = corpus_pipeline.exact_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in exact), key=repr) == sorted([(2, a), (None, b), (3, c), (3, c), (4, rows[7][1]), (6, "")], key=repr)
+    assert {(r["kept"], r["selected"], r["group_size"], r["keep_id"]) for r in exact} == {("k", "s", 7, "q")}
+    near = corpus_pipeline.near_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] for r in near), key=repr) == sorted([1, None, None, None, 3, 3, 4, 5, 6], key=repr)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect()
+    assert all(r["text"] for r in mixed) and {r["doc_id"] for r in mixed} <= {1, 2, 3, 4, None}
+
+
 def test_near_stage_links_at_four_fifths(spark):
     """Pairs with a similarity of 0.80 to 0.85, one of just 0.8, are linked; one below is not."""
     words = lambda k, n: [f"{k}x{i}" for i in range(n)]
