@@ -16,8 +16,10 @@ from graysift.operators.score import rank, severity_of, summarise
 from graysift.plans import samples, sql
 from graysift.plans.report import report_json
 from graysift.plans.scan import scan
-from graysift.sources.files import kind_of
+from graysift.sources.files import extract_text, kind_of
 from graysift.sources.markup import html_text
+from graysift.sources.shared import shared_path
+from graysift.sources.tree import file_contents, file_digests, list_tree, write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -162,6 +164,17 @@ def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", kind_of(F.col("name")).alias("kind"), tx.human_size(F.col("bytes")).alias("size"), "verdict", tx.duration(F.col("bytes") / 1e6).alias("shown"))
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as files of a folder in the shared folder, listed, digested and read back; names begin with _."""
+    rows = table(spark, sf_dir, "pages").select(F.format_string("%d/_%d.html", F.col("page_id") % 16, F.col("page_id")).alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    folder = shared_path(spark, "page-files")
+    write_files(rows, folder)
+    files = list_tree(spark, folder)
+    digests = file_digests(files).select("path", "sha256")
+    read = extract_text(file_contents(files)).join(digests, "path")
+    return read.select("name", "kind", "bytes", "readable", "sha256", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def local_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", checks.local_endpoint(F.col("url")).alias("local"))
 
@@ -170,7 +183,7 @@ QUERIES: dict[str, Query] = {f"findings_{r.type}": _rule_query(r, k) for k, r in
     q.__name__: q
     for q in (
         special_categories, document_findings, document_verdicts, verdict_summary, verdict_by_source, redacted_documents, conversation_verdicts, page_text, page_verdicts, report_documents,
-        text_chunks, ai_findings, checksums, fingerprints, registry_check, label_tags, badge_geometry, codec_choices, file_facts, local_pages,
+        text_chunks, ai_findings, checksums, fingerprints, registry_check, label_tags, badge_geometry, codec_choices, file_facts, page_files, local_pages,
     )
 }
 SQL: dict[str, str] = sql.queries()

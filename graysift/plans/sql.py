@@ -161,6 +161,10 @@ SELECT doc_id, sha256(r.v) AS text_sha256, r.n AS replaced FROM (
     top = "['geen', 'laag', 'middel', 'hoog'][coalesce(max(list_position(['laag', 'middel', 'hoog'], verdict)), 0) + 1]"
     found["conversation_verdicts"] = f"{scanned(turns)} SELECT conv_id, count(*) AS turns, {top} AS verdict, sum(n_findings)::BIGINT AS findings FROM verdicts GROUP BY conv_id"
     found["page_text"] = html("coalesce(html, '')", "SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM (SELECT page_id, {} AS t FROM pages)")
+    found["page_files"] = html(
+        "coalesce(html, '')",
+        "SELECT '_' || page_id || '.html' AS name, 'tekst' AS kind, octet_length(encode(h)) AS bytes, true AS readable, sha256(h) AS sha256, length(t) AS n_chars, sha256(t) AS text_sha256 FROM (SELECT page_id, coalesce(html, '') AS h, {} AS t FROM pages)",
+    )
     pages = html("coalesce(html, '')", "SELECT page_id AS doc_id, {} AS text, page_id FROM pages")
     found["page_verdicts"] = f"{scanned(pages)} SELECT page_id, verdict, n_findings FROM verdicts"
     found["text_chunks"] = """WITH RECURSIVE c AS (

@@ -1,5 +1,6 @@
 """Files of every kind, model replies, provenance and streaming."""
 
+import hashlib
 import io
 import json
 import zipfile
@@ -13,7 +14,8 @@ from graysift.plans import catalog, samples
 from graysift.plans.scan import scan
 from graysift.plans.report import report_envelope
 from graysift.plans.run import Options, run, write_run
-from graysift.sources.files import extract_text, listed, read_files, shown_strings
+from graysift.sources import tree
+from graysift.sources.files import TooMuch, _unzipped, extract_text, inflated, listed, read_files, shown_strings
 from graysift.sources.markup import html_text
 from graysift.streaming.verdicts import running_counts, scan_stream
 
@@ -51,6 +53,71 @@ def test_files_of_every_kind(spark, tmp_path):
     assert verdicts["test.docx"] == "hoog" and verdicts["foto.png"] == "onbekend" and verdicts["tekst.dat"] == "geen"
 
 
+def test_file_tree(spark, tmp_path):
+    """Folders of any depth, skipped and hidden ones, links, bins of equal bytes, batches bounded by bytes."""
+    root = tmp_path / "in"
+    want = {}
+    for k in range(300):
+        at = root / f"{k % 7}" / "_x" / f"{k % 3}" / (f"_{k}.txt" if k % 2 else f".{k}")
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(bytes([k % 251]) * (k * 10))
+        want[str(at)] = k * 10
+    (root / "node_modules").mkdir()
+    (root / "node_modules" / "a.js").write_text("x")
+    (root / "loop").symlink_to(root)
+    files = tree.list_tree(spark, str(root))
+    assert {r["path"]: r["bytes"] for r in files.collect()} == want
+    assert len(tree.list_tree(spark, str(root / "1")).collect()) == 43 and tree.list_tree(spark, str(root / "0" / "_x" / "0" / ".0")).collect()[0]["bytes"] == 0
+    with pytest.raises(FileNotFoundError):
+        tree.list_tree(spark, str(tmp_path / "none"))
+    (tmp_path / "empty").mkdir()
+    assert tree.file_contents(tree.list_tree(spark, str(tmp_path / "empty"))).collect() == []
+    read = tree.file_contents(files, max_bytes=500, bin_bytes=8 * tree.OPENING)
+    cost = {r["p"]: r["c"] for r in read.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.col("bytes") + tree.OPENING).alias("c")).collect()}
+    assert len(cost) == read.rdd.getNumPartitions() > 20 and max(cost.values()) <= 9 * tree.OPENING + 3000
+    rows = read.collect()
+    assert all(bytes(r["content"]) == bytes([int(r["name"].strip("_.txt")) % 251]) * min(500, r["bytes"]) for r in rows) and len(rows) == 300
+    digests = {r["path"]: r["sha256"] for r in tree.file_digests(files).collect()}
+    assert digests == {p: hashlib.sha256(open(p, "rb").read()).hexdigest() for p in want}
+    manifest = tree.binned(files, 1 << 40)
+    reader = tree.TreeReader({"manifest": manifest, "maxBytes": "0"})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert sum(b.num_rows for b in batches) == 300 and {r["failed"] for r in rows} == {None}
+    gone = tree.file_contents(spark.createDataFrame([(str(tmp_path / "gone.txt"), 3)], "path string, bytes long")).first()
+    assert gone["content"] is None and gone["failed"].startswith("Kon dit bestand niet lezen")
+
+
+def test_batches_hold_few_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "BATCH_BYTES", 1000)
+    for k in range(20):
+        (tmp_path / f"{k}.txt").write_bytes(b"x" * 400)
+    reader = tree.TreeReader({"manifest": tree.binned(tree.list_tree(spark, str(tmp_path))), "maxBytes": "0"})
+    assert [b.num_rows for part in reader.partitions() for b in reader.read(part)] == [3] * 6 + [2]
+
+
+def test_digest_of_a_long_file(spark, tmp_path):
+    with open(tmp_path / "long.bin", "wb") as f:
+        f.write(b"head")
+        f.truncate(3 << 30)
+    with open(tmp_path / "long.bin", "rb") as f:
+        want = hashlib.file_digest(f, "sha256").hexdigest()
+    (got,) = tree.file_digests(tree.list_tree(spark, str(tmp_path))).collect()
+    assert (got["bytes"], got["sha256"]) == (3 << 30, want)
+
+
+def test_unpacking_is_bounded(spark, tmp_path):
+    """What unpacks to a thousand times its size gives a note and little memory."""
+    (tmp_path / "bom.docx").write_bytes(docx("word/document.xml", "<w:p>" + " " * 50_000_000))
+    (tmp_path / "bom.pdf").write_bytes(b"%PDF-1.4 stream\n" + zlib.compress(b"BT (x) Tj " + b" " * 50_000_000) + b"\nendstream")
+    (tmp_path / "klein.pdf").write_bytes(b"%PDF-1.4 stream\n" + zlib.compress(b"BT (genoeg tekst om te lezen) Tj") + b"\nendstream")
+    rows = {r["name"]: r for r in extract_text(read_files(spark, str(tmp_path)), max_bytes=1 << 20).collect()}
+    assert all(not rows[n]["readable"] and "betrouwbaar" in rows[n]["note"] for n in ("bom.docx", "bom.pdf")) and rows["klein.pdf"]["readable"]
+    with pytest.raises(TooMuch):
+        list(inflated(iter([b"x"] * 5), 4))
+    data = zlib.compress(b"a" * 3_000_000)
+    assert b"".join(_unzipped(data)) == b"a" * 3_000_000 and max(map(len, _unzipped(data))) <= 1 << 20
+
+
 def test_listing(spark):
     paths = [("a/.hidden",), ("a/b.txt",), ("a/node_modules/c.js",), ("dist/x.txt",), ("a/a.txt",)]
     assert [r[0] for r in listed(spark.createDataFrame(paths, "path string"), most=5).collect()] == ["a/a.txt", "a/b.txt"]
