@@ -9,20 +9,23 @@ looked up in a hash table, and closes the gap. Rows that have nothing left to me
 from __future__ import annotations
 
 import base64
+import gc
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graysift.llm.tokens import units, vocabulary_path
+from graysift.llm.tokens import MARKS, units, vocabulary_path
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Cells of a matrix, texts and characters taken together, and units that a worker remembers (about 200 bytes each).
-CELLS, TEXTS, TEXT_BYTES, MEMORY = 1 << 20, 1024, 1 << 23, 600_000
+CELLS, TEXTS, TEXT_BYTES, MEMORY = 1 << 20, 1024, 1 << 23, 400_000
+#: Texts that are decoded together.
+DECODED = 128
 #: Longer units are not remembered, and longer pieces may merge equal pairs at several places in a round.
 LONG = 64
 _NONE = np.int32(2**31 - 1)
@@ -75,10 +78,10 @@ class PairTable:
         return out.reshape(left.shape)
 
 
-def _width(n: int) -> int:
-    """The bucket of a piece of n bytes: at most a fifth of its cells are padding, but for the shortest."""
-    step = 1 << max(0, n.bit_length() - 3)
-    return -(-n // step) * step
+def _widths(lengths: np.ndarray) -> np.ndarray:
+    """The buckets of pieces by their bytes: at most a fifth of a row is padding, but for the shortest."""
+    step = 1 << np.maximum(0, np.frexp(lengths.astype(np.float64))[1] - 3)
+    return -(-lengths // step) * step
 
 
 class ByteBPE:
@@ -89,29 +92,45 @@ class ByteBPE:
 
         self.ranks, self.keep, self.spaced = ranks, keep, pattern == public_pattern()
         self.cut = regex.compile(pattern).findall
-        self.token = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        get = ranks.get
-        pairs = {a << 32 | b: r for w, r in ranks.items() for k in range(1, len(w)) if (a := get(w[:k])) is not None and (b := get(w[k:])) is not None}
-        self.pairs = PairTable(pairs)
-        #: Ids of units with the space before them, young and old, and of pieces.
+        #: Ids of units with the space before them, young and old; of words with a space, of marks, of other pieces.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    @cached_property
+    def pairs(self) -> PairTable:
+        """All pairs of tokens whose bytes together are a token."""
+        get = self.ranks.get
+        return PairTable({a << 32 | b: r for w, r in self.ranks.items() for k in range(1, len(w)) if (a := get(w[:k])) is not None and (b := get(w[k:])) is not None})
+
+    @cached_property
+    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all tokens one after the other, where each id's begin, how many they are; -1: no such id)."""
+        starts, sizes = np.zeros(max(self.ranks.values()) + 1, np.int64), np.full(max(self.ranks.values()) + 1, -1, np.int64)
+        at = 0
+        for token, rank in self.ranks.items():
+            starts[rank], sizes[rank] = at, len(token)
+            at += len(token)
+        return np.frombuffer(b"".join(self.ranks), np.uint8), starts, sizes
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces by merging, rows of one width together; as little-endian 32-bit bytes."""
-        buckets: dict[int, list[int]] = {}
-        for k, n in enumerate(map(len, pieces)):
-            buckets.setdefault(_width(n), []).append(k)
         out: list = [None] * len(pieces)
-        for width, own in buckets.items():
-            for begin in range(0, len(own), max(1, CELLS // width)):
-                part = own[begin : begin + max(1, CELLS // width)]
-                joined = b"".join([pieces[k].ljust(width, b"\0") for k in part])
-                matrix = self.bytes[np.frombuffer(joined, np.uint8)].reshape(len(part), width)
-                matrix[np.arange(width)[None, :] >= np.array([len(pieces[k]) for k in part])[:, None]] = -1
-                self._rounds(matrix, part, out)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        widths = _widths(lengths)
+        order = np.argsort(widths, kind="stable")
+        cuts = np.nonzero(np.diff(widths[order]))[0] + 1
+        for own in np.split(order, cuts):
+            width = int(widths[own[0]]) if len(own) else 0
+            for begin in range(0, len(own), max(1, CELLS // max(1, width))):
+                part = own[begin : begin + max(1, CELLS // max(1, width))]
+                names = part.tolist()
+                matrix = np.full((len(part), width), -1, np.int32)
+                matrix[np.arange(width)[None, :] < lengths[part, None]] = self.bytes[np.frombuffer(b"".join([pieces[k] for k in names]), np.uint8)]
+                self._rounds(matrix, names, out)
         return out
 
     def _rounds(self, ids: np.ndarray, names: list[int], out: list) -> None:
@@ -183,42 +202,76 @@ class ByteBPE:
             out[k, : len(r)] = r
         return out, self.pairs.ranks(out[:, :-1], out[:, 1:])
 
-    def _pieces(self, pieces: set[str]) -> None:
-        """Learns pieces. A piece that is a token is that token."""
-        rest = []
+    def _learn(self, pieces: list[str], into: dict[str, bytes], before: str = "") -> None:
+        """Ids of pieces, with a text before each. A piece that is a token is that token."""
+        rest, raws = [], []
         for p in pieces:
-            raw = p.encode()
+            raw = (before + p).encode()
             rank = self.ranks.get(raw)
             if rank is None:
-                rest.append((p, raw))
+                rest.append(p)
+                raws.append(raw)
             else:
-                self.known[p] = _LITTLE(rank)
-        self.known.update(zip([p for p, _ in rest], self.merge([raw for _, raw in rest]), strict=True))
+                into[p] = _LITTLE(rank)
+        into.update(zip(rest, self.merge(raws), strict=True))
+
+    def _units(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of units with a space before them. A word of letters is one piece with its space, and marks alone fall apart the
+        same after any."""
+        words, marks, cut, found, plain, mixed = self.words, self.marks, self.cut, {}, [], {}
+        for u in new:
+            word = u.rstrip(MARKS)
+            if word.isalpha():
+                plain.append((u, word, u[len(word) :]))
+            else:
+                mixed[u] = cut(" " + u)
+        self._learn(list({w for _, w, _ in plain}.difference(words)), words, " ")
+        tails = {t: cut(t) for t in {t for _, _, t in plain}.difference(marks)}
+        known = self.known
+        self._learn(list({p for own in (*mixed.values(), *tails.values()) for p in own}.difference(known)), known)
+        get = known.__getitem__
+        for tail, own in tails.items():
+            marks[tail] = b"".join(map(get, own))
+        for u, word, tail in plain:
+            found[u] = words[word] + marks[tail]
+        for u, own in mixed.items():
+            found[u] = b"".join(map(get, own))
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(units(t) if self.spaced else [t]) if t else [] for t in texts]
-        young, old, cut = self.young, self.old, self.cut
-        new = {u for own in split for u in own[1:] if u not in young}
-        again = {u: old[u] for u in new if u in old}
-        young |= again
-        new.difference_update(again)
-        parts = {u: cut(" " + u) for u in new}
-        firsts = [cut(own[0]) if own else [] for own in split]
-        self._pieces({p for own in (*parts.values(), *firsts) for p in own}.difference(self.known))
-        get = self.known.__getitem__
-        long = {}
-        for u, own in parts.items():
-            (young if len(u) <= LONG else long)[u] = b"".join(map(get, own))
-        unit = (lambda u: long.get(u) or young[u]) if long else young.__getitem__
-        out = [np.frombuffer(b"".join([*map(get, first), *map(unit, own[1:])]), "<i4") for first, own in zip(firsts, split, strict=True)]
+        firsts = [self.cut(own[0]) if own else [] for own in split]
+        self._learn(list({p for own in firsts for p in own}.difference(self.known)), self.known)
+        get, young, old = self.known.__getitem__, self.young, self.old
+        parts = [list(map(young.get, own[1:])) for own in split]
+        open_ = [[k for k, ids in enumerate(own) if ids is None] if None in own else () for own in parts]
+        new = {own[k + 1] for own, at in zip(split, open_, strict=True) for k in at}
+        fresh = {u: old[u] for u in new if u in old}
+        fresh |= self._units(new.difference(fresh))
+        for own, part, at in zip(split, parts, open_, strict=True):
+            for k in at:
+                part[k] = fresh[own[k + 1]]
+        out = [np.frombuffer(b"".join([*map(get, first), *part]), "<i4") for first, part in zip(firsts, parts, strict=True)]
+        young.update((u, ids) for u, ids in fresh.items() if len(u) <= LONG)
         if len(young) > self.keep // 2:
             self.young, self.old = {}, young
-        if len(self.known) > self.keep // 4 or sum(map(len, self.known)) > 16 * self.keep:
-            self.known = {}
+        if len(self.words) > self.keep // 4:
+            self.words = {}
+        if len(self.known) > self.keep // 8 or sum(map(len, self.known)) > 16 * self.keep:
+            self.known, self.marks = {}, {}
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+    def decode(self, ids: np.ndarray, ends: list[int]) -> list[bytes]:
+        """The bytes of ids up to each end."""
+        flat, starts, sizes = self.tokens
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or sizes[ids].min() < 0):
+            raise ValueError("an id that the vocabulary lacks")
+        size = sizes[ids]
+        upto = np.cumsum(size)
+        place = np.repeat(starts[ids] - upto + size, size) + np.arange(upto[-1] if len(ids) else 0)
+        whole = flat[place].tobytes()
+        cuts = np.concatenate([[0], upto])[[0, *ends]].tolist()
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -255,14 +308,18 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(path)
-        for batch in batches:
-            begin = 0
-            for texts in _some(batch["text"].to_pylist()):
-                ids = coder.encode(texts)
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(begin, len(texts)), lists], ["doc_id", "ids"])
-                begin += len(texts)
+        gc.disable()  # nothing here refers to itself, and looking through the remembered units for that is a third of the time
+        try:
+            for batch in batches:
+                begin = 0
+                for texts in _some(batch["text"].to_pylist()):
+                    ids = coder.encode(texts)
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(begin, len(texts)), lists], ["doc_id", "ids"])
+                    begin += len(texts)
+        finally:
+            gc.enable()
 
     return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -276,9 +333,11 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(path)
         for batch in batches:
-            for begin in range(0, batch.num_rows, TEXTS):
-                piece = batch.slice(begin, TEXTS)
-                texts = [coder.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in piece["ids"]]
-                yield pa.RecordBatch.from_arrays([piece["doc_id"], piece["ids"], pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+            for begin in range(0, batch.num_rows, DECODED):
+                piece = batch.slice(begin, DECODED)
+                lists = piece["ids"]
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+                texts = coder.decode(lists.flatten().to_numpy(zero_copy_only=False), ends)
+                yield pa.RecordBatch.from_arrays([piece["doc_id"], lists, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, ids array<int>, decoded binary")
