@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from graysift.functions import text as tx
 from graysift.functions.checks import CHECKS, digits
+from graysift.functions.text import let, matches, quoted
 from graysift.functions.rules import GENERIC, HIGH, MAX_NAMES, MAX_PER_TYPE, MAX_TERMS, NAME, RULES, SPECIAL, SPECIAL_NOTE, Rule
 
-MATCHES = "array<struct<start:int,value:string>>"
 FINDING = (
     "struct<type:string,label:string,severity:string,category:string,note:string,value:string,masked:string,line:int,context:string,"
     "source:string,n:int,in_filename:boolean,is_signal:boolean,terms:array<string>,rationale:string,confidence:string>"
@@ -23,30 +23,8 @@ FINDINGS = f"array<{FINDING}>"
 HITS = "array<struct<no:int,start:int,value:string,terms:array<string>>>"
 
 
-#: Matches whose places are summed up together.
-CHUNK = 256
-
-
-def quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def matches(text: str, pattern: str) -> Column:
-    """All non-overlapping matches in a column, leftmost first, with the characters before each: what matched and what
-    lies between is folded into running positions, CHUNK matches at a time, so that the work is linear in their number.
-    (In SQL, as an expression of many parts is made in one call.)"""
-    step = "(h, x) -> named_struct('at', h.at + x.gap + length(x.value), 'found', concat(h.found, array(named_struct('start', h.at + x.gap, 'value', x.value))))"
-    placed = lambda part, at: f"aggregate({part}, named_struct('at', {at}, 'found', cast(array() as {MATCHES})), {step})"
-    parts = f"transform(sequence(0, cast(floor((size(p) - 1) / {CHUNK}) as int)), k -> slice(p, k * {CHUNK} + 1, {CHUNK}))"
-    more = f"(all, part) -> get(transform(array({placed('part', 'all.at')}), d -> named_struct('at', d.at, 'parts', concat(all.parts, array(d.found)))), 0)"
-    chunked = f"flatten(aggregate({parts}, named_struct('at', 0, 'parts', cast(array() as array<{MATCHES}>)), {more}).parts)"
-    pairs = f"get(transform(array(regexp_extract_all({text}, {quoted(pattern)}, 0)), v -> zip_with(v, slice(split({text}, {quoted(pattern)}, -1), 1, size(v)), (v, g) -> named_struct('gap', length(g), 'value', v))), 0)"
-    return F.expr(f"get(transform(array({pairs}), p -> if(size(p) <= {CHUNK}, {placed('p', '0')}.found, {chunked})), 0)")
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Hits, or matches that need words near them, from which on a text is taken apart into blocks first.
+MANY = 64
 
 
 def rule_matches(text: str, rule: Rule, every: bool = False) -> Column:
@@ -56,7 +34,10 @@ def rule_matches(text: str, rule: Rule, every: bool = False) -> Column:
         found = F.filter(found, lambda m: CHECKS[rule.type](m["value"]))
     if rule.context:
         before, after = (100, 40) if rule is NAME else (120, 120)
-        found = F.filter(found, lambda m: tx.around(F.col(text), m["start"], F.length(m["value"]), before, after).rlike(rule.context))
+        near = lambda m, held: tx.around(F.col(text), m["start"], F.length(m["value"]), before, after, held).rlike(rule.context)
+        few = lambda all_: F.filter(all_, lambda m: near(m, None))
+        many = lambda all_: let(tx.blocks(F.col(text)), lambda held: F.filter(all_, lambda m: near(m, held)))
+        found = let(found, lambda all_: F.when(F.size(all_) <= MANY, few(all_)).otherwise(many(all_)))
     return F.slice(found, 1, MAX_NAMES) if rule is NAME and not every else found
 
 
@@ -139,7 +120,10 @@ def rule_hits(text: str, rule: Rule, no: int, every: bool = False, near: Column
 
     def capped(found: Column, keys: Column, different: Column) -> Column:
         hit = lambda m: F.struct(F.lit(no).alias("no"), m["start"].alias("start"), m["value"].alias("value"), F.lit(None).cast("array<string>").alias("terms"))
-        firsts = F.transform(different if every else F.slice(different, 1, MAX_PER_TYPE), lambda k: hit(F.get(found, F.array_position(keys, k).cast("int") - 1)))
+        if every:
+            firsts = F.transform(tx.first_places(keys), lambda i: hit(F.get(found, i)))
+        else:
+            firsts = F.transform(F.slice(different, 1, MAX_PER_TYPE), lambda k: hit(F.get(found, F.array_position(keys, k).cast("int") - 1)))
         return F.struct(firsts.alias("found"), (F.lit(0) if every else F.greatest(F.size(different) - MAX_PER_TYPE, F.lit(0))).alias("over"))
 
     found = lambda m: let(F.transform(m, lambda x: F.lower(x["value"])), lambda keys: let(F.array_distinct(keys), lambda d: capped(m, keys, d)))
@@ -169,17 +153,29 @@ def _table() -> Column:
 
 
 def _findings(text: Column, hits: Column, in_filename: bool, context: Column | None) -> Column:
-    def one(h: Column, rule: Column) -> Column:
+
+    def one(h: Column, rule: Column, known: Column | None) -> Column:
         length = F.length(F.coalesce(F.get(h["terms"], F.lit(0)), h["value"]))
         masked = F.when(h["terms"].isNotNull(), h["value"]).when(rule["category"] == "geheim", tx.mask_secret(h["value"])).otherwise(tx.mask(h["value"]))
         return F.struct(
             *[rule[c].alias(c) for c in ("type", "label", "severity", "category", "note")], h["value"].alias("value"), masked.alias("masked"),
-            (F.lit(0) if in_filename else tx.line_number(text, h["start"])).alias("line"), (tx.snippet(text, h["start"], length) if context is None else context).alias("context"),
+            line(h["start"], known).alias("line"), (around(h["start"], length, known) if context is None else context).alias("context"),
             F.lit("patroon").alias("source"), F.coalesce(F.size(h["terms"]), F.lit(1)).alias("n"), F.lit(in_filename).alias("in_filename"),
             (h["no"] >= len(RULES)).alias("is_signal"), h["terms"].alias("terms"), F.lit(None).cast("string").alias("rationale"), F.lit(None).cast("string").alias("confidence"),
         ).cast(FINDING)
 
-    return let(_table(), lambda table: F.transform(hits, lambda h: let(F.get(table, h["no"]), lambda rule: one(h, rule))))
+    def line(start: Column, known: Column | None) -> Column:
+        if in_filename:
+            return F.lit(0)
+        return tx.line_number(text, start) if known is None else tx.count_below(known["newlines"], start) + 1
+
+    def around(start: Column, length: Column, known: Column | None) -> Column:
+        return tx.snippet(text, start, length) if known is None else tx.snippet(text, start, length, n=known["n"], held=known["blocks"])
+
+    listed = lambda known: let(_table(), lambda table: F.transform(hits, lambda h: let(F.get(table, h["no"]), lambda rule: one(h, rule, known))))
+    if in_filename:
+        return listed(None)
+    return F.when(F.size(hits) <= MANY, listed(None)).otherwise(let(tx.index(text), listed))
 
 
 def without_generic(findings: Column) -> Column:

@@ -50,9 +50,13 @@ def merge_findings(findings: Column) -> Column:
         return let(chosen, lambda c: let(terms, lambda t: let(text, lambda x: merged(same, c, t, x))))
 
     def ordered(keys: Column) -> Column:
-        groups = F.transform(F.array_distinct(keys), lambda k: one(F.filter(findings, lambda f, i: F.get(keys, i) == k)))
-        rows = F.transform(groups, lambda f, i: F.struct((-rank(f["severity"])).alias("o"), f["type"].alias("t"), i.alias("i"), f.alias("f")))
-        return F.transform(F.array_sort(rows), lambda x: x["f"])
+        """keys sorted with their places: each run of equal ones is one group, whose first place is its own."""
+        rows = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (F.get(s, j - 1)["k"] != F.get(s, j)["k"]))
+        run = lambda s, at, j: tx.items(s, F.get(at, j), F.coalesce(F.get(at, j + 1), F.size(s)) - 1)
+        runs = let(rows, lambda s: let(starts(s), lambda at: F.transform(at, lambda _, j: F.transform(run(s, at, j), lambda x: x["i"]))))
+        groups = F.transform(runs, lambda places: let(one(F.transform(places, lambda i: F.get(findings, i))), lambda f: F.struct((-rank(f["severity"])).alias("o"), f["type"].alias("t"), F.get(places, F.lit(0)).alias("i"), f.alias("f"))))
+        return F.transform(F.array_sort(groups), lambda x: x["f"])
 
     return let(F.transform(findings, _key), ordered)
 

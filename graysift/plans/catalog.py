@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from graysift.functions import checks, text as tx
 from graysift.functions.rules import ADVICE, NAME, RULES, SPECIAL
 from graysift.operators import ai, provenance as pv
-from graysift.operators.detect import rule_hits, special_hits
-from graysift.operators.redact import redact
-from graysift.operators.score import rank, severity_of, summarise
+from graysift.operators.detect import FINDINGS, rule_hits, special_hits
+from graysift.operators.redact import redact, redacted_texts
+from graysift.operators.score import merge_findings, rank, severity_of, summarise
 from graysift.plans import samples, sql
 from graysift.plans.report import report_json
 from graysift.plans.scan import scan
@@ -81,6 +81,39 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2("r.text", 256).alias("text_sha256"), F.col("r.n").cast("long").alias("replaced"))
 
 
+def redacted_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with all values replaced, also those beyond the report's caps."""
+    rows = redacted_texts(scan(texts(spark, sf_dir), every=True))
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "replaced")
+
+
+def merged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses of each text as findings of its name (the first), of its text and, in capitals, of a model (every second),
+    merged."""
+    rows = texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.contains("text", F.lit("@")))
+    found = tx.let(tx.matches("text", RULES[3].pattern), lambda m: F.concat(*[F.transform(F.filter(m, keep), make) for keep, make in _SOURCES]))
+    rows = rows.select("doc_id", merge_findings(found.cast(FINDINGS)).alias("f"))
+    rows = rows.select("doc_id", F.inline(F.transform("f", lambda f, i: F.struct(i.cast("long").alias("pos"), f["value"].alias("value"), f["n"].cast("long").alias("n"), f["severity"].alias("severity"), f["in_filename"].alias("in_filename")))))
+    return rows
+
+
+def _as_finding(m, i, source: str, severity, by_name: bool, upper: bool = False):
+    none = F.lit(None).cast("string")
+    return F.struct(
+        F.lit("email").alias("type"), none.alias("label"), severity.alias("severity"), F.lit("contact").alias("category"), none.alias("note"), (F.upper(m["value"]) if upper else m["value"]).alias("value"),
+        none.alias("masked"), F.lit(0).alias("line"), none.alias("context"), F.lit(source).alias("source"), F.lit(1).alias("n"), F.lit(by_name).alias("in_filename"), F.lit(False).alias("is_signal"),
+        F.lit(None).cast("array<string>").alias("terms"), none.alias("rationale"), none.alias("confidence"),
+    )
+
+
+#: Which matches are findings of the name, the text and the model, and as what.
+_SOURCES = (
+    (lambda m, i: i == 0, lambda m, i: _as_finding(m, i, "patroon", F.lit("middel"), True)),
+    (lambda m, i: i >= 0, lambda m, i: _as_finding(m, i, "patroon", F.lit("middel"), False)),
+    (lambda m, i: i % 2 == 0, lambda m, i: _as_finding(m, i, "ai", F.when(i % 3 == 1, "hoog").otherwise("laag"), False, True)),
+)
+
+
 def conversation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), id_col="conv_id")
     return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), severity_of(F.max(rank(F.col("verdict")))).alias("verdict"), F.sum(F.size("findings")).cast("long").alias("findings"))
@@ -182,7 +215,7 @@ def local_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f"findings_{r.type}": _rule_query(r, k) for k, r in enumerate((*RULES, NAME))} | {
     q.__name__: q
     for q in (
-        special_categories, document_findings, document_verdicts, verdict_summary, verdict_by_source, redacted_documents, conversation_verdicts, page_text, page_verdicts, report_documents,
+        special_categories, document_findings, document_verdicts, verdict_summary, verdict_by_source, redacted_documents, redacted_every, merged_findings, conversation_verdicts, page_text, page_verdicts, report_documents,
         text_chunks, ai_findings, checksums, fingerprints, registry_check, label_tags, badge_geometry, codec_choices, file_facts, page_files, local_pages,
     )
 }

@@ -56,8 +56,8 @@ def places(source: str, t: str, pattern: str) -> str:
     SELECT doc_id, text, t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM (SELECT doc_id, text, {t} AS t FROM {source}) WHERE regexp_matches(t, '{pattern}'))))"""
 
 
-def hits(rule, source: str = "texts") -> str:
-    """Rows (doc_id, text, start, value) of a rule as the engine lists them: checked, in context, different, capped."""
+def hits(rule, source: str = "texts", every: bool = False) -> str:
+    """Rows (doc_id, text, start, value) of a rule as the engine lists them: checked, in context, different, capped unless every."""
     t, pattern = LATIN if rule is NAME else ASCII, re2(rule.pattern)
     if rule.type == "bsn":
         found = places(source, t, r"[0-9]+(?:[ .\-][0-9]+)*")
@@ -72,10 +72,10 @@ def hits(rule, source: str = "texts") -> str:
     if rule.context:
         before, after = (100, 40) if rule is NAME else (120, 120)
         found = f"SELECT * FROM ({found}) WHERE regexp_matches(substr(t, greatest(start - {before}, 0) + 1, start + length(value) + {after} - greatest(start - {before}, 0)), '{re2(rule.context)}')"
-    if rule is NAME:
+    if rule is NAME and not every:
         found = f"SELECT * FROM ({found}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start) <= {MAX_NAMES}"
     found = f"SELECT * FROM ({found}) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY start) = 1"
-    return f"SELECT doc_id, text, start, value, count(*) OVER (PARTITION BY doc_id) AS different FROM ({found}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start) <= {MAX_PER_TYPE}"
+    return f"SELECT doc_id, text, start, value, count(*) OVER (PARTITION BY doc_id) AS different FROM ({found}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start) <= {10**9 if every else MAX_PER_TYPE}"
 
 
 def special(pattern: str, source: str = "texts") -> str:
@@ -99,12 +99,12 @@ def rule_query(rule) -> str:
     return f"WITH texts AS ({TEXTS}) SELECT doc_id, start, value, {mask} AS masked, {LINE} AS line, {CONTEXT} AS context FROM ({hits(rule)})"
 
 
-def scanned(source_sql: str) -> str:
+def scanned(source_sql: str, every: bool = False) -> str:
     """CTEs: found (doc_id, no, type, label, severity, rank, category, start, value, n), over (doc_id, warnings) and
     verdicts (doc_id, verdict, n_findings) for the rows (doc_id, text) of a source."""
     rules = [(k, r.type, r.label, r.severity, RANK[r.severity], r.category) for k, r in enumerate(RULES)]
     rules += [(len(RULES) + k, s[0], s[1], "hoog", 3, "bijzonder") for k, s in enumerate(SPECIAL)] + [(len(RULES) + len(SPECIAL), NAME.type, NAME.label, NAME.severity, RANK[NAME.severity], NAME.category)]
-    parts = [f"SELECT doc_id, text, {k} AS no, start, value, 1 AS n, different FROM ({hits(r)})" for k, r in [*enumerate(RULES), (len(rules) - 1, NAME)]]
+    parts = [f"SELECT doc_id, text, {k} AS no, start, value, 1 AS n, different FROM ({hits(r, every=every)})" for k, r in [*enumerate(RULES), (len(rules) - 1, NAME)]]
     parts += [f"SELECT doc_id, text, {len(RULES) + k}, start, value, n, 0 FROM ({special(s[2])})" for k, s in enumerate(SPECIAL)]
     generic, person = ", ".join(map(quoted, GENERIC)), ", ".join(map(quoted, IDENTIFYING))
     return f"""WITH texts AS ({source_sql}),
@@ -145,10 +145,19 @@ def queries() -> dict[str, str]:
         f"CASE WHEN {reached} = 0 THEN 'Alle bestanden blijven onder de drempel — uploaden kan.' ELSE {reached} || ' van ' || count(*) || ' bestand(en) haalt de drempel \"middel\" of hoger. Schoon die eerst op.' END AS advice FROM verdicts"
     )
     found["verdict_by_source"] = f"{full} SELECT source, verdict, count(*) AS files, sum(n_findings)::BIGINT AS findings FROM verdicts GROUP BY ALL"
-    found["redacted_documents"] = f"""{full}, pairs AS (SELECT doc_id, list({{v: value, k: type, n: 0::BIGINT}} ORDER BY length(value) DESC, value, type) AS p FROM found WHERE category <> 'bijzonder' AND length(value) >= 3 GROUP BY doc_id)
+    redacted = """, pairs AS (SELECT doc_id, list({v: value, k: type, n: 0::BIGINT} ORDER BY length(value) DESC, value, type) AS p FROM found WHERE category <> 'bijzonder' AND length(value) >= 3 GROUP BY doc_id)
 SELECT doc_id, sha256(r.v) AS text_sha256, r.n AS replaced FROM (
-  SELECT doc_id, list_reduce(list_prepend({{v: text, k: '', n: 0::BIGINT}}, coalesce(p, [])), lambda a, b: {{v: replace(a.v, b.v, '[GEREDIGEERD:' || b.k || ']'), k: '', n: a.n + ((length(a.v) - length(replace(a.v, b.v, ''))) // length(b.v))::BIGINT}}) AS r
+  SELECT doc_id, list_reduce(list_prepend({v: text, k: '', n: 0::BIGINT}, coalesce(p, [])), lambda a, b: {v: replace(a.v, b.v, '[GEREDIGEERD:' || b.k || ']'), k: '', n: a.n + ((length(a.v) - length(replace(a.v, b.v, ''))) // length(b.v))::BIGINT}) AS r
   FROM texts LEFT JOIN pairs USING (doc_id))"""
+    found["redacted_documents"] = full + redacted
+    found["redacted_every"] = scanned(TEXTS, every=True) + redacted
+    found["merged_findings"] = f"""WITH t AS (SELECT doc_id, text, regexp_extract_all({ASCII}, '{re2(RULES[3].pattern)}') AS m FROM ({TEXTS})),
+a AS (SELECT doc_id, unnest(m) AS value, unnest(range(1, len(m) + 1)) AS i FROM t),
+f AS (SELECT doc_id, value, 0 AS part, i, 'patroon' AS source, 2 AS rank, true AS by_name FROM a WHERE i = 1 UNION ALL SELECT doc_id, value, 1, i, 'patroon', 2, false FROM a
+  UNION ALL SELECT doc_id, upper(value), 2, i, 'ai', CASE WHEN i % 3 = 0 THEN 3 ELSE 1 END, false FROM a WHERE i % 2 = 1),
+g AS (SELECT doc_id, lower(value) AS k, count(*) AS n, max(rank) AS rank, min(part * 1000000000 + i) AS place, arg_min(value, (source <> 'patroon')::INT * 10000000000 + part * 1000000000 + i) AS value,
+  arg_min(by_name, (source <> 'patroon')::INT * 10000000000 + part * 1000000000 + i) AS in_filename FROM f GROUP BY doc_id, lower(value))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, place) - 1 AS pos, value, n, ['laag', 'middel', 'hoog'][rank] AS severity, in_filename FROM g"""
     kinds = " ".join(f"WHEN list_contains([{', '.join(map(quoted, e))}], e) THEN '{k}'" for e, k in ((TEXT, "tekst"), (ARCHIVES, "document"), (["pdf"], "pdf"), (["rtf"], "rtf"), (IMAGES, "afbeelding"), (MEDIA, "media")))
     unit = "CASE WHEN bytes < 1000 THEN bytes || ' B' " + " ".join(
         f"WHEN {f'bytes < {top}' if top else 'TRUE'} THEN CASE WHEN bytes / {by} >= 100 THEN round_even(bytes / {by}, 0)::BIGINT::VARCHAR ELSE printf('%.1f', bytes / {by}) END || ' {u}'"

@@ -10,26 +10,20 @@ from pyspark.sql import functions as F
 from graysift.functions import checks, text as tx
 from graysift.functions.rules import RULES, SPECIAL
 from graysift.operators.detect import FINDINGS, matches, rule_hits, special_hits, spellings, with_findings
-from graysift.operators.redact import redact
+from graysift.operators.redact import redact, redacted_texts, swept
 from graysift.operators.score import exit_code, merge_findings, summarise
 from graysift.plans.report import report_json
+from graysift.plans.samples import DRAWN, citizen_number
 from graysift.plans.scan import scan
 
-TEXTS = {
-    "core": "Deelnemer: Mila van Dongen\nnummer (bsn) 206451374\nrekening BE68539007547034\nschrijf naar mila.d@lyceum.nl\nof bel 020-5550199\n1017 AB Amsterdam\nleeftijd 15, 02-11-2010",
-    "noise": "Vragen: hulp@example.org. De markt is op 07-09-2023.",
-    "end": "Nummer 206451374.",
-    "brackets": "[nummer 206451374]",
-    "order": "pakket 730155208841 van vorig jaar",
-    "version": "bouw 4.206451374.7 is klaar",
-    "phone": "Of 0611223344.",
-    "double": "Cursistnummer, ook het burgernummer: 206451374",
-    "special": "Dyslexie vastgesteld; een psycholoog start met revalidatie.",
-    "secret": "pwd = Winterjas#7 met token: sk-zyxwvutsrqponmlkjihg",
-    "person": "Dyslexie van de cursist met nummer 206451374.",
-    "many": "\n".join(f"lid{i}@vereniging.nl" for i in range(40)),
-    "redact": "Deelnemer: Mila van Dongen, nummer 206451374, heeft dyslexie.",
-    "unicode": "Één regel 😀\nATHEÏST en mila@lyceum.nl",
+OWN = citizen_number(random.Random(77))
+CASES = {
+    "topics": "In de klas: vingerafdruk nemen, later een irisscan. Ook ramadan en moskee kwamen ter sprake, en weer RAMADAN.",
+    "topics and person": f"In de klas: vingerafdruk nemen. Het loket schreef {OWN} op.",
+    "accents": "Zeg 😀 eens\nzij is BOEDDHISTISCH of atheïst\npost: a.b@vijver.eu",
+    "crowd": "\n".join(f"gast{k}@vijver{k % 7}.eu" for k in range(61)),
+    "secret in capitals": "API-KEY = Zomerhoed/8 en daarna ghp_" + "q" * 24,
+    "number with a word for another": f"medewerkernummer en burgernummer {OWN}",
     "empty": "",
     "null": None,
 }
@@ -37,62 +31,102 @@ TEXTS = {
 
 @pytest.fixture(scope="module")
 def results(spark):
-    rows = [(k, "map-206451374-intake.txt" if k == "noise" else f"{k}.txt", t) for k, t in TEXTS.items()]
+    rows = [(k, "plan.txt", t) for k, t in CASES.items()] + [(f"drawn {k}", "plan.txt", x.text) for k, x in enumerate(DRAWN)] + [("named", f"brief_{OWN}_jan.txt", "niets")]
+    rows += [(f"border {k}", "plan.txt", t.replace("#", OWN)) for k, (t, _) in enumerate(BORDERS)]
     df = scan(spark.createDataFrame(rows, "doc_id string, name string, text string"))
     df = df.withColumn("r", redact(F.col("text"), F.col("findings"))).withColumn("report", report_json(df))
     return {r["doc_id"]: r for r in df.collect()}
 
 
+#: Where a number may and may not stand to be one.
+BORDERS = [
+    ("#", True), ("ja #!", True), ("<#>", True), ("a:#;b", True), ("#\n#", True), ("x #\ty", True), ("é#é", True), ("1#", False), ("#0", False), ("8.#", False), ("8-# jaar", False), ("#.5", False), ("# 4", False), ("#-7", False),
+]
+
+
 def types(row):
     return {f["type"] for f in row["findings"]}
 
 
-def test_core_types(results):
-    assert {"bsn", "iban", "email", "telefoon", "postcode", "geboortedatum", "naam"} <= types(results["core"])
-    lines = {f["type"]: f["line"] for f in results["core"]["findings"]}
-    assert (lines["bsn"], lines["iban"], lines["geboortedatum"]) == (2, 3, 7)
+def test_drawn_texts(results):
+    """What the generator put into a text is found with its value and line, what only looks like it is not."""
+    for k, sample in enumerate(DRAWN):
+        found = {(f["type"], f["value"]): f for f in results[f"drawn {k}"]["findings"]}
+        assert set(sample.wanted) <= set(found), sample
+        assert not {v for _, v in found} & set(sample.unwanted), sample
+        for kind, value in sample.wanted:
+            assert sample.text.split("\n")[found[kind, value]["line"] - 1].count(value), sample
+    assert len({kind for s in DRAWN for kind, _ in s.wanted}) >= 13 and sum(bool(s.unwanted) for s in DRAWN) > 8
 
 
-def test_noise_and_borders(results):
-    assert types(results["noise"]) == {"bsn"} and results["noise"]["findings"][0]["in_filename"]
-    assert "bsn" in types(results["end"]) and "bsn" in types(results["brackets"]) and "telefoon" in types(results["phone"])
-    assert "bsn" not in types(results["order"]) | types(results["version"])
+def test_borders(results):
+    assert [(t, "bsn" in types(results[f"border {k}"])) for k, (t, _) in enumerate(BORDERS)] == BORDERS
 
 
-def test_generic_numbers_give_way(results):
-    assert types(results["double"]) == {"bsn"}
+def test_names_of_files_count(results):
+    (f,) = results["named"]["findings"]
+    assert (f["type"], f["value"], f["in_filename"], f["line"]) == ("bsn", OWN, True, 0)
 
 
-def test_special_category_is_one_finding(results):
-    (f,) = [f for f in results["special"]["findings"] if f["type"] == "gezondheid"]
-    assert f["n"] >= 3 and f["masked"] == f["value"] and f["terms"][0] == "dyslexie"
-    assert results["special"]["verdict"] == "laag" and f["label"].endswith("(onderwerp)")
-    assert results["person"]["verdict"] == "hoog"
+def test_plain_numbers_give_way(results):
+    assert types(results["number with a word for another"]) == {"bsn"}
 
 
-def test_secrets_and_caps(results):
-    assert any(f["type"] == "geheim" and f["severity"] == "hoog" for f in results["secret"]["findings"])
-    assert len(results["many"]["findings"]) == 25 and "nog 15 andere" in results["many"]["warnings"][0]
+def test_topics(results):
+    found = {f["type"]: f for f in results["topics"]["findings"]}
+    assert found["biometrie"]["terms"] == ["vingerafdruk", "irisscan"] and found["religie"]["terms"] == ["ramadan", "moskee"]
+    assert results["topics"]["verdict"] == "laag" and all(f["label"].endswith("(onderwerp)") and f["masked"] == f["value"] for f in found.values())
+    assert results["topics and person"]["verdict"] == "hoog" and types(results["topics and person"]) == {"biometrie", "bsn"}
+    found = {f["type"]: f for f in results["accents"]["findings"]}
+    assert found["religie"]["terms"] == ["boeddhistisch", "atheïst"] and found["email"]["line"] == 3
 
 
-def test_unicode(results):
-    found = {f["type"]: f for f in results["unicode"]["findings"]}
-    assert found["religie"]["terms"] == ["atheïst"] and found["email"]["line"] == 2
+def test_secrets_and_caps(results):
+    secrets = [f for f in results["secret in capitals"]["findings"] if f["type"] == "geheim"]
+    assert len(secrets) == 2 and all(f["severity"] == "hoog" and "•" in f["masked"] for f in secrets)
+    assert len(results["crowd"]["findings"]) == 25 and "nog 36 andere" in results["crowd"]["warnings"][0]
 
 
 def test_empty(results):
     for k in ("empty", "null"):
-        assert results[k]["verdict"] == "geen" and results[k]["findings"] == [] and results[k]["warnings"] == []
+        assert results[k]["verdict"] == "geen" and results[k]["findings"] == [] and results[k]["warnings"] == [] and results[k]["r"]["text"] == ""
 
 
 def test_redaction(results):
-    text = results["redact"]["r"]["text"]
-    assert "206451374" not in text and "Mila van Dongen" not in text and "[GEREDIGEERD:bsn]" in text and "dyslexie" in text
-    assert results["redact"]["r"]["n"] >= 2 and results["null"]["r"]["text"] == ""
+    """Of every drawn text the listed values go, labels stand in their places, words of topics stay."""
+    for k in range(len(DRAWN)):
+        row = results[f"drawn {k}"]
+        values = [f["value"] for f in row["findings"] if f["category"] != "bijzonder"]
+        assert not any(v in row["r"]["text"] for v in values) and (row["r"]["n"] > 0) == bool(values)
+        assert row["r"]["text"].count("[GEREDIGEERD:") == row["r"]["n"]
+    assert "vingerafdruk" in results["topics and person"]["r"]["text"] and OWN not in results["topics and person"]["r"]["text"]
+
+
+def test_sweep_is_one_value_after_another():
+    """The sweep gives what replacing one value after another gives: values within values, overlaps, values like labels."""
+    rnd = random.Random(9)
+    for _ in range(400):
+        letters = rnd.choice(("ab", "abc", "nam[e]"))
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 120)))
+        pairs = sorted({("".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 7))), rnd.choice(("naam", "bsn"))) for _ in range(rnd.randrange(1, 7))}, key=lambda p: (-len(p[0]), p))
+        want, n = text, 0
+        for value, kind in pairs:
+            n += want.count(value)
+            want = want.replace(value, f"[GEREDIGEERD:{kind}]")
+        assert swept(text, pairs) == (want, n)
+
+
+def test_sweep_of_results(spark, results):
+    rows = [(k, x.text) for k, x in enumerate(DRAWN)] + [(900, None), (901, "")]
+    docs = scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("replaced", F.lit("clash")), every=True)
+    want = {r["doc_id"]: (r["r"]["text"], r["r"]["n"]) for r in docs.select("doc_id", redact(F.col("text"), F.col("findings")).alias("r")).collect()}
+    assert {r["doc_id"]: (r["text"], r["replaced"]) for r in redacted_texts(docs).collect()} == want
 
 
 def test_report_hides_values(results):
-    assert "206451374" not in json.dumps(json.loads(results["core"]["report"])["bevindingen"])
+    for k, sample in enumerate(DRAWN):
+        shown = json.dumps(json.loads(results[f"drawn {k}"]["report"])["bevindingen"])
+        assert not any(f'"{value}"' in shown for _, value in sample.wanted)
 
 
 def test_summary(spark):
@@ -134,6 +168,46 @@ def test_text_functions(spark):
     assert all(r["got"] == r["want"] for r in spark.createDataFrame(sizes, "n long, want string").withColumn("got", tx.human_size(F.col("n"))).collect())
 
 
+def plain_chunks(text, size, overlap):
+    out, at = [], 0
+    while True:
+        end = min(len(text), at + size)
+        newline = text.rfind("\n", at, end)
+        if end < len(text) and newline > at + int(size * 0.6):
+            end = newline
+        out.append((at, end, text[at:end]))
+        if end >= len(text):
+            return out
+        at = end - overlap
+
+
+def test_chunks_and_lines_of_long_texts(spark):
+    """Against a plain loop: blocks, newlines at block borders, characters of four bytes; long texts take little time."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abc é😀" + "\n" * k) for _ in range(n)) for n in (1, 500, 1023, 1024, 1025, 5000, 40_000) for k in (0, 1, 3)]
+    texts += ["x" * 1023 + "\n" + "y" * 1024 + "\n", "\n" * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", tx.chunks(F.col("t"), 500, 50).alias("c"), tx.index(F.col("t")).alias("i"))
+    for r in rows.collect():
+        assert [tuple(c) for c in r["c"]] == plain_chunks(texts[r["k"]], 500, 50)
+        assert r["i"]["newlines"] == [j for j, c in enumerate(texts[r["k"]]) if c == "\n"] and "".join(r["i"]["blocks"]) == texts[r["k"]]
+    below = spark.createDataFrame([([], 3), ([1, 4, 4, 9], 4), ([1, 4], 9), ([5], 5), ([5], 6)], "p array<int>, x int").select(tx.count_below(F.col("p"), F.col("x")).alias("n"))
+    assert [r["n"] for r in below.collect()] == [0, 1, 2, 0, 1]
+    keys = spark.createDataFrame([(["b", "a", "b", "c", "a"],)], "k array<string>").select(tx.first_places(F.col("k")).alias("i")).first()["i"]
+    assert keys == [0, 1, 3]
+    began = time.time()
+    long = spark.range(1).select(F.repeat(F.lit("een regel met wat woorden erin\n"), 1_000_000).alias("t"))
+    assert long.select(F.size(tx.chunks(F.col("t"))).alias("n")).first()["n"] > 5000 and time.time() - began < 40
+
+
+def test_all_of_many_values(spark):
+    """Twenty thousand values of one text, all listed with their lines and all redacted, in little time."""
+    text = "\n".join(f"gast{k}@vijver{k % 977}.eu" for k in range(20_000))
+    began = time.time()
+    found = scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), every=True)
+    row = redacted_texts(found).join(found.select("doc_id", F.size("findings").alias("n"), F.element_at("findings", -1)["line"].alias("line")), "doc_id").first()
+    assert (row["n"], row["line"], row["replaced"]) == (20_000, 20_000, 20_000) and "@" not in row["text"] and time.time() - began < 90
+
+
 def test_redacts_values_beyond_the_caps(spark):
     docs = spark.createDataFrame([(1, "\n".join(f"mail piet{i}@school.nl" for i in range(40)))], "doc_id long, text string")
     row = scan(docs, every=True).select(redact(F.col("text"), F.col("findings")).alias("r"), "warnings").first()
