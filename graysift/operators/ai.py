@@ -6,7 +6,10 @@ follows works on the table of replies (id, chunk_no, content, error).
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from graysift.functions import text as tx
 from graysift.functions.rules import HIGH, LOW, MEDIUM
 from graysift.operators.detect import FINDINGS, let
+from graysift.sources.shared import shared_path
+from graysift.sources.tree import open_store
 
 #: Findings of a reply that are looked at, chunks of a text that are asked about.
 MAX_REPLY_FINDINGS, MAX_CHUNKS = 40, 40
@@ -29,21 +34,113 @@ def text_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(id_col, (F.col("i") + 1).alias("chunk_no"), "n_chunks", F.col("c.start").alias("start"), F.col("c.text").alias("chunk"))
 
 
-def replies(chunks: DataFrame, ask: Callable[[list[str]], list[str | None]], id_col: str = "doc_id") -> DataFrame:
-    """Adds content and error: ask takes the chunks of a batch and returns the replies; if it raises, the batch's rows
-    get the error. ask runs in Python workers, so it must be picklable; a retried task asks again."""
+def replies(chunks: DataFrame, ask: Callable[[list[str]], list[str | None]], id_col: str = "doc_id", memory: str | None = None) -> DataFrame:
+    """Adds content and error to chunks (id, chunk_no, n_chunks, chunk): ask takes one chunk at a time, as a list of one, and
+    returns its reply; if it raises, that row gets the error.
+
+    A document's chunks are asked in order in one task, and not after one of them failed: the rest have neither content
+    nor error, and other documents go on. Each reply, and each failure, is put into a file of the memory, a folder, before
+    the next chunk is asked; its name is a digest of the document and the chunk. Whatever makes a task run again (another
+    action, a lost executor) finds them there and asks nothing twice but what was under way. Without a memory a new folder
+    in the shared one is taken; a memory of an earlier run spares its questions. ask runs in Python workers, so it must be
+    picklable.
+    """
+    memory = memory or shared_path(chunks.sparkSession, "replies")
+    key = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.sha2("chunk", 256)), 256)
+    rows = chunks.withColumn("__key", key).repartition(id_col).sortWithinPartitions(id_col, "chunk_no")
+    names = chunks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered, failed_id = Memory(memory), object()
         for batch in batches:
-            error, content = None, [None] * batch.num_rows
-            try:
-                content = ask(batch["chunk"].to_pylist())
-            except Exception as x:  # the model may fail in any way; the rows say how
-                error = str(x) or type(x).__name__
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.string()), pa.array([error] * batch.num_rows, pa.string())], [*batch.schema.names, "content", "error"])
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                content = error = None
+                if (own := row[id_col][0].as_py()) != failed_id:
+                    known = remembered.get(row["__key"][0].as_py())
+                    if known is None:
+                        try:
+                            (content,) = ask([row["chunk"][0].as_py()])
+                        except Exception as x:  # the model may fail in any way; the row says how
+                            error = str(x) or type(x).__name__
+                        remembered.put(row["__key"][0].as_py(), content, error)
+                    else:
+                        content, error = known
+                    if error is not None:
+                        failed_id = own
+                yield pa.RecordBatch.from_arrays([*(row[n] for n in names), pa.array([content], pa.string()), pa.array([error], pa.string())], [*names, "content", "error"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema], "content string, error string"])
-    return chunks.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+class Memory:
+    """Replies by key, a file each, in a folder that all executors see."""
+
+    def __init__(self, folder: str):
+        self.store, self.root, _ = open_store(folder)
+
+    def _path(self, key: str) -> str:
+        return f"{self.root}/{key[:2]}/{key}.json"
+
+    def get(self, key: str) -> tuple[str | None, str | None] | None:
+        try:
+            with self.store.open_input_stream(self._path(key)) as f:
+                found = json.loads(f.read())
+        except FileNotFoundError:
+            return None
+        return found["content"], found["error"]
+
+    def put(self, key: str, content: str | None, error: str | None) -> None:
+        """Written beside its place and moved there, so that no half a reply is ever read."""
+        path, new = self._path(key), f"{self._path(key)}.{uuid.uuid4().hex}"
+        self.store.create_dir(path.rpartition("/")[0], recursive=True)
+        with self.store.open_output_stream(new) as f:
+            f.write(json.dumps({"content": content, "error": error}).encode())
+        self.store.move(new, path)
+
+
+class Refused(Exception):
+    """What send() of a Chat raises if the endpoint answers with a status that is no success."""
+
+    def __init__(self, status: int):
+        super().__init__(f"HTTP {status} van het model")
+        self.status = status
+
+
+#: What the model is told to do. The names of the fields and their values are fixed.
+INSTRUCTIONS = (
+    "Je controleert een stuk tekst op persoonsgegevens voordat het gedeeld wordt. Noem namen, adressen, contactgegevens, nummers van personen, combinaties waaraan iemand te herkennen is, "
+    "bijzondere categorieën, inloggegevens en vertrouwelijke bedrijfsgegevens; geen organisaties, functies zonder persoon of verzonnen voorbeelden. Neem elk fragment letterlijk over. Antwoord alleen met JSON: "
+    '{"bevindingen":[{"type":"...","label":"...","ernst":"laag|middel|hoog","fragment":"...","toelichting":"...","zekerheid":"laag|middel|hoog"}],"samenvatting":"..."}'
+)
+
+
+@dataclass(frozen=True)
+class Chat:
+    """An ask for replies(): send takes the body of a request to a chat endpoint and returns its answer, both as dicts. An endpoint
+    that refuses to be held to JSON (status 400 or 422) is asked again without."""
+
+    send: Callable[[dict], dict]
+    model: str
+    instructions: str = INSTRUCTIONS
+
+    def body(self, chunk: str, as_json: bool) -> dict:
+        told = {"model": self.model, "messages": [{"role": "system", "content": self.instructions}, {"role": "user", "content": chunk}], "temperature": 0, "max_tokens": 1200, "stream": False}
+        return told | ({"response_format": {"type": "json_object"}} if as_json else {})
+
+    def __call__(self, chunks: list[str]) -> list[str]:
+        return [self.reply(c) for c in chunks]
+
+    def reply(self, chunk: str) -> str:
+        try:
+            answer = self.send(self.body(chunk, True))
+        except Refused as x:
+            if x.status not in (400, 422):
+                raise
+            answer = self.send(self.body(chunk, False))
+        choices = answer.get("choices") or [{}]
+        return (choices[0].get("message") or {}).get("content") or ""
 
 
 def reply_json(content: Column) -> Column:

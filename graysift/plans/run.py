@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from graysift.functions.rules import MEDIUM, RANK
@@ -15,6 +14,7 @@ from graysift.operators.score import exit_code, summarise
 from graysift.plans.report import write_report
 from graysift.plans.scan import scan
 from graysift.sources.files import MAX_BYTES, extract_text, read_files
+from graysift.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -37,14 +37,15 @@ class Options:
             raise ValueError(f"threshold is one of {', '.join(RANK)}")
 
 
-def run(spark: SparkSession, path: str, options: Options = Options(), ask: Callable[[list[str]], list[str | None]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results, summary) of the files under a path; ask: see operators.ai.replies."""
-    # Read and unpacked once, though chunks and scan both use it; a lost part is read again.
-    docs = extract_text(read_files(spark, path, options.most, options.max_bytes), options.max_bytes).persist(StorageLevel.DISK_ONLY)
+def run(spark: SparkSession, path: str, options: Options = Options(), ask: Callable[[list[str]], list[str | None]] | None = None, memory: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, summary) of the files under a path; ask, memory: see operators.ai.replies. The files are read and the model is
+    asked here, once; results and summary read what was written of that."""
+    # Read and unpacked once, though chunks and scan both use it.
+    docs = written(extract_text(read_files(spark, path, options.most, options.max_bytes), options.max_bytes), "unpacked")
     said = None
     if ask is not None:
         chunks = text_chunks(docs, "path", "text", options.chunk_size, options.overlap, options.max_chunks)
-        said = ai_results(replies(chunks, ask, "path"), "path")
+        said = written(ai_results(replies(chunks, ask, "path", memory), "path"), "said")
     results = scan(docs, said, id_col="path", every=options.every)
     return results, summarise(results, options.threshold)
 

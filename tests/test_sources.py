@@ -154,6 +154,68 @@ def test_asking(spark):
     assert ai.pick_model(["Abc"], "abc")[0] == "abc" and "Abc" in ai.pick_model(["Abc"], "abc")[1]
 
 
+def test_each_chunk_is_asked_once(spark, tmp_path):
+    """One failure touches one document and ends its questions; other actions and later runs ask nothing again."""
+    log = str(tmp_path / "log")
+
+    def ask(texts):
+        (text,) = texts
+        with open(log, "a") as f:
+            f.write(text + "\n")
+        if "stuk2" in text:
+            raise RuntimeError("geen antwoord")
+        return ['{"bevindingen":[],"samenvatting":"' + text[:5] + '"}']
+
+    rows = [(d, k, 3, f"doc{d} stuk{k if d == 2 else 9}{k}") for d in (1, 2, 3) for k in (1, 2, 3)] + [(None, 1, 1, "zonder")]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_no int, n_chunks int, chunk string").repartition(4)
+    said = ai.replies(chunks, ask, memory=str(tmp_path / "memory"))
+    for _ in range(3):
+        got = {(r["doc_id"], r["chunk_no"]): (r["content"] is not None, r["error"]) for r in said.collect()}
+    assert got == {(d, k): (d != 2 or k < 2, "geen antwoord" if (d, k) == (2, 2) else None) for d in (1, 2, 3) for k in (1, 2, 3)} | {(None, 1): (True, None)}
+    results = {r["doc_id"]: r for r in ai.ai_results(said).collect()}
+    assert results[2]["ai_warnings"] == ["AI-analyse van deel 2/3 mislukt: geen antwoord"] and results[2]["ai_used"] and results[1]["ai_warnings"] == results[3]["ai_warnings"] == []
+    assert ai.replies(chunks, ask, memory=str(tmp_path / "memory")).count() == 10
+    with open(log) as f:
+        asked = f.read().splitlines()
+    assert len(asked) == len(set(asked)) == 9 and asked.index("doc1 stuk91") < asked.index("doc1 stuk92") < asked.index("doc1 stuk93") and "doc2 stuk33" not in asked
+    assert ai.replies(chunks, ask).filter("doc_id = 1").count() == 3
+
+
+def test_a_run_asks_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"tekst {k}")
+    log = str(tmp_path / "log")
+
+    def ask(texts):
+        with open(log, "a") as f:
+            f.write("x")
+        return ['{"bevindingen":[],"samenvatting":"s"}']
+
+    results, summary = run(spark, str(tmp_path / "in"), ask=ask)
+    assert results.filter("ai_used").count() == 3 and write_run(results, summary, str(tmp_path / "out"), redact=True) == 0
+    with open(log) as f:
+        assert f.read() == "xxx"
+
+
+def test_chat():
+    """The request, and the second one without JSON mode; other refusals are errors."""
+    seen = []
+
+    def send(body):
+        seen.append(body)
+        if body["model"] == "weg":
+            raise ai.Refused(500)
+        if "response_format" in body:
+            raise ai.Refused(422)
+        return {"choices": [{"message": {"content": "ja"}}]}
+
+    assert ai.Chat(send, "m")(["tekst"]) == ["ja"] and [len(b["messages"]) for b in seen] == [2, 2] and seen[1]["messages"][1]["content"] == "tekst"
+    with pytest.raises(ai.Refused, match="HTTP 500 van het model"):
+        ai.Chat(send, "weg")(["tekst"])
+    assert ai.Chat(lambda body: {}, "m")(["x"]) == [""]
+
+
 def test_query_asks_about_all_chunks(spark, tmp_path):
     texts = [(1, "kort stuk"), (2, "".join(f"woord{i:06d} " for i in range(2000))), (3, "")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
