@@ -104,7 +104,7 @@ def op7_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
+    return url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict", "block_score", "verdict_by")
 
 
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,30 @@ def held_out(rows: DataFrame, folds: int = 5, **options) -> DataFrame:
     return reduce(DataFrame.union, found, rows.sparkSession.createDataFrame([], "label double, block_score double"))
 
 
+def auc(scored: DataFrame) -> float | None:
+    """The chance that a blocked url has a higher block_score than an allowed one, ties half; None without both. Scores are
+    counted to three digits, so at most 1001 rows go to the driver."""
+    counts = scored.groupBy(F.round("block_score", 3).alias("s")).agg(F.count_if(F.col("label") == 1).alias("b"), F.count_if(F.col("label") == 0).alias("a")).collect()
+    below, wins = 0, 0.0
+    for _, b, a in sorted(counts):
+        wins += b * (below + a / 2)
+        below += a
+    blocked = sum(b for _, b, _ in counts)
+    return wins / (blocked * below) if blocked and below else None
+
+
+def trusted(rows: DataFrame, max_labelled: int = MAX_LABELLED, folds: int = 3, least: float = 0.5) -> bool:
+    """Whether the trees tell urls apart on host suffixes that they did not learn from: the area under their curve is above
+    least. Judged on the sample that they learn from (different urls, at most max_labelled); without two folds that
+    hold both verdicts there is nothing to trust. rows: from featured()."""
+    kinds = [F.first(c).alias(c) for c in ("rule_verdict", "host_suffix")]
+    sample = rows.filter("rule_verdict is not null").groupBy("url").agg(*kinds, *[F.max(f).alias(f) for f in FEATURES])
+    sample = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
+    sample = materialize(sample.orderBy(F.xxhash64("url"), "url").limit(max_labelled), "url-folds")
+    found = auc(held_out(sample, folds))
+    return found is not None and found > least
+
+
 def url_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages with host, path, rule and rule_verdict: what the rules alone say."""
     new = ["host", "path", "rule", "rule_verdict"]
@@ -128,24 +152,27 @@ def url_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return lexical(pages.select(names), rules).select(*names, *new)
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, max_labelled: int = MAX_LABELLED, block_at: float = 0.5) -> DataFrame:
-    """pages with host, path, rule, verdict, block_score and verdict_by (rule or model).
+def url_verdicts(pages: DataFrame, rules=RULES, max_labelled: int = MAX_LABELLED, block_at: float = 0.5, always: bool = False) -> DataFrame:
+    """pages with host, path, rule, verdict, block_score and verdict_by (rule, model or default).
 
-    Rules label the urls they fit; the trees learn from these and judge the others. Null urls and urls
+    Rules label the urls they fit; the trees learn from these and judge the others, if they are trusted(): where they do no
+    better than chance on host suffixes that were held out, what no rule fits is allowed by default, and block_score
+    is there to look at. Null urls and urls
     without ``://`` have an empty host and path, fit no rule and are judged by the trees like others. Without
     two verdicts to learn from, urls that fit no rule are allowed. Rows that repeat a url get the same
     verdict. Very long urls are judged whole. Result columns replace columns of the same name, other columns pass
-    through. An empty table gives an empty table.
+    through. An empty table gives an empty table. always: take the trees' word without that test.
     """
     new = ["host", "path", "rule", "verdict", "block_score", "verdict_by"]
     names = [c for c in pages.columns if c not in new]
     inner = {c: f"__{k}" for k, c in enumerate(names) if c != "url"}
     rows = featured(pages.select(names).withColumnsRenamed(inner), rules)
     model = train(rows, max_labelled)
+    trust = model is not None and (always or trusted(rows, max_labelled))
     if model is None:
         scored = rows.withColumn("block_score", F.lit(0.0))
     else:
         scored = model.transform(rows).withColumn("block_score", vector_to_array("probability")[1])
-    verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("block_score") >= block_at, "block").otherwise("allow"))
-    by = F.when(F.col("rule").isNull(), "model").otherwise("rule")
+    verdict = F.coalesce(F.col("rule_verdict"), F.when((F.col("block_score") >= block_at) & F.lit(trust), "block").otherwise("allow"))
+    by = F.when(F.col("rule").isNotNull(), "rule").otherwise("model" if trust else "default")
     return scored.select(*[F.col(inner.get(c, c)).alias(c) for c in names], "host", "path", "rule", verdict.alias("verdict"), "block_score", by.alias("verdict_by"))

@@ -84,6 +84,27 @@ def test_a_hot_url_does_not_fill_the_sample(spark):
     assert len(got) == len(rows) and len({r["block_score"] for r in got}) > 1
 
 
+def test_trees_are_trusted_only_where_they_hold(spark):
+    """Verdicts that follow the form of urls carry over to suffixes that were held out, verdicts that follow the domain do not."""
+    scored = spark.createDataFrame([(1.0, 0.9), (1.0, 0.4), (0.0, 0.4), (0.0, 0.1)], "label double, block_score double")
+    assert url_filter.auc(scored) == pytest.approx(0.875) and url_filter.auc(scored.filter("label = 1")) is None
+    rng = np.random.default_rng(8)
+    form, domain = [], []
+    for k in range(400):
+        bad, host = k % 2, f"h{k % 40}.{['com', 'org'][k // 2 % 2]}"
+        form.append(f"http://{host}/{'de' if bad else 'fr'}/" + ("9" * int(rng.integers(5, 20)) if bad else "wort"))
+        domain.append(f"http://{host}/x{rng.integers(0, 9)}")
+    rules = (("block", "com/de/"), ("allow", "com/fr/"), ("block", "org/de/"), ("allow", "org/fr/"))
+    extra = [f"http://h{k}.net/{'9' * 15 if k % 2 else 'wort'}" for k in range(20)]
+    df = spark.createDataFrame([*enumerate(form + extra)], "page_id long, url string")
+    got = {r["url"]: r for r in url_verdicts(df, rules).collect()}
+    assert {got[u]["verdict_by"] for u in extra} == {"model"} and {got[u]["verdict"] for u in extra} == {"allow", "block"}
+    rules = (("block", "com/"), ("allow", "org/"))
+    df = spark.createDataFrame([*enumerate(domain + extra)], "page_id long, url string")
+    got = {r["url"]: r for r in url_verdicts(df, rules).collect()}
+    assert {got[u]["verdict"] for u in extra} == {"allow"} and {got[u]["verdict_by"] for u in extra} == {"default"}
+
+
 def test_url_features_and_scores(spark):
     """Features against a plain loop; scores against a walk down each tree; suffixes that were held out still part."""
     rng = np.random.default_rng(4)
