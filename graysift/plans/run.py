@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graysift.functions.rules import MEDIUM, RANK
 from graysift.operators.ai import MAX_CHUNKS, ai_results, replies, text_chunks
@@ -15,6 +16,7 @@ from graysift.plans.report import write_report
 from graysift.plans.scan import scan
 from graysift.sources.files import MAX_BYTES, extract_text, read_files
 from graysift.sources.shared import written
+from graysift.sources.tree import write_files
 
 
 @dataclass(frozen=True)
@@ -51,8 +53,16 @@ def run(spark: SparkSession, path: str, options: Options = Options(), ask: Calla
 
 
 def write_run(results: DataFrame, summary: DataFrame, path: str, options: Options = Options(), redact: bool = False) -> int:
-    """Writes the report (and the redacted copies of plain texts, as Parquet) under a folder; returns the exit code."""
-    write_report(results, f"{path}/report", options.show_values)
+    """Writes report.json and report.html under a folder, and with redact the redacted copies of plain texts as files of their own
+    names under redacted/; returns the exit code."""
+    write_report(results, path, options.threshold, options.show_values)
     if redact:
-        redacted_copies(results).write.mode("overwrite").parquet(f"{path}/redacted")
+        write_copies(redacted_copies(results), f"{path}/redacted")
     return exit_code(summary.first()["highest"], options.threshold)
+
+
+def write_copies(copies: DataFrame, folder: str) -> int:
+    """Redacted copies (path, text) as files below a folder, each under the whole path of its original, so that equal names
+    do not meet."""
+    inside = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", ""), r"^[/\\]+", "")
+    return write_files(copies.select(inside.alias("path"), F.encode("text", "UTF-8").alias("content")), folder)

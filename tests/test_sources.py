@@ -15,6 +15,7 @@ from graysift.plans.scan import scan
 from graysift.plans.report import report_envelope
 from graysift.plans.run import Options, run, write_run
 from graysift.sources import tree
+from graysift.sources.joined import write_joined
 from graysift.sources.files import TooMuch, _unzipped, extract_text, inflated, listed, read_files, shown_strings
 from graysift.sources.markup import html_text
 from graysift.streaming.verdicts import running_counts, scan_stream
@@ -272,14 +273,38 @@ def test_run(spark, tmp_path):
     rows = {r["name"]: r for r in results.collect()}
     assert rows["_klas.csv"]["verdict"] == "hoog" and rows["_klas.csv"]["ai_summary"] == "klas" and rows["leeg.txt"]["verdict"] == "geen"
     assert write_run(results, summary, str(tmp_path / "out"), Options(threshold="hoog"), redact=True) == 2
-    (copy,) = spark.read.parquet(str(tmp_path / "out" / "redacted")).collect()
-    assert copy["path"].endswith("_klas.geschoond.csv") and "206451374" not in copy["text"]
+    (copy,) = (tmp_path / "out" / "redacted").rglob("*.csv")
+    assert copy.name == "_klas.geschoond.csv" and "206451374" not in copy.read_text() and "[GEREDIGEERD:bsn]" in copy.read_text()
+    report = json.loads((tmp_path / "out" / "report.json").read_text())
+    assert [f["naam"] for f in report["bestanden"]] == ["_klas.csv", "leeg.txt"] and report["disclaimer"]["en"].startswith("This tool") and report["samenvatting"]["telling"]["hoog"] == 1
+    assert {f["type"] for f in report["bestanden"][0]["bevindingen"]} >= {"bsn", "adres"} and "206451374" not in json.dumps(report)
+    page = (tmp_path / "out" / "report.html").read_text()
+    assert page.startswith("<!doctype html>") and page.endswith("</html>") and page.count("<section>") == 2 and "206451374" not in page and "This tool" in page
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["redacted", "report.html", "report.json"]
     envelope = json.loads(report_envelope(results, "hoog").first()["report"])
     assert envelope["samenvatting"]["telling"]["hoog"] == 1 and envelope["samenvatting"]["bestanden"] == 2
     with pytest.raises(ValueError):
         Options(threshold="veel")
 
 
+def test_joined_documents(spark, tmp_path):
+    """Rows of many partitions in order, none at all, a task that fails: the file is whole or as it was."""
+    rows = spark.range(0, 1000, 1, 7).select(F.to_json(F.struct("id", F.lit("é")).alias("x")).alias("value"))
+    path = str(tmp_path / "sub" / "all.json")
+    write_joined(rows, path, '{"rows":[', ",", "]}")
+    with open(path) as f:
+        assert [r["id"] for r in json.load(f)["rows"]] == list(range(1000))
+    broken = rows.select(F.when(F.col("value").contains('"id":900,'), F.raise_error(F.lit("weg"))).otherwise(F.col("value")).cast("string").alias("value"))
+    with pytest.raises(Exception, match="weg"):
+        write_joined(broken, path, "[", ",", "]")
+    with open(path) as f:
+        assert len(json.load(f)["rows"]) == 1000
+    write_joined(rows.limit(0), path, "[", ",", "]")
+    with open(path) as f:
+        assert f.read() == "[]"
+    assert [p.name for p in (tmp_path / "sub").iterdir()] == ["all.json"]
+
+
 def test_badge_places(spark):
     """Worked by hand from the rules: height 68, rim 2 and pad 3, margin 34; stored pixels twice as wide as shown."""
     rows = spark.createDataFrame([(1920, 1080, 1.0, "rechtsonder"), (960, 1080, 2.0, "linksboven")], "w int, h int, sar double, p string")
