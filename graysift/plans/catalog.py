@@ -176,24 +176,36 @@ def label_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.explode(pv.tag_map(label)).alias("tag", "content"))
 
 
-def _videos(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(samples.VIDEOS, "id long, width int, height int, sar double, scale double, ratio double, corner string, container string, codecs string, space string, crf int")
+def _picked(key, by: int, items: tuple):
+    return F.get(F.array(*map(F.lit, items)), (F.floor(key / by) % len(items)).cast("int"))
+
+
+def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A video for each part, its properties made from the part's key and size."""
+    key = F.col("p_partkey")
+    made = {n: _picked(key, by, items) for n, (by, items) in samples.VIDEO.items()}
+    made["crf"] = made["crf"].cast("long") + F.col("p_size") % 3
+    return table(spark, sf_dir, "part").select(key.alias("id"), *[c.alias(n) for n, c in made.items()], (1.0 + (key % 130) / F.lit(10.0)).alias("ratio"))
 
 
 def badge_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = pv.badge(F.col("width"), F.col("height"), F.col("sar"), F.col("scale"), F.col("ratio"), F.col("corner"))
-    return _videos(spark).select("id", b.alias("b")).select("id", *[F.col(f"b.{c}").alias(c) for c in ("height", "margin", "width", "x", "y", "image_width", "image_height", "scaled_width")])
+    return _videos(spark, sf_dir).select("id", b.alias("b")).select("id", *[F.col(f"b.{c}").alias(c) for c in ("height", "margin", "width", "x", "y", "image_width", "image_height", "scaled_width")])
 
 
 def codec_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _videos(spark).select(
+    return _videos(spark, sf_dir).select(
         "id", pv.audio_choice(F.col("container"), F.split("codecs", ",")).alias("audio"), pv.color_matrix(F.col("space"), F.col("width"), F.col("height")).alias("matrix"),
         pv.crf(F.col("container"), F.col("crf")).cast("long").alias("crf"),
     )
 
 
 def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan(spark.createDataFrame(samples.FILES, "doc_id long, name string, bytes long").withColumn("text", F.lit("")))
+    """Names with a number and sizes of all magnitudes, made from the pages' ids."""
+    key = F.col("page_id")
+    name = F.concat(F.lit("brief_"), F.lpad((key * 7919 % 1_000_000_000).cast("string"), 9, "1"), F.lit("."), _picked(key, 1, samples.FILE_KINDS))
+    size = (key % 1000 + 1) * F.pow(F.lit(10.0), F.floor(key / 5) % 14).cast("long") + 1
+    rows = scan(table(spark, sf_dir, "pages").select(key.alias("doc_id"), name.alias("name"), size.alias("bytes"), F.lit("").alias("text")))
     return rows.select("doc_id", kind_of(F.col("name")).alias("kind"), tx.human_size(F.col("bytes")).alias("size"), "verdict", tx.duration(F.col("bytes") / 1e6).alias("shown"))
 
 

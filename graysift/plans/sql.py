@@ -7,7 +7,7 @@ touch others are found as maximal runs.
 
 from __future__ import annotations
 
-from graysift.functions.rules import ADVICE, GENERIC, IDENTIFYING, MAX_NAMES, MAX_PER_TYPE, MAX_TERMS, NAME, RANK, RULES, SPECIAL, TOPIC_SUFFIX
+from graysift.functions.rules import ADVICE, GENERIC, IDENTIFYING, MAX_NAMES, MAX_PER_TYPE, MAX_TERMS, NAME, RANK, RULES, SPECIAL, SPECIAL_NOTE, TOPIC_NOTE, TOPIC_SUFFIX
 from graysift.operators.provenance import TAGS
 from graysift.plans import samples
 from graysift.sources.files import ARCHIVES, IMAGES, MEDIA, TEXT
@@ -131,6 +131,10 @@ def html(column: str, then: str) -> str:
     return then.format(column)
 
 
+def picked(key: str, by: int, items: tuple) -> str:
+    return f"([{', '.join(map(quoted, items))}])[{key} // {by} % {len(items)} + 1]"
+
+
 def queries() -> dict[str, str]:
     full, advice = scanned(TEXTS), values(ADVICE.items())
     summary = ", ".join(f"count(*) FILTER (verdict = '{v}') AS n_{v}" for v in ADVICE)
@@ -158,12 +162,23 @@ f AS (SELECT doc_id, value, 0 AS part, i, 'patroon' AS source, 2 AS rank, true A
 g AS (SELECT doc_id, lower(value) AS k, count(*) AS n, max(rank) AS rank, min(part * 1000000000 + i) AS place, arg_min(value, (source <> 'patroon')::INT * 10000000000 + part * 1000000000 + i) AS value,
   arg_min(by_name, (source <> 'patroon')::INT * 10000000000 + part * 1000000000 + i) AS in_filename FROM f GROUP BY doc_id, lower(value))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, place) - 1 AS pos, value, n, ['laag', 'middel', 'hoog'][rank] AS severity, in_filename FROM g"""
+    said = "label || ': nog ' || (different - 25) || ' andere unieke treffer(s) gevonden; alleen de eerste 25 staan in het rapport.'"
+    notes = values([(r.type, r.note) for r in (*RULES, NAME)] + [(s[0], SPECIAL_NOTE) for s in SPECIAL])
+    shown_value = f"CASE WHEN category = 'bijzonder' THEN value WHEN category = 'geheim' THEN {MASK} ELSE {MASK_AT} END"
+    one = f"json_object('type', type, 'label', label, 'ernst', severity, 'categorie', category, 'bron', 'patroon', 'regel', {LINE}, 'aantal', n, 'waarde', {shown_value}, 'avg', CASE WHEN ends_with(label, {quoted(TOPIC_SUFFIX)}) THEN {quoted(TOPIC_NOTE)} ELSE note END, 'toelichting', NULL)"
+    found["report_documents"] = f"""{full}, notes AS (SELECT * FROM {notes} k(type, note)), b AS (SELECT doc_id, list({one} ORDER BY pos) AS b FROM found JOIN notes USING (type) GROUP BY doc_id),
+w AS (SELECT doc_id, list({said} ORDER BY no) AS w FROM (SELECT DISTINCT doc_id, no, label, different FROM typed WHERE different > 25) GROUP BY doc_id)
+SELECT doc_id, json_object('naam', NULL, 'pad', NULL, 'bytes', NULL, 'soort', NULL, 'oordeel', verdict, 'advies', advice, 'aiGebruikt', false, 'samenvattingAi', '', 'waarschuwingen', coalesce(w, []), 'bevindingen', coalesce(b, []))::VARCHAR AS report
+FROM verdicts JOIN {advice} a(verdict, advice) USING (verdict) LEFT JOIN b USING (doc_id) LEFT JOIN w USING (doc_id)"""
     kinds = " ".join(f"WHEN list_contains([{', '.join(map(quoted, e))}], e) THEN '{k}'" for e, k in ((TEXT, "tekst"), (ARCHIVES, "document"), (["pdf"], "pdf"), (["rtf"], "rtf"), (IMAGES, "afbeelding"), (MEDIA, "media")))
     unit = "CASE WHEN bytes < 1000 THEN bytes || ' B' " + " ".join(
         f"WHEN {f'bytes < {top}' if top else 'TRUE'} THEN CASE WHEN bytes / {by} >= 100 THEN round_even(bytes / {by}, 0)::BIGINT::VARCHAR ELSE printf('%.1f', bytes / {by}) END || ' {u}'"
         for by, top, u in ((1e3, "1e6", "kB"), (1e6, "1e9", "MB"), (1e9, "1e12", "GB"), (1e12, "", "TB"))
     ) + " END"
-    names = f"SELECT doc_id::BIGINT AS doc_id, translate(name, '_-.', '   ') AS text, lower(regexp_extract(name, '[^/]\\.([^./]+)$', 1)) AS e, bytes FROM {values(samples.FILES)} f(doc_id, name, bytes)"
+    names = (
+        "SELECT page_id AS doc_id, translate(name, '_-.', '   ') AS text, lower(regexp_extract(name, '[^/]\\.([^./]+)$', 1)) AS e, (page_id % 1000 + 1) * pow(10, page_id // 5 % 14)::BIGINT + 1 AS bytes "
+        f"FROM (SELECT page_id, 'brief_' || lpad((page_id * 7919 % 1000000000)::VARCHAR, 9, '1') || '.' || {picked('page_id', 1, samples.FILE_KINDS)} AS name FROM pages)"
+    )
     shown = "(floor(bytes / 1e6 + 0.5)::BIGINT // 60) || ':' || lpad((floor(bytes / 1e6 + 0.5)::BIGINT % 60)::VARCHAR, 2, '0')"
     found["file_facts"] = f"{scanned(names)} SELECT doc_id, CASE {kinds} ELSE 'onbekend' END AS kind, {unit} AS size, verdict, {shown} AS shown FROM verdicts"
     turns = "SELECT conv_id * 100000 + turn AS doc_id, coalesce(text, '') AS text, conv_id FROM conversations"
@@ -193,8 +208,8 @@ SELECT p.doc_id, CASE WHEN first IS NULL THEN CASE WHEN p.doc_id % 4 = 0 THEN 'p
   coalesce('label-' || lpad(first::VARCHAR, 12, '0'), CASE WHEN p.doc_id % 4 = 0 THEN 'tag-' || p.doc_id END) AS label_id FROM p LEFT JOIN k USING (sha256)"""
     tags = " UNION ALL ".join(f"SELECT doc_id, '{tag}' AS tag, {'sha256' if field == 'sha256Original' else f'''{quoted(field + '-')} || doc_id'''} AS content FROM p" for tag, field in TAGS.items())
     found["label_tags"] = f"WITH p AS ({prints}) {tags} UNION ALL SELECT doc_id, 'comment', 'disclosure-' || doc_id || ' [id-' || doc_id || '] verifyUrl-' || doc_id FROM p"
-    doubles = ", ".join(f"{c}::DOUBLE AS {c}" for c in ("sar", "scale", "ratio"))
-    videos = f"(SELECT * REPLACE ({doubles}) FROM {values(samples.VIDEOS)} v(id, w, h, sar, scale, ratio, corner, container, codecs, space, crf))"
+    made = ", ".join(f"{picked('p_partkey', by, items)}{'::BIGINT + p_size % 3' if n == 'crf' else '::DOUBLE' if n in ('sar', 'scale') else ''} AS {n}" for n, (by, items) in samples.VIDEO.items())
+    videos = f"(SELECT p_partkey AS id, {made}, 1.0::DOUBLE + (p_partkey % 130)::DOUBLE / 10.0::DOUBLE AS ratio FROM part)".replace(" AS width", " AS w").replace(" AS height", " AS h")
     found["badge_geometry"] = f"""WITH a AS (SELECT *, w * sar AS shown, least(w * sar, h) AS short FROM {videos}),
 b AS (SELECT *, floor(least(short / 4, greatest(20, short / 16 * scale)) + 0.5) AS h0 FROM a),
 c AS (SELECT *, ceil(h0 * ratio) AS wide, shown - 2 * floor(greatest(h0 * 0.5, short * 0.03) + 0.5) AS most FROM b),
