@@ -198,6 +198,12 @@ FROM verdicts JOIN {advice} a(verdict, advice) USING (verdict) LEFT JOIN b USING
 SELECT doc_id, chunk_no::BIGINT AS chunk_no, n_chunks, start::BIGINT AS start, (stop - start)::BIGINT AS length FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_chunks FROM c)"""
     newline = lambda s: f"({s} + 6000 - instr(reverse(substr(text, {s} + 1, 6000)), chr(10)) - CASE WHEN instr(reverse(substr(text, {s} + 1, 6000)), chr(10)) = 0 THEN 1000000 ELSE 0 END)"
     found["text_chunks"] = found["text_chunks"].replace("nl(text, stop - 200)", newline("(stop - 200)")).replace("nl(text, 0)", newline("0"))
+    cuts = found["text_chunks"].rpartition("SELECT doc_id, chunk_no")[0].rstrip()
+    blank = r"[\s\pZ\x0B\x1C-\x1F\x85]"
+    said_rows = [(90000001, 2, "Noor Verhoeven|veel wit en", "inschrijving van een kind", 0, True), (90000002, 0, "", "", 1, True), (90000003, 0, "", "", 1, False)]
+    found["ai_findings"] = f"""{cuts}, f AS (SELECT doc_id, chunk_no, regexp_replace(substr(text, start + 1, least(20, stop - start)), '^{blank}+|{blank}+$', '', 'g') AS v FROM c)
+SELECT doc_id, count(*) FILTER (v <> '') AS n_findings, coalesce(string_agg(v, '|' ORDER BY chunk_no) FILTER (v <> ''), '') AS fragments, 'kort' AS ai_summary, 0::BIGINT AS n_warnings, true AS ai_used FROM f GROUP BY doc_id
+UNION ALL SELECT * FROM {values(said_rows)} s(doc_id, n_findings, fragments, ai_summary, n_warnings, ai_used)"""
     made = "SELECT o_orderkey, lpad((o_orderkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS nine, lpad((o_orderkey * 104729987654321 % 10000000000000000)::VARCHAR, 16, '4') AS sixteen FROM orders"
     v = "'NL' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || 'ABNA0' || nine"
     found["checksums"] = f"SELECT o_orderkey, {BSN.replace('(d', '(nine').replace('d <>', 'nine <>')} AS bsn, {LUHN.replace('(d', '(sixteen').replace('d <>', 'sixteen <>')} AS luhn, {IBAN} AS iban FROM (SELECT *, {v} AS v FROM ({made}))"
