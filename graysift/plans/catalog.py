@@ -12,6 +12,7 @@ from graysift.functions.rules import ADVICE, NAME, RULES, SPECIAL
 from graysift.operators import ai, provenance as pv
 from graysift.operators.detect import FINDINGS, rule_hits, special_hits
 from graysift.operators.redact import redact, redacted_texts
+from graysift.operators.registry import Registry
 from graysift.operators.score import merge_findings, rank, severity_of, summarise
 from graysift.plans import samples, sql
 from graysift.plans.report import report_json
@@ -162,13 +163,23 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts against a registry of the fingerprints of every third document."""
+    """Texts against a registry of the fingerprints of all documents that the labels rate."""
     files = fingerprints(spark, sf_dir).withColumn("tag_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("tag-"), F.col("doc_id"))))
-    known = fingerprints(spark, sf_dir).filter("doc_id % 3 = 0")
+    known = fingerprints(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     known = known.select("sha256", F.concat(F.lit("label-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("label_id"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 2 == 0).alias("signature_valid"))
     return pv.check_registry(files, known).select("doc_id", "state", "label_id")
 
 
+def registry_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' facts added to a registry in three batches, each of them twice, and the registry that is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("label-"), F.coalesce("source", F.lit(""))).alias("label_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    docs = docs.withColumn("marked_sha256", F.when(F.col("doc_id") % 2 == 0, F.sha2(F.concat("sha256", "label_id"), 256)))
+    registry = Registry(spark, shared_path(spark, "registry"))
+    for batch in (0, 1, 2, 1, 0, 2):
+        registry.add(pv.registration_facts(docs.filter(F.col("doc_id") % 3 == batch)), batch)
+    return registry.table().select("label_id", "sha256", "kind", F.col("batch").cast("long").alias("batch"))
+
+
 def label_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints(spark, sf_dir)
     fields = {f: F.concat(F.lit(f"{f}-"), F.col("doc_id").cast("string")) for f in ("id", "digitalSourceType", "sig", "keyId", "verifyUrl", "disclosure")}
@@ -228,7 +239,7 @@ QUERIES: dict[str, Query] = {f"findings_{r.type}": _rule_query(r, k) for k, r in
     q.__name__: q
     for q in (
         special_categories, document_findings, document_verdicts, verdict_summary, verdict_by_source, redacted_documents, redacted_every, merged_findings, conversation_verdicts, page_text, page_verdicts, report_documents,
-        text_chunks, ai_findings, checksums, fingerprints, registry_check, label_tags, badge_geometry, codec_choices, file_facts, page_files, local_pages,
+        text_chunks, ai_findings, checksums, fingerprints, registry_check, registry_growth, label_tags, badge_geometry, codec_choices, file_facts, page_files, local_pages,
     )
 }
 SQL: dict[str, str] = sql.queries()

@@ -209,9 +209,12 @@ UNION ALL SELECT * FROM {values(said_rows)} s(doc_id, n_findings, fragments, ai_
     found["checksums"] = f"SELECT o_orderkey, {BSN.replace('(d', '(nine').replace('d <>', 'nine <>')} AS bsn, {LUHN.replace('(d', '(sixteen').replace('d <>', 'sixteen <>')} AS luhn, {IBAN} AS iban FROM (SELECT *, {v} AS v FROM ({made}))"
     prints = "SELECT doc_id, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents"
     found["fingerprints"] = prints
-    found["registry_check"] = f"""WITH p AS ({prints}), k AS (SELECT sha256, min(doc_id) AS first FROM p WHERE doc_id % 3 = 0 GROUP BY sha256)
+    found["registry_check"] = f"""WITH p AS ({prints}), k AS (SELECT sha256, min(doc_id) AS first FROM p WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY sha256)
 SELECT p.doc_id, CASE WHEN first IS NULL THEN CASE WHEN p.doc_id % 4 = 0 THEN 'possibly edited' ELSE 'not labelled' END WHEN first % 5 = 0 THEN 'labelled, signature unknown' WHEN first % 2 = 0 THEN 'labelled, signature valid' ELSE 'labelled, signature invalid' END AS state,
   coalesce('label-' || lpad(first::VARCHAR, 12, '0'), CASE WHEN p.doc_id % 4 = 0 THEN 'tag-' || p.doc_id END) AS label_id FROM p LEFT JOIN k USING (sha256)"""
+    found["registry_growth"] = """WITH d AS (SELECT doc_id, 'label-' || coalesce(source, '') AS label_id, sha256(coalesce(text, '')) AS sha256 FROM documents),
+f AS (SELECT label_id, sha256, 'original' AS kind, doc_id % 3 AS batch FROM d UNION ALL SELECT label_id, sha256(sha256 || label_id), 'marked', doc_id % 3 FROM d WHERE doc_id % 2 = 0)
+SELECT label_id, sha256, arg_min(kind, batch) AS kind, min(batch) AS batch FROM f GROUP BY label_id, sha256"""
     tags = " UNION ALL ".join(f"SELECT doc_id, '{tag}' AS tag, {'sha256' if field == 'sha256Original' else f'''{quoted(field + '-')} || doc_id'''} AS content FROM p" for tag, field in TAGS.items())
     found["label_tags"] = f"WITH p AS ({prints}) {tags} UNION ALL SELECT doc_id, 'comment', 'disclosure-' || doc_id || ' [id-' || doc_id || '] verifyUrl-' || doc_id FROM p"
     made = ", ".join(f"{picked('p_partkey', by, items)}{'::BIGINT + p_size % 3' if n == 'crf' else '::DOUBLE' if n in ('sar', 'scale') else ''} AS {n}" for n, (by, items) in samples.VIDEO.items())

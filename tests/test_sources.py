@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graysift.operators import ai, provenance as pv
+from graysift.operators.registry import Registry
 from graysift.plans import catalog, samples
 from graysift.plans.scan import scan
 from graysift.plans.report import report_envelope
@@ -18,7 +19,7 @@ from graysift.sources import tree
 from graysift.sources.joined import write_joined
 from graysift.sources.files import TooMuch, _unzipped, extract_text, inflated, listed, read_files, shown_strings
 from graysift.sources.markup import html_text
-from graysift.streaming.verdicts import running_counts, scan_stream
+from graysift.streaming.verdicts import document_counts, each_batch, keep_counts, running_counts, scan_stream, write_changes
 
 
 def docx(member: str, xml: str) -> bytes:
@@ -256,6 +257,45 @@ def test_stream(spark, tmp_path):
     q = running_counts(stream).writeStream.format("memory").queryName("verdicts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["verdict"]: r["files"] for r in spark.sql("select * from verdicts").collect()} == {"hoog": 1, "geen": 1}
+    seen = []
+    each_batch(stream, lambda rows, n: seen.append((n, rows.count())), str(tmp_path / "cp2")).awaitTermination(120)
+    assert seen == [(0, 2)]
+
+
+def test_counts_of_documents_in_a_stream(spark, tmp_path):
+    """A document that comes again counts once, one that changes moves, old versions and tried batches change nothing."""
+    schema = "doc_id long, verdict string, version long"
+    arrivals = [[(1, "hoog", 1), (2, "geen", 1), (3, "laag", 1), (3, "geen", 2)], [(1, "hoog", 2), (2, "hoog", 2)], [(2, "geen", 1), (1, "geen", 3), (4, "laag", 1), (4, "laag", 1)]]
+    wanted = [{"hoog": 1, "geen": 2}, {"hoog": 2, "geen": 1}, {"hoog": 1, "geen": 2, "laag": 1}]
+    counts = str(tmp_path / "counts")
+    for rows, want in zip(arrivals, wanted, strict=True):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        keep_counts(stream, counts, str(tmp_path / "cp"), version_col="version").awaitTermination(180)
+        assert {r["verdict"]: r["files"] for r in document_counts(spark, counts).collect()} == want
+    again = spark.createDataFrame([("hoog", 1), ("hoog", 1), ("geen", 1), ("geen", 1), ("laag", 1), ("laag", -1)], "verdict string, change long")
+    first = {r["verdict"]: r["files"] for r in document_counts(spark, str(tmp_path / "log")).collect()} if (tmp_path / "log").exists() else {}
+    for _ in range(2):
+        write_changes(again, str(tmp_path / "log"), 0)
+        assert not first and {r["verdict"]: r["files"] for r in document_counts(spark, str(tmp_path / "log")).collect()} == {"hoog": 2, "geen": 2}
+
+
+def test_registry_grows(spark, tmp_path):
+    """Batches that are tried again, facts that come again, streams; what lacks a label or a fingerprint is no fact."""
+    schema = "label_id string, sha256 string, marked_sha256 string"
+    spark.createDataFrame([("a", "1", "1m"), ("a", "1", None), ("b", "2", None), (None, "3", None), ("c", None, None)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    registry = Registry(spark, str(tmp_path / "registry"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    registry.follow(stream, str(tmp_path / "cp")).awaitTermination(120)
+    facts = {("a", "1", "original", None, 0), ("a", "1m", "marked", None, 0), ("b", "2", "original", None, 0)}
+    assert {tuple(r) for r in registry.table().collect()} == facts
+    more = spark.createDataFrame([("b", "2", "original", True), ("d", "1", "original", False)], "label_id string, sha256 string, kind string, signature_valid boolean")
+    for _ in range(2):
+        registry.add(more, 1)
+    assert {tuple(r) for r in registry.table().collect()} == facts | {("d", "1", "original", False, 1)} and registry.table().count() == 4
+    assert {tuple(r)[:4] for r in registry.compact(str(tmp_path / "compact")).table().collect()} == {f[:4] for f in facts} | {("d", "1", "original", False)}
+    got = pv.check_registry(spark.createDataFrame([("1", None), ("2", "t"), ("9", "t"), ("8", None)], "sha256 string, tag_id string"), registry.table()).collect()
+    assert {r["sha256"]: (r["state"], r["label_id"]) for r in got} == {"1": ("labelled, signature unknown", "a"), "2": ("labelled, signature unknown", "b"), "9": ("possibly edited", "t"), "8": ("not labelled", None)}
 
 
 def test_pdf_strings():
