@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from graysift.operators.detect import let
 
-# Names of the tags, and which audio a container takes unchanged.
+# Names of the tags, containers that keep a burnt-in badge, and which audio a container takes unchanged.
+CONTAINERS = ("mp4", "mov", "m4v", "mkv", "webm")
 TAGS = {"AILABEL_ID": "id", "AILABEL_DST": "digitalSourceType", "AILABEL_SIG": "sig", "AILABEL_KEYID": "keyId", "AILABEL_SHA256": "sha256Original", "AILABEL_VERIFY": "verifyUrl"}
 AUDIO_KEPT = {"mp4": "^(aac|mp3|ac3|eac3|alac)$", "m4v": "^(aac|mp3|ac3|eac3|alac)$", "mov": r"^(aac|mp3|ac3|eac3|alac|pcm_\w+)$", "webm": "^(opus|vorbis)$"}
 POSITIONS = {
@@ -175,6 +176,11 @@ def short_label(manipulated: Column, deep_fake: Column, lang: Column) -> Column:
     return F.when(deep_fake, F.concat(F.lit("Deep fake · "), base)).otherwise(base)
 
 
-def output_path(path: Column) -> Column:
-    """.ailabel before the extension."""
-    return F.when(path.rlike(r"[^/.][^/]*\.[^./]*$"), F.regexp_replace(path, r"(\.[^./]*)$", ".ailabel$1")).otherwise(F.concat(path, F.lit(".ailabel")))
+def output_path(path: Column, burned: Column | None = None) -> Column:
+    """.ailabel before the extension. burned: whether a badge is laid over the video; containers that cannot keep that become
+    mp4."""
+    named = F.when(path.rlike(r"[^/.][^/]*\.[^./]*$"), F.regexp_replace(path, r"(\.[^./]*)$", ".ailabel$1")).otherwise(F.concat(path, F.lit(".ailabel")))
+    if burned is None:
+        return named
+    kept = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)).isin(*CONTAINERS)
+    return F.when(burned & ~kept, F.regexp_replace(named, r"\.[^.]+$", ".mp4")).otherwise(named)

@@ -242,6 +242,18 @@ def test_probe(spark):
     assert r[1]["v"] is None and r[1]["t"]["id"] is None
 
 
+def test_names_beside_a_file(spark):
+    paths = [("a/film.MOV", False, "a/film.ailabel.MOV"), ("a/film.MOV", True, "a/film.ailabel.MOV"), ("a.b/film.avi", True, "a.b/film.ailabel.mp4"), ("a.b/film.avi", False, "a.b/film.ailabel.avi"), ("a.b/film", True, "a.b/film.mp4"), ("a.b/film", False, "a.b/film.ailabel"), ("a/.film", False, "a/.film.ailabel")]
+    rows = spark.createDataFrame(paths, "p string, b boolean, want string").withColumn("got", pv.output_path(F.col("p"), F.col("b"))).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+    labels = spark.createDataFrame([(False, False, None), (True, False, "en"), (True, True, "nl"), (False, True, "en")], "m boolean, d boolean, l string").select(pv.short_label(F.col("m"), F.col("d"), F.col("l")).alias("s")).collect()
+    assert [r["s"] for r in labels] == ["AI-gegenereerd", "AI-manipulated", "Deep fake · AI-bewerkt", "Deep fake · AI-generated"]
+    side = spark.range(1).select(pv.sidecar(F.lit("a/film.mp4"), F.struct(F.lit("x").alias("id"))).alias("s")).first()["s"]
+    assert side["path"] == "a/film.mp4.manifest.json" and json.loads(side["content"]) == {"id": "x"}
+    listing = spark.createDataFrame([('{"data":[{"id":"a"},{"name":"b"},{"id":""}]}',), ('{"models":[{"name":"c"}]}',), ("geen json",)], "l string").select(ai.model_names(F.col("l")).alias("n")).collect()
+    assert [r["n"] for r in listing] == [["a", "b"], ["c"], []]
+
+
 def test_badge_sizes(spark):
     rows = spark.createDataFrame([(1920, 1080, 68), (1280, 720, 45), (3840, 2160, 135)], "w int, h int, want int")
     b = pv.badge(F.col("w"), F.col("h"), F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit("rechtsboven"))
