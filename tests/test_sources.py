@@ -17,7 +17,9 @@ from graysift.plans.report import report_envelope
 from graysift.plans.run import Options, run, write_run
 from graysift.sources import tree
 from graysift.sources.joined import write_joined
-from graysift.sources.files import TooMuch, _unzipped, extract_text, inflated, listed, read_files, shown_strings
+from graysift.sources.files import extract_text, listed, read_files
+from graysift.sources.inflate import TooMuch, inflated, unzipped
+from graysift.sources.pdf import CodeMap, code_map, pdf_text, shown_strings
 from graysift.sources.markup import html_text
 from graysift.streaming.verdicts import document_counts, each_batch, keep_counts, running_counts, scan_stream, write_changes
 
@@ -117,7 +119,7 @@ def test_unpacking_is_bounded(spark, tmp_path):
     with pytest.raises(TooMuch):
         list(inflated(iter([b"x"] * 5), 4))
     data = zlib.compress(b"a" * 3_000_000)
-    assert b"".join(_unzipped(data)) == b"a" * 3_000_000 and max(map(len, _unzipped(data))) <= 1 << 20
+    assert b"".join(unzipped(data)) == b"a" * 3_000_000 and max(map(len, unzipped(data))) <= 1 << 20
 
 
 def test_listing(spark):
@@ -316,6 +318,26 @@ def test_pdf_strings():
     assert shown_strings(b"(open \\") == [] and shown_strings(b"<41 Tj") == []
 
 
+def test_pdf_fonts():
+    """A subset font's codes are read by its map: of one byte and two, in ranges and lists, inherited, in object streams."""
+    stream = lambda n, head, body: b"%d 0 obj <<%s /Length %d>> stream\n%s\nendstream endobj\n" % (n, head, len(body), zlib.compress(body))
+    one = b"1 begincodespacerange <00> <ff> endcodespacerange 2 beginbfchar <01> <0042> <02> <00530020> endbfchar 1 beginbfrange <03> <05> <0061> endbfrange"
+    two = b"1 beginbfrange <0010> <0012> [<20AC> <D83DDE00> <00E9>] endbfrange"
+    inner = [(10, b"<</Type /Font /ToUnicode 21 0 R>>"), (11, b"<</F1 10 0 R /F2 12 0 R>>"), (12, b"<</Type /Font /ToUnicode 22 0 R>>")]
+    places, body = [], b""
+    for n, x in inner:
+        places.append(b"%d %d" % (n, len(body)))
+        body += x + b" "
+    head = b" ".join(places) + b" "
+    pdf = b"%PDF-1.5\n1 0 obj <</Type /Pages /Kids [2 0 R] /Resources <</Font 11 0 R>>>> endobj\n2 0 obj <</Type /Page /Parent 1 0 R /Contents [3 0 R]>> endobj\n"
+    pdf += stream(3, b"", b"BT /F1 9 Tf (\\001\\002) Tj <030405> Tj /F2 9 Tf <001000110012> Tj /F9 9 Tf (gewoon) Tj ET")
+    pdf += stream(21, b"", one) + stream(22, b"", two) + stream(30, b"/Type /ObjStm /N 3 /First %d" % len(head), head + body)
+    assert pdf_text(pdf) == "BS abc €😀é gewoon"
+    assert code_map(one).text == {1: "B", 2: "S ", 3: "a", 4: "b", 5: "c"} and code_map(two).size == 2 and code_map(b"").text == {}
+    assert CodeMap(2, {1: "x"}).shown("\0\1\0") == "x" and shown_strings(b"/F 1 Tf <0041> Tj") == ["A"]
+    assert pdf_text(b"no pdf") == pdf_text(b"") == ""
+
+
 def test_run(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "_klas.csv").write_text("naam;bsn\nLeerling Piet Bakker;206451374\n")
