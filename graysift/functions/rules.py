@@ -90,3 +90,20 @@ ADVICE = {
     HIGH: "Gevoelige gegevens gevonden — niet uploaden zonder deze eerst te verwijderen.",
     UNKNOWN: "Dit bestand kon niet gelezen worden — controleer de inhoud handmatig.",
 }
+#: Sentences of reports; %s stands for numbers and names.
+SAID = {
+    "more": "%s: nog %s andere unieke treffer(s) gevonden; alleen de eerste %s staan in het rapport.",
+    "cut": "Bestand is groter dan de leeslimiet; alleen het eerste deel is gescand.",
+    "clean": "Alle bestanden blijven onder de drempel — uploaden kan.",
+    "blocked": '%s van %s bestand(en) haalt de drempel "%s" of hoger. Schoon die eerst op.',
+    "unread": " %s bestand(en) kon de scanner niet lezen — controleer die zelf.",
+    "no_json": "het model gaf geen bruikbare JSON terug",
+    "chunks": "Tekst opgeknipt in %s stukken; alleen de eerste %s zijn met AI beoordeeld (--max-stukken verhoogt dit).",
+    "failed": "AI-analyse van deel %s/%s mislukt: %s",
+    "read": "Kon dit bestand niet lezen: %s",
+    "unpack": "Kon dit bestand niet uitpakken: %s",
+    "large": "archief te groot om betrouwbaar te lezen",
+    "empty": "geen leesbare documentonderdelen in het archief",
+    "no_model": "de server draait maar heeft geen model geladen",
+    "other_model": 'Model "%s" staat niet in de lijst. Beschikbaar: %s',
+}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graysift.functions import text as tx
-from graysift.functions.rules import HIGH, LOW, MEDIUM
+from graysift.functions.rules import HIGH, LOW, MEDIUM, SAID
 from graysift.operators.detect import FINDINGS, let
 from graysift.sources.shared import shared_path
 from graysift.sources.tree import open_store
@@ -192,7 +192,7 @@ def ai_results(said: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = rows.select(
         id_col,
         F.struct(
-            "chunk_no", F.col("__bad").alias("bad"), F.coalesce("error", F.lit("het model gaf geen bruikbare JSON terug")).alias("why"), F.col("n_chunks").alias("n"),
+            "chunk_no", F.col("__bad").alias("bad"), F.coalesce("error", F.lit(SAID["no_json"])).alias("why"), F.col("n_chunks").alias("n"),
             F.when(F.col("__bad"), F.array().cast(FINDINGS)).otherwise(reply_findings(F.col("chunk"), F.col("__json"))).alias("found"), reply_summary(F.col("__json")).alias("summary"),
         ).alias("r"),
     )
@@ -200,9 +200,9 @@ def ai_results(said: DataFrame, id_col: str = "doc_id") -> DataFrame:
     docs = docs.withColumn("stop", F.array_min(F.transform(F.filter("r", lambda x: x["bad"]), lambda x: x["chunk_no"])))
     docs = docs.withColumn("good", F.filter("r", lambda x: F.col("stop").isNull() | (x["chunk_no"] < F.col("stop"))))
     n, asked = F.get("r", F.lit(0))["n"], F.size("r")
-    more = F.when(n > asked, F.concat(F.lit("Tekst opgeknipt in "), n.cast("string"), F.lit(" stukken; alleen de eerste "), asked.cast("string"), F.lit(" zijn met AI beoordeeld (--max-stukken verhoogt dit).")))
+    more = F.when(n > asked, F.format_string(SAID["chunks"], n, asked))
     why = F.get(F.filter("r", lambda x: x["chunk_no"] == F.col("stop")), F.lit(0))["why"]
-    failed = F.when(F.col("stop").isNotNull(), F.concat(F.lit("AI-analyse van deel "), F.col("stop").cast("string"), F.lit("/"), asked.cast("string"), F.lit(" mislukt: "), why))
+    failed = F.when(F.col("stop").isNotNull(), F.format_string(SAID["failed"], "stop", asked, why))
     return docs.select(
         id_col, F.flatten(F.transform("good", lambda x: x["found"])).alias("ai_findings"),
         F.coalesce(F.get(F.filter(F.transform("good", lambda x: x["summary"]), lambda s: s != ""), F.lit(0)), F.lit("")).alias("ai_summary"),
@@ -222,8 +222,8 @@ def pick_model(names: list[str], wanted: str | None = None) -> tuple[str | None,
     """(model, warning): the first if none is wanted, else the wanted one, else the first whose name holds it (letter case
     counts), else the wanted one all the same with a warning. Without names there is no model."""
     if not names:
-        return None, "de server draait maar heeft geen model geladen"
+        return None, SAID["no_model"]
     if not wanted or wanted in names:
         return wanted or names[0], None
     matching = next((n for n in names if wanted in n), None)
-    return matching or wanted, None if matching else f'Model "{wanted}" staat niet in de lijst. Beschikbaar: {", ".join(names)}'
+    return matching or wanted, None if matching else SAID["other_model"] % (wanted, ", ".join(names))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graysift.functions import text as tx
 from graysift.functions.checks import CHECKS, digits
 from graysift.functions.text import let, matches, quoted
-from graysift.functions.rules import GENERIC, HIGH, MAX_NAMES, MAX_PER_TYPE, MAX_TERMS, NAME, RULES, SPECIAL, SPECIAL_NOTE, Rule
+from graysift.functions.rules import GENERIC, HIGH, MAX_NAMES, MAX_PER_TYPE, MAX_TERMS, NAME, RULES, SAID, SPECIAL, SPECIAL_NOTE, Rule
 
 FINDING = (
     "struct<type:string,label:string,severity:string,category:string,note:string,value:string,masked:string,line:int,context:string,"
@@ -196,7 +196,7 @@ def _columns(every: bool, gateway: int) -> tuple[dict[str, Column], Column, Colu
     special = F.when(F.size(words) > 0, F.concat(*[special_hits("__text", s[2], len(RULES) + k, listed(s)) for k, s in enumerate(SPECIAL)])).otherwise(F.array().cast(HITS))
     found = F.concat(*[F.col(f"__{no}.found") for no, _ in rules[:-1]], special, F.col(f"__{rules[-1][0]}.found"))
     over = F.array(*[F.struct(F.lit(r.label).alias("label"), F.col(f"__{no}.over").alias("n")) for no, r in rules])
-    told = lambda x: F.concat(x["label"], F.lit(": nog "), x["n"].cast("string"), F.lit(f" andere unieke treffer(s) gevonden; alleen de eerste {MAX_PER_TYPE} staan in het rapport."))
+    told = lambda x: F.format_string(SAID["more"], x["label"], x["n"], F.lit(MAX_PER_TYPE))
     return hits, found, F.transform(F.filter(over, lambda x: x["n"] > 0), told)
 
 

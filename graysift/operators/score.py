@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graysift.functions import text as tx
-from graysift.functions.rules import ADVICE, HIGH, IDENTIFYING, LOW, MEDIUM, NONE, RANK, TOPIC_NOTE, TOPIC_SUFFIX, UNKNOWN
+from graysift.functions.rules import ADVICE, HIGH, IDENTIFYING, LOW, MEDIUM, NONE, RANK, SAID, TOPIC_NOTE, TOPIC_SUFFIX, UNKNOWN
 from graysift.operators.detect import FINDING, let
 
 
@@ -91,10 +91,8 @@ def summarise(results: DataFrame, threshold: str = MEDIUM, names: bool = False)
         F.count(F.lit(1)).alias("files"), *[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ADVICE], severity_of(F.coalesce(F.max(r), F.lit(0))).alias("highest"),
         F.count_if(reached).alias("n_blocked"), *(lists if names else []),
     )
-    text = F.when(F.col("n_blocked") == 0, "Alle bestanden blijven onder de drempel — uploaden kan.").otherwise(
-        F.concat(F.col("n_blocked").cast("string"), F.lit(" van "), F.col("files").cast("string"), F.lit(f' bestand(en) haalt de drempel "{threshold}" of hoger. Schoon die eerst op.'))
-    )
-    unread = F.when(F.col(f"n_{UNKNOWN}") > 0, F.concat(F.lit(" "), F.col(f"n_{UNKNOWN}").cast("string"), F.lit(" bestand(en) kon de scanner niet lezen — controleer die zelf."))).otherwise("")
+    text = F.when(F.col("n_blocked") == 0, SAID["clean"]).otherwise(F.format_string(SAID["blocked"], "n_blocked", "files", F.lit(threshold)))
+    unread = F.when(F.col(f"n_{UNKNOWN}") > 0, F.format_string(SAID["unread"], f"n_{UNKNOWN}")).otherwise("")
     return out.withColumn("threshold", F.lit(threshold)).withColumn("advice", F.concat(text, unread))
 
 

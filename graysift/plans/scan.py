@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graysift.functions import text as tx
+from graysift.functions.rules import SAID
 from graysift.operators.detect import FINDINGS, with_findings
 from graysift.operators.score import advice, merge_findings, verdict, weigh_topics
 
@@ -43,7 +44,7 @@ def scan(docs: DataFrame, ai: DataFrame | None = None, id_col: str = "doc_id", e
         docs = docs.withColumn("__by_name", F.array().cast(FINDINGS))
     docs = with_findings(docs, F.col("text"), "__by_text", "__warnings", every=every)
     docs = docs.withColumn("__found", F.concat("__by_name", "__by_text", "__ai"))
-    limit = F.when(F.col("__cut"), "Bestand is groter dan de leeslimiet; alleen het eerste deel is gescand.")
+    limit = F.when(F.col("__cut"), SAID["cut"])
     docs = docs.withColumn("warnings", F.concat(F.array_compact(F.array(F.col("note"), limit)), "__warnings", "__said"))
     docs = docs.withColumn("findings", F.when(F.size("__found") > 0, merge_findings(F.col("__found"))).otherwise(F.array().cast(FINDINGS)))
     docs = docs.withColumn("findings", weigh_topics(F.col("findings")))

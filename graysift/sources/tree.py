@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from graysift.functions.rules import SAID
 from graysift.sources.shared import shared_path, written
 
 # Fixed value: folders that are passed over.
@@ -130,7 +131,7 @@ class TreeReader(DataSourceReader):
                 with store.open_input_stream(at) as f:
                     found = file_digest(f) if self.digest else f.read(self.most or None)
             except OSError as x:  # one file that cannot be read does not end the scan
-                failed = f"Kon dit bestand niet lezen: {x}"
+                failed = SAID["read"] % x
             rows.append((path, name, bytes_, found, failed))
             size += len(found or "")
             if size >= BATCH_BYTES or len(rows) == NAMES:
