@@ -40,7 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after lower-casing A-Z. A null text counts as empty, so null and empty
     texts form one group. A null id never wins over another; a group of null ids only keeps none (keep_id
     null, kept false). Rows that repeat an id each come back, all kept if the id wins. An empty table gives
-    an empty table. Result columns replace columns of the same name; other columns pass through.
+    an empty table. Very long texts are compared whole. Result columns replace columns of the same name; other columns pass through.
 
     The digests that rows share are found first (when this is called) and written. Rows get their winner by digest, which
     is equality of texts: combining compared all texts of each digest. Should a digest ever stand for several texts,

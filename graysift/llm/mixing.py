@@ -49,7 +49,7 @@ def mix(
 
     Null text: size 0, takes nothing. Null source: a source of its own, sorted last. Rows that repeat an
     id are documents of their own, with the same place in the shuffle. A null id shuffles as id "null".
-    Empty table: empty result. The cut is found when this is called (the sized documents are written to
+    Very long texts count as their words. Other columns are not read, so none clashes. Empty table: empty result. The cut is found when this is called (the sized documents are written to
     the shared folder); reruns agree.
     """
     spark = docs.sparkSession

@@ -257,7 +257,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, **options) -> Data
     ranking and placing each read them.
 
     Null text: one piece of one token. Null ids are packed like others. Rows that repeat an id are packed
-    each. An empty table gives an empty table. Columns of the input other than id and text are not carried.
+    each. An empty table gives an empty table. Very long texts are encoded whole, one at a time. Columns of the input other
+    than id and text are not carried, so none clashes.
     """
     return pack(materialize(token_pieces(docs, capacity=capacity, **options), "pieces"), capacity)
 

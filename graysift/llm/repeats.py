@@ -259,7 +259,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null and empty texts and texts of fewer words have no passages. Rows with a null id are left out. Rows that repeat
     an id count as one document, so they do not make each other's passages repeated. An empty table gives an empty
     table. Copies of a suffix and its windows are one row before anything is sorted; a beginning that very many
-    different suffixes share is dealt to several tasks, whose windows then meet by their hashes.
+    different suffixes share is dealt to several tasks, whose windows then meet by their hashes. Very long texts are read
+    whole, one at a time. Other columns are not read, so none clashes.
     """
     if not GROUP_WORDS <= min_words <= 60:
         raise ValueError("min_words is from 10 to 60")

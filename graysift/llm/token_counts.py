@@ -84,8 +84,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     part, and joined back. No ids are kept. Both sides of the join are scans of written tables, so adaptive execution
     may split a part that the sample missed though many documents hold it.
 
-    Null counts as empty: 0 tokens. Null ids and repeated ids keep a row each. Empty table: empty result. Other columns
-    are not read.
+    Null counts as empty: 0 tokens. Null ids and repeated ids keep a row each. Empty table: empty result. Very long
+    texts are counted whole, as rows of their different pre-tokens. Other columns are not read, so none clashes.
     """
     spark, model = docs.sparkSession, model or vocabulary_path(PIECE_BPE)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -175,7 +175,8 @@ def write_token_files(
     lost task leave each shard once, in any store.
 
     Null text counts as empty and yields the end id alone; null ids come first; rows that repeat an id are
-    written each, in order of their text. An empty table leaves an empty folder. memory: units that a worker remembers,
+    written each, in order of their text. An empty table leaves an empty folder. A very long text is one document of a
+    shard, which then has more ids than others. Other columns are not read. memory: units that a worker remembers,
     see Encoder.
     """
     vocabulary = vocabulary or vocabulary_path(BYTE_BPE)

@@ -244,6 +244,18 @@ def test_mixing(spark, empty):
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
 
 
+def test_operators_do_not_read_other_columns(spark):
+    """Columns named as their own change nothing, nor does one very long text."""
+    rows = [(i, f"w{i % 7} " * (3 + i % 5), "ab"[i % 2]) for i in range(30)] + [(99, "lang " * 200_000, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names = ("size", "taken", "mark", "range", "target", "row", "n", "part", "tokens", "length", "offset", "piece", "ids", "node", "key", "sig", "word")
+    clash = df.withColumns({n: F.lit("clash") for n in names})
+    for operator in (mix, token_counts, near_duplicates, repeats.repeated_passages, pack_documents):
+        drop = [c for c in ("sequence_id", "offset") if operator is pack_documents]
+        assert rows_of(operator(clash).drop(*drop)) == rows_of(operator(df).drop(*drop))
+    assert {r["doc_id"]: r["size"] for r in mix(clash).collect()}[99] == 200_000
+
+
 def test_quality(spark):
     rnd = random.Random(6)
     good, mid, bad = (["good", "fine", "clear"], ["plain", "so"], ["SPAM!!", "BUY!!", "###"])
