@@ -1,8 +1,14 @@
 """Token-ID files: one wavelet matrix per shard, and the jobs that write and read them.
 
-A shard file (bytes): the 4-byte magic, the length of a JSON header (unsigned 32-bit), the header, then its
-sections. Sections: the alphabet (the ids that occur, ascending), the documents' ids and lengths, and for each
-bit plane the compressed blocks of BLOCK bits with a directory of block ends and of ones before each block.
+The matrix is shaped by the ids' frequencies: an id has a prefix code, a plane holds one bit of each id whose code is
+longer than the planes before, and the codes are dealt out so that ids whose code ends at a plane stand together at the end
+of it. The planes are then about as long as the ids' entropy and need no further compression, so that rank and
+select read them where they lie.
+
+A shard file (bytes): the 4-byte magic, the length of a JSON header and its crc32 (unsigned 32-bit each), the header, then
+its body. Sections of the body: the documents' ids and lengths, the alphabet (the ids that occur, by length of code and
+id) and its counts, all four compressed; for each plane its bits and the ones before each BLOCK of them; the crc32 of each
+PAGE of all that.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +27,52 @@ from pyspark.sql import functions as F
 from graysift.llm.common import shared_dir
 from graysift.llm.tokens import BYTE_BPE, MEMORY, encoder, vocabulary_path
 
-MAGIC = b"WMX1"
-#: Bits of a plane that are compressed together; a lookup opens one block for each plane.
-BLOCK = 1 << 16
+MAGIC = b"WMX2"
+#: Bits between two entries of a plane's ranks; bytes whose crc is checked together, when first read; ids that are moved
+#: from plane to plane together, so that they stay in the processor's cache.
+BLOCK, PAGE, STRIDE = 1024, 4096, 1 << 16
+#: Codes are at most this long.
+LONGEST = 30
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """The lengths of a prefix code of least total length for symbols met so often; 0 for a single symbol. Where a
+    code would be longer than LONGEST, counts are halved, which evens them out."""
+    n = len(counts)
+    order = np.argsort(counts, kind="stable")
+    while n > 1:
+        weight, parent = counts[order].tolist(), [0] * (2 * n - 1)
+        leaf, inner = 0, n  # both queues are in order of weight
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner == new or weight[leaf] <= weight[inner]):
+                    k, leaf = leaf, leaf + 1
+                else:
+                    k, inner = inner, inner + 1
+                parent[k] = new
+                total += weight[k]
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= LONGEST:
+            found = np.empty(n, np.int64)
+            found[order] = depth[:n]
+            return found
+        counts = (counts + 1) // 2
+    return np.zeros(n, np.int64)
+
+
+def codes_of(ending: list[int]) -> np.ndarray:
+    """The codes, first bit highest of 32, of symbols in order of code length; ending[p] symbols have p bits. Before plane p
+    ids stand by their first p bits read backwards, so codes that end there are the last ones in that order."""
+    open_, found = np.zeros(1, np.uint32), []
+    for p, n in enumerate(ending):
+        found.append(open_[len(open_) - n :])
+        rest = open_[: len(open_) - n]
+        open_ = np.concatenate([rest, rest | np.uint32(1 << (31 - p))])
+    return np.concatenate([np.zeros(0, np.uint32), *found])
 
 
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
@@ -30,142 +80,197 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
     import zstandard
 
     counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
-    alphabet = np.flatnonzero(counts).astype("<u4")
-    rank = np.zeros(len(counts) + 1, np.uint32)
-    rank[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
-    level = rank[ids].astype(np.uint16 if len(alphabet) <= 65536 else np.uint32)
-    planes = max(1, int(max(len(alphabet) - 1, 1)).bit_length())
-    nulls = np.array([d is None for d in doc_ids], bool)
-    press = zstandard.ZstdCompressor(level=1)
+    alphabet = np.flatnonzero(counts)
+    size = code_lengths(counts[alphabet])
+    by_size = np.argsort(size, kind="stable")
+    alphabet, ending = alphabet[by_size], np.bincount(size).tolist() if len(size) else []
+    coded = np.zeros(len(counts), np.uint32)
+    coded[alphabet] = codes_of(ending)
+    counts, first = counts[alphabet], np.cumsum([0, *ending])
+    ended = [int(counts[a:b].sum()) for a, b in zip(first, first[1:], strict=False)]
+    press = zstandard.ZstdCompressor(level=3).compress
     sections: dict[str, bytes] = {
-        "alphabet": alphabet.tobytes(),
-        "docs": np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
-        "nulls": np.packbits(nulls).tobytes(),
-        "lengths": np.asarray(lengths, "<i8").tobytes(),
+        "docs": press(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.packbits(np.array([d is None for d in doc_ids], bool)).tobytes()),
+        "lengths": press(np.asarray(lengths, "<i8").tobytes()),
+        "alphabet": press(alphabet.astype("<u4").tobytes()),
+        "counts": press(counts.astype("<u8").tobytes()),
     }
-    zeros = []
-    for p in range(planes):
-        mask, following, blocks, ones = np.array(1 << (planes - 1 - p), level.dtype), np.empty_like(level), [], []
-        zero, one = 0, int(np.count_nonzero(level & mask == 0))
+    level, zeros = coded[ids], []
+    for p in range(len(ending) - 1):
+        level = level[: len(level) - ended[p]]
+        following, mask, bits = np.empty_like(level), np.uint32(1 << (31 - p)), np.empty(len(level), bool)
+        np.not_equal(level & mask, 0, out=bits)
+        zero, one = 0, len(level) - int(np.count_nonzero(bits))
         zeros.append(one)
-        for begin in range(0, len(level), BLOCK):  # a block at a time stays in the processor's cache
-            part = level[begin : begin + BLOCK]
-            bits = part & mask != 0
-            low, high = part[~bits], part[bits]
+        for begin in range(0, len(level), STRIDE):
+            part, high = level[begin : begin + STRIDE], bits[begin : begin + STRIDE]
+            # by places: taking by a mask of random bits is several times slower
+            low, up = part.take(np.flatnonzero(~high)), part.take(np.flatnonzero(high))
             following[zero : zero + len(low)] = low
-            following[one : one + len(high)] = high
-            zero, one = zero + len(low), one + len(high)
-            blocks.append(press.compress(np.packbits(bits).tobytes()))
-            ones.append(len(high))
-        sections[f"ends{p}"] = np.cumsum([len(b) for b in blocks]).astype("<u4").tobytes()
-        sections[f"ones{p}"] = np.cumsum([0, *ones]).astype("<u4").tobytes()
-        sections[f"bits{p}"] = b"".join(blocks)
+            following[one : one + len(up)] = up
+            zero, one = zero + len(low), one + len(up)
+        packed = np.packbits(bits)
+        ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
+        sections[f"bits{p}"] = packed.tobytes()
+        sections[f"ranks{p}"] = np.cumsum([0, *ones]).astype("<u4" if len(level) < 1 << 32 else "<u8").tobytes()
         level = following
     body = b"".join(sections.values())
-    head = json.dumps({"n": len(ids), "planes": planes, "zeros": zeros, "docs": len(doc_ids), "crc": zlib.crc32(body), "sections": [[k, len(v)] for k, v in sections.items()]}).encode()
-    return MAGIC + struct.pack("<I", len(head)) + head + body
+    crcs = struct.pack(f"<{-(-len(body) // PAGE)}I", *(zlib.crc32(body[k : k + PAGE]) for k in range(0, len(body), PAGE)))
+    head = {"n": len(ids), "zeros": zeros, "ending": ending, "ended": ended, "docs": len(doc_ids), "pages": zlib.crc32(crcs), "sections": [[k, len(v)] for k, v in sections.items()]}
+    head = json.dumps(head).encode()
+    return MAGIC + struct.pack("<II", len(head), zlib.crc32(head)) + head + body + crcs
 
 
 class WaveletMatrix:
-    """Reads one shard file without unpacking it: access, rank, count, select; decode() unpacks all."""
-
-    def __init__(self, data: bytes):
-        import zstandard
+    """Reads one shard file where it lies: access, rank, count and select touch a few pages of each plane; decode() reads
+    all. A page's crc is checked when it is first read, and a damaged one is a ValueError."""
 
+    def __init__(self, data: bytes | memoryview):
+        data = memoryview(data)
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet shard")
-        size = struct.unpack("<I", data[4:8])[0]
-        self.head = json.loads(data[8 : 8 + size])
-        if zlib.crc32(memoryview(data)[8 + size :]) != self.head["crc"]:
+        size, crc = struct.unpack("<II", data[4:12])
+        if zlib.crc32(data[12 : 12 + size]) != crc:
             raise ValueError("a wavelet shard is damaged")
-        self.parts, at = {}, 8 + size
+        self.head = json.loads(bytes(data[12 : 12 + size]))
+        self.n, self.zeros, ended = self.head["n"], self.head["zeros"], self.head["ended"]
+        self.planes, self.at, end = len(self.zeros), {}, 0
         for name, length in self.head["sections"]:
-            self.parts[name] = memoryview(data)[at : at + length]
-            at += length
-        self.n, self.planes, self.zeros = self.head["n"], self.head["planes"], self.head["zeros"]
-        self.alphabet = np.frombuffer(self.parts["alphabet"], "<u4")
-        self.unpress = zstandard.ZstdDecompressor()
+            self.at[name], end = (end, end + length), end + length
+        self.body, crcs = data[12 + size : 12 + size + end], data[12 + size + end :]
+        if zlib.crc32(crcs) != self.head["pages"]:
+            raise ValueError("a wavelet shard is damaged")
+        self.crcs, self.seen = np.frombuffer(crcs, "<u4"), np.zeros(len(crcs) // 4, bool)
+        #: Ids in each plane, and where the codes that end before it begin in the alphabet.
+        self.sizes = (self.n - np.cumsum(ended)).tolist()
+        self.first = np.cumsum([0, *self.head["ending"]]).tolist()
+
+    def _read(self, section: str, begin: int = 0, end: int | None = None) -> memoryview:
+        low, high = self.at[section]
+        low, high = low + begin, high if end is None else min(low + end, high)
+        for page in range(low // PAGE, -(-high // PAGE)):
+            if not self.seen[page]:
+                if zlib.crc32(self.body[page * PAGE : (page + 1) * PAGE]) != self.crcs[page]:
+                    raise ValueError("a wavelet shard is damaged")
+                self.seen[page] = True
+        return self.body[low:high]
+
+    def _unpress(self, section: str) -> bytes:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(self._read(section))
+
+    @cached_property
+    def alphabet(self) -> np.ndarray:
+        return np.frombuffer(self._unpress("alphabet"), "<u4")
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        return np.frombuffer(self._unpress("counts"), "<u8").astype(np.int64)
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return codes_of(self.head["ending"])
 
     def documents(self) -> tuple[list[int | None], np.ndarray]:
-        ids = np.frombuffer(self.parts["docs"], "<i8").tolist()
-        nulls = np.unpackbits(np.frombuffer(self.parts["nulls"], np.uint8))
-        return [None if null else d for d, null in zip(ids, nulls, strict=False)], np.frombuffer(self.parts["lengths"], "<i8")
+        raw, n = self._unpress("docs"), self.head["docs"]
+        nulls = np.unpackbits(np.frombuffer(raw[8 * n :], np.uint8))
+        ids = np.frombuffer(raw[: 8 * n], "<i8").tolist()
+        return [None if null else d for d, null in zip(ids, nulls, strict=False)], np.frombuffer(self._unpress("lengths"), "<i8")
 
-    def _bits(self, plane: int, block: int) -> np.ndarray:
-        ends = np.frombuffer(self.parts[f"ends{plane}"], "<u4")
-        start = int(ends[block - 1]) if block else 0
-        raw = self.unpress.decompress(self.parts[f"bits{plane}"][start : int(ends[block])])
-        return np.unpackbits(np.frombuffer(raw, np.uint8))[: self.n - block * BLOCK]
+    def _rank(self, plane: int, block: int) -> int:
+        low, high = self.at[f"ranks{plane}"]
+        width = 4 if self.sizes[plane] < 1 << 32 else 8
+        return int.from_bytes(self._read(f"ranks{plane}", block * width, (block + 1) * width), "little")
 
     def _ones(self, plane: int, at: int) -> int:
         """Ones among the first ``at`` bits of a plane."""
         block, rest = divmod(at, BLOCK)
-        found = int(np.frombuffer(self.parts[f"ones{plane}"], "<u4")[block])
-        return found + (int(np.count_nonzero(self._bits(plane, block)[:rest])) if rest else 0)
+        found = self._rank(plane, block)
+        if rest:
+            begin = block * BLOCK // 8
+            bits = self._read(f"bits{plane}", begin, begin + -(-rest // 8))
+            found += (int.from_bytes(bits, "big") >> (-rest % 8)).bit_count()
+        return found
 
     def access(self, at: int) -> int:
         """The id at a position."""
         if not 0 <= at < self.n:
             raise IndexError(at)
-        symbol = 0
-        for p in range(self.planes):
-            block, rest = divmod(at, BLOCK)
-            bits = self._bits(p, block)
-            bit, ones = int(bits[rest]), int(np.frombuffer(self.parts[f"ones{p}"], "<u4")[block]) + int(np.count_nonzero(bits[:rest]))
+        p = 0
+        while at < self.sizes[p]:
+            bit, ones = self._read(f"bits{p}", at // 8, at // 8 + 1)[0] >> (7 - at % 8) & 1, self._ones(p, at)
             at = self.zeros[p] + ones if bit else at - ones
-            symbol = symbol * 2 + bit
-        return int(self.alphabet[symbol])
-
-    def _symbol(self, token: int) -> int | None:
-        k = int(np.searchsorted(self.alphabet, token))
-        return k if k < len(self.alphabet) and self.alphabet[k] == token else None
+            p += 1
+        ends = np.cumsum(self.counts[self.first[p] : self.first[p + 1]])
+        return int(self.alphabet[self.first[p] + np.searchsorted(ends, at - self.sizes[p], side="right")])
+
+    def _code(self, token: int) -> list[int] | None:
+        """The bits of an id's code; None for an id that does not occur."""
+        k = np.flatnonzero(self.alphabet == token)
+        if not len(k):
+            return None
+        size = int(np.searchsorted(self.first, k[0], side="right")) - 1
+        code = int(self.codes[k[0]])
+        return [code >> (31 - p) & 1 for p in range(size)]
 
     def count(self, token: int, low: int = 0, high: int | None = None) -> int:
         """How often an id occurs in [low, high)."""
-        symbol, high = self._symbol(token), self.n if high is None else min(high, self.n)
-        if symbol is None or low >= high:
+        code, low, high = self._code(token), max(low, 0), self.n if high is None else min(high, self.n)
+        if code is None or low >= high:
             return 0
-        for p in range(self.planes):
+        for p, bit in enumerate(code):
             a, b = self._ones(p, low), self._ones(p, high)
-            low, high = (self.zeros[p] + a, self.zeros[p] + b) if symbol >> (self.planes - 1 - p) & 1 else (low - a, high - b)
+            low, high = (self.zeros[p] + a, self.zeros[p] + b) if bit else (low - a, high - b)
+            if low >= high:
+                return 0
         return high - low
 
     def select(self, token: int, k: int) -> int:
         """The position of the k-th (from 0) occurrence of an id."""
-        symbol, low = self._symbol(token), 0
-        if symbol is None or not 0 <= k < self.count(token):
+        code, at = self._code(token), 0
+        if code is None or not 0 <= k < self.count(token):
             raise IndexError(k)
-        for p in range(self.planes):
-            ones = self._ones(p, low)
-            low = self.zeros[p] + ones if symbol >> (self.planes - 1 - p) & 1 else low - ones
-        at = low + k
-        for p in reversed(range(self.planes)):
-            bit = symbol >> (self.planes - 1 - p) & 1
-            nth = at - self.zeros[p] if bit else at
-            ones = np.frombuffer(self.parts[f"ones{p}"], "<u4").astype(np.int64)
-            before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
-            block = int(np.searchsorted(before, nth, side="right")) - 1
-            at = block * BLOCK + int(np.flatnonzero(self._bits(p, block) == bit)[nth - int(before[block])])
+        for p, bit in enumerate(code):
+            ones = self._ones(p, at)
+            at = self.zeros[p] + ones if bit else at - ones
+        at += k
+        for p, bit in reversed(list(enumerate(code))):
+            at = self._place(p, bit, at - self.zeros[p] if bit else at)
         return at
 
+    def _place(self, plane: int, bit: int, nth: int) -> int:
+        """The place of the nth (from 0) bit of its kind in a plane: its block by halving, then the bit in it."""
+        before = lambda b: self._rank(plane, b) if bit else b * BLOCK - self._rank(plane, b)
+        low, high = 0, -(-self.sizes[plane] // BLOCK)
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if before(middle) <= nth else (low, middle)
+        raw = np.frombuffer(self._read(f"bits{plane}", low * BLOCK // 8, (low + 1) * BLOCK // 8), np.uint8)
+        return low * BLOCK + int(np.flatnonzero(np.unpackbits(raw) == bit)[nth - before(low)])
+
     def decode(self) -> np.ndarray:
         """All ids, by undoing the planes' partitions from the last to the first."""
-        symbols = np.zeros(self.n, np.uint32 if self.planes > 16 else np.uint16)
-        for p in reversed(range(self.planes)):
-            up, zero, one = np.empty_like(symbols), 0, self.zeros[p]
-            symbols[one:] |= np.array(1 << (self.planes - 1 - p), symbols.dtype)
-            for block, begin in enumerate(range(0, self.n, BLOCK)):
-                bits, part = self._bits(p, block).view(bool), up[begin : begin + BLOCK]
-                n = int(np.count_nonzero(bits))
-                part[bits] = symbols[one : one + n]
-                part[~bits] = symbols[zero : zero + len(part) - n]
-                zero, one = zero + len(part) - n, one + n
-            symbols = up
-        return self.alphabet[symbols] if self.n else np.zeros(0, "<u4")
+        kind = np.uint16 if len(self.alphabet) <= 65536 else np.uint32
+        places, level = np.arange(len(self.alphabet), dtype=kind), np.zeros(0, kind)
+        for p in reversed(range(self.planes + 1)):
+            if p < self.planes:
+                bits = np.unpackbits(np.frombuffer(self._read(f"bits{p}"), np.uint8), count=self.sizes[p]).view(bool)
+                up, zero, one = np.empty_like(level), 0, self.zeros[p]
+                for begin in range(0, len(bits), STRIDE):
+                    part, high = up[begin : begin + STRIDE], bits[begin : begin + STRIDE]
+                    low, top = np.flatnonzero(~high), np.flatnonzero(high)
+                    part[low], part[top] = level[zero : zero + len(low)], level[one : one + len(top)]
+                    zero, one = zero + len(low), one + len(top)
+                level = up
+            if self.head["ending"]:
+                ends = slice(self.first[p], self.first[p + 1])
+                level = np.concatenate([level, np.repeat(places[ends], self.counts[ends])])
+        return self.alphabet[level] if self.n else np.zeros(0, "<u4")
 
 
 def write_token_files(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = 2_000_000, memory: int = MEMORY
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = 8_000_000, memory: int = MEMORY
 ) -> None:
     """Encodes every text, appends end_id to each document, and writes the ids in ascending id order.
 
@@ -229,7 +334,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, shard, data in zip(batch["part"].to_pylist(), batch["shard"].to_pylist(), batch["data"], strict=True):
-                matrix = WaveletMatrix(data.as_py())
+                matrix = WaveletMatrix(data.as_buffer())
                 doc_ids, lengths = matrix.documents()
                 raw, ends = memoryview(matrix.decode().astype("<u4").tobytes()), np.cumsum(lengths)
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]

@@ -15,7 +15,7 @@ from graysift.llm.ngram_join import near_duplicates
 from graysift.llm.packing import best_fit, dominance_reduction, pack_documents, plan, sequences, token_pieces, pack
 from graysift.llm.quality import features, fit, grade, train
 from graysift.llm.token_counts import frequent_pretokens, token_counts
-from graysift.llm.token_files import WaveletMatrix, build, token_file_index
+from graysift.llm.token_files import WaveletMatrix, build, code_lengths, token_file_index
 from graysift.llm.tokens import BYTE_BPE, Encoder, vocabulary_path
 from tests.llm import brute
 
@@ -199,15 +199,43 @@ def test_token_files(docs, empty, spark):
 
 def test_wavelet_matrix():
     rnd = np.random.default_rng(4)
-    ids = rnd.choice(np.array([0, 2, 5, 70000, 9], np.uint32), 200_001)
-    m = WaveletMatrix(build(ids, [1, None], np.array([200_000, 1])))
-    assert (m.decode() == ids).all() and m.documents()[0] == [1, None]
-    for at in (0, 65535, 65536, 131_073, 200_000):
-        assert m.access(at) == ids[at]
-    assert m.count(5) == (ids == 5).sum() and m.count(5, 100, 70_000) == (ids[100:70_000] == 5).sum() and m.count(6) == 0
-    assert [m.select(9, k) for k in (0, 20_000)] == np.flatnonzero(ids == 9)[[0, 20_000]].tolist()
-    with pytest.raises(IndexError):
-        m.access(200_001)
+    many = np.minimum(rnd.geometric(0.001, 150_001) ** 2, 99_999).astype(np.uint32)
+    doubling = np.repeat(np.arange(40, dtype=np.uint32), [min(2**k, 9000) for k in range(40)])
+    for ids in (rnd.choice(np.array([0, 2, 5, 70000, 9], np.uint32), 200_001, p=[0.7, 0.1, 0.1, 0.05, 0.05]), many, doubling, np.full(3000, 7, np.uint32), np.array([5, 4], np.uint32)):
+        m = WaveletMatrix(build(ids, [1, None], np.array([len(ids) - 1, 1])))
+        assert (m.decode() == ids).all() and m.documents()[0] == [1, None] and m.documents()[1].tolist() == [len(ids) - 1, 1]
+        for at in {0, 1, len(ids) // 3, len(ids) - 1, *(k for k in (1023, 1024, 65535, 65536, 131_073) if k < len(ids))}:
+            assert m.access(at) == ids[at]
+        for token in {int(ids[0]), int(ids[-1]), int(ids[len(ids) // 2]), int(ids.min()), int(ids.max())}:
+            places = np.flatnonzero(ids == token)
+            low, high = len(ids) // 5, len(ids) * 2 // 3
+            assert m.count(token) == len(places) and m.count(token, low, high) == (ids[low:high] == token).sum()
+            for k in {0, len(places) // 2, len(places) - 1}:
+                assert m.select(token, k) == places[k]
+        assert m.count(123_456) == 0 and m.count(int(ids[0]), 5, 5) == 0
+        with pytest.raises(IndexError):
+            m.access(len(ids))
+        with pytest.raises(IndexError):
+            m.select(int(ids[0]), m.count(int(ids[0])))
+    empty = WaveletMatrix(build(np.zeros(0, np.uint32), [], np.zeros(0, np.int64)))
+    assert len(empty.decode()) == 0 and empty.documents()[0] == [] and empty.count(3) == 0
+
+
+def test_wavelet_codes_and_pages():
+    counts = np.array([2**k for k in range(45)])  # more doublings than the longest code has bits
+    size = code_lengths(counts)
+    assert size.max() <= 30 and sum(2.0**-k for k in size.tolist()) <= 1
+    assert code_lengths(np.array([5])).tolist() == [0] and code_lengths(np.array([1, 1, 2])).tolist() == [2, 2, 1]
+    ids = np.random.default_rng(5).integers(0, 500, 400_000).astype(np.uint32)
+    data = bytearray(build(ids, [1], np.array([len(ids)])))
+    whole = WaveletMatrix(bytes(data))
+    assert whole.access(200_000) == ids[200_000] and whole.seen.mean() < 0.5  # a lookup does not read the whole file
+    assert len(data) * 8 / len(ids) < 9.6  # entropy is 8.97
+    data[len(data) // 2] ^= 1
+    with pytest.raises(ValueError):
+        WaveletMatrix(bytes(data)).decode()
+    with pytest.raises(ValueError):
+        WaveletMatrix(b"WMX1" + bytes(data)[4:])
 
 
 def test_token_counts(docs, empty):
