@@ -3,7 +3,9 @@
 Unit vectors are rotated onto their principal axes, so the leading dimensions carry the most of a product. A tile
 of products is built up from the leading dimensions; what is left of a product is at most the product of the two
 suffix norms, and a pair is given up as soon as this bound cannot reach the threshold. Vectors are dealt into cells by
-splits along the leading axes; cells whose boxes lie too far apart are never brought together.
+splits along the leading axes, about one for each block of vectors however many there are. Cells whose boxes lie too far
+apart are never brought together: pairs of boxes are followed down the tree of cells, and of two near cells only the vectors
+that may reach the other's box are compared.
 """
 
 from __future__ import annotations
@@ -22,9 +24,14 @@ from pyspark.sql import functions as F
 from graysift.llm.common import materialize
 from graysift.llm.components import connected_components, join_labels
 
-#: Vectors of a block and its components at most (about), rows and columns of a tile, the least and the most cells, the
-#: leading axes that cells are cut along, and the vectors in the sample that proposes the cuts.
-BLOCK, BLOCK_VALUES, TILE, LEAST_CELLS, MOST_CELLS, LEADING, SAMPLE = 4096, 1 << 20, 1024, 16, 1024, 8, 20_000
+#: Vectors of a block and its components at most (about), rows and columns of a tile, the least cells, and the leading axes
+#: that cells are cut along.
+BLOCK, BLOCK_VALUES, TILE, LEAST_CELLS, LEADING = 4096, 1 << 20, 1024, 16, 8
+#: Cuts are proposed by samples, in two rounds of at most DEEP halvings (2^20 cells, of 4 * 10^9 vectors): SAMPLE vectors on
+#: the driver, then about CELL_SAMPLE for each new cell in a task for each cell of the first round. All cuts are 16 MB at most.
+DEEP, SAMPLE, CELL_SAMPLE = 10, 20_000, 32
+#: Halvings that a step down the tree of cells takes: 32 * 32 pairs of boxes for each pair that is near.
+STEP = 5
 #: Lengths of so few different vectors are compared in one group each, on the given axes.
 FEW = 256
 #: A tile with at most this share of pairs in reach is finished pair by pair.
@@ -140,69 +147,125 @@ def cuts_of(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return axis, value
 
 
-def _in_cells(axes: np.ndarray, axis: np.ndarray, value: np.ndarray):
-    """Adds the leading coordinates and the cell to rows with a unit vector, which goes."""
+def cells_of(lead: np.ndarray, axis: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The cell of each point. Each point has cuts of its own if there is a row of them for each."""
+    at, cuts, every = np.zeros(len(lead), np.int64), axis.shape[-1], np.arange(len(lead))
+    while len(at) and at[0] < cuts:
+        k, v = (axis[at], value[at]) if axis.ndim == 1 else (axis[every, at], value[every, at])
+        at = 2 * at + 1 + (lead[every, k] > v)
+    return at - cuts
+
+
+def _in_cells(axes: np.ndarray, rounds):
+    """Adds the leading coordinates and the cell to rows with a unit vector, which goes. rounds: a broadcast list of the
+    first round's cuts and, if there is a second, those of each of the first one's cells."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (axis, value), *second = rounds.value
         for batch in batches:
             unit = batch["unit"].flatten().to_numpy(zero_copy_only=False).reshape(-1, axes.shape[0])
-            lead, at = unit @ axes[:, :LEADING], np.zeros(batch.num_rows, np.int64)
-            while len(at) and at[0] < len(axis):
-                at = 2 * at + 1 + (lead[np.arange(len(at)), axis[at]] > value[at])
+            lead = np.ascontiguousarray(unit @ axes[:, :LEADING])
+            cell = cells_of(lead, axis, value)
+            for of_axis, of_value in second:
+                inner = np.zeros(len(cell), np.int64)
+                for k in np.unique(cell).tolist():
+                    rows = np.flatnonzero(cell == k)
+                    inner[rows] = cells_of(lead[rows], of_axis[k], of_value[k])
+                cell = cell * (of_axis.shape[1] + 1) + inner
             column = pa.ListArray.from_arrays(pa.array(np.arange(0, lead.size + 1, lead.shape[1]), pa.int32()), pa.array(lead.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["copies"], batch["vector"], column, pa.array(at - len(axis))], ["node", "copies", "vector", "lead", "cell"])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["copies"], batch["vector"], column, pa.array(cell)], ["node", "copies", "vector", "lead", "cell"])
 
     return found
 
 
-def within_reach(low: np.ndarray, high: np.ndarray, reach: float) -> np.ndarray:
-    """Which pairs of boxes may hold points at most reach apart."""
-    square = np.zeros((len(low), len(low)))
-    for k in range(low.shape[1]):
-        gap = np.maximum(low[:, None, k] - high[None, :, k], low[None, :, k] - high[:, None, k])
-        square += np.maximum(gap, 0) ** 2
-    return square <= reach**2
+def _cuts(depth: int):
+    """The cuts of one cell's sample, as a row."""
 
+    def found(key: tuple, rows: pa.Table) -> pa.Table:
+        lead = rows["lead"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        axis, value = cuts_of(lead, depth)
+        return pa.table({"cell": [key[0].as_py()], "axis": [axis], "value": [value]})
+
+    return found
 
-def _blocks(nodes: DataFrame, n: int, axes: np.ndarray, reach: float) -> DataFrame:
-    """nodes (node, copies, vector, unit) as (node, copies, vector, block, other): once for each block within reach.
 
-    A bounded sample proposes the cuts; the boxes of the cells are those of all vectors. A cell that is too large for
-    a block is dealt into several by hash. The driver sees one row for each cell, MOST_CELLS at most.
+def _near(rows: DataFrame, depth: int, reach: float, leading: int) -> DataFrame:
+    """(cell, n, other, other_n, low.., high..): the pairs of cells whose boxes may hold vectors at most reach apart, both ways
+    round and with themselves, with the box of the other.
+
+    Boxes of the tree's upper levels enclose those below, so pairs are followed down from the root, STEP halvings at a time, and
+    only near pairs go on. Boxes are those of all vectors, not of the sample.
+    """
+    sides = [(f"{name}{k}", f) for name, f in (("low", F.min), ("high", F.max)) for k in range(leading)]
+    leaves = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(F.get("lead", F.lit(int(name.lstrip("lowhigh"))))).alias(name) for name, f in sides])
+    leaves = materialize(leaves, "cells")
+    pairs = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("cell_parent"), F.lit(0).cast("long").alias("other_parent"))
+    for above in range(0, depth, STEP):
+        level = min(above + STEP, depth)
+        boxes = leaves.groupBy(F.shiftright("cell", depth - level).alias("cell")).agg(F.sum("n").alias("n"), *[f(name).alias(name) for name, f in sides])
+        boxes = boxes.withColumn("parent", F.shiftright("cell", level - above))
+        left = boxes.select(F.col("parent").alias("cell_parent"), "cell", "n", *[F.col(name).alias(f"own_{name}") for name, _ in sides])
+        right = boxes.select(F.col("parent").alias("other_parent"), F.col("cell").alias("other"), F.col("n").alias("other_n"), *[name for name, _ in sides])
+        pairs = pairs.join(left, "cell_parent").join(right, "other_parent")
+        gap = sum((_gap(F.col(f"own_low{k}"), F.col(f"own_high{k}"), k) for k in range(leading)), F.lit(0.0))
+        pairs = pairs.filter(gap <= reach**2)
+        if level < depth:
+            pairs = materialize(pairs.select(F.col("cell").alias("cell_parent"), F.col("other").alias("other_parent")), "near-cells")
+    return materialize(pairs.select("cell", "n", "other", "other_n", *[name for name, _ in sides]), "near-cells")
+
+
+def _gap(low: Column, high: Column, k: int) -> Column:
+    """The square of what lies between two boxes along axis k."""
+    gap = F.greatest(low - F.col(f"high{k}"), F.col(f"low{k}") - high, F.lit(0.0))
+    return gap * gap
+
+
+def _blocks(nodes: DataFrame, n: int, axes: np.ndarray, reach: float, block: int, deep: int) -> DataFrame:
+    """nodes (node, copies, vector, unit) as (node, copies, vector, block, other): once for each block that the vector may reach.
+
+    A cell that is too large for a block is dealt into several by hash.
     """
     spark, size = nodes.sparkSession, axes.shape[0]
-    block = min(BLOCK, max(TILE // 4, BLOCK_VALUES // size))
-    depth = math.ceil(math.log2(min(max(LEAST_CELLS, n / block), MOST_CELLS)))
+    depth = math.ceil(math.log2(max(LEAST_CELLS, n / block)))
+    first = min(depth, deep)
+    second = min(depth - first, deep)
     sample = np.array(nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("unit").toArrow()["unit"].to_pylist()).reshape(-1, size)
-    axis, value = cuts_of(sample @ axes[:, :LEADING], depth)
+    rounds = [cuts_of(sample @ axes[:, :LEADING], first)]
     kind = nodes.schema["vector"].dataType.simpleString()
-    rows = materialize(nodes.mapInArrow(_in_cells(axes, axis, value), f"node long, copies long, vector {kind}, lead array<double>, cell long"), "nodes")
+    schema = f"node long, copies long, vector {kind}, lead array<double>, cell long"
+    if second:
+        share = min(1 << 30, math.ceil((1 << 30) * CELL_SAMPLE * 2 ** (first + second) / n))
+        drawn = nodes.filter(F.pmod(F.xxhash64(F.lit("cut"), "node"), F.lit(1 << 30)) < share)
+        drawn = drawn.mapInArrow(_in_cells(axes, spark.sparkContext.broadcast(rounds)), schema).select("cell", "lead")
+        cuts = drawn.groupBy("cell").applyInArrow(_cuts(second), "cell long, axis array<long>, value array<double>").toArrow()
+        axis, value = np.zeros((2**first, 2**second - 1), np.int64), np.full((2**first, 2**second - 1), np.inf)
+        for k, of_axis, of_value in zip(cuts["cell"].to_pylist(), cuts["axis"], cuts["value"], strict=True):
+            axis[k], value[k] = of_axis.values.to_numpy(zero_copy_only=False), of_value.values.to_numpy(zero_copy_only=False)
+        rounds = [*rounds, (axis, value)]
+    rows = materialize(nodes.mapInArrow(_in_cells(axes, spark.sparkContext.broadcast(rounds)), schema), "nodes")
     leading = min(LEADING, size)
-    bounds = [f(F.get("lead", F.lit(k))).alias(f"{name}{k}") for name, f in (("low", F.min), ("high", F.max)) for k in range(leading)]
-    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *bounds).orderBy("cell").toPandas()
-    near = within_reach(*(cells[[f"{name}{k}" for k in range(leading)]].to_numpy() for name in ("low", "high")), reach)
-    parts = -(-cells["n"].to_numpy() // math.ceil(1.25 * block))
-    base = np.cumsum(parts) - parts
-    table = [(int(c), int(b), int(p), [(int(base[k]), int(parts[k])) for k in np.flatnonzero(row)]) for c, b, p, row in zip(cells["cell"], base, parts, near, strict=True)]
-    table = spark.createDataFrame(table, "cell long, base long, parts long, near array<struct<base:long,parts:long>>")
-    rows = rows.drop("lead").join(F.broadcast(table), "cell").withColumn("block", F.col("base") + F.pmod(F.xxhash64("node"), F.col("parts")))
-    rows = rows.select("node", "copies", "vector", "block", F.explode("near").alias("near"))
-    return rows.select("node", "copies", "vector", "block", F.explode(F.expr("sequence(near.base, near.base + near.parts - 1)")).alias("other"))
-
-
-def vector_links(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    near = _near(rows, first + second, reach, leading)
+    parts = lambda c: F.ceil(F.col(c) / math.ceil(1.25 * block))
+    rows = rows.join(near, "cell")
+    gap = sum((_gap(F.get("lead", F.lit(k)), F.get("lead", F.lit(k)), k) for k in range(leading)), F.lit(0.0))
+    rows = rows.filter(gap <= reach**2).withColumn("block", F.shiftleft("cell", 24) + F.pmod(F.xxhash64("node"), parts("n")))
+    return rows.select("node", "copies", "vector", "block", F.explode(F.sequence(F.shiftleft("other", 24), F.shiftleft("other", 24) + parts("other_n") - 1)).alias("other"))
+
+
+def vector_links(nodes: DataFrame, size: int, threshold: float, block: int | None = None, deep: int = DEEP) -> DataFrame:
     """(node, links, with) over nodes (node, copies, vector of ``size``, unit): each pair within reach is compared in one
     task, which sums links and joins classes before it hands them on."""
     n = nodes.count()
     axes = np.eye(size)
     if n > 1 and size > 1:
         axes = PCA(k=size, inputCol="unit", outputCol="axes").fit(nodes.select(array_to_vector("unit").alias("unit"))).pc.toArray()
-    pairs = _blocks(nodes, n, axes, math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
+    block = block or min(BLOCK, max(TILE // 4, BLOCK_VALUES // size))
+    pairs = _blocks(nodes, n, axes, math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6, block, deep)
     pairs = pairs.select(F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "copies", "vector")
     return pairs.groupBy("left", "right").applyInArrow(_compare(axes, threshold), "node long, links long, with long")
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, few: int = FEW) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, few: int = FEW, block: int | None = None, deep: int = DEEP) -> DataFrame:
     """One row for each vector: id, n_links (other vectors of cosine >= threshold), component_id (smallest id
     reachable by links, itself included) and kept (id = component_id).
 
@@ -212,7 +275,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     their own that link. Ids are taken to be unique up to repeated rows. An empty table gives an empty table. Other
     columns are not read.
 
-    Lengths of more than ``few`` different vectors have axes and a job of their own; the others share one. Vectors with
+    Lengths of more than ``few`` different vectors have axes and a job of their own; the others share one. block: vectors
+    of a block (by default set by their length); deep: halvings of each of the two rounds of cuts. Vectors with
     over a thousandth of all copies, a thousand at most, get their result by a broadcast, the others by a join.
     """
     vector = F.col(vector_col)
@@ -228,7 +292,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     small = nodes.select("node", "copies", "vector", "size").join(several.filter(F.col("n").between(2, few)).select("size"), "size", "left_semi")
     found = found.union(small.groupBy("size").applyInArrow(_compare(None, threshold), "node long, links long, with long"))
     for (size,) in several.filter(F.col("n") > few).select("size").orderBy("size").collect():  # n / few at most
-        found = found.union(vector_links(nodes.filter(F.col("size") == size).select("node", "copies", "vector", "unit"), size, threshold))
+        found = found.union(vector_links(nodes.filter(F.col("size") == size).select("node", "copies", "vector", "unit"), size, threshold, block, deep))
     found = materialize(found, "vector-links")
     component = connected_components(found, "node", "with").withColumnRenamed("id", "node")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))

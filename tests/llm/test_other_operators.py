@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from graysift.llm.common import likely_rows
 from graysift.llm.components import connected_components
-from graysift.llm.embedding_dedup import cuts_of, embedding_dedup, within_reach
+from graysift.llm import embedding_dedup as vectors
+from graysift.llm.embedding_dedup import cuts_of, embedding_dedup
 from graysift.llm.ngram_join import PartEnum, folded, maybe_similar, sketch
 from graysift.llm import url_filter
 from graysift.llm.url_filter import url_verdicts
@@ -39,12 +40,25 @@ def test_vectors_in_clusters(spark):
         got = embedding_dedup(df, threshold=threshold).collect()
         assert sorted(((r[0], r[1], r[2]) for r in got), key=repr) == brute.vectors(rows, threshold)
     assert {r[0]: r[1] for r in embedding_dedup(spark.createDataFrame(rows[-2:], df.schema), threshold=0.96).collect()} == {1100: 1, 1101: 1}
-    low = np.array([[0.0, 0.0], [1.0, 1.0], [0.2, 0.0]])
-    assert within_reach(low, low + 0.1, 0.5).tolist() == [[True, False, True], [False, True, False], [True, False, True]]
+    got = embedding_dedup(df, block=6, deep=4).collect()  # both rounds of cuts, two steps down the tree
+    assert sorted(((r[0], r[1], r[2]) for r in got), key=repr) == brute.vectors(rows)
     axis, value = cuts_of(rng.normal(size=(64, 3)) * [1, 5, 1], 3)
     assert axis[0] == 1 and len(value) == 7 and np.isfinite(value).all()
 
 
+def test_vectors_go_to_blocks_in_reach_only(spark):
+    """Twice the clusters make twice the blocks, and not more copies of a vector."""
+    rng, copies = np.random.default_rng(8), []
+    for n in (30, 120):
+        centres = rng.normal(size=(n, 8))
+        unit = np.repeat(centres, 50, axis=0) + rng.normal(size=(n * 50, 8)) * 0.02
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        nodes = spark.createDataFrame([(i, 1, u, u) for i, u in enumerate(unit.tolist())], "node long, copies long, vector array<double>, unit array<double>")
+        copies.append(vectors._blocks(nodes, len(unit), np.eye(8), 0.2, 50, 4).count() / len(unit))
+    assert 1 <= copies[1] < 2 * copies[0]
+
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 40)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
