@@ -9,6 +9,8 @@ used text by text.
 
 from __future__ import annotations
 
+import codecs
+import gc
 import json
 import os
 import re
@@ -61,7 +63,8 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _OTHER = re.compile(r"[^\x00-\u024F]|<\|")
 #: Byte-level vocabularies write a byte as a letter: printable ones as themselves, the others from U+0100 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+BYTE_LETTERS = "".join(chr(_BYTE_LETTERS.get(b, b)) for b in range(256))
 #: Units that a worker remembers; about 200 bytes each.
 MEMORY = 400_000
 
@@ -111,7 +114,7 @@ class Encoder:
                 if word.isascii() and word.isalpha():
                     ids = words[word] = array("I", [t.id for t in self.tokenize("Ġ" + word)]).tobytes()
                 elif word.isalpha() and _latin(word):
-                    ids = words[word] = array("I", [t.id for t in self.tokenize("Ġ" + word.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+                    ids = words[word] = array("I", [t.id for t in self.tokenize("Ġ" + codecs.charmap_decode(word.encode(), "strict", BYTE_LETTERS)[0])]).tobytes()
                 else:
                     (other if _OTHER.search(u) else mixed).append(u)
                     continue
@@ -135,6 +138,15 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.plain:
             return self._ask([t or "" for t in texts])
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here refers to itself
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for begin in range(0, len(texts), 256):
             split = [units(t) if t else [] for t in texts[begin : begin + 256]]
