@@ -199,14 +199,17 @@ def _near(rows: DataFrame, depth: int, reach: float, leading: int) -> DataFrame:
     sides = [(f"{name}{k}", f) for name, f in (("low", F.min), ("high", F.max)) for k in range(leading)]
     leaves = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(F.get("lead", F.lit(int(name.lstrip("lowhigh"))))).alias(name) for name, f in sides])
     leaves = materialize(leaves, "cells")
-    pairs = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("cell_parent"), F.lit(0).cast("long").alias("other_parent"))
+    pairs = None
     for above in range(0, depth, STEP):
         level = min(above + STEP, depth)
         boxes = leaves.groupBy(F.shiftright("cell", depth - level).alias("cell")).agg(F.sum("n").alias("n"), *[f(name).alias(name) for name, f in sides])
         boxes = boxes.withColumn("parent", F.shiftright("cell", level - above))
         left = boxes.select(F.col("parent").alias("cell_parent"), "cell", "n", *[F.col(name).alias(f"own_{name}") for name, _ in sides])
         right = boxes.select(F.col("parent").alias("other_parent"), F.col("cell").alias("other"), F.col("n").alias("other_n"), *[name for name, _ in sides])
-        pairs = pairs.join(left, "cell_parent").join(right, "other_parent")
+        if pairs is None:  # below the root, 32 boxes at most
+            pairs = left.join(right, F.col("cell_parent") == F.col("other_parent"))
+        else:
+            pairs = pairs.join(left, "cell_parent").join(right, "other_parent")
         gap = sum((_gap(F.col(f"own_low{k}"), F.col(f"own_high{k}"), k) for k in range(leading)), F.lit(0.0))
         pairs = pairs.filter(gap <= reach**2)
         if level < depth:
