@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,11 +152,12 @@ def ai_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The number checks over numbers made from order keys."""
+    """The number checks over numbers made from order keys. Products are decimals: keys above 88068 take them past 64 bits."""
     n = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lpad((n * 7919 % 1_000_000_000).cast("string"), 9, "0").alias("nine"), F.lpad((n * 104_729_987_654_321 % 10_000_000_000_000_000).cast("string"), 16, "4").alias("sixteen"))
+    last = lambda by, places: (n.cast("decimal(19,0)") * F.lit(Decimal(by)) % F.lit(Decimal(10**places))).cast("string")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lpad(last(7919, 9), 9, "0").alias("nine"), F.lpad(last(104_729_987_654_321, 16), 16, "4").alias("sixteen"))
     iban = F.concat(F.lit("NL"), F.lpad((n % 100).cast("string"), 2, "0"), F.lit("ABNA0"), "nine")
-    return rows.select("o_orderkey", checks.valid_bsn(F.col("nine")).alias("bsn"), checks.valid_luhn(F.col("sixteen")).alias("luhn"), checks.valid_iban(iban).alias("iban"))
+    return rows.select("o_orderkey", checks.valid_bsn(F.col("nine")).alias("bsn"), checks.valid_luhn(F.col("sixteen")).alias("luhn"), F.coalesce(checks.valid_iban(iban), F.lit(False)).alias("iban"))
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

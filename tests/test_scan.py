@@ -153,6 +153,21 @@ def test_checksums(spark):
     assert [r for r in df.withColumn("got", got).collect() if r["got"] != r["valid"]] == []
 
 
+def test_checksums_of_large_keys(spark, tmp_path):
+    """Keys whose products pass 64 bits; DuckDB takes the same SQL where the keys are 128 bits wide."""
+    import duckdb
+
+    from graysift.plans import catalog
+
+    keys = [0, 1, 88_068, 88_069, 149_999, 8_999_999, 10**12 + 7, 2**63 - 1, None, *range(7_000_000, 7_000_600)]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT o_orderkey::HUGEINT AS o_orderkey FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(catalog.SQL["checksums"]).fetchall()}
+    got = {r[0]: tuple(r)[1:] for r in catalog.checksums(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == len(keys) and all(any(r[k] for r in got.values()) for k in range(2))
+
+
 def test_text_functions(spark):
     masks = [("206451374", "20•••••74"), ("abc", "•••"), ("noor.verh@school.nl", "no•••••••@school.nl"), ("a@b.nl", "a•••@b.nl")]
     assert all(r["m"] == r["want"] for r in spark.createDataFrame(masks, "v string, want string").withColumn("m", tx.mask(F.col("v"))).collect())
