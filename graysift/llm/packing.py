@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graysift.llm.common import materialize
-from graysift.llm.tokens import BYTE_BPE, MEMORY, encoder, vocabulary_path
+from graysift.llm.tokens import BYTE_BPE, MEMORY, encoder, portions, vocabulary_path
 
 CAPACITY = 2048
 
@@ -233,8 +233,7 @@ def token_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
+            for part in portions(batch):
                 rows: list[tuple] = []
                 for doc, ids in zip(part["doc_id"].to_pylist(), encoder(vocabulary, memory).encode(part["text"].to_pylist()), strict=True):
                     ids += end

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graysift.llm.common import shared_dir
-from graysift.llm.tokens import BYTE_BPE, MEMORY, encoder, vocabulary_path
+from graysift.llm.tokens import BYTE_BPE, MEMORY, encoder, portions, vocabulary_path
 
 MAGIC = b"WMX2"
 #: Bits between two entries of a plane's ranks; bytes whose crc is checked together, when first read; ids that are moved
@@ -281,7 +281,7 @@ def write_token_files(
 
     Null text counts as empty and yields the end id alone; null ids come first; rows that repeat an id are
     written each, in order of their text. An empty table leaves an empty folder. A very long text is one document of a
-    shard, which then has more ids than others. Other columns are not read. memory: units that a worker remembers,
+    shard, which then has more ids than others. Other columns are not read. memory: words that a worker remembers,
     see Encoder.
     """
     vocabulary = vocabulary or vocabulary_path(BYTE_BPE)
@@ -301,8 +301,7 @@ def write_token_files(
             )
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                piece = batch.slice(start, 1024)
+            for piece in portions(batch):
                 for doc, got in zip(piece["doc_id"].to_pylist(), encoder(vocabulary, memory).encode(piece["text"].to_pylist()), strict=True):
                     ids.append(got + end)
                     doc_ids.append(doc)

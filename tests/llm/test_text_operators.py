@@ -113,6 +113,20 @@ def test_encoder_is_the_library():
     assert Encoder(vocabulary_path(BYTE_BPE)).encode(texts) == want
 
 
+def test_encoder_asks_each_word_once(monkeypatch):
+    """Words are learned once, whatever marks follow them and however many there are; forgotten ones are learned again."""
+    learn, asked = Encoder._learn, []
+    monkeypatch.setattr(Encoder, "_learn", lambda self, words: asked.append(len(words)) or learn(self, words))
+    letters = [chr(97 + k) for k in range(26)]
+    words = ["".join(letters[n // 26**p % 26] for p in range(4)) for n in range(150_000)]
+    texts = [" ".join(["x", *(w + mark for w in words[k : k + 1000] for mark in ("", ",", "!!"))]) for k in range(0, len(words), 1000)]
+    encoder = Encoder(vocabulary_path(BYTE_BPE))
+    first = encoder.encode(texts)
+    assert sum(asked) == len(words) and encoder.encode(texts) == first and sum(asked) == len(words)
+    assert [b for k in range(0, 9, 3) for b in Encoder(vocabulary_path(BYTE_BPE), keep=500).encode(texts[k : k + 3])] == first[:9]
+    assert encoder.library.encode(texts[-1], add_special_tokens=False).ids == np.frombuffer(first[-1], "<u4").tolist()
+
+
 def test_encoder_with_other_rules(tmp_path):
     """A file that puts a space before each text is used text by text."""
     import json
