@@ -63,7 +63,7 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLOSED = "[A-Za-z0-9À-ÖØ-öø-ÿ]$"
 _LOOSE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]$"
 #: Words that a worker remembers, about 40 bytes each; bytes of texts that are cut together; new words in one text.
-MEMORY, PIECE, LINE = 1_500_000, 1 << 24, 64
+MEMORY, PIECE, LINE = 1_000_000, 1 << 23, 64
 _STRING, _BYTES = pa.large_string(), pa.large_binary()
 
 
