@@ -14,7 +14,7 @@ from graysift.llm.mixing import mix
 from graysift.llm.ngram_join import near_duplicates
 from graysift.llm.packing import best_fit, dominance_reduction, pack_documents, plan, sequences, token_pieces, pack
 from graysift.llm.quality import features, fit, grade, train
-from graysift.llm.token_counts import frequent_pretokens, token_counts
+from graysift.llm.token_counts import LONG_CHARS, dealt, frequent_pretokens, row_tokens, token_counts
 from graysift.llm.token_files import WaveletMatrix, build, code_lengths, token_file_index
 from graysift.llm.tokens import BYTE_BPE, Encoder, vocabulary_path
 from tests.llm import brute
@@ -340,6 +340,51 @@ def test_token_counts_with_a_long_banner(spark):
     assert "=-" * 60 in {r["part"] for r in frequent_pretokens(docs, 5).collect()}
 
 
+def test_token_counts_shuffle_a_part_once(spark, monkeypatch):
+    """Rare pre-tokens cross the network once: less is shuffled than two passes of their letters would take."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"{rnd.getrandbits(200):050x}" for _ in range(200))) for i in range(300)]
+    docs, context = spark.createDataFrame(rows, SCHEMA), spark.sparkContext._jsc.sc()
+    few = spark.createDataFrame([("tail",)], "part string")
+    monkeypatch.setattr("graysift.llm.token_counts.frequent_pretokens", lambda *_: few)
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {(r := found.apply(k)).stageId(): r.shuffleWriteBytes() for k in range(found.size())}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are no longer small
+    try:
+        before = shuffled()
+        assert len(token_counts(docs).collect()) == len(rows)
+        written = sum(n for k, n in shuffled().items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < written < 1.5 * sum(len(t) for _, t in rows), written
+
+
+def test_rare_parts_are_dealt_and_counted(spark):
+    """Equal parts meet in one task, copies of one over the bound in several; each row gets its own sum, over many batches."""
+    import sentencepiece
+
+    path = vocabulary_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rnd = random.Random(5)
+    rows = [(k, rnd.choice(["zebra", "\u0133sje", "x" * 70, "a\u2581b c", "", f"w{k}", "ab" * LONG_CHARS]), rnd.randint(1, 9)) for k in range(400)]
+    found, places = dealt(spark.createDataFrame(rows, "row long, part string, n long").repartition(3)), {}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the few rows are put in one task
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for r in found.withColumn("task", F.spark_partition_id()).collect():
+            places.setdefault(r["part"], set()).add(r["task"])
+        got = rows_of(row_tokens(found, path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {p for p, tasks in places.items() if len(tasks) > 1} == {"ab" * LONG_CHARS}
+    assert got == sorted(((k, n * (len(model.encode(p)) if p else 1)) for k, p, n in rows), key=repr)
+
+
 def test_quality_against_plain_loops(spark):
     """The fit reaches the likelihood of a plain gradient ascent; grades are those of a loop over each document."""
     rnd, dim = random.Random(9), 6
