@@ -1,14 +1,20 @@
 """Exact Jaccard self-join of documents' word shingles by PartEnum signatures.
 
 A document is the set of its distinct shingles (64-bit hashes); equal sets are one node, named by a 64-bit
-digest. Sets are put into size bands so that similar sets lie in one band or two neighbouring ones, and get
+digest. At first a share of the elements, the same of all sets, is looked up in all other sets: a set with more
+elements of its own than similarity allows links with nothing and goes no further, however many passages it shares.
+
+The sets that remain are ordered inside, elements that fewest of them have first. Of two similar sets each has the
+first element that both hold among its first ones, one more than it may have apart (a prefix); sets joined by such elements
+are kin, and links lie within kin. Passages of many texts stand last in that order, so they make no kin.
+
+Kin are put into size bands so that similar sets lie in one band or two neighbouring ones, and get
 signatures for their band and the next. In a band two similar sets differ in at most k elements. The hash range
 is cut into n1 partitions of n2 parts: at least one partition holds at most k2 of the differences, so one of its
 subsets of n2 - k2 parts is equal in both. A signature is the sum of hashes in such a subset. A small set of a band can
 differ from a similar one in less than k elements, so it needs only the first of the partitions.
 
-Long passages that many texts share chain unlike sets by common signatures. Sketches of the sets part these again
-before texts are compared; they only ever part sets that cannot be similar. A sketch has some bits for each difference
+What kin and common signatures chain together, sketches of the sets part again before texts are compared; they only ever part sets that cannot be similar. A sketch has some bits for each difference
 that similarity allows, so large sets have large ones.
 """
 
@@ -29,7 +35,11 @@ from graysift.llm.common import likely_rows, materialize
 from graysift.llm.components import connected_components, join_labels
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Signature rows that a task combines at a time before it hands them on.
+#: One in so many elements (a power of two) is looked up in other sets.
+LOOKED_UP = 2
+#: Elements that more sets have are all alike in the order of a prefix.
+FREQUENT = 1000
+#: Signature rows, or elements, that a task combines at a time before it hands them on.
 BLOCK = 500_000
 #: Nodes and (about) shingles of a block of a cluster, and shared shingles that are multiplied at a time.
 BLOCK_NODES, BLOCK_SIZE, COLUMNS = 512, 1_000_000, 4096
@@ -195,12 +205,211 @@ class PartEnum:
         return np.concatenate(out) if out else none, np.concatenate(extra) if extra else none
 
 
+def digest(elements: np.ndarray) -> np.uint64:
+    """The name of the node of a set."""
+    return np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes()))
+
+
+def looked_up(elements: np.ndarray) -> np.ndarray:
+    """The elements of a set that are looked up in other sets; an element is taken from all sets or from none."""
+    return elements[elements & np.uint64(LOOKED_UP - 1) == 0]
+
+
+def least_shared(size: int, n_looked_up: int, num: int, den: int) -> int:
+    """How many of the looked up elements of a set other sets must have if one of these is similar: a similar set lacks at
+    most (den - num) / den of its elements."""
+    return n_looked_up - (den - num) * size // den
+
+
 def _first(keys: np.ndarray) -> np.ndarray:
     """Where each run of sorted keys starts, for every row."""
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
     return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
 
+_LOOKED_UP = "kind byte, key long, node long, doc_id long, size long, shared long"
+ROW, ELEMENT, SHARED = 0, 1, 2
+
+
+def _looked_up_rows(kind: int, key, node, doc_id=None, size=None, shared=None) -> pa.RecordBatch:
+    columns = [pa.nulls(len(key), pa.int64()) if c is None else c if isinstance(c, pa.Array) else pa.array(np.asarray(c).astype(np.int64)) for c in (key, node, doc_id, size, shared)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), *columns], ["kind", "key", "node", "doc_id", "size", "shared"])
+
+
+def _shared_rows(node: np.ndarray) -> pa.RecordBatch:
+    node, times = np.unique(node, return_counts=True)
+    return _looked_up_rows(SHARED, mix(node.astype(np.uint64)), node, shared=times)
+
+
+def _element_rows(width: int, num: int, den: int):
+    """Rows of one kind each: ROW (a document's node, doc_id, set size and in shared what least_shared says), ELEMENT (key = an
+    element looked up, and the node that has it, null if several of this block have it) and SHARED (a node, and how many
+    of its elements other nodes of this block have)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        elements, nodes, held, seen = [], [], 0, set()
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            key, node = np.concatenate(elements), np.concatenate(nodes)
+            order = np.argsort(key)
+            key, node = key[order], node[order]
+            seed = np.concatenate([[True], key[1:] != key[:-1]])
+            alone = seed & np.concatenate([seed[1:], [True]])
+            at = np.flatnonzero(seed)
+            at = at[np.argsort(node[at], kind="stable")]  # rows of one node together are fewer bytes to shuffle
+            yield _looked_up_rows(ELEMENT, key[at], pa.array(node[at].view(np.int64), mask=~alone[at]))
+            if not alone.all():
+                yield _shared_rows(node[~alone])
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                piece = batch.slice(begin, 512)
+                ids, sizes, least = [], [], []
+                for text in piece["text"].to_pylist():
+                    whole = shingle_set(text, width)
+                    some, node = looked_up(whole), digest(whole)
+                    ids.append(node)
+                    sizes.append(len(whole))
+                    least.append(least_shared(len(whole), len(some), num, den))
+                    if node in seen or not len(some):
+                        continue
+                    seen.add(node)
+                    elements.append(some)
+                    nodes.append(np.full(len(some), node, np.uint64))
+                    held += len(some)
+                    if held >= BLOCK:
+                        yield from combined()
+                        elements, nodes, held, seen = [], [], 0, set()
+                node = np.array(ids, np.uint64)
+                yield _looked_up_rows(ROW, mix(node ^ mix(np.arange(len(node), dtype=np.uint64))), node, piece["doc_id"], sizes, least)
+        if held:
+            yield from combined()
+
+    return found
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ELEMENT rows, sorted by key, as SHARED rows of the nodes whose element other nodes have too; others as they are."""
+    key, node, several = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    held, n_held = [], 0
+
+    def shared(upto: int) -> np.ndarray:
+        if not upto:
+            return node[:0]
+        first = _first(key[:upto])
+        starts = np.flatnonzero(first == np.arange(upto))
+        common = np.logical_or.reduceat(several[:upto] | (node[:upto] != node[first]), starts)
+        return node[:upto][np.repeat(common, np.diff(np.append(starts, upto))) & ~several[:upto]]
+
+    for batch in batches:
+        kind = batch["kind"].to_numpy()
+        if (kind != ELEMENT).any():
+            yield batch.filter(pa.array(kind != ELEMENT))
+            batch = batch.filter(pa.array(kind == ELEMENT))
+        if not batch.num_rows:
+            continue
+        key = np.concatenate([key, batch["key"].to_numpy()])
+        node = np.concatenate([node, batch["node"].fill_null(0).to_numpy()])
+        several = np.concatenate([several, batch["node"].is_null().to_numpy(zero_copy_only=False)])
+        upto = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+        held.append(shared(upto))
+        n_held += len(held[-1])
+        key, node, several = key[upto:], node[upto:], several[upto:]
+        if n_held >= BLOCK:
+            yield _shared_rows(np.concatenate(held))
+            held, n_held = [], 0
+    held.append(shared(len(key)))
+    if sum(map(len, held)):
+        yield _shared_rows(np.concatenate(held))
+
+
+_HELD, _TIMES = "element long, node long, size long", "element long, node long, size long, times int"
+
+
+def _whole_rows(width: int):
+    """(element, node, size) for every element of the sets of texts."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                sets = [x for x in (shingle_set(t, width) for t in batch["text"].slice(begin, 512).to_pylist()) if len(x)]
+                if sets:
+                    size = np.array([len(x) for x in sets], np.int64)
+                    columns = [np.concatenate(sets).view(np.int64), np.repeat(np.array([digest(x) for x in sets], np.uint64).view(np.int64), size), np.repeat(size, size)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["element", "node", "size"])
+
+    return found
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by key, cut so that no run of a key is, unless it has over most rows; runs with at least
+    most rows come by themselves."""
+    held, names = None, []
+    for batch in batches:
+        names = batch.schema.names
+        new = [c.to_numpy() for c in batch.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        keys = held[names.index(key)]
+        if not len(keys):
+            continue
+        upto = int(np.searchsorted(keys, keys[-1]))
+        if upto:
+            yield [c[:upto] for c in held]
+            held = [c[upto:] for c in held]
+        if most and len(held[0]) >= 2 * most:  # what is left is still a long run
+            yield [c[:-most] for c in held]
+            held = [c[-most:] for c in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(element, node, size), sorted by element, with times: in how many rows the element is, FREQUENT at most. Rows of
+    elements that one node alone has are left out."""
+    for element, node, size in _runs(batches, "element", FREQUENT):
+        first = _first(element)
+        starts = np.flatnonzero(first == np.arange(len(element)))
+        lengths = np.diff(np.append(starts, len(element)))
+        times = np.minimum(lengths, FREQUENT)
+        common = np.logical_or.reduceat(node != node[first], starts) | (times == FREQUENT)
+        some = np.repeat(common, lengths)
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (element, node, size, np.repeat(times, lengths).astype(np.int32))], ["element", "node", "size", "times"])
+
+
+def _prefixes(num: int, den: int):
+    """(element, node, size, times), sorted by node, times and element -> (element, node): the prefix of each node, without
+    elements that it alone has. These come first of all, so a node with too many of them has no rows."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for element, node, size, _ in _runs(batches, "node"):
+            new = np.concatenate([[True], (node[1:] != node[:-1]) | (element[1:] != element[:-1])])
+            element, node, size = element[new], node[new], size[new]
+            first = _first(node)
+            held = np.diff(np.append(np.flatnonzero(first == np.arange(len(node))), len(node)))
+            alone = size - np.repeat(held, held)
+            some = np.arange(len(node)) - first + alone <= (den - num) * size // den
+            yield pa.RecordBatch.from_arrays([pa.array(element[some]), pa.array(node[some])], ["element", "node"])
+
+    return found
+
+
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id nodes name, and about one in seventy of the others (one in eight passes a look-up)."""
+    again = F.xxhash64("doc_id", F.lit("again")).alias("again")
+    rows = likely_rows(texts, "doc_id", nodes).select("*", again)
+    return likely_rows(rows, "again", nodes.select(again)).drop("again")
+
+
+def kin(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, kin): the sets of texts that prefixes join with others; similar ones have one kin."""
+    rows = texts.mapInArrow(_whole_rows(width), _HELD).repartition("element").sortWithinPartitions("element")
+    rows = rows.mapInArrow(_counted, _TIMES).repartition("node").sortWithinPartitions("node", "times", "element")
+    rows = materialize(rows.mapInArrow(_prefixes(num, den), "element long, node long"), "prefixes")
+    least = rows.groupBy("element").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most").drop("most")
+    found = connected_components(rows.join(least, "element").filter("node != least").select("node", "least"), "node", "least")
+    return materialize(found.withColumnsRenamed({"id": "node", "component": "kin"}), "kin")
+
+
 def _rows(kind: int, key, a, b, sig, bits=None) -> pa.RecordBatch:
     n = len(a)
     bits = pa.nulls(n, pa.binary()) if bits is None else pa.array(bits, pa.binary())
@@ -237,7 +446,7 @@ def _signature_rows(width: int, num: int, den: int):
                 ids, sizes, bits, extra = [], [], [], []
                 for text in piece["text"].to_pylist():
                     elements = shingle_set(text, width)
-                    node = np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes()))
+                    node = digest(elements)
                     ids.append(node)
                     sizes.append(len(elements))
                     bits.append(sketch(elements, enum.sketch_bits(enum.band(len(elements)) + 1)) if len(elements) else b"")
@@ -328,13 +537,12 @@ def _part(num: int, den: int):
     return found
 
 
-def parted(cluster: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Clusters (node, cluster) parted where sketches rule out every link: nodes that stand alone are left out.
+def parted(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Clusters (cluster, node, size, bits) parted where sketches rule out every link: nodes that stand alone are left out.
 
     Similar sets lie in one size band or two neighbouring ones, so a cluster is compared band by band, in pairs of
     blocks of about BLOCK_SKETCHES nodes and SKETCH_BYTES; of each pair come at most as many rows as it has nodes.
     """
-    rows = cluster.join(nodes, "node").select("cluster", "node", "size", "bits")
     rows = materialize(rows.mapInArrow(_banded(num, den), "cluster long, node long, size long, bits binary, tag long"), "sketches")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SKETCHES), F.ceil(F.sum(F.octet_length("bits")) / SKETCH_BYTES)).cast("long")
     sizes = materialize(rows.groupBy("cluster", "tag").agg(blocks.alias("blocks")), "sketch-blocks")
@@ -416,30 +624,41 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(documents, nodes, links): each row's doc_id, n_shingles and node; the nodes (different sets) with a doc_id
     and the number of their documents; and links summed up (node, links, with), see _compare.
 
-    Nodes that share a signature are joined into clusters, by one edge from each node to the first of a signature.
-    All links lie within clusters, also after sketches have parted these. A cluster is compared in pairs of blocks of at most BLOCK_NODES nodes and about
+    Nodes with too many elements of their own go first, then those without kin. Nodes of one kin that share a signature are
+    joined into clusters, by one edge from each node to the first of a signature. All links lie within clusters, also after
+    sketches have parted these. A cluster is compared in pairs of blocks of at most BLOCK_NODES nodes and about
     BLOCK_SIZE shingles, each pair in one task that counts links and joins classes, so a large cluster is spread
     and its pairs are never rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(_signature_rows(width, num, den), _SCHEMA)
-    rows = rows.repartition("key").sortWithinPartitions("key")  # one long: sorted by radix; any node may stand for a signature
-    found = materialize(rows.mapInArrow(_memberships, _SCHEMA), "signatures")
-    documents = found.filter(F.col("kind") == DOC).select(F.col("b").alias("doc_id"), F.col("sig").alias("n_shingles"), F.col("a").alias("node"), "bits")
+    rows = texts.mapInArrow(_element_rows(width, num, den), _LOOKED_UP)
+    rows = rows.repartition("key").sortWithinPartitions("key")  # one long: sorted by radix
+    found = materialize(rows.mapInArrow(_met, _LOOKED_UP), "looked-up")
+    documents = found.filter(F.col("kind") == ROW).select("doc_id", F.col("size").alias("n_shingles"), "node", F.col("shared").alias("least"))
     nodes = documents.filter("n_shingles > 0 and doc_id is not null").groupBy("node")
-    nodes = materialize(nodes.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"), F.max("bits").alias("bits")), "nodes")
+    nodes = nodes.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"), F.max("least").alias("least"))
+    shared = found.filter(F.col("kind") == SHARED).groupBy("node").agg(F.sum("shared").alias("shared"))
+    nodes = nodes.join(shared, "node", "left").withColumn("open", F.coalesce("shared", F.lit(0)) >= F.col("least"))
+    documents, nodes = documents.drop("least"), materialize(nodes.drop("least", "shared"), "nodes")
+    open_nodes = nodes.filter("open").drop("open")
+    open_nodes = materialize(open_nodes.join(kin(_texts_of(texts, open_nodes), width, num, den), "node"), "open-nodes")
+    rows = _texts_of(texts, open_nodes).mapInArrow(_signature_rows(width, num, den), _SCHEMA)
+    rows = rows.repartition("key").sortWithinPartitions("key")  # any node may stand for a signature
+    found = materialize(rows.mapInArrow(_memberships, _SCHEMA), "signatures")
+    bits = found.filter((F.col("kind") == DOC) & F.col("b").isNotNull()).groupBy(F.col("a").alias("node")).agg(F.max("bits").alias("bits"))
     cluster = connected_components(found.filter(F.col("kind") == MEMBER).select("a", "b"))
-    cluster = materialize(cluster.withColumnsRenamed({"id": "node", "component": "cluster"}), "chained")
-    cluster = parted(cluster, nodes, num, den)
-    nodes, documents = nodes.drop("bits"), documents.drop("bits")
+    cluster = cluster.withColumnsRenamed({"id": "node", "component": "cluster"}).join(open_nodes, "node")
+    cluster = materialize(cluster.withColumn("cluster", F.xxhash64("cluster", "kin")).join(bits, "node").select("cluster", "node", "size", "bits"), "chained")
+    cluster = parted(cluster, num, den)
     cluster = materialize(cluster.withColumnsRenamed({"id": "node", "component": "cluster"}), "homes")
     # Nodes that share an empty subset are compared by themselves: as edges they would join unrelated clusters.
     extra = found.filter(F.col("kind") == EXTRA).select(F.col("key").alias("cluster"), F.col("a").alias("node")).distinct()
+    extra = extra.join(open_nodes.select("node", "kin"), "node").select(F.xxhash64("cluster", "kin").alias("cluster"), "node")
     several = extra.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cluster")
     extra = extra.join(several, "cluster").join(cluster.withColumnRenamed("cluster", "home"), "node", "left")
     extra = extra.select("node", "cluster", F.coalesce("home", "node").alias("home"))
     members = cluster.select("node", "cluster", F.lit(None).cast("long").alias("home")).union(extra)
-    members = materialize(members.join(nodes, "node"), "clusters")
+    members = materialize(members.join(open_nodes.drop("kin"), "node"), "clusters")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_SIZE)).cast("long")
     sizes = materialize(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster-sizes")
     members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
