@@ -247,6 +247,7 @@ def token_pieces(
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[i], t) for i, t in enumerate(types)], names[: len(types)])
+                pa.default_memory_pool().release_unused()  # else a worker that serves other stages later keeps the room of its largest piece
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
