@@ -41,6 +41,8 @@ LOOKED_UP = 2
 FREQUENT = 1000
 #: Signature rows, or elements, that a task combines at a time before it hands them on.
 BLOCK = 500_000
+#: Rows of them that it hands on at once.
+PART = 1 << 16
 #: Nodes and (about) shingles of a block of a cluster, and shared shingles that are multiplied at a time.
 BLOCK_NODES, BLOCK_SIZE, COLUMNS = 512, 1_000_000, 4096
 #: Bits of a sketch for each element that similar sets may differ in, and 64-bit words that are looked at first.
@@ -236,6 +238,12 @@ def _looked_up_rows(kind: int, key, node, doc_id=None, size=None, shared=None) -
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), *columns], ["kind", "key", "node", "doc_id", "size", "shared"])
 
 
+def _in_parts(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in batches that take little room where Spark reads them."""
+    for begin in range(0, rows.num_rows, PART):
+        yield rows.slice(begin, PART)
+
+
 def _shared_rows(node: np.ndarray) -> pa.RecordBatch:
     node, times = np.unique(node, return_counts=True)
     return _looked_up_rows(SHARED, mix(node.astype(np.uint64)), node, shared=times)
@@ -257,9 +265,9 @@ def _element_rows(width: int, num: int, den: int):
             alone = seed & np.concatenate([seed[1:], [True]])
             at = np.flatnonzero(seed)
             at = at[np.argsort(node[at], kind="stable")]  # rows of one node together are fewer bytes to shuffle
-            yield _looked_up_rows(ELEMENT, key[at], pa.array(node[at].view(np.int64), mask=~alone[at]))
+            yield from _in_parts(_looked_up_rows(ELEMENT, key[at], pa.array(node[at].view(np.int64), mask=~alone[at])))
             if not alone.all():
-                yield _shared_rows(node[~alone])
+                yield from _in_parts(_shared_rows(node[~alone]))
 
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
@@ -316,11 +324,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_held += len(held[-1])
         key, node, several = key[upto:], node[upto:], several[upto:]
         if n_held >= BLOCK:
-            yield _shared_rows(np.concatenate(held))
+            yield from _in_parts(_shared_rows(np.concatenate(held)))
             held, n_held = [], 0
     held.append(shared(len(key)))
     if sum(map(len, held)):
-        yield _shared_rows(np.concatenate(held))
+        yield from _in_parts(_shared_rows(np.concatenate(held)))
 
 
 _HELD, _TIMES = "element long, node long, size long", "element long, node long, size long, times int"
@@ -336,7 +344,7 @@ def _whole_rows(width: int):
                 if sets:
                     size = np.array([len(x) for x in sets], np.int64)
                     columns = [np.concatenate(sets).view(np.int64), np.repeat(np.array([digest(x) for x in sets], np.uint64).view(np.int64), size), np.repeat(size, size)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["element", "node", "size"])
+                    yield from _in_parts(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["element", "node", "size"]))
 
     return found
 
@@ -436,9 +444,9 @@ def _signature_rows(width: int, num: int, den: int):
             member = ~seed & (node != node[first])
             at = np.flatnonzero(seed)
             at = at[np.argsort(node[at], kind="stable")]  # rows of one node together are fewer bytes to shuffle
-            yield _rows(SEED, sig[at], node[at], pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()))
+            yield from _in_parts(_rows(SEED, sig[at], node[at], pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64())))
             if member.any():
-                yield _rows(MEMBER, mix(node[member]), node[member], node[first][member], sig[member])
+                yield from _in_parts(_rows(MEMBER, mix(node[member]), node[member], node[first][member], sig[member]))
 
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
